@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.packing import pack
+from quire.llm.pii import KINDS, find_pii
 from quire.llm.token_counts import token_counts
 from quire.session import table
 
 
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* and base_sha256 describe the base spans; n_all_* also count what deobfuscation adds."""
+    found = find_pii(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda x: x["base"]))
+
+    def counts(spans: str, prefix: str) -> list:
+        return [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"{prefix}{k}") for k in KINDS]
+
+    return found.select(
+        "doc_id", *counts("base", "n_"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), *counts("spans", "n_all_")
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -17,7 +35,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op4_pii": op4_pii, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
 
 #: None of these can be expressed by DuckDB SQL over the tables alone unless it is listed here.
 ORACLE: dict[str, str] = {}
