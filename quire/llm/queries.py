@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.line_dedup import line_dedup
 from quire.llm.packing import pack
 from quire.llm.pii import KINDS, find_pii
 from quire.llm.token_counts import token_counts
+from quire.llm.url_filter import filter_urls
 from quire.session import table
 
 
@@ -27,6 +29,16 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document what is left, as a digest, and how many lines and chunks went."""
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_pii": op4_pii, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op8_url_filter": op8_url_filter, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
 
 #: None of these can be expressed by DuckDB SQL over the tables alone unless it is listed here.
 ORACLE: dict[str, str] = {}
