@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from quire.llm.line_dedup import line_dedup
 from quire.llm.packing import pack
 from quire.llm.pii import KINDS, find_pii
+from quire.llm.quality import held_out, score_quality, train
 from quire.llm.token_counts import token_counts
 from quire.llm.url_filter import filter_urls
 from quire.session import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = train(documents, table(spark, sf_dir, "labels"))
+    scored = score_quality(documents, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
@@ -47,7 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op8_url_filter": op8_url_filter, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_quality": op1_quality, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op8_url_filter": op8_url_filter, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
 
 #: None of these can be expressed by DuckDB SQL over the tables alone unless it is listed here.
 ORACLE: dict[str, str] = {}
