@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.decontamination import contaminated
+from quire.llm.jaccard_join import jaccard_join
 from quire.llm.line_dedup import line_dedup
 from quire.llm.packing import pack
 from quire.llm.pii import KINDS, find_pii
@@ -43,6 +45,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -55,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op8_url_filter": op8_url_filter, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_quality": op1_quality, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination, "op7_jaccard_join": op7_jaccard_join, "op8_url_filter": op8_url_filter, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
 
 #: None of these can be expressed by DuckDB SQL over the tables alone unless it is listed here.
 ORACLE: dict[str, str] = {}
