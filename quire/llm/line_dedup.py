@@ -48,22 +48,23 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     Earlier means smaller (doc_id, hash of the text, position). Chunks whose 64-bit hash alone agrees
     stay. The counting shuffles hashes; only texts of chunks with a repeated hash are compared.
     """
+    # Merge joins at every size: what is joined grows with the documents.
     source = documents.select("doc_id", "text")
     every = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.filter(line_chunks(F.col("text")), _eligible)).alias("c")).select(
         "doc_id", "text_hash", F.col("c.k").alias("k"), F.xxhash64("c.chunk").alias("h")
     )
     counted = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "k")).alias("first")).where("n > 1").drop("n")
     here = F.struct("doc_id", "text_hash", "k")
-    hits = every.join(counted, "h").select("doc_id", "text_hash", "k", "h", F.col("first").eqNullSafe(here).alias("is_first"))
+    hits = every.join(counted.hint("merge"), "h").select("doc_id", "text_hash", "k", "h", F.col("first").eqNullSafe(here).alias("is_first"))
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("k", "h", "is_first")).alias("hits"))
     keyed = source.withColumn("text_hash", F.xxhash64("text"))
     b = written(by_doc, "line-hits").select(F.col("doc_id").alias("b_doc"), F.col("text_hash").alias("b_hash"), "hits")
-    texts = keyed.join(b, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("text_hash") == F.col("b_hash"))).select(
+    texts = keyed.join(b.hint("merge"), F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("text_hash") == F.col("b_hash"))).select(
         "doc_id", "text_hash", F.explode(F.transform(F.array(line_chunks(F.col("text"))), lambda cs: F.transform(F.col("hits"), lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"), x["is_first"].alias("is_first"), F.get(cs, x["k"])["chunk"].alias("chunk"))))[0]).alias("c")
     ).select("doc_id", "text_hash", "c.*")
     texts = written(texts, "line-texts")
     firsts = texts.where("is_first").groupBy("h").agg(F.first("chunk").alias("first_chunk"))
-    return texts.where("not is_first").join(firsts, "h").where("chunk = first_chunk").select("doc_id", "text_hash", "k").distinct()
+    return texts.where("not is_first").join(firsts.hint("merge"), "h").where("chunk = first_chunk").select("doc_id", "text_hash", "k").distinct()
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     added = ("n_lines", "n_removed_lines", "n_removed_chunks")
     removed = repeated_chunks(documents).groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("_gone"))
     r = removed.select(F.col("doc_id").alias("_r_doc"), F.col("text_hash").alias("_r_hash"), "_gone")
-    joined = documents.drop(*added).withColumn("_hash", F.xxhash64("text")).join(r, F.col("doc_id").eqNullSafe(F.col("_r_doc")) & (F.col("_hash") == F.col("_r_hash")), "left")
+    joined = documents.drop(*added).withColumn("_hash", F.xxhash64("text")).join(r.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_r_doc")) & (F.col("_hash") == F.col("_r_hash")), "left")
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
     split = F.transform(F.array(line_chunks(F.col("text"))), lambda cs: F.struct(
         F.array_join(F.transform(F.filter(cs, lambda c: ~F.array_contains(gone, c["k"])), lambda c: c["chunk"]), "\n").alias("text"),
