@@ -306,19 +306,19 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     sketches = written(source.where("doc_id is not null").mapInArrow(_sketch, "doc_id long, t1 long, t2 long, sig binary"), "sketches")
     copies = sketches.groupBy("t1", "t2").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("n_docs"))
     copies = written(copies, "copies")
-    chosen = sketches.join(copies.withColumnsRenamed({"t1": "c1", "t2": "c2"}), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")) & (F.col("doc_id") == F.col("class_id")))
+    chosen = sketches.join(copies.withColumnsRenamed({"t1": "c1", "t2": "c2"}).hint("merge"), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")) & (F.col("doc_id") == F.col("class_id")))
     texts = written(chosen.groupBy("class_id").agg(F.first("sig").alias("sig"), F.max("n_docs").alias("n_docs")), "texts")
     keyed = texts.select("class_id", "sig").mapInArrow(_bands, "class_id long, key long")
     repeated = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    hits = written(_dealt(keyed.join(repeated, "key"), "key", "size"), "hits")
-    with_sig = hits.join(texts.select("class_id", "sig"), "class_id")
+    hits = written(_dealt(keyed.join(repeated.hint("merge"), "key"), "key", "size"), "hits")
+    with_sig = hits.join(texts.select("class_id", "sig").hint("merge"), "class_id")
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = with_sig.select("key", "pair", "block", "cross", "class_id", "sig").repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "class_id").mapInArrow(_bucket_edges, "src long, dst long")
     likely = components(edges.distinct(), "likely")
     sizes = likely.groupBy("root").agg(F.count("*").alias("size"))
-    members = likely.join(sizes, "root").withColumnRenamed("node", "class_id").join(texts.select("class_id", "n_docs"), "class_id")
+    members = likely.join(sizes.hint("merge"), "root").withColumnRenamed("node", "class_id").join(texts.select("class_id", "n_docs").hint("merge"), "class_id")
     dealt = _dealt(members, "root", "size")
-    with_text = dealt.join(source.where("doc_id is not null").withColumnRenamed("doc_id", "class_id"), "class_id")
+    with_text = dealt.hint("merge").join(source.where("doc_id is not null").withColumnRenamed("doc_id", "class_id"), "class_id")
     verified = with_text.select("root", "pair", "block", "cross", "class_id", "n_docs", "text").repartition(n, "root", "pair").sortWithinPartitions("root", "pair", "class_id").mapInArrow(
         _verify, "class_id long, root long, n_links long, n_linked_docs long, split boolean"
     )
@@ -328,12 +328,12 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     if apart.limit(1).count():
         joined = components(apart, "split").withColumnsRenamed({"node": "class_id", "root": "far"})
         links = links.join(joined, "class_id", "left").withColumn("local", F.when(F.col("split"), F.coalesce("far", "class_id")).otherwise(F.col("local"))).drop("far")
-    by_doc = sketches.join(copies, ["t1", "t2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_docs").alias("n_docs"))
-    found = by_doc.join(links, "class_id", "left").select(
+    by_doc = sketches.join(copies.hint("merge"), ["t1", "t2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_docs").alias("n_docs"))
+    found = by_doc.join(links.hint("merge"), "class_id", "left").select(
         F.col("doc_id").alias("_id"), F.col("class_id").alias("copy_id"), F.coalesce("local", "class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         (F.coalesce("n_linked_docs", F.lit(0)) + F.col("n_docs") - 1).alias("n_linked_docs"),
     )
-    return source.select("doc_id").join(found, F.col("doc_id") == F.col("_id"), "left").select(
+    return source.select("doc_id").join(found.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select(
         "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_linked_docs", F.lit(0)).cast("long").alias("n_linked_docs"),
     )
@@ -345,5 +345,5 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     Repeated rows of that doc_id are one document, of which any one row stays; rows with a null doc_id
     stay."""
     kept = jaccard_join(documents).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    named = documents.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(documents.where("doc_id is null"))
