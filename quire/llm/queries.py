@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.ann import nearest_neighbours
 from quire.llm.decontamination import contaminated
 from quire.llm.jaccard_join import jaccard_join
 from quire.llm.line_dedup import line_dedup
@@ -27,6 +28,10 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_* and base_sha256 describe the base spans; n_all_* also count what deobfuscation adds."""
     found = find_pii(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda x: x["base"]))
@@ -65,7 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination, "op7_jaccard_join": op7_jaccard_join, "op8_url_filter": op8_url_filter, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination, "op7_jaccard_join": op7_jaccard_join, "op8_url_filter": op8_url_filter, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
 
 #: None of these can be expressed by DuckDB SQL over the tables alone unless it is listed here.
 ORACLE: dict[str, str] = {}
