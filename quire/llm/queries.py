@@ -12,6 +12,7 @@ from quire.llm.line_dedup import line_dedup
 from quire.llm.packing import pack
 from quire.llm.pii import KINDS, find_pii
 from quire.llm.quality import held_out, score_quality, train
+from quire.llm.suffix_dedup import remove_repeats
 from quire.llm.token_counts import token_counts
 from quire.llm.url_filter import filter_urls
 from quire.session import table
@@ -32,6 +33,12 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_* and base_sha256 describe the base spans; n_all_* also count what deobfuscation adds."""
     found = find_pii(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda x: x["base"]))
@@ -70,7 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination, "op7_jaccard_join": op7_jaccard_join, "op8_url_filter": op8_url_filter, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_quality": op1_quality, "op2_ann": op2_ann, "op3_suffix_dedup": op3_suffix_dedup, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination, "op7_jaccard_join": op7_jaccard_join, "op8_url_filter": op8_url_filter, "op9_packing": op9_packing, "op10_token_counts": op10_token_counts}
 
 #: None of these can be expressed by DuckDB SQL over the tables alone unless it is listed here.
 ORACLE: dict[str, str] = {}
