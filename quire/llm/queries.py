@@ -43,8 +43,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_* and base_sha256 describe the base spans; n_all_* also count what deobfuscation adds."""
     found = find_pii(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda x: x["base"]))
 
-    def counts(spans: str, prefix: str) -> list:
-        return [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"{prefix}{k}") for k in KINDS]
+    def count(spans: str, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+    def counts(spans: str, prefix: str) -> list[Column]:
+        return [count(spans, k).alias(prefix + k) for k in KINDS]
 
     return found.select(
         "doc_id", *counts("base", "n_"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), *counts("spans", "n_all_")
