@@ -14,6 +14,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from quire.functions.loose_json import parse_loose
 
@@ -90,7 +91,7 @@ def translate_batches(batches: DataFrame, key: list[str], client: Provider | Non
     """Translate rows (key..., items array<string>): key..., targets, calls. Batches are independent."""
     client = client or FakeProvider()
     source = batches.select(*key, "items")
-    schema = source.drop("items").schema.add("targets", "array<string>").add("calls", "int")
+    schema = source.drop("items").schema.add("targets", ArrayType(StringType())).add("calls", IntegerType())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

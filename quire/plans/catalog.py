@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from quire.plans import contents, output, packing, quality, terms, texts, usage
+
+_MODULES = (packing, texts, quality, terms, usage, contents, output)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
