@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quire.llm.words import BLOCK, codes
 
@@ -220,7 +221,7 @@ def score_quality(documents: DataFrame, model: Model | None, keep: list[str] | N
     """
     keep = [c for c in (documents.columns if keep is None else keep) if c != "score"]
     source = documents.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = source.drop("_text").schema.add("score", "double", False)
+    schema = source.drop("_text").schema.add("score", DoubleType(), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
