@@ -225,7 +225,9 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     )
     sampled = written(sampled, "sampled")
     names = sampled.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
-    shared = written(sampled.join(names.select("gram", (F.col("least") == F.col("most")).alias("alike")).hint("merge"), "gram"), "shared")
+    # Written first, so that both sides of the join are shuffled for it and a common gram can be split.
+    names = written(names.select("gram", (F.col("least") == F.col("most")).alias("alike")), "names")
+    shared = written(sampled.join(names.hint("merge"), "gram"), "shared")
     here = F.struct("doc", "hash", "first", "last")
     contexts = shared.where("not alike").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(here).alias("at"))
     contexts = written(contexts, "contexts")
