@@ -54,6 +54,7 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
         "doc_id", "text_hash", F.col("c.k").alias("k"), F.xxhash64("c.chunk").alias("h")
     )
     counted = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "k")).alias("first")).where("n > 1").drop("n")
+    counted = written(counted, "line-counts")  # so that the join can split a common chunk
     here = F.struct("doc_id", "text_hash", "k")
     hits = every.join(counted.hint("merge"), "h").select("doc_id", "text_hash", "k", "h", F.col("first").eqNullSafe(here).alias("is_first"))
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("k", "h", "is_first")).alias("hits"))
