@@ -25,6 +25,8 @@ SHARE = 0.1
 START, GROWTH = 0.25, 1.3
 #: Vectors of a shard and queries of a block: what one task holds.
 SHARD, QUERIES = 16384, 4096
+#: Queries whose windows are looked up together.
+BATCH = 128
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -48,33 +50,58 @@ class Shard:
         rng = np.random.default_rng(seed)
         self.rotation = np.concatenate([np.linalg.qr(rng.normal(size=(d + 1, d + 1)))[0][:, :d] for _ in range(ROTATIONS)], axis=1)
         projected = (lifted @ self.rotation).T
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
-        self.step = START * max(float(projected.std()), 1e-12)
-
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Places of the vectors whose collisions pass the threshold, as windows widen."""
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        # A vector lies in a window if its rank in that sorted array lies between the window's ends.
+        self.ranks = np.empty(order.shape, np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, order, np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
+        self.offsets, self.inside = np.empty_like(self.ranks), np.empty(order.shape, bool)
+        spread = float(self.sorted[:, -1].max() - self.sorted[:, 0].min()) if n else 0.0
+        widths = [START * max(float(projected.std()), 1e-12)]
+        while widths[-1] <= 2 * spread + 1e-9:
+            widths.append(widths[-1] * GROWTH)
+        self.widths = np.array(widths)
+        self.level = len(widths) // 2
+
+    def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many of the windows each vector lies in."""
+        np.subtract(self.ranks, low[:, None], out=self.offsets)  # wraps for ranks below the window
+        np.less(self.offsets, (high - low)[:, None], out=self.inside)
+        flags = self.inside.view(np.uint8)
+        return sum(np.add.reduce(flags[k : k + 255], axis=0, dtype=np.uint8).astype(np.int64) for k in range(0, len(flags), 255))
+
+    def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the windows of all queries in all arrays at all widths: (query, width, projection)."""
+        lifted = queries * (self.norm / np.sqrt((queries**2).sum(1)))[:, None]
+        at = lifted @ self.rotation[:-1]
+        shape = (len(queries), len(self.widths), len(self.sorted))
+        low, high = np.empty(shape, self.ranks.dtype), np.empty(shape, self.ranks.dtype)
+        for j, values in enumerate(self.sorted):
+            low[:, :, j] = np.searchsorted(values, at[:, j, None] - self.widths, "left")
+            high[:, :, j] = np.searchsorted(values, at[:, j, None] + self.widths, "right")
+        return low, high
+
+    def candidates(self, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+        """Places of the vectors whose collisions pass the threshold at the least width that gives enough.
+
+        Collisions grow with the width, so the search starts at the width the last query ended with."""
         n, m = len(self.vectors), len(self.sorted)
-        wanted = min(n, 5 * k + int(SHARE * n))
-        lifted = np.append(query * (self.norm / np.sqrt((query**2).sum())), 0)
-        at = lifted @ self.rotation
-        least, width = max(1, int(COLLISIONS * m)), self.step
-        counts = np.zeros(n, np.int64)
-        lo = hi = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, at, strict=True)])
-        while True:
-            low = np.array([np.searchsorted(s, v - width, "left") for s, v in zip(self.sorted, at, strict=True)])
-            high = np.array([np.searchsorted(s, v + width, "right") for s, v in zip(self.sorted, at, strict=True)])
-            fresh = [o[a:b] for o, a, b in zip(self.order, low, lo, strict=True)] + [o[a:b] for o, a, b in zip(self.order, hi, high, strict=True)]
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
-            lo, hi = low, high
-            found = np.flatnonzero(counts >= least)
-            if len(found) >= wanted or (hi - lo).min() == n:
-                return found
-            width *= GROWTH
-
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best candidates but the query itself; ties to the smaller id."""
-        places = self.candidates(query, k)
+        wanted, least = min(n, 5 * k + int(SHARE * n)), max(1, int(COLLISIONS * m))
+        tried: dict[int, np.ndarray] = {}
+
+        def found(level: int) -> np.ndarray:
+            if level not in tried:
+                tried[level] = np.flatnonzero(self._collisions(low[level], high[level]) >= least)
+            return tried[level]
+
+        while self.level < len(self.widths) - 1 and len(found(self.level)) < wanted:
+            self.level += 1
+        while self.level > 0 and len(found(self.level - 1)) >= wanted:
+            self.level -= 1
+        return found(self.level)
+
+    def nearest(self, query_id: int, query: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best of the candidates but the query itself; ties to the smaller id."""
         # Summed row by row, so equal vectors have equal scores wherever they stand.
         scores = (self.vectors[places] * query).sum(1)
         best = np.argsort(-scores, kind="stable")
@@ -98,9 +125,11 @@ def _search(k: int):
         if role.any() and not role.all():
             shard = Shard(ids[~role], vectors[~role])
             order = np.flatnonzero(role)[np.argsort(ids[role], kind="stable")]
-            for q in order:
-                found, score = shard.nearest(int(ids[q]), vectors[q], k)
-                out.append((np.full(len(found), ids[q]), found, score))
+            for part in np.split(order, range(BATCH, len(order), BATCH)):
+                low, high = shard.windows(vectors[part])
+                for i, q in enumerate(part):
+                    found, score = shard.nearest(int(ids[q]), vectors[q], shard.candidates(low[i], high[i], k), k)
+                    out.append((np.full(len(found), ids[q]), found, score))
         columns = [np.concatenate([x[c] for x in out]) if out else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2]})
 
