@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as Chinese context.
-CJK = "\\u4e00-\\u9fff\\u3040-\\u30ff\\uff00-\\uffef“”‘’（）《》【】、，。！？：；…—"
+CJK = "一-鿿぀-ヿ＀-￯“”‘’（）《》【】、，。！？：；…—"
 _MARK = "\ue000"
 
 
