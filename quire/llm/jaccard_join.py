@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import components, written
+from quire.llm.runtime import components, whole_groups, written
 from quire.llm.words import mix, word_blocks
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -131,29 +131,6 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys in a sorted stream, in tables that hold whole groups only."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        same = np.ones(max(0, batch.num_rows - 1), bool)
-        for k in keys:
-            v = batch.column(k).to_numpy(zero_copy_only=False)
-            same &= v[1:] == v[:-1]
-        cut = np.flatnonzero(~same)
-        last = int(cut[-1]) + 1 if len(cut) else 0
-        if held and any(held[-1].column(k)[held[-1].num_rows - 1] != batch.column(k)[0] for k in keys):
-            yield pa.Table.from_batches(held)
-            held = []
-        if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _runs(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
     n = table.num_rows
     new = np.zeros(n, bool)
@@ -211,7 +188,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Star edges of the likely pairs of each bucket."""
-    for table in _groups(batches, ["key", "pair"]):
+    for table in whole_groups(batches, ["key", "pair"]):
         ids = table.column("class_id").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
         block, cross = table.column("block").to_numpy(), table.column("cross").to_numpy(zero_copy_only=False)
@@ -259,7 +236,7 @@ def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per member of a component, or of a pair of its blocks: its local root and verified links."""
-    for table in _groups(batches, ["root", "pair"]):
+    for table in whole_groups(batches, ["root", "pair"]):
         for i, j in _runs(table, ["root", "pair"]):
             part = table.slice(i, j - i)
             ids, docs = part.column("class_id").to_numpy(), part.column("n_docs").to_numpy()

@@ -31,8 +31,8 @@ _ARROW = pa.schema(
 class Packer:
     """The open windows of one partition or group. ``full`` collects the pieces of emitted windows."""
 
-    def __init__(self, window: int, windows: int, level: int, part: int):
-        self.window, self.windows = window, windows
+    def __init__(self, window: int, windows: int, level: int, part: int, keep_ids: bool = False):
+        self.window, self.windows, self.keep_ids = window, windows, keep_ids
         self.next_id = (level << 58) | (part << 34)
         self.open: list[tuple[int, list]] = []  # fill, pieces
         self.full: list[tuple] = []
@@ -40,7 +40,8 @@ class Packer:
     def _emit(self, pieces: list) -> None:
         at = 0
         for doc, start, ids, total in pieces:
-            self.full.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, at, False, None, None))
+            raw = ids.tobytes()
+            self.full.append((doc, start, len(ids), zlib.crc32(raw), total, self.next_id, at, False, None, raw if self.keep_ids else None))
             at += len(ids)
         self.next_id += 1
 
@@ -101,10 +102,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def pack(documents: DataFrame, window: int = 1024, windows: int = 16, fan_in: int = 64, path: str | None = None, end_id: int = 0) -> DataFrame:
+def pack(documents: DataFrame, window: int = 1024, windows: int = 16, fan_in: int = 64, path: str | None = None, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Pack (doc_id, text) into sequences of at most ``window`` ids; one row per piece.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty text is
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with ``keep_ids``,
+    ids (the piece itself, little-endian unsigned 32-bit). A null or empty text is
     the single id ``end_id``; a null doc_id and repeated doc_ids are carried as they are; an empty
     table gives no rows; further columns are ignored. ``window`` must be a power of two for the last
     sequences to need no padding. Memory per task: ``windows`` windows and one document's ids.
@@ -113,7 +115,7 @@ def pack(documents: DataFrame, window: int = 1024, windows: int = 16, fan_in: in
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = byte_bpe(path), TaskContext.get().partitionId()
-        packer = Packer(window, windows, 0, part)
+        packer = Packer(window, windows, 0, part, keep_ids)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(bpe.ids(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
@@ -126,7 +128,7 @@ def pack(documents: DataFrame, window: int = 1024, windows: int = 16, fan_in: in
     def merge(level: int, last: bool):
         def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
             rows = group.sort_by([("part", "ascending"), ("sequence_id", "ascending"), ("offset", "ascending")])
-            packer = Packer(window, windows, level, key[0].as_py())
+            packer = Packer(window, windows, level, key[0].as_py(), keep_ids)
             for doc, start, total, ids in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
                 packer.add(doc, start, np.frombuffer(ids, "<u4"), total)
             if last:
@@ -137,7 +139,7 @@ def pack(documents: DataFrame, window: int = 1024, windows: int = 16, fan_in: in
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = written(source.mapInArrow(first, SCHEMA), "packed")
-    out = "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    out = "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else [])
     done, level = pieces.where("not open").select(*out), 0
     left = pieces.where("open")
     parts = left.agg(F.max("part")).first()[0]

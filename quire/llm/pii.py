@@ -102,6 +102,9 @@ _AT_MARK = re.compile(rf"\s*{_OPEN}\s*(?:at|@|arroba|arobase|ät)\s*{_CLOSE}\s*|
 _DOT_MARK = re.compile(rf"\s*{_OPEN}\s*(?:dot|\.|punkt|point|punto)\s*{_CLOSE}\s*|\s*(?:&#46;|&#x2e;|&period;)\s*|(?<=[A-Za-z0-9])\s+(?:dot|punkt|point|punto)\s+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+\.\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[_-](?:dot)[_-](?=[A-Za-z0-9])", re.I)
 _BRACKETED = re.compile(rf"{_OPEN}\s*(?:dot|\.|at|@|arroba|arobase|ät|punkt|point|punto)\s*{_CLOSE}")
 _DOT_ALONE = re.compile(r"(?:dot|punkt|punto|point)(?![^\W_])")
+_DIGIT_LETTERS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])[0-9OolI](?:[ .()-]{0,2}[0-9OolI]){7,}(?![A-Za-z0-9])")
+_LETTER_HINT = re.compile(r"[0-9][OolI]|[OolI][0-9]")
 _SIGNS_OF_MARKS = ("&#64;", "&#46;", "&#x40;", "&#x2e;", "&commat;", "&period;", "%40", " @", "@ ", "\n@", "@\n", "_at_", "-at-", " arroba ", " arobase ")
 # The word "at" alone counts where what follows has a disguised dot, or where what precedes looks like an address.
 _AT_WORD = re.compile("(?<=[A-Za-z0-9])(?:\\s+(?:at|arroba|arobase)\\s+|[_-]at[_-])(?=[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\ue000[A-Za-z0-9-])", re.I)
@@ -171,10 +174,20 @@ def _may_have_spelled(text: str) -> bool:
     return not DIGIT_WORDS.keys().isdisjoint(words) and sum(map(DIGIT_WORDS.__contains__, words)) >= 3 and _SPELLED_HINT.search(text) is not None
 
 
+def _letters(tape: Tape) -> None:
+    """The letters O, o, l and I as digits, in runs of at least eight that are mostly real digits."""
+    edits = []
+    for m in _LETTER_DIGITS.finditer(tape.text):
+        letters = [i for i, c in enumerate(m[0]) if c in _DIGIT_LETTERS]
+        if letters and 2 * len(letters) < sum(c.isdigit() for c in m[0]):
+            edits += [(m.start() + i, m.start() + i + 1, _DIGIT_LETTERS[m[0][i]]) for i in letters]
+    tape.rewrite(edits)
+
+
 def _may_have_marks(text: str) -> bool:
     """Whether a written-out at or dot may occur: a cheap test before the patterns."""
     low = text.lower()
-    if any(sign in low for sign in _SIGNS_OF_MARKS):
+    if any(sign in low for sign in _SIGNS_OF_MARKS) or ("@" in low and " ." in low):
         return True
     if any(c in low for c in "[({<|") and _BRACKETED.search(low):
         return True
@@ -201,13 +214,16 @@ def _marks(tape: Tape) -> None:
 def disguised_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normalised value) of what only shows after rewriting."""
     odd, spelled = not text.isascii() and _ODD.search(text), _may_have_spelled(text)
-    if not (odd or spelled or _may_have_marks(text)):
+    lettered = _DIGIT.search(text) and _LETTER_HINT.search(text)
+    if not (odd or spelled or lettered or _may_have_marks(text)):
         return []
     tape = Tape(text)
     if odd:
         _characters(tape)
     if spelled or (tape.edited and _may_have_spelled(tape.text)):
         _digits(tape)
+    if lettered:
+        _letters(tape)
     _marks(tape)
     if not tape.edited:
         return []

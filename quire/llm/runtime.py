@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +76,26 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> Dat
         raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
     drop_written(both)
     return state
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys in a sorted stream, in tables that hold whole groups only."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = np.ones(max(0, batch.num_rows - 1), bool)
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            same &= v[1:] == v[:-1]
+        cut = np.flatnonzero(~same)
+        last = int(cut[-1]) + 1 if len(cut) else 0
+        if held and any(held[-1].column(k)[held[-1].num_rows - 1] != batch.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -18,8 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.jaccard_join import _groups
-from quire.llm.runtime import drop_written, written
+from quire.llm.runtime import drop_written, whole_groups, written
 from quire.llm.words import mix, powers
 
 LENGTH = 200
@@ -144,7 +143,7 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated spans of edge contexts; for crowded names also the hashes of windows left open."""
-    for table in _groups(batches, ["gram", "salt"]):
+    for table in whole_groups(batches, ["gram", "salt"]):
         parts = table.column("bytes").to_pylist()
         sizes = np.array([len(p) for p in parts])
         data = np.frombuffer(b"".join(parts), np.uint8)
