@@ -283,3 +283,18 @@ def test_ids_of_odd_texts(hugging):
     bpe = byte_bpe(default_path())
     for text in ["", " ", "a  b", "\n x", "<|endoftext|> x", "é😀中", "w" * 300, " 's it's"]:
         assert bpe.ids(text).tolist() == hugging.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = queries.QUERIES[name](spark, SF)
+    cursor = c.cursor()
+    cursor.execute(queries.ORACLE[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(columns) == sorted(found.columns)
+    assert sorted(tuple(r[k] for k in columns) for r in found.collect()) == sorted(cursor.fetchall())
