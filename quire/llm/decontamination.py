@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.runtime import small_batches
 from quire.llm.words import block_words, mix, word_blocks
 
 #: An overlap is a window of WINDOW words of which EQUAL are equal, place by place.
@@ -148,7 +149,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, keep: list[str] | N
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
-            for batch in batches:
+            for batch in small_batches(batches, 1):
                 docs, rows = batch.column(0).to_pylist(), []
                 for first, _, h, counts in word_blocks(batch.column(1).to_pylist()):
                     rows += [(docs[first + t], own.ids[item], *rest) for t, item, *rest in own.overlaps(h, counts)]
@@ -173,9 +174,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
-            for batch in batches:
+            for batch in small_batches(batches, "_text"):
                 clean = np.ones(batch.num_rows, bool)
-                for first, _, h, counts in word_blocks(batch.column(batch.num_columns - 1).to_pylist()):
+                for first, _, h, counts in word_blocks(batch.column("_text").to_pylist()):
                     clean[[first + row[0] for row in own.overlaps(h, counts)]] = False
                 yield batch.select(columns).filter(pa.array(clean))
 

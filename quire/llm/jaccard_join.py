@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import components, whole_groups, written
+from quire.llm.runtime import components, small_batches, whole_groups, written
 from quire.llm.words import mix, word_blocks
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -156,7 +156,7 @@ def _inside(block: np.ndarray, cross: bool) -> bool:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches, 1):
         docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for first, last, h, counts in word_blocks(texts):
             sets = shingle_sets(h, counts)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import written
+from quire.llm.runtime import small_batches, written
 from quire.llm.tokenization import byte_bpe, default_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, part long, ids binary"
@@ -116,7 +116,7 @@ def pack(documents: DataFrame, window: int = 1024, windows: int = 16, fan_in: in
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = byte_bpe(path), TaskContext.get().partitionId()
         packer = Packer(window, windows, 0, part, keep_ids)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(bpe.ids(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
                 packer.add(doc, 0, ids, len(ids))

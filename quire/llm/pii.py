@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.runtime import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean,value:string>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("value", pa.string())])
@@ -248,7 +250,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             out = []
             for text in batch.column(1).to_pylist():
                 text = text or ""

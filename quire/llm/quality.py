@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quire.llm.runtime import small_batches
 from quire.llm.words import BLOCK, codes
 
 PASSAGE = 48
@@ -193,7 +194,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_DOCU
     )
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             quality = np.array(batch.column("quality").to_pylist(), float)
             done = 0
             for x, sizes in feature_blocks(batch.column("text").to_pylist()):
@@ -224,7 +225,7 @@ def score_quality(documents: DataFrame, model: Model | None, keep: list[str] | N
     schema = source.drop("_text").schema.add("score", DoubleType(), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "_text"):
             texts = batch.column("_text").to_pylist()
             found = [np.full(len(texts), 0.5)] if model is None else [model.scores(x, sizes) for x, sizes in feature_blocks(texts)]
             score = pa.array(np.concatenate(found) if found else np.zeros(0))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +100,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         held.append(batch.slice(last))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of one text column (or one row), so that what a
+    task turns into Python objects stays small however long the texts are."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes + 64) // most
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(i, j - i)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import drop_written, whole_groups, written
+from quire.llm.runtime import drop_written, small_batches, whole_groups, written
 from quire.llm.words import mix, powers
 
 LENGTH = 200
@@ -27,7 +27,7 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1
 #: Contexts of one name that one task compares; names with more are dealt to several tasks.
 CROWD = 20_000
-_BLOCK = 1_500_000
+_BLOCK = 600_000
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -85,7 +85,7 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches, 2):
         docs, hashes = batch.column(0), batch.column(1)
         for at, held in _blocks(batch.column(2).to_pylist()):
             whole = b"".join(held)
@@ -102,7 +102,7 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted contexts of each document."""
-    for batch in batches:
+    for batch in small_batches(batches, 1):
         rows: list[tuple] = []
         for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
@@ -183,7 +183,7 @@ def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
+    for batch in small_batches(batches, 1):
         sizes, spans, kept = [], [], []
         for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")

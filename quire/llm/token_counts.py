@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.runtime import small_batches
 from quire.llm.tokenization import byte_bpe, default_path
 
 SCHEMA = "doc_id long, section int, kind string, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
@@ -63,7 +64,7 @@ def token_counts(documents: DataFrame, rule: str = "first", path: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             found: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = np.frombuffer((text or "").encode(), np.uint8)

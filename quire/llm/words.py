@@ -14,7 +14,7 @@ import numpy as np
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Characters that are hashed in one go; longer texts are one block each.
-BLOCK = 1_000_000
+BLOCK = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
