@@ -232,6 +232,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     contexts = written(contexts, "contexts")
     drop_written(sampled)
     crowds = contexts.groupBy("gram").agg(F.count("*").alias("crowd"), F.count_if(F.col("n") == 1).alias("edges")).where("edges > 0")
+    crowds = written(crowds, "crowds")
     wanted = contexts.join(crowds.hint("merge"), "gram").select(
         F.col("at.doc").alias("w_doc"), F.struct("at.hash", "at.first", "at.last", "gram", (F.col("n") == 1).alias("edge"), "crowd").alias("w")
     )
