@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import drop_written, small_batches, whole_groups, written
+from quire.llm.runtime import drop_written, release, small_batches, whole_groups, written
 from quire.llm.words import mix, powers
 
 LENGTH = 200
@@ -229,6 +229,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     shared = written(sampled.join(names.hint("merge"), "gram"), "shared")
     here = F.struct("doc", "hash", "first", "last")
     contexts = shared.where("not alike").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(here).alias("at"))
+    release(documents.sparkSession)
     contexts = written(contexts, "contexts")
     drop_written(sampled)
     crowds = contexts.groupBy("gram").agg(F.count("*").alias("crowd"), F.count_if(F.col("n") == 1).alias("edges")).where("edges > 0")
@@ -236,16 +237,19 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     wanted = contexts.join(crowds.hint("merge"), "gram").select(
         F.col("at.doc").alias("w_doc"), F.struct("at.hash", "at.first", "at.last", "gram", (F.col("n") == 1).alias("edge"), "crowd").alias("w")
     )
+    release(documents.sparkSession)
     by_doc = written(wanted.groupBy("w_doc", F.col("w.hash").alias("w_hash")).agg(F.collect_list("w").alias("wanted")), "wanted")
     alike = shared.where("alike").select("doc", "hash", "first", "last")
     equal = shared.where("not alike").join(contexts.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"]).select("doc", "hash", "first", "last")
     taken = source.join(by_doc.hint("merge"), (doc == F.col("w_doc")) & (text_hash == F.col("w_hash"))).select(doc.alias("doc"), "text", "wanted")
+    release(documents.sparkSession)
     edges = written(
         taken.mapInArrow(_context_rows, _CONTEXT).repartition(n, "gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(
             _edge_rows, "doc long, hash long, first int, last int, h1 long, h2 long, open boolean, edge boolean"
         ),
         "edges",
     )
+    release(documents.sparkSession)
     still_open = edges.where("open")
     again = still_open.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     late = still_open.where("edge").join(again.hint("merge"), ["h1", "h2"]).select("doc", "hash", "first", "last")
