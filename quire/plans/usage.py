@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import usage
 from quire.session import table
+from quire.streaming import events
 
 
 def _calls(spark, sf_dir):
@@ -51,7 +52,13 @@ def tier_fallback(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", usage.tier_for(["cheap", "strong"], F.get(F.array(F.lit("fast"), F.lit("cheap"), F.lit("strong"), F.lit("other")), F.col("n_nationkey") % 4)).alias("tier"))
 
 
-QUERIES = {f.__name__: f for f in (usage_rollup, usage_stages_by_total, usage_delta, usage_merge, cached_counts, tier_fallback)}
+def event_window_counts(spark, sf_dir):
+    """The streaming aggregate on the whole table at once: the same function serves both."""
+    out = events.counts(table(spark, sf_dir, "events"), "6 hours")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (usage_rollup, usage_stages_by_total, usage_delta, usage_merge, cached_counts, tier_fallback, event_window_counts)}
 
 _FACTS = """facts AS (SELECT event_id, event_type AS tier, CASE WHEN user_id % 7 > 0 THEN 's' || (user_id % 7) END AS stage, k AS prompt, CASE WHEN event_id % 13 = 0 THEN 0 ELSE v END AS completion,
         CASE WHEN k % 3 = 0 OR k + v + 1 <= 0 THEN k + CASE WHEN event_id % 13 = 0 THEN 0 ELSE v END ELSE k + v + 1 END AS total, greatest(0, k % 11 - 3) AS cache_hit, greatest(0, k % 7) AS cache_miss
@@ -68,6 +75,7 @@ def _roll(where: str = "TRUE") -> str:
 
 _ALL = ("calls", *_FIELDS)
 ORACLE = {
+    "event_window_counts": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "usage_rollup": f"WITH {_FACTS} SELECT *, {_RATE} FROM {_roll()}",
     "usage_stages_by_total": f"WITH {_FACTS} SELECT slot, calls, total FROM {_roll()} WHERE scope = 'stage' ORDER BY total DESC, slot",
     "usage_delta": f"""WITH {_FACTS}, a AS {_roll('event_id % 4 > 0')}, b AS {_roll('event_id % 4 > 1')},

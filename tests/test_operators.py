@@ -122,3 +122,14 @@ def test_streams(spark, tmp_path):
     query.stop()
     found = spark.sql("SELECT source, outcome, count(*) AS n FROM outcomes GROUP BY ALL").collect()
     assert {(r["source"], r["outcome"]): r["n"] for r in found} == {("a", "inserted"): 1, ("a", "conflict"): 1, ("a", "unchanged"): 1, ("b", "inserted"): 1}
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 05:00:00", "b", 3.0)]
+    spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("timestamp(ts) AS ts", "event_type", "value").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
+    query = streaming.counts(stream).writeStream.format("memory").queryName("windows").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    # The last hour stays open until the watermark has passed its end.
+    assert [(r["event_type"], r["n"], r["total"]) for r in spark.sql("SELECT * FROM windows").collect()] == [("a", 2, 3.0)]
