@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import written
+from quire.llm.runtime import release, written
 
 
 def line_chunks(text: Column) -> Column:
@@ -55,6 +55,7 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     )
     counted = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "k")).alias("first")).where("n > 1").drop("n")
     counted = written(counted, "line-counts")  # so that the join can split a common chunk
+    release(documents.sparkSession)
     here = F.struct("doc_id", "text_hash", "k")
     hits = every.join(counted.hint("merge"), "h").select("doc_id", "text_hash", "k", "h", F.col("first").eqNullSafe(here).alias("is_first"))
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("k", "h", "is_first")).alias("hits"))
@@ -63,6 +64,7 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     texts = keyed.join(b.hint("merge"), F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("text_hash") == F.col("b_hash"))).select(
         "doc_id", "text_hash", F.explode(F.transform(F.array(line_chunks(F.col("text"))), lambda cs: F.transform(F.col("hits"), lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"), x["is_first"].alias("is_first"), F.get(cs, x["k"])["chunk"].alias("chunk"))))[0]).alias("c")
     ).select("doc_id", "text_hash", "c.*")
+    release(documents.sparkSession)
     texts = written(texts, "line-texts")
     firsts = texts.where("is_first").groupBy("h").agg(F.first("chunk").alias("first_chunk"))
     return texts.where("not is_first").join(firsts.hint("merge"), "h").where("chunk = first_chunk").select("doc_id", "text_hash", "k").distinct()
@@ -78,7 +80,9 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     Columns named like those added are replaced.
     """
     added = ("n_lines", "n_removed_lines", "n_removed_chunks")
-    removed = repeated_chunks(documents).groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("_gone"))
+    repeated = repeated_chunks(documents)
+    release(documents.sparkSession)
+    removed = repeated.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("_gone"))
     r = removed.select(F.col("doc_id").alias("_r_doc"), F.col("text_hash").alias("_r_hash"), "_gone")
     joined = documents.drop(*added).withColumn("_hash", F.xxhash64("text")).join(r.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_r_doc")) & (F.col("_hash") == F.col("_r_hash")), "left")
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
