@@ -30,9 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go; so do documents of which nothing but white space is left."""
+    """Repeated runs of lines and long lines go; so do documents of which nothing but white space is left."""
     columns = docs.columns
-    out = remove_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    out = remove_repeated_lines(docs, short_repeats=True).withColumn("n_chars", F.length("text").cast("long"))
     return out.where((F.col("n_removed_chunks") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)).select(*columns)
 
 

@@ -55,8 +55,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document what is left, as a digest, and how many lines and chunks went."""
-    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Per document what is left, as a digest, and how many lines and runs of lines went."""
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short_repeats=True)
     return kept.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

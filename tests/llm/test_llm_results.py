@@ -181,6 +181,44 @@ def test_line_chunks_resist_shifts(spark):
     assert len(x & y) >= len(x) - 2
 
 
+def brute_force_lines(rows):
+    """{doc_id: text left} by comparing the texts of all units themselves; ids and texts are distinct."""
+    units = []
+    for d, text in rows:
+        lines = text.split("\n")
+        shown = [i for i, line in enumerate(lines) if line.strip()]
+        units += [("\n".join(lines[i : j + 1]), d, i, j + 1) for i, j in zip(shown, shown[1:], strict=False)]
+        units += [(lines[i], d, i, i + 1) for i in shown if len(lines[i].split()) > 50]
+    first, gone = {}, set()
+    for unit, d, a, b in sorted(units, key=lambda x: x[1:]):
+        fd, fb = first.setdefault(unit, (d, b))
+        if (fd, fb) != (d, b) and not (fd == d and fb > a):
+            gone |= {(d, i) for i in range(a, b)}
+    return {d: "\n".join(x for i, x in enumerate(text.split("\n")) if (d, i) not in gone) for d, text in rows}
+
+
+def test_short_repeats_against_brute_force(spark, documents):
+    rows = [(d, t) for d, t in zip(documents.doc_id.tolist(), documents.text.tolist(), strict=True) if t is not None]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), short_repeats=True).collect()}
+    assert out == brute_force_lines(rows)
+
+
+def test_short_repeats_go_whatever_stands_around(spark):
+    long = " ".join(f"word{k}" for k in range(51))
+    shared = {n: [f"shared {n} {k}" for k in range(n)] for n in (2, 3, 4, 5, 6)}
+    rows = []
+    for n, lines in shared.items():
+        for copy in (0, 1):
+            rows.append((10 * n + copy, "\n".join([f"a {n} {copy} {k}" for k in range(copy + 3)] + lines + [f"b {n} {copy} {k}" for k in range(4 - copy)])))
+    rows += [(100, f"x\n{long}\ny"), (101, f"p\n{long}\nq"), (102, "x\nshort\nz"), (103, "r\nshort\ns"), (110, "A\nA\nA"), (111, "B\nB\nB\nB\nB"), (120, "one\n\ntwo\nthree"), (121, "0\none\n\ntwo\n4")]
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), short_repeats=True).collect()}
+    for n, lines in shared.items():
+        assert out[10 * n]["n_removed_lines"] == 0
+        assert not set(lines) & set(out[10 * n + 1]["text"].split("\n")) and out[10 * n + 1]["n_removed_lines"] == n and out[10 * n + 1]["n_removed_chunks"] == 1
+    want = {100: f"x\n{long}\ny", 101: "p\nq", 102: "x\nshort\nz", 103: "r\nshort\ns", 110: "A\nA\nA", 111: "B\nB", 120: "one\n\ntwo\nthree", 121: "0\n4"}
+    assert {d: out[d]["text"] for d in want} == want
+
+
 def test_decontamination(spark, documents):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
     vocabulary: dict[str, int] = {}
