@@ -50,13 +50,20 @@ def toc_locate(spark, sf_dir):
     return toc.locate(entries, resources, fragments).select("p_partkey", F.coalesce("pos", F.lit(-1)).alias("pos"))
 
 
-def fragment_anchors(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").where("l_orderkey < 4000")
+def _anchors(t):
     ids = t.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 100).alias("pos"), F.concat(F.lit("i"), F.col("l_suppkey") % 5).alias("id"))
     blocks = t.where("l_linenumber % 2 = 0").groupBy(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 100).alias("pos")).agg(F.concat(F.lit("b"), F.min("l_linenumber")).alias("anchor"))
     return toc.anchors_after(ids, blocks, "doc")
 
 
+def fragment_anchors(spark, sf_dir):
+    return _anchors(table(spark, sf_dir, "lineitem").where("l_orderkey < 4000"))
+
+
+def fragment_anchors_whole(spark, sf_dir):
+    return _anchors(table(spark, sf_dir, "lineitem"))
+
+
 def toc_titles(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     entries = c.select(F.lit(0).alias("doc"), "c_custkey", F.col("c_name").alias("anchor"), F.concat(F.lit(" "), "c_mktsegment", F.lit("  x")).alias("title"))
@@ -64,7 +71,7 @@ def toc_titles(spark, sf_dir):
     return toc.toc_titles(entries, headings, "doc").select("c_custkey", "title_translated")
 
 
-QUERIES = {f.__name__: f for f in (toc_boundaries, toc_slices, toc_chapters, toc_inherit, toc_locate, fragment_anchors, toc_titles)}
+QUERIES = {f.__name__: f for f in (toc_boundaries, toc_slices, toc_chapters, toc_inherit, toc_locate, fragment_anchors, fragment_anchors_whole, toc_titles)}
 
 _B = """m AS (SELECT CAST(c_nationkey AS BIGINT) AS doc, c_custkey AS seq, c_custkey % 3 - 1 AS depth, c_custkey % 41 - 2 AS pos, c_custkey % 5 = 0 AS anchored FROM customer WHERE c_custkey % 17 <> 0),
     b AS (SELECT doc, pos, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc, pos ORDER BY anchored DESC, CASE WHEN anchored THEN seq ELSE -seq END) AS r FROM m WHERE depth = 0 AND pos >= 0) WHERE r = 1)"""
@@ -83,5 +90,8 @@ ORACLE = {
     "fragment_anchors": """WITH t AS (SELECT * FROM lineitem WHERE l_orderkey < 4000), i AS (SELECT l_orderkey AS doc, 'i' || (l_suppkey % 5) AS id, min(l_partkey % 100) AS pos FROM t WHERE l_linenumber % 2 = 1 GROUP BY 1, 2),
         b AS (SELECT l_orderkey AS doc, l_partkey % 100 AS pos, 'b' || min(l_linenumber) AS anchor FROM t WHERE l_linenumber % 2 = 0 GROUP BY 1, 2)
         SELECT i.doc, i.id, (SELECT arg_min(b.anchor, b.pos) FROM b WHERE b.doc = i.doc AND b.pos >= i.pos) AS anchor FROM i""",
+    "fragment_anchors_whole": """WITH i AS (SELECT l_orderkey AS doc, 'i' || (l_suppkey % 5) AS id, min(l_partkey % 100) AS pos FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1, 2),
+        b AS (SELECT l_orderkey AS doc, l_partkey % 100 AS pos, 'b' || min(l_linenumber) AS anchor FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2)
+        SELECT i.doc, i.id, b.anchor FROM i ASOF LEFT JOIN b ON i.doc = b.doc AND i.pos <= b.pos""",
     "toc_titles": "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS title_translated FROM customer",
 }

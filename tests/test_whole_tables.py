@@ -19,3 +19,10 @@ def test_punctuation_beyond_400_characters(spark, tables):
     assert {r["doc_id"]: r["text"] for r in catalog.QUERIES["punct_full"](spark, sf).collect()}[1].endswith("end “the” tail")
     for name in ("punct_ellipsis_whole", "punct_double_quotes_whole", "punct_gaps_whole"):
         assert catalog.QUERIES[name](spark, sf).select("digest").distinct().count() == 3
+
+
+def test_fragment_anchors_of_all_orders(spark, tables):
+    rows = [(order, 7 + line, 1, line) for order in (3999, 4000, 90_000) for line in (1, 2, 3)]
+    sf = tables("lineitem", rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    found = sorted(map(tuple, catalog.QUERIES["fragment_anchors_whole"](spark, sf).collect()))
+    assert found == [(3999, "i1", "b2"), (4000, "i1", "b2"), (90_000, "i1", "b2")]
