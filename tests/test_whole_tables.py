@@ -1,7 +1,11 @@
 """Queries over whole texts and tables, on small fixtures that reach beyond the cuts."""
 
+import random
+import re
+
 import pytest
 
+from quire.operators import glossary
 from quire.plans import catalog
 
 
@@ -26,3 +30,32 @@ def test_fragment_anchors_of_all_orders(spark, tables):
     sf = tables("lineitem", rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
     found = sorted(map(tuple, catalog.QUERIES["fragment_anchors_whole"](spark, sf).collect()))
     assert found == [(3999, "i1", "b2"), (4000, "i1", "b2"), (90_000, "i1", "b2")]
+
+
+def test_terms_of_all_documents_in_all_texts(spark, tables):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdef") for _ in range(r.randint(4, 6))) for _ in range(9000)]
+    docs = [(60 + k, " ".join(r.choice(words) for _ in range(30)), "de" if k % 2 else "en", f"s{k % 3}") for k in range(1500)]
+    terms = {}
+    for d, text, _, _ in docs:
+        if m := re.search("([A-Za-z]{5,}) ([A-Za-z]{4,})", text):
+            terms.setdefault(m[1], []).append((m[2], "敬称" if d % 2 == 0 else "术语"))
+    kind = {s: max(t for _, t in found) for s, found in terms.items()}
+    keys = {(s, k) for s, found in terms.items() for k in [s, *(a for a, _ in found if kind[s] != "敬称")]}
+    assert len(keys) > glossary.MANY_TERMS  # so the automaton is reached
+    want = {(d, s) for d, text, _, _ in docs for s, k in keys if k in text}
+    sf = tables("documents", docs, "doc_id long, text string, lang string, source string")
+    found = [tuple(x) for x in catalog.QUERIES["terms_in_text_whole"](spark, sf).collect()]
+    assert len(found) == len(want) and set(found) == want
+    book = {d: source for d, _, _, source in docs}
+    counts = {}
+    for b, s in {(book[d], s) for d, s in want}:
+        counts[b, kind[s]] = counts.get((b, kind[s]), 0) + 1
+    assert {(x["book"], x["type"]): x["n"] for x in catalog.QUERIES["chapter_terms_whole"](spark, sf).collect()} == counts
+
+
+def test_memory_is_probed_with_all_documents(spark, tables):
+    tables("benchmark", [(0, "text 3"), (1, "unknown")], "item_id long, text string")
+    sf = tables("documents", [(k, f"text {k}", f"s{k}") for k in range(12)], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["target_text"] for r in catalog.QUERIES["tm_lookup_whole"](spark, sf).collect()}
+    assert found == {k: f"s{k}" for k in range(12)} | {-1: "s3", -2: None}
