@@ -76,6 +76,12 @@ def synopsis_groups(spark, sf_dir):
     return packed.select("source", long("batch"), long("start"), F.size("items").cast("long").alias("n_items"))
 
 
+def synopsis_groups_whole(spark, sf_dir):
+    # Sizes are packed, not texts: a group holds all documents of a source.
+    packed = folds.pack(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], F.length("text"), lambda n: n, 12000, separator=1)
+    return packed.select("source", long("batch"), long("start"), F.size("items").cast("long").alias("n_items"))
+
+
 def split_long_segments(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("seg"), F.col("text").alias("source"), F.lit("text").alias("kind"), F.lit("a0").alias("anchor"))
     out = segments.split_long_segments(docs, ["doc_id"], 1200)
@@ -139,7 +145,7 @@ def heading_lines(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pack_batches, review_chunks, resume_batches, progress_counts, title_batches, synopsis_groups, split_long_segments, merged_paragraphs, rolling_context, text_chapters, heading_lines)
+    for f in (pack_batches, review_chunks, resume_batches, progress_counts, title_batches, synopsis_groups, synopsis_groups_whole, split_long_segments, merged_paragraphs, rolling_context, text_chapters, heading_lines)
 }
 
 _TURN_WALK = f"""items AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, length(text) AS n, role = 'assistant' AS done FROM conversations),
@@ -175,3 +181,4 @@ ORACLE = {
     "heading_lines": """SELECT p_partkey, CASE p_partkey % 9 WHEN 6 THEN '第3章 ' || p_name WHEN 7 THEN '序章 ' || p_name WHEN 8 THEN 'あとがき' || p_name ELSE p_name END AS title,
         CAST(CASE p_partkey % 9 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END AS BIGINT) AS level FROM part WHERE p_partkey % 9 IN (0, 1, 2, 6, 7, 8)""",
 }
+ORACLE["synopsis_groups_whole"] = ORACLE["synopsis_groups"].replace("left(text, 600)", "text")

@@ -59,3 +59,9 @@ def test_memory_is_probed_with_all_documents(spark, tables):
     sf = tables("documents", [(k, f"text {k}", f"s{k}") for k in range(12)], "doc_id long, text string, source string")
     found = {r["doc_id"]: r["target_text"] for r in catalog.QUERIES["tm_lookup_whole"](spark, sf).collect()}
     assert found == {k: f"s{k}" for k in range(12)} | {-1: "s3", -2: None}
+
+
+def test_synopsis_groups_of_whole_texts(spark, tables):
+    sf = tables("documents", [(k, "s", "x" * n) for k, n in enumerate((5000, 6998, 1, 13_000, 700, 700))], "doc_id long, source string, text string")
+    found = sorted(map(tuple, catalog.QUERIES["synopsis_groups_whole"](spark, sf).collect()))
+    assert found == [("s", 0, 0, 2), ("s", 1, 2, 1), ("s", 2, 3, 1), ("s", 3, 4, 2)]
