@@ -110,7 +110,10 @@ _LETTER_HINT = re.compile(r"[0-9][OolI]|[OolI][0-9]")
 _SIGNS_OF_MARKS = ("&#64;", "&#46;", "&#x40;", "&#x2e;", "&commat;", "&period;", "%40", " @", "@ ", "\n@", "@\n", "_at_", "-at-", " arroba ", " arobase ")
 # The word "at" alone counts where what follows has a disguised dot, or where what precedes looks like an address.
 _AT_WORD = re.compile("(?<=[A-Za-z0-9])(?:\\s+(?:at|arroba|arobase)\\s+|[_-]at[_-])(?=[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\ue000[A-Za-z0-9-])", re.I)
-_AT_PLAIN = re.compile(r"(?<=[A-Za-z0-9._%+-][0-9])\s+(?:at|arroba|arobase)\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)|(?<=[._][A-Za-z]{2})\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.I)
+_AT_PLAIN = re.compile(r"(?<=[A-Za-z0-9_])\s+(?:at|arroba|arobase)\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.I)
+_AT_PLAIN_HINT = re.compile(r"at\s+[a-z0-9-]+\.[a-z0-9-]")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_LOCAL_SIGNS = frozenset("0123456789._%+")
 
 
 class Tape:
@@ -186,6 +189,21 @@ def _letters(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def _word_end(text: str, at: int) -> int:
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _like_local_part(text: str, end: int) -> bool:
+    """Whether the word that ends there could only be the local part of an address: a digit, '.', '_', '+'
+    or '%' is in it. A word that ends in a sign other than '_' is none ("50% at example.com")."""
+    i = end
+    while i and text[i - 1] in _LOCAL:
+        i -= 1
+    return i < end and text[end - 1] not in ".%+-" and not _LOCAL_SIGNS.isdisjoint(text[i:end])
+
+
 def _may_have_marks(text: str) -> bool:
     """Whether a written-out at or dot may occur: a cheap test before the patterns."""
     low = text.lower()
@@ -195,12 +213,9 @@ def _may_have_marks(text: str) -> bool:
         return True
     if ("dot" in low or "punkt" in low or "punto" in low or "point" in low) and _DOT_ALONE.search(low):
         return True
-    at = low.find(" at ")
-    while at >= 0:
-        if low[at - 1].isdigit() or low[max(0, at - 3) : at - 1].startswith((".", "_")) or low[max(0, at - 3)] in "._":
-            return True
-        at = low.find(" at ", at + 3)
-    return False
+    if "arroba" in low or "arobase" in low:
+        return True
+    return any(m.start() and low[m.start() - 1].isspace() and _like_local_part(low, _word_end(low, m.start())) for m in _AT_PLAIN_HINT.finditer(low))
 
 
 def _marks(tape: Tape) -> None:
@@ -209,7 +224,7 @@ def _marks(tape: Tape) -> None:
     tape.rewrite([(*m.span(), "\ue000") for m in _DOT_MARK.finditer(tape.text)])
     tape.rewrite([(*m.span(), "@") for m in _AT_MARK.finditer(tape.text)])
     tape.rewrite([(*m.span(), "@") for m in _AT_WORD.finditer(tape.text)])
-    tape.rewrite([(*m.span(), "@") for m in _AT_PLAIN.finditer(tape.text)])
+    tape.rewrite([(*m.span(), "@") for m in _AT_PLAIN.finditer(tape.text) if _like_local_part(tape.text, m.start())])
     tape.text = tape.text.replace("\ue000", ".")
 
 

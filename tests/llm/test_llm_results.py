@@ -153,6 +153,18 @@ def test_disguises_map_back(text, kind, shown):
     assert [(k, text[a:b]) for a, b, k, _ in found] == [(kind, shown)]
 
 
+@pytest.mark.parametrize("shown", ["john.smith at example.com", "john_smith at example.com", "john+news at example.com", "a%b at example.com", "j7smith at mail.example.com", "john.smith\nat example.com", "mary.jo at example.com", "john.smith arroba example.com"])
+def test_written_at_after_a_local_part(shown):
+    text = f"Please write to {shown} today"
+    found = pii.disguised_spans(text, pii.base_spans(text))
+    assert [(k, text[a:b]) for a, b, k, _ in found] == [("email", shown)]
+
+
+@pytest.mark.parametrize("text", ["We met at example.com today", "It was the end. at example.com", "A cut of 50% at example.com", "john.smith at home"])
+def test_written_at_after_a_word(text):
+    assert pii.disguised_spans(text, pii.base_spans(text)) == []
+
+
 def test_clean_text_has_no_disguises(documents):
     assert sum(len(pii.disguised_spans(t, pii.base_spans(t))) for t in documents.text) == 0
 
