@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by collision counting.
 
-Every shard of vectors keeps one sorted array per single projection. For a query a window around the
-query's own projected value is opened in each array and widened step by step (virtual rehashing); a
-vector that lies in the windows of enough projections is a candidate and is verified with the exact
-inner product. Widening ends when a fixed share of the shard has been verified.
+Every shard of vectors keeps one sorted array per single projection. A query opens windows, centred on its
+own projected value, in the arrays where it lies farthest from the middle, for these tell most about its
+neighbours. The windows are widened bucket by bucket (virtual rehashing); each step counts only what it
+adds, and a vector whose collisions reach a threshold is verified with the exact inner product. Widening
+ends when a vector as near as the k-th verified one would most likely have passed the threshold, so the
+work follows from how near the neighbours are and not from a share of the vectors.
 """
 
 from __future__ import annotations
@@ -15,121 +17,138 @@ from pyspark.sql import functions as F
 
 from quire.llm.runtime import written
 
-#: Sets of mutually orthogonal projections; each has as many as there are dimensions.
-ROTATIONS = 2
-#: A candidate collides in at least this share of the projections.
-COLLISIONS = 0.66
-#: Widening ends when this share of the distinct vectors of a shard, and 5 k more, are candidates.
-SHARE = 0.1
-#: Windows start at this many standard deviations to either side and grow by this factor.
-START, GROWTH = 0.25, 1.3
+#: Sorted arrays of a shard, and in how many of them a query opens a window.
+PROJECTIONS, OPENED = 512, 32
+#: A vector that lies in this many of the windows is verified.
+COLLISIONS = 10
+#: Widening ends when a vector as near as the k-th passes with this many standard deviations to spare.
+SPARE = 1.0
+#: Buckets of an array, over this many standard deviations of a random projection to either side.
+BUCKETS, SPREAD = 64, 4.0
 #: Vectors of a shard and queries of a block: what one task holds.
 SHARD, QUERIES = 16384, 4096
-#: Queries whose windows are looked up together.
-BATCH = 128
 SCHEMA = "query_id long, vec_id long, score double"
 
 
+def _normal(x: np.ndarray) -> np.ndarray:
+    """The standard normal distribution function, to about 0.0002."""
+    return 1 / (1 + np.exp(-x * (1.5976 + 0.07056 * x * x)))
+
+
 class Shard:
     """Sorted projections of the distinct vectors of one shard.
 
-    Vectors are lifted by one coordinate to a common norm, so that the nearest is the one with the
-    largest inner product. Copies of a vector are one entry with its ids in ascending order."""
+    Vectors are lifted by one coordinate to norm 1, so that the nearest is the one with the largest inner
+    product. Copies of a vector are one entry with its ids in ascending order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 0):
         order = np.lexsort((ids, *vectors.T[::-1]))
         ids, vectors = ids[order], vectors[order]
-        new = np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(1)))
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(1))))
         self.vectors = vectors[first]
         self.ids = [np.unique(x) for x in np.split(ids, first[1:])]
         n, d = self.vectors.shape
-        norms = np.sqrt((self.vectors**2).sum(1))
+        self.largest = np.abs(self.vectors).max()  # before squaring, so that no norm overflows
+        scaled = self.vectors / self.largest
+        norms = np.sqrt((scaled**2).sum(1))
         self.norm = norms.max()
-        lifted = np.concatenate([self.vectors, np.sqrt(np.maximum(self.norm**2 - norms**2, 0))[:, None]], axis=1)
+        self.unit = scaled / self.norm
+        lifted = np.concatenate([self.unit, np.sqrt(np.maximum(1 - (norms / self.norm) ** 2, 0))[:, None]], axis=1).astype(np.float32)
         rng = np.random.default_rng(seed)
-        self.rotation = np.concatenate([np.linalg.qr(rng.normal(size=(d + 1, d + 1)))[0][:, :d] for _ in range(ROTATIONS)], axis=1)
-        projected = (lifted @ self.rotation).T
-        order = np.argsort(projected, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(projected, order, axis=1)
-        # A vector lies in a window if its rank in that sorted array lies between the window's ends.
-        self.ranks = np.empty(order.shape, np.uint16 if n < 1 << 16 else np.uint32)
-        np.put_along_axis(self.ranks, order, np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
-        self.offsets, self.inside = np.empty_like(self.ranks), np.empty(order.shape, bool)
-        spread = float(self.sorted[:, -1].max() - self.sorted[:, 0].min()) if n else 0.0
-        widths = [START * max(float(projected.std()), 1e-12)]
-        while widths[-1] <= 2 * spread + 1e-9:
-            widths.append(widths[-1] * GROWTH)
-        self.widths = np.array(widths)
-        self.level = len(widths) // 2
-
-    def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """How many of the windows each vector lies in."""
-        np.subtract(self.ranks, low[:, None], out=self.offsets)  # wraps for ranks below the window
-        np.less(self.offsets, (high - low)[:, None], out=self.inside)
-        flags = self.inside.view(np.uint8)
-        return sum(np.add.reduce(flags[k : k + 255], axis=0, dtype=np.uint8).astype(np.int64) for k in range(0, len(flags), 255))
-
-    def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the windows of all queries in all arrays at all widths: (query, width, projection)."""
-        lifted = queries * (self.norm / np.sqrt((queries**2).sum(1)))[:, None]
-        at = lifted @ self.rotation[:-1]
-        shape = (len(queries), len(self.widths), len(self.sorted))
-        low, high = np.empty(shape, self.ranks.dtype), np.empty(shape, self.ranks.dtype)
-        for j, values in enumerate(self.sorted):
-            low[:, :, j] = np.searchsorted(values, at[:, j, None] - self.widths, "left")
-            high[:, :, j] = np.searchsorted(values, at[:, j, None] + self.widths, "right")
-        return low, high
-
-    def candidates(self, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
-        """Places of the vectors whose collisions pass the threshold at the least width that gives enough.
-
-        Collisions grow with the width, so the search starts at the width the last query ended with."""
-        n, m = len(self.vectors), len(self.sorted)
-        wanted, least = min(n, 5 * k + int(SHARE * n)), max(1, int(COLLISIONS * m))
-        tried: dict[int, np.ndarray] = {}
-
-        def found(level: int) -> np.ndarray:
-            if level not in tried:
-                tried[level] = np.flatnonzero(self._collisions(low[level], high[level]) >= least)
-            return tried[level]
-
-        while self.level < len(self.widths) - 1 and len(found(self.level)) < wanted:
-            self.level += 1
-        while self.level > 0 and len(found(self.level - 1)) >= wanted:
-            self.level -= 1
-        return found(self.level)
-
-    def nearest(self, query_id: int, query: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best of the candidates but the query itself; ties to the smaller id."""
-        # Summed row by row, so equal vectors have equal scores wherever they stand.
-        scores = (self.vectors[places] * query).sum(1)
-        best = np.argsort(-scores, kind="stable")
-        cut = scores[best[min(k, len(best) - 1)]]  # one more than k, as the query may be among them
-        best = best[scores[best] >= cut]
-        ids = [self.ids[places[b]] for b in best]
-        score = np.repeat(scores[best], [min(len(x), k + 1) for x in ids])
-        ids = np.concatenate([x[: k + 1] for x in ids])
-        other = ids != query_id
-        ids, score = ids[other], score[other]
-        order = np.lexsort((ids, -score))[:k]
-        return ids[order], score[order]
-
-
-def _search(k: int):
+        turns = -(-PROJECTIONS // (d + 1))
+        self.rotation = np.concatenate([np.linalg.qr(rng.normal(size=(d + 1, d + 1)))[0] for _ in range(turns)], axis=1)[:, :PROJECTIONS]
+        self.unit = self.unit.astype(np.float32)
+        projected = (lifted @ self.rotation.astype(np.float32)).T
+        self.order = np.argsort(projected, axis=1, kind="stable")
+        self.width = 2 * SPREAD / BUCKETS / np.sqrt(d)
+        edges = ((np.arange(BUCKETS + 1) - BUCKETS // 2) * self.width).astype(np.float32)
+        # Where each bucket starts in its sorted array; the outermost buckets are open.
+        self.starts = np.stack([np.searchsorted(p[o], edges) for p, o in zip(projected, self.order, strict=True)])
+        self.starts[:, 0], self.starts[:, -1] = 0, n
+        self.level = BUCKETS // 8
+
+    def candidates(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places of the vectors that its windows let pass, with their cosines to the
+        query times their norms, as shares of the largest norm, in single precision."""
+        asked = queries / np.abs(queries).max(1, keepdims=True)
+        asked /= np.sqrt((asked**2).sum(1, keepdims=True))
+        at = asked @ self.rotation[:-1]
+        opened = np.argsort(-np.abs(at), axis=1, kind="stable")[:, :OPENED]
+        return [self._search(asked[i], opened[i], at[i, opened[i]], k) for i in range(len(asked))]
+
+    def _search(self, query: np.ndarray, arrays: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n, d = self.unit.shape
+        own = np.clip(np.floor(at / self.width).astype(np.int64) + BUCKETS // 2, 0, BUCKETS - 1)
+        need = min(COLLISIONS, len(arrays))
+        query = query.astype(np.float32)
+        level, counts, low, high = self.level, np.zeros(n, np.int64), None, None
+        places, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        while True:
+            left, right = np.maximum(own - level, 0), np.minimum(own + level + 1, BUCKETS)
+            new_low, new_high = self.starts[arrays, left].tolist(), self.starts[arrays, right].tolist()
+            if low is None:
+                added = [self.order[j, a:b] for j, a, b in zip(arrays, new_low, new_high, strict=True)]
+            else:
+                added = [self.order[j, a:b] for j, a, b in zip(arrays, new_low, low, strict=True)] + [self.order[j, a:b] for j, a, b in zip(arrays, high, new_high, strict=True)]
+            more = np.bincount(np.concatenate(added), minlength=n)
+            passed = np.flatnonzero((counts + more >= need) & (counts < need))
+            counts += more
+            places, scores = np.concatenate((places, passed)), np.concatenate((scores, self.unit[passed] @ query))
+            if len(places) > k:  # one more than k, as the query itself may be among them
+                kth = float(np.partition(scores, -k - 1)[-k - 1])
+                spread = np.sqrt(max(1 - kth * kth, 1e-9) * np.maximum(1 - at * at, 1e-9) / d)
+                ends = (np.stack((left, right)) - BUCKETS // 2) * self.width - kth * at
+                ends[0][left == 0], ends[1][right == BUCKETS] = -np.inf, np.inf
+                chance = _normal(np.clip(ends[1] / spread, -8, 8)) - _normal(np.clip(ends[0] / spread, -8, 8))
+                if chance.sum() - need + 0.5 >= SPARE * np.sqrt((chance * (1 - chance)).sum()):
+                    break
+            if level >= BUCKETS:
+                break
+            low, high, level = new_low, new_high, level + 1
+        # The next query starts where this one ended, or a step before if the first step was enough.
+        self.level = level if low is not None else max(1, level - 1)
+        return places, scores
+
+    def nearest(self, query_id: int, query: np.ndarray, places: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best ids but the query's own among the candidates; ties to the smaller id."""
+        best = np.argsort(-rough, kind="stable")
+        take = k + 1
+        while True:
+            # All that single precision cannot tell from the last one taken are compared in double.
+            cut = rough[best[min(take, len(best)) - 1]] if len(best) else 0
+            near = places[best[: np.searchsorted(-rough[best], -(cut - 1e-5), "right")]]
+            # Summed row by row, so equal vectors have equal scores wherever they stand.
+            scores = (self.vectors[near] * query).sum(1)
+            found = [self.ids[p][: k + 1] if len(self.ids[p]) <= k + 1 else self.ids[p][self.ids[p] != query_id][:k] for p in near]
+            ids = np.concatenate(found) if found else np.zeros(0, np.int64)
+            score = np.repeat(scores, [len(x) for x in found])
+            order = np.lexsort((ids, -score))
+            order = order[ids[order] != query_id]
+            order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+            if len(order) == k or len(near) == len(places):
+                return ids[order], score[order]
+            take *= 2
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _search(k: int, shards: int):
+    # Vectors are dealt to shards at random, so of the k nearest of all a shard holds k / shards on average.
+    rank = min(k, 4 + -(-2 * k // shards))
+
     def run(group: pa.Table) -> pa.Table:
         role = group.column("query").to_numpy(zero_copy_only=False)
-        ids = group.column("vec_id").to_numpy()
-        vectors = np.array(group.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+        ids, vectors = group.column("vec_id").to_numpy(), _matrix(group.column("vector"))
         out = []
         if role.any() and not role.all():
             shard = Shard(ids[~role], vectors[~role])
             order = np.flatnonzero(role)[np.argsort(ids[role], kind="stable")]
-            for part in np.split(order, range(BATCH, len(order), BATCH)):
-                low, high = shard.windows(vectors[part])
-                for i, q in enumerate(part):
-                    found, score = shard.nearest(int(ids[q]), vectors[q], shard.candidates(low[i], high[i], k), k)
-                    out.append((np.full(len(found), ids[q]), found, score))
+            for q, (places, rough) in zip(order.tolist(), shard.candidates(vectors[order], rank), strict=True):
+                found, score = shard.nearest(int(ids[q]), vectors[q], places, rough, k)
+                out.append((np.full(len(found), ids[q]), found, score))
         columns = [np.concatenate([x[c] for x in out]) if out else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2]})
 
@@ -142,8 +161,9 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 20) ->
     Nearness is the largest inner product in double precision; ties go to the smaller vec_id. Returns
     query_id, rank (from 1), vec_id, score. Every row is indexed; candidates are all rows but those of
     the query's own vec_id. Rows with a null vec_id, and vectors that are null, zero or hold null or
-    non-finite components, take no part; vectors of different dimensions do not meet. Rows with equal
-    vec_id and vector are one; a query with fewer candidates gets all; an empty table gives no rows.
+    non-finite components, take no part; vectors of different dimensions do not meet. Of several vectors
+    under one vec_id the least one asks, and as a candidate the vec_id counts once, with its best score.
+    A query with fewer candidates gets all; an empty table gives no rows; further columns are ignored.
     """
     vector = F.transform("embedding", lambda x: x.cast("double"))
     usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query")).where(
@@ -154,10 +174,12 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 20) ->
     )
     counts = usable.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
     shards, blocks = max(1, -(-counts["n"] // SHARD)), max(1, -(-counts["q"] // QUERIES))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    own = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int")  # also spreads the vectors of one vec_id
     block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
     index = usable.select("vec_id", "vector", F.lit(False).alias("query"), own.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = usable.where("query").dropDuplicates(["vec_id"]).select("vec_id", "vector", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
-    met = index.unionByName(asked).withColumn("dimension", F.size("vector")).groupBy("dimension", "shard", "block").applyInArrow(_search(k), SCHEMA)
+    asking = usable.where("query").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = asking.select("vec_id", "vector", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
+    met = index.unionByName(asked).withColumn("dimension", F.size("vector")).groupBy("dimension", "shard", "block").applyInArrow(_search(k, shards), SCHEMA)
+    found = written(met, "neighbours").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return written(met, "neighbours").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,10 +1,11 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import decontamination, jaccard_join, line_dedup, packing, pii, quality, suffix_dedup, token_counts, url_filter
+from quire.llm import ann, decontamination, jaccard_join, line_dedup, packing, pii, quality, suffix_dedup, token_counts, url_filter
 from quire.llm.ann import nearest_neighbours
 
 LONG = "w" * 60_000 + " x" * 20_000
@@ -54,6 +55,40 @@ def test_ann(spark):
     assert nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_with_repeated_ids_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(900, 12)).astype(np.float32)
+    vectors[::3] *= rng.uniform(0.1, 5, (300, 1)).astype(np.float32)
+    vectors[100:400] = vectors[7]  # a common vector under many ids
+    ids = rng.integers(0, 500, 900)
+    ids[500:800] = 77  # a common id with many vectors
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(ids, vectors, strict=True)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for shard, block in ((16384, 4096), (200, 7)):
+        monkeypatch.setattr(ann, "SHARD", shard)
+        monkeypatch.setattr(ann, "QUERIES", block)
+        out = nearest_neighbours(df, F.col("vec_id") % 7 == 0, 20).collect()
+        found = {}
+        for r in sorted(out, key=lambda r: r["rank"]):
+            found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        hits = 0
+        for q in {i for i, _ in rows if i % 7 == 0}:
+            asked = np.array(min(v for i, v in rows if i == q), np.float64)
+            best, scores = {}, set()
+            for i, v in rows:
+                if i != q:
+                    score = float((np.array(v) * asked).sum())
+                    best[i] = max(best.get(i, -np.inf), score)
+                    scores.add((i, round(score, 9)))
+            want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+            got = found[q]
+            assert len(got) == 20 == len(dict(got)) and [x for x in sorted(got, key=lambda x: (-x[1], x[0]))] == got
+            assert {(i, round(s, 9)) for i, s in got} <= scores
+            hits += sum(abs(best[i] - s) < 1e-9 for i, s in got if i in dict(want))
+        assert hits >= 0.9 * 20 * len(found)
+
+
 def test_suffix_dedup(odd):
     out = suffix_dedup.remove_repeats(odd)
     assert ids(out) == ALL
