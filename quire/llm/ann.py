@@ -47,6 +47,9 @@ class Shard:
         first = np.flatnonzero(np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(1))))
         self.vectors = vectors[first]
         self.ids = [np.unique(x) for x in np.split(ids, first[1:])]
+        # The id that an entry counts for; one with several ids always counts.
+        self.owner = np.array([x[0] if len(x) == 1 else -1 - k for k, x in enumerate(self.ids)], np.int64)
+        self.repeated = len(np.unique(np.concatenate(self.ids))) < sum(map(len, self.ids))
         n, d = self.vectors.shape
         self.largest = np.abs(self.vectors).max()  # before squaring, so that no norm overflows
         scaled = self.vectors / self.largest
@@ -67,16 +70,16 @@ class Shard:
         self.starts[:, 0], self.starts[:, -1] = 0, n
         self.level = BUCKETS // 8
 
-    def candidates(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def candidates(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the places of the vectors that its windows let pass, with their cosines to the
         query times their norms, as shares of the largest norm, in single precision."""
         asked = queries / np.abs(queries).max(1, keepdims=True)
         asked /= np.sqrt((asked**2).sum(1, keepdims=True))
         at = asked @ self.rotation[:-1]
         opened = np.argsort(-np.abs(at), axis=1, kind="stable")[:, :OPENED]
-        return [self._search(asked[i], opened[i], at[i, opened[i]], k) for i in range(len(asked))]
+        return [self._search(int(query_ids[i]), asked[i], opened[i], at[i, opened[i]], k) for i in range(len(asked))]
 
-    def _search(self, query: np.ndarray, arrays: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, query_id: int, query: np.ndarray, arrays: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         n, d = self.unit.shape
         own = np.clip(np.floor(at / self.width).astype(np.int64) + BUCKETS // 2, 0, BUCKETS - 1)
         need = min(COLLISIONS, len(arrays))
@@ -94,8 +97,9 @@ class Shard:
             passed = np.flatnonzero((counts + more >= need) & (counts < need))
             counts += more
             places, scores = np.concatenate((places, passed)), np.concatenate((scores, self.unit[passed] @ query))
-            if len(places) > k:  # one more than k, as the query itself may be among them
-                kth = float(np.partition(scores, -k - 1)[-k - 1])
+            counting = self._other(query_id, places, scores) if self.repeated else scores
+            if len(counting) > k:  # one more than k, as the query itself may be among them
+                kth = float(np.partition(counting, -k - 1)[-k - 1])
                 spread = np.sqrt(max(1 - kth * kth, 1e-9) * np.maximum(1 - at * at, 1e-9) / d)
                 ends = (np.stack((left, right)) - BUCKETS // 2) * self.width - kth * at
                 ends[0][left == 0], ends[1][right == BUCKETS] = -np.inf, np.inf
@@ -109,6 +113,12 @@ class Shard:
         self.level = level if low is not None else max(1, level - 1)
         return places, scores
 
+    def _other(self, query_id: int, places: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The best score of each id but the query's own."""
+        order = np.argsort(-scores, kind="stable")
+        order = order[self.owner[places[order]] != query_id]
+        return scores[order[np.unique(self.owner[places[order]], return_index=True)[1]]]
+
     def nearest(self, query_id: int, query: np.ndarray, places: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best ids but the query's own among the candidates; ties to the smaller id."""
         best = np.argsort(-rough, kind="stable")
@@ -146,7 +156,7 @@ def _search(k: int, shards: int):
         if role.any() and not role.all():
             shard = Shard(ids[~role], vectors[~role])
             order = np.flatnonzero(role)[np.argsort(ids[role], kind="stable")]
-            for q, (places, rough) in zip(order.tolist(), shard.candidates(vectors[order], rank), strict=True):
+            for q, (places, rough) in zip(order.tolist(), shard.candidates(ids[order], vectors[order], rank), strict=True):
                 found, score = shard.nearest(int(ids[q]), vectors[q], places, rough, k)
                 out.append((np.full(len(found), ids[q]), found, score))
         columns = [np.concatenate([x[c] for x in out]) if out else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
