@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import functools
 import json
 
@@ -35,17 +34,20 @@ class ByteBpe:
 
         alphabet = byte_alphabet()
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        special = {"<|endoftext|>"}
-        ranks = {bytes(alphabet[c] for c in token): k for token, k in vocabulary.items() if token not in special}
-        self.encode = tiktoken.Encoding("quire", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, k in ranks.items():
+            file = json.load(f)
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        ranks = {bytes(alphabet[c] for c in token): k for token, k in file["model"]["vocab"].items() if token not in special}
+        self.special = tuple(special)
+        self.encoding = tiktoken.Encoding("quire", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.lengths = np.zeros(max([*ranks.values(), *special.values()]) + 1, dtype=np.int64)
+        for token, k in [*ranks.items(), *((t.encode(), k) for t, k in special.items())]:
             self.lengths[k] = len(token)
 
     def ids(self, text: str) -> np.ndarray:
-        """Little-endian unsigned 32-bit ids; what looks like a special token is ordinary text."""
-        return np.fromiter(self.encode(text), dtype="<u4")
+        """Little-endian unsigned 32-bit ids; a special token of the file that stands in the text is that token."""
+        if any(t in text for t in self.special):
+            return np.array(self.encoding.encode(text, allowed_special="all"), dtype="<u4")
+        return np.fromiter(self.encoding.encode_ordinary(text), dtype="<u4")
 
 
 @functools.cache

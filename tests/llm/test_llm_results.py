@@ -27,9 +27,7 @@ def documents(spark):
 def hugging():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_path())
 
 
 def plain_words(text):
@@ -331,7 +329,8 @@ def test_token_counts(spark, documents, hugging, rule):
 
 def test_ids_of_odd_texts(hugging):
     bpe = byte_bpe(default_path())
-    for text in ["", " ", "a  b", "\n x", "<|endoftext|> x", "é😀中", "w" * 300, " 's it's"]:
+    assert bpe.ids("<|endoftext|> x").tolist() == [50256, 2124] and bpe.lengths[50256] == 13
+    for text in ["", " ", "a  b", "\n x", "<|endoftext|> x", "a<|endoftext|><|endoftext|>\n", "x <|endoftext", "é <|endoftext|>é", "é😀中", "w" * 300, " 's it's"]:
         assert bpe.ids(text).tolist() == hugging.encode(text, add_special_tokens=False).ids
 
 
