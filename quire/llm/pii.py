@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,8 +101,10 @@ _SPELLED_PART = re.compile(rf"({_WORD})|({_SIGN})|([0-9]+)|([\s,.-]+)", re.I)
 _SPELLED_HINT = re.compile(rf"(?<![^\W_])(?:{_WORD})[\s,.-]{{1,3}}(?:(?:{_SIGN})[\s,.-]{{1,3}})?(?:{_WORD})(?![^\W_])", re.I)
 _SIGNS = {"plus": "+", "dot": ".", "punkt": ".", "point": ".", "punto": ".", "dash": "-", "hyphen": "-", "minus": "-"}
 _OPEN, _CLOSE = r"[\[({<|]", r"[\])}>|]"
-_AT_MARK = re.compile(rf"\s*{_OPEN}\s*(?:at|@|arroba|arobase|ät)\s*{_CLOSE}\s*|\s*(?:&#64;|&#x40;|&commat;|%40)\s*|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9-]+\s*(?:\.|\bdot\b))", re.I)
-_DOT_MARK = re.compile(rf"\s*{_OPEN}\s*(?:dot|\.|punkt|point|punto)\s*{_CLOSE}\s*|\s*(?:&#46;|&#x2e;|&period;)\s*|(?<=[A-Za-z0-9])\s+(?:dot|punkt|point|punto)\s+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+\.\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[_-](?:dot)[_-](?=[A-Za-z0-9])", re.I)
+# Bracketed marks and character references take the white space around them with them, see _widened: a
+# pattern that began with it would read every run of white space once for each of its characters.
+_AT_MARK = re.compile(rf"(?P<wide>{_OPEN}\s*(?:at|@|arroba|arobase|ät)\s*{_CLOSE}|&#64;|&#x40;|&commat;|%40)|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9-]+\s*(?:\.|\bdot\b))", re.I)
+_DOT_MARK = re.compile(rf"(?P<wide>{_OPEN}\s*(?:dot|\.|punkt|point|punto)\s*{_CLOSE}|&#46;|&#x2e;|&period;)|(?<=[A-Za-z0-9])\s+(?:dot|punkt|point|punto)\s+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+\.\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[_-](?:dot)[_-](?=[A-Za-z0-9])", re.I)
 _BRACKETED = re.compile(rf"{_OPEN}\s*(?:dot|\.|at|@|arroba|arobase|ät|punkt|point|punto)\s*{_CLOSE}")
 _DOT_ALONE = re.compile(r"(?:dot|punkt|punto|point)(?![^\W_])")
 _DIGIT_LETTERS = {"O": "0", "o": "0", "l": "1", "I": "1"}
@@ -117,28 +120,43 @@ _LOCAL_SIGNS = frozenset("0123456789._%+")
 
 
 class Tape:
-    """A text under rewriting; ``a[k]`` and ``b[k]`` are the source span of its character k, and
-    ``new[k]`` tells whether that character was written by a transducer."""
+    """A text under rewriting, kept as runs: (place, source start, source end) of a stretch that a transducer
+    wrote, or (place, source start, -1) of one that still is the source's, character by character."""
 
     def __init__(self, text: str):
         self.text = text
-        self.a, self.b, self.new = list(range(len(text))), list(range(1, len(text) + 1)), bytearray(len(text))
+        self.runs = [(0, 0, -1)]
+        self.places = [0]
         self.edited = False
 
+    def _run(self, k: int) -> int:
+        return bisect_right(self.places, k) - 1
+
+    def span(self, i: int, j: int) -> tuple[int, int, bool]:
+        """The source span of characters i to j, and whether a transducer wrote one of them."""
+        first, last = self._run(i), self._run(j - 1)
+        (place, a, b), (place2, a2, b2) = self.runs[first], self.runs[last]
+        return (a if b >= 0 else a + i - place), (b2 if b2 >= 0 else a2 + j - place2), any(self.runs[r][2] >= 0 for r in range(first, last + 1))
+
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace spans (start, end, what), in order and without overlap."""
         if not edits:
             return
-        text, a, b, new, at = [], [], [], bytearray(), 0
-        for i, j, what in edits:
-            text += (self.text[at:i], what)
-            a += self.a[at:i] + [self.a[i]] * len(what)
-            b += self.b[at:i] + [self.b[j - 1]] * len(what)
-            new += self.new[at:i] + b"\1" * len(what)
+        text, runs, size, at = [], [], 0, 0
+        for i, j, what in [*edits, (len(self.text), len(self.text), "")]:
+            if at < i:
+                for place, a, b in self.runs[self._run(at) : self._run(i - 1) + 1]:
+                    start = max(at, place)
+                    runs.append((size + start - at, a, b) if b >= 0 else (size + start - at, a + start - place, -1))
+                text.append(self.text[at:i])
+                size += i - at
+            if what:
+                start, end, _ = self.span(i, j)
+                runs.append((size, start, end))
+                text.append(what)
+                size += len(what)
             at = j
-        self.text = "".join(text) + self.text[at:]
-        self.a, self.b, self.new = a + self.a[at:], b + self.b[at:], new + self.new[at:]
-        self.edited = True
+        self.text, self.runs, self.places, self.edited = "".join(text), runs or [(0, 0, -1)], [r[0] for r in runs] or [0], True
 
 
 def _plain(c: str) -> str:
@@ -218,11 +236,27 @@ def _may_have_marks(text: str) -> bool:
     return any(m.start() and low[m.start() - 1].isspace() and _like_local_part(low, _word_end(low, m.start())) for m in _AT_PLAIN_HINT.finditer(low))
 
 
+def _widened(marks: Iterator[re.Match], text: str, what: str) -> Iterator[tuple[int, int, str]]:
+    """The spans of the marks, those of group wide with the white space to both sides."""
+    done = 0
+    for m in marks:
+        start, end = m.span()
+        if start < done:
+            continue  # a mark within the white space of the one before
+        if m["wide"]:
+            while start > done and text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and text[end].isspace():
+                end += 1
+        done = end
+        yield start, end, what
+
+
 def _marks(tape: Tape) -> None:
     if not _may_have_marks(tape.text):
         return
-    tape.rewrite([(*m.span(), "\ue000") for m in _DOT_MARK.finditer(tape.text)])
-    tape.rewrite([(*m.span(), "@") for m in _AT_MARK.finditer(tape.text)])
+    tape.rewrite(list(_widened(_DOT_MARK.finditer(tape.text), tape.text, "\ue000")))
+    tape.rewrite(list(_widened(_AT_MARK.finditer(tape.text), tape.text, "@")))
     tape.rewrite([(*m.span(), "@") for m in _AT_WORD.finditer(tape.text)])
     tape.rewrite([(*m.span(), "@") for m in _AT_PLAIN.finditer(tape.text) if _like_local_part(tape.text, m.start())])
     tape.text = tape.text.replace("\ue000", ".")
@@ -247,10 +281,12 @@ def disguised_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[i
     taken = {k: [(a, b) for a, b, kind in base if kind == k] for k in KINDS}
     found = []
     for i, j, kind in base_spans(tape.text):
-        start, end = tape.a[i], tape.b[j - 1]
-        if not any(tape.new[i:j]) and end - start == j - i:
+        start, end, new = tape.span(i, j)
+        if not new and end - start == j - i:
             continue
-        if not any(a <= start and end <= b for a, b in taken[kind]):
+        # Plain findings of a kind do not overlap, so only the last one that starts by then can hold this one.
+        k = bisect_right(taken[kind], (start, len(text))) - 1
+        if k < 0 or taken[kind][k][1] < end:
             found.append((start, end, kind, tape.text[i:j]))
     return found
 
