@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where the setting is absent."""
+    """The folder that spark.checkpoint.dir names. Only a session that runs in one process makes do with a
+    temporary folder where the setting is absent; on a cluster that would scatter the parts of a table."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -28,33 +31,33 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read of this table, not a recomputation.
+    This cuts the lineage: a lost executor costs a re-read of this table, not a recomputation. The tables
+    of an application lie in one folder, which ``drop_all_written`` deletes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's garbage is
-    collected, which may be long after a chain of large steps needs the room."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` once no later plan reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
         if "/quire-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def drop_all_written(spark: SparkSession) -> None:
+    """Delete every table that this application has written; for when all results have been saved."""
+    _delete(spark, f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}")
 
 
-def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of an undirected graph given as rows (src long, dst long).
 
     Returns (node, root) for every node that occurs in an edge; root is the smallest node of its
@@ -68,7 +71,7 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> Dat
     )
     both = written(clean.union(clean.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{label}-edges")
     state = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("root")), f"{label}-0")
-    for k in range(1, max_rounds + 1):
+    for k in itertools.count(1):
         heard = both.join(state.withColumnsRenamed({"node": "dst", "root": "near"}), "dst").groupBy("src").agg(F.min("near").alias("near"))
         nearer = state.join(heard.withColumnRenamed("src", "node"), "node", "left").select(
             "node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")
@@ -81,8 +84,6 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> Dat
         state = new.select("node", "root")
         if not changed:
             break
-    else:
-        raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
     drop_written(both)
     return state
 
