@@ -16,11 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import components, small_batches, whole_groups, written
+from quire.llm.runtime import components, drop_written, small_batches, whole_groups, written
 from quire.llm.words import mix, word_blocks
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -156,24 +155,21 @@ def _inside(block: np.ndarray, cross: bool) -> bool:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, 1):
-        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for first, last, h, counts in word_blocks(texts):
+    """The signature of every row's text; null where it has no words."""
+    for batch in small_batches(batches, 3):
+        for first, last, h, counts in word_blocks(batch.column(3).to_pylist()):
             sets = shingle_sets(h, counts)
-            some = [k for k, s in enumerate(sets) if len(s)]
-            sig = signatures([sets[k] for k in some])
-            digests = [xxhash.xxh3_128_intdigest((texts[first + k] or "").encode("utf-8", "surrogatepass")) for k in some]
-            half = lambda x: x - (1 << 64) if x >> 63 else x
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([docs[first + k] for k in some], pa.int64()),
-                    pa.array([half(d >> 64) for d in digests], pa.int64()),
-                    pa.array([half(d & ((1 << 64) - 1)) for d in digests], pa.int64()),
-                    pa.array([s.tobytes() for s in sig], pa.binary()),
-                ],
-                names=["doc_id", "t1", "t2", "sig"],
-            )
-            del last
+            sig = iter(signatures([s for s in sets if len(s)]))
+            found = pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in range(3)), found], names=["doc_id", "t1", "t2", "sig"])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, size, class_id, n_docs, text) with the shingles of each text in place of it."""
+    for batch in small_batches(batches, 4):
+        for first, last, h, counts in word_blocks(batch.column(4).to_pylist()):
+            shingles = pa.array([s.tobytes() for s in shingle_sets(h, counts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in range(4)), shingles], names=["root", "size", "class_id", "n_docs", "shingles"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +237,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = table.slice(i, j - i)
             ids, docs = part.column("class_id").to_numpy(), part.column("n_docs").to_numpy()
             block, cross = part.column("block").to_numpy(), bool(part.column("cross")[0].as_py())
-            sets: list[np.ndarray] = []
-            for _, _, h, counts in word_blocks(part.column("text").to_pylist()):
-                sets += shingle_sets(h, counts)
+            sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
             sig, size = signatures(sets), np.array([len(s) for s in sets])
             a, b = [], []
             for x, y in pairs_of(block, _inside(block, cross)):
@@ -268,35 +262,53 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def jaccard_join(documents: DataFrame) -> DataFrame:
-    """Group every whole text of (doc_id, text) by Jaccard similarity of word shingles.
+#: Texts without a doc_id of their own are numbered from here on by their hash.
+OWN_NUMBER = 1 << 62
 
-    Shingles are SHINGLE words; two different texts are linked if the Jaccard similarity of their
-    shingle sets is at least THRESHOLD. One row per row of ``documents``: doc_id; copy_id, the least
-    doc_id with exactly this text; class_id, the least copy_id of all texts joined to it by links;
-    n_links, the links of its text to different texts; n_linked_docs, the other documents that its
-    links and its copies amount to. Texts without words (null, empty) are never linked: each is its
-    own class. Rows with equal doc_id are one document. Rows with a null doc_id take no part and get
-    null ids and no links. Further columns are ignored.
-    """
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(source.where("doc_id is not null").mapInArrow(_sketch, "doc_id long, t1 long, t2 long, sig binary"), "sketches")
-    copies = sketches.groupBy("t1", "t2").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("n_docs"))
-    copies = written(copies, "copies")
-    chosen = sketches.join(copies.withColumnsRenamed({"t1": "c1", "t2": "c2"}).hint("merge"), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")) & (F.col("doc_id") == F.col("class_id")))
+
+def _with_digest(documents: DataFrame) -> DataFrame:
+    """The rows with 128 bits that tell their texts apart, t1 and t2."""
+    text = F.col("text").cast("string")
+    return documents.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit("second"), text)})
+
+
+def _numbered(copies: DataFrame) -> DataFrame:
+    """(t1, t2, first_doc, n_docs) with class_id: the least doc_id of the text; where that names another
+    text too, or is null, a number of the text's own, OWN_NUMBER and above."""
+    naming = copies.groupBy("first_doc").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2")).alias("named")).where("n > 1 or first_doc is null")
+    naming = naming.select(F.col("first_doc").alias("_doc"), "named")
+    other = F.col("named").isNotNull() & (F.col("first_doc").isNull() | (F.col("named") != F.struct("t1", "t2")))
+    joined = copies.join(naming.hint("merge"), F.col("first_doc").eqNullSafe(F.col("_doc")), "left")
+    return joined.select("t1", "t2", "first_doc", "n_docs", F.when(other, F.col("t1").bitwiseAND(OWN_NUMBER - 1) + OWN_NUMBER).otherwise(F.col("first_doc")).alias("class_id"))
+
+
+def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches, copies, links): the rows (doc_id, t1, t2, sig), the texts with class_id, and for the
+    texts that share a likely component (class_id, local, n_links, n_linked_docs), local being the root."""
+    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketches = written(source.mapInArrow(_sketch, "doc_id long, t1 long, t2 long, sig binary"), "sketches")
+    filled = sketches.where("sig is not null")
+    copies = filled.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_doc"), (F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("n_docs"))
+    copies = written(_numbered(written(copies, "copies")), "numbered")
+    named = copies.select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "first_doc", "n_docs", "class_id")
+    chosen = filled.join(named.hint("merge"), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
     texts = written(chosen.groupBy("class_id").agg(F.first("sig").alias("sig"), F.max("n_docs").alias("n_docs")), "texts")
     keyed = texts.select("class_id", "sig").mapInArrow(_bands, "class_id long, key long")
     repeated = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     hits = written(_dealt(keyed.join(repeated.hint("merge"), "key"), "key", "size"), "hits")
     with_sig = hits.join(texts.select("class_id", "sig").hint("merge"), "class_id")
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = with_sig.select("key", "pair", "block", "cross", "class_id", "sig").repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "class_id").mapInArrow(_bucket_edges, "src long, dst long")
     likely = components(edges.distinct(), "likely")
+    drop_written(hits)
     sizes = likely.groupBy("root").agg(F.count("*").alias("size"))
     members = likely.join(sizes.hint("merge"), "root").withColumnRenamed("node", "class_id").join(texts.select("class_id", "n_docs").hint("merge"), "class_id")
-    dealt = _dealt(members, "root", "size")
-    with_text = dealt.hint("merge").join(source.where("doc_id is not null").withColumnRenamed("doc_id", "class_id"), "class_id")
-    verified = with_text.select("root", "pair", "block", "cross", "class_id", "n_docs", "text").repartition(n, "root", "pair").sortWithinPartitions("root", "pair", "class_id").mapInArrow(
+    # The text of a class is read from the row of its first document.
+    of_class = members.join(copies.drop("n_docs").hint("merge"), "class_id")
+    rows = source.select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "text")
+    with_text = of_class.hint("merge").join(rows, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & F.col("first_doc").eqNullSafe(F.col("_doc")))
+    shingles = with_text.select("root", "size", "class_id", "n_docs", "text").mapInArrow(_shingle_rows, "root long, size long, class_id long, n_docs long, shingles binary")
+    dealt = _dealt(shingles.dropDuplicates(["class_id"]), "root", "size")
+    verified = dealt.select("root", "pair", "block", "cross", "class_id", "n_docs", "shingles").repartition(n, "root", "pair").sortWithinPartitions("root", "pair", "class_id").mapInArrow(
         _verify, "class_id long, root long, n_links long, n_linked_docs long, split boolean"
     )
     verified = written(verified, "verified")
@@ -305,22 +317,45 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     if apart.limit(1).count():
         joined = components(apart, "split").withColumnsRenamed({"node": "class_id", "root": "far"})
         links = links.join(joined, "class_id", "left").withColumn("local", F.when(F.col("split"), F.coalesce("far", "class_id")).otherwise(F.col("local"))).drop("far")
-    by_doc = sketches.join(copies.hint("merge"), ["t1", "t2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_docs").alias("n_docs"))
-    found = by_doc.join(links.hint("merge"), "class_id", "left").select(
-        F.col("doc_id").alias("_id"), F.col("class_id").alias("copy_id"), F.coalesce("local", "class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    return sketches, copies, links
+
+
+def _source(documents: DataFrame) -> DataFrame:
+    doc = F.col("doc_id").cast("long").alias("doc_id")
+    return _with_digest(documents).select(doc, F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("text").cast("string").alias("text"))
+
+
+def jaccard_join(documents: DataFrame) -> DataFrame:
+    """Group every whole text of (doc_id, text) by Jaccard similarity of word shingles.
+
+    Shingles are SHINGLE words; two different texts are linked if the Jaccard similarity of their
+    shingle sets is at least THRESHOLD. One row per row of ``documents``: doc_id; copy_id, the least
+    doc_id with exactly this text; class_id, the least copy_id of all texts joined to it by links;
+    n_links, the links of its text to different texts; n_linked_docs, the other documents that its
+    links and its copies amount to. Texts without words (null, empty) are never linked: each row is its
+    own class, named by its doc_id. Rows are told apart by doc_id and text, and those equal in both are
+    one document. A text whose least doc_id also names another text, or that only has null doc_ids, is
+    named by a number of its own, OWN_NUMBER and above. Further columns are ignored.
+    """
+    sketches, copies, links = _linked(_source(documents))
+    found = copies.drop("first_doc").join(links.hint("merge"), "class_id", "left").select(
+        F.col("t1").alias("c1"), F.col("t2").alias("c2"), F.col("class_id").alias("copy_id"), F.coalesce("local", "class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         (F.coalesce("n_linked_docs", F.lit(0)) + F.col("n_docs") - 1).alias("n_linked_docs"),
     )
-    return source.select("doc_id").join(found.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select(
+    rows = sketches.select("doc_id", F.when(F.col("sig").isNotNull(), F.col("t1")).alias("t1"), "t2")
+    return rows.join(found.hint("merge"), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")), "left").select(
         "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_linked_docs", F.lit(0)).cast("long").alias("n_linked_docs"),
     )
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """One document of each class stays, the one with the least doc_id, with all its columns.
-
-    Repeated rows of that doc_id are one document, of which any one row stays; rows with a null doc_id
-    stay."""
-    kept = jaccard_join(documents).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = documents.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where("doc_id is null"))
+    """One document of each class stays, with all its columns: that of the least class_id's text with the
+    least doc_id (null before all). Rows equal in doc_id and text are one document, of which any one row
+    stays. Every row is judged by its text, whatever its doc_id; texts without words all stay."""
+    sketches, copies, links = _linked(_source(documents))
+    first = copies.join(links.select("class_id", "local").hint("merge"), "class_id", "left").where(F.coalesce("local", "class_id") == F.col("class_id")).select("first_doc", "t1", "t2")
+    kept = first.unionByName(sketches.where("sig is null").select(F.col("doc_id").alias("first_doc"), "t1", "t2")).select(F.col("first_doc").alias("_k_doc"), F.col("t1").alias("_k1"), F.col("t2").alias("_k2"))
+    keyed = _with_digest(documents).withColumn("_doc", F.col("doc_id").cast("long"))
+    same = (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")) & F.col("_doc").eqNullSafe(F.col("_k_doc"))
+    return keyed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["_doc", "_t1", "_t2"]).select(*documents.columns)

@@ -124,12 +124,30 @@ def test_jaccard_join(odd):
     out = jaccard_join.jaccard_join(odd)
     assert ids(out) == ALL
     found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in out.collect()}
-    assert found[1] == found[2] == (1, 0) and found[4] == (4, 0) and found[None] == (None, 0)
+    assert found[1] == found[2] == (1, 0) and found[4] == (4, 0)
+    unnamed = [r["class_id"] for r in out.collect() if r["doc_id"] is None]
+    assert len(unnamed) == 2 and None in unnamed and max(c or 0 for c in unnamed) >= jaccard_join.OWN_NUMBER
     kept = jaccard_join.drop_near_duplicates(odd)
-    assert ids(kept) == [(False, 1), *((False, k) for k in range(3, 9)), (True, 0), (True, 0)] and set(kept.columns) == set(odd.columns)
+    assert ids(kept) == [*((False, k) for k in range(1, 9)), (True, 0), (True, 0)] and set(kept.columns) == set(odd.columns)
+    assert {r["text"] for r in kept.collect()} == {r[1] for r in ROWS}  # every distinct text stays
     assert jaccard_join.jaccard_join(odd.limit(0)).count() == 0
 
 
+def test_jaccard_join_tells_texts_apart_whatever_their_ids(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other = base.replace("w59", "v"), " ".join(f"x{k}" for k in range(30))
+    rows = [(1, base), (2, base), (2, other), (2, near), (None, near + " end"), (None, other), (None, "alone"), (None, "alone"), (3, other + " y z q"), (2, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r["doc_id"], r["class_id"], r["n_links"], r["n_linked_docs"]) for r in jaccard_join.jaccard_join(df).collect()]
+    assert len(out) == len(rows)
+    # base with its copy, near and near + end are one class; other and its extension another; alone is apart.
+    assert sorted(n for _, c, n, _ in out if c == 1) == [2, 2, 2, 2]
+    classes = {c for d, c, *_ in out}
+    assert len(classes) == 3 and sum(c >= jaccard_join.OWN_NUMBER for c in classes) >= 1
+    kept = sorted(r["text"] for r in jaccard_join.drop_near_duplicates(df).collect())
+    assert len(kept) == 3 and base in kept and "alone" in kept
+
+
 def test_urls(spark):
     urls = ["http://Www.Example.COM/en/a", "https://a.example.com/en/x?q#f", "http://b.com", "http://b.com/", "ftp://x.net/es/1", "x.net/es/", None, "", "http://", "http://c.org/é?x://y", "a://b://c/d"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("x"))
