@@ -91,7 +91,8 @@ def repeated_units(documents: DataFrame, short_repeats: bool) -> DataFrame:
     """
     # Merge joins at every size: what is joined grows with the documents.
     source = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where("text is not null")
-    every = source.select("doc_id", "text_hash", F.explode(_units(F.col("text"), short_repeats)).alias("u")).select("doc_id", "text_hash", "u.*")
+    # Written, as cutting the texts is most of the work and the hashes are read twice.
+    every = written(source.select("doc_id", "text_hash", F.explode(_units(F.col("text"), short_repeats)).alias("u")).select("doc_id", "text_hash", "u.*"), "line-units")
     here = F.struct("doc_id", "text_hash", "a", "b")
     counted = every.groupBy("h").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1").drop("n")
     counted = written(counted, "line-counts")  # so that the join can split a common unit
@@ -125,11 +126,12 @@ def line_dedup(documents: DataFrame, short_repeats: bool = False) -> DataFrame:
     r = removed.select(F.col("doc_id").alias("_r_doc"), F.col("text_hash").alias("_r_hash"), lines_of.alias("_gone"))
     joined = documents.drop(*added).withColumn("_hash", F.xxhash64("text")).join(r.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_r_doc")) & (F.col("_hash") == F.col("_r_hash")), "left")
     out = joined.withColumn("_gone", F.coalesce(F.col("_gone"), F.array().cast("array<int>")))
-    left = F.array_join(F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    # Set differences, so that the cost stays in proportion to the lines however many go.
+    left = _bound(_lines(F.col("text")), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)), "\n"))
     kept = [F.when(F.size("_gone") > 0, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in documents.columns if c not in added]
     return out.select(
         *kept,
         F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_removed_lines"),
-        F.size(F.filter("_gone", lambda i: ~F.array_contains("_gone", i - 1))).cast("long").alias("n_removed_chunks"),
+        F.size(F.array_except("_gone", F.transform("_gone", lambda i: i + 1))).cast("long").alias("n_removed_chunks"),
     )
