@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.runtime import written
@@ -61,25 +61,28 @@ def trigrams(host: Column, path: Column) -> Column:
 def log_ratio_model(labelled: DataFrame) -> DataFrame:
     """(code, ratio): log P(c | ab, allow) - log P(c | ab, block) for each of the N**3 codes of abc.
 
-    ``labelled`` has rows (verdict, grams). With n(ab) tokens and t(ab) kinds after ab,
-    P(c|ab) = (n(abc) + t(ab) P(c|b)) / (n(ab) + t(ab)), likewise P(c|b) from P(c), which is smoothed
-    by one of each character; a context never seen takes the shorter one's probability.
+    ``labelled`` has rows (verdict, grams, n): n URLs share the grams. With n(ab) tokens and t(ab) kinds
+    after ab, P(c|ab) = (n(abc) + t(ab) P(c|b)) / (n(ab) + t(ab)), likewise P(c|b) from P(c), which is
+    smoothed by one of each character; a context never seen takes the shorter one's probability.
     """
-    counts = labelled.select((F.col("verdict") == "allow").cast("int").alias("cls"), F.explode("grams").alias("code")).groupBy("cls", "code").agg(F.count("*").alias("n"))
-    every = F.broadcast(counts)  # at most 2 N**3 rows
-    grid = labelled.sparkSession.range(2 * N**3).select((F.col("id") / N**3).cast("int").alias("cls"), (F.col("id") % N**3).cast("int").alias("code"))
-    cells = grid.join(every, ["cls", "code"], "left").select(
-        "cls", "code", F.coalesce("n", F.lit(0)).alias("n3"), (F.col("code") % N).alias("c"), F.floor(F.col("code") / N).cast("int").alias("ab"), F.floor(F.col("code") / N % N).cast("int").alias("b")
+    counts = labelled.select((F.col("verdict") == "allow").cast("int").alias("cls"), "n", F.explode("grams").alias("code")).groupBy("cls", "code").agg(F.sum("n").alias("n"))
+    # At most 2 N**3 cells whatever the input, so they are smoothed in one partition without a shuffle.
+    grid = labelled.sparkSession.range(0, 2 * N**3, 1, 1).select((F.col("id") / N**3).cast("int").alias("cls"), (F.col("id") % N**3).cast("int").alias("code"))
+    cells = grid.join(counts.repartition(1).hint("merge"), ["cls", "code"], "left").select(
+        "cls", "code", F.coalesce("n", F.lit(0)).alias("n"), (F.col("code") % N).alias("c"), F.floor(F.col("code") / N).cast("int").alias("ab"), F.floor(F.col("code") / N % N).cast("int").alias("b")
     )
-    order2 = cells.groupBy("cls", "b", "c").agg(F.sum("n3").alias("n2"))
-    order1 = order2.groupBy("cls", "c").agg(F.sum("n2").alias("n1"))
-    total = order1.groupBy("cls").agg(F.sum("n1").alias("n0"))
-    p1 = order1.join(total, "cls").select("cls", "c", ((F.col("n1") + 1) / (F.col("n0") + N)).alias("p1"))
-    at_b = order2.groupBy("cls", "b").agg(F.sum("n2").alias("nb"), F.sum((F.col("n2") > 0).cast("int")).alias("tb"))
-    p2 = order2.join(at_b, ["cls", "b"]).join(p1, ["cls", "c"]).select("cls", "b", "c", F.when(F.col("nb") > 0, (F.col("n2") + F.col("tb") * F.col("p1")) / (F.col("nb") + F.col("tb"))).otherwise(F.col("p1")).alias("p2"))
-    at_ab = cells.groupBy("cls", "ab").agg(F.sum("n3").alias("nab"), F.sum((F.col("n3") > 0).cast("int")).alias("tab"))
-    p3 = cells.join(at_ab, ["cls", "ab"]).join(p2, ["cls", "b", "c"]).select("cls", "code", F.when(F.col("nab") > 0, (F.col("n3") + F.col("tab") * F.col("p2")) / (F.col("nab") + F.col("tab"))).otherwise(F.col("p2")).alias("p"))
-    return p3.groupBy("code").agg(F.sum(F.when(F.col("cls") == 1, F.log("p")).otherwise(-F.log("p"))).alias("ratio"))
+    over = lambda *keys: Window.partitionBy("cls", *keys)
+    within = cells.select("*", F.sum("n").over(over("b", "c")).alias("n_bc"), F.sum("n").over(over("c")).alias("n_c"), F.sum("n").over(over()).alias("n_all"))
+    within = within.select(
+        "*", F.sum("n").over(over("ab")).alias("n_ab"), F.count_if(F.col("n") > 0).over(over("ab")).alias("t_ab"),
+        F.sum("n").over(over("b")).alias("n_b"), (F.count_if(F.col("n_bc") > 0).over(over("b")) / N).alias("t_b"),
+    )
+
+    def smoothed(n: str, total: str, kinds: str, shorter: Column) -> Column:
+        return F.when(F.col(total) > 0, (F.col(n) + F.col(kinds) * shorter) / (F.col(total) + F.col(kinds))).otherwise(shorter)
+
+    p = smoothed("n", "n_ab", "t_ab", smoothed("n_bc", "n_b", "t_b", (F.col("n_c") + 1) / (F.col("n_all") + N)))
+    return within.groupBy("code").agg(F.sum(F.when(F.col("cls") == 1, F.log(p)).otherwise(-F.log(p))).alias("ratio"))
 
 
 def calibrated(scored: DataFrame, bins: int = 400, low: float = -4.0, high: float = 4.0) -> float:
@@ -116,14 +119,18 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     """
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = parts.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", "r.verdict", trigrams(F.col("host"), F.col("path")).alias("grams"))
-    model = F.broadcast(log_ratio_model(known.where("verdict is not null").select("verdict", "grams")))  # N**3 rows
-    # Equal URLs share their score, so the distinct ones are scored; a common URL is one row here.
-    urls = known.select("host", "path", "verdict", "grams").groupBy("host", "path", "verdict").agg(F.first("grams").alias("grams"))
+    known = written(parts.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", "r.verdict"), "url-parts")
+    # Equal URLs share their score, so the distinct ones are counted and scored; a common URL is one row here.
+    urls = written(known.groupBy("host", "path", "verdict").agg(F.count("*").alias("n")).withColumn("grams", trigrams(F.col("host"), F.col("path"))), "urls")
+    model = F.broadcast(log_ratio_model(urls.where("verdict is not null").select("verdict", "grams", "n")))  # N**3 rows
     scores = urls.select("host", "path", "verdict", F.explode("grams").alias("code")).join(model, "code").groupBy("host", "path", "verdict").agg(F.avg("ratio").alias("score"))
     scores = written(scores, "url-scores")
     threshold = calibrated(scores)
-    own = scores.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "score")
-    judged = known.join(own, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")))
+    # Null and malformed URLs are one empty URL; its one score is a literal, so that they need no join.
+    blank = (F.col("host") == "") & (F.col("path") == "")
+    empty = scores.where(blank).select("score").first()
+    own = scores.where(~blank).select(F.col("host").alias("_h"), F.col("path").alias("_p"), "score")
+    judged = known.where(~blank).join(own, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p"))).select(*known.columns, "score")
+    judged = judged.unionByName(known.where(blank).withColumn("score", F.lit(empty["score"] if empty else 0.0)))
     verdict = F.coalesce("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.lit(threshold).alias("threshold"))
