@@ -20,10 +20,9 @@ def extracted_terms(replies: DataFrame, key: list[str], reply: str = "reply") ->
 
     What is no JSON array gives no rows, items that are no objects are dropped, and so are those
     without source or target; the gender "unknown" is no gender."""
-    spark = replies.sparkSession
-    parsed = replies.select(*key, F.try_parse_json(F.col(reply)).alias("_v"))
-    parsed.where("_v is not null and schema_of_variant(_v) like 'ARRAY%'").createOrReplaceTempView("_quire_replies")
-    items = spark.sql(f"SELECT {', '.join(f'r.{c}' for c in key)}, x.pos AS position, x.value AS _item FROM _quire_replies r, LATERAL variant_explode(r._v) AS x")
+    parsed = replies.select(*key, F.try_parse_json(F.col(reply)).alias("_v")).where(F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("ARRAY"))
+    each = parsed.lateralJoin(replies.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    items = each.select(*key, F.col("pos").alias("position"), F.col("value").alias("_item"))
     objects = items.where(F.schema_of_variant("_item").startswith("OBJECT"))
     fields = objects.select(*key, "position", *(scalar_text(F.coalesce(F.try_variant_get("_item", f"$.{f}", "variant"), F.parse_json(F.lit("null")))).alias(f) for f in TERM_FIELDS))
     return fields.where("source <> '' and target <> ''").withColumn("gender", F.when(F.lower("gender") == "unknown", "").otherwise(F.col("gender")))

@@ -1,8 +1,8 @@
 """Greedy packing of ordered items into batches: folds whose running size is reset by the data.
 
 No window frame can express such a reset, so a fold walks the ordered sizes of one group and records
-where batches start. Only the starts are collected, and a batch is then a slice of the items, so the
-work is linear in the items of a group but for one short list per batch.
+where batches start. Only the starts are collected, and a batch is then a slice of the items. Appending
+copies an array, so the starts are gathered in short runs that are joined at the end.
 """
 
 from __future__ import annotations
@@ -11,13 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Values of a run; a fold copies one run per value and the list of runs once per run.
+RUN = 256
+
+
+def gathered(state: Column, value: Column, when: Column) -> tuple[Column, Column]:
+    """Fields runs and run of a fold's state with ``value`` appended where ``when`` holds."""
+    full = when & (F.size(state["run"]) >= RUN)
+    runs = F.when(full, F.array_append(state["runs"], state["run"])).otherwise(state["runs"])
+    run = F.when(full, F.array(value)).when(when, F.array_append(state["run"], value)).otherwise(state["run"])
+    return runs.alias("runs"), run.alias("run")
+
+
+def all_gathered(state: Column) -> Column:
+    """What ``gathered`` has appended, in order."""
+    return F.concat(F.flatten(state["runs"]), state["run"])
+
+
 def batch_starts(sizes: Column, budget: int, separator: int = 0, most_items: int | None = None) -> Column:
     """Where batches start: a batch ends before the item that would take it over ``budget``.
 
     An item over the budget is a batch of its own. ``separator`` is added to the running size with each
     item but not to the size under test. ``most_items`` closes a batch that has so many items."""
     none = F.array().cast("array<int>")
-    start = F.struct(none.alias("starts"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("count"), F.lit(0).alias("i"))
+    start = F.struct(F.array().cast("array<array<int>>").alias("runs"), none.alias("run"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("count"), F.lit(0).alias("i"))
 
     def step(state: Column, size: Column) -> Column:
         full = state["size"] + size > budget
@@ -25,13 +42,13 @@ def batch_starts(sizes: Column, budget: int, separator: int = 0, most_items: int
             full = full | (state["count"] >= most_items)
         new = (state["count"] == 0) | full
         return F.struct(
-            F.when(new, F.array_append(state["starts"], state["i"])).otherwise(state["starts"]).alias("starts"),
+            *gathered(state, state["i"], new),
             (F.when(new, 0).otherwise(state["size"]) + size + separator).cast("long").alias("size"),
             (F.when(new, 0).otherwise(state["count"]) + 1).alias("count"),
             (state["i"] + 1).alias("i"),
         )
 
-    return F.aggregate(sizes, start, step, lambda s: s["starts"])
+    return F.aggregate(sizes, start, step, all_gathered)
 
 
 def ordered_items(df: DataFrame, group: list[str], order: list[str], item: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import heading, is_blank, sentences, strip
+from quire.operators.folds import all_gathered, gathered
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,47 +43,53 @@ def text_segments(chapters_: DataFrame, key: str) -> DataFrame:
     return chapters_.select(key, "chapter", F.posexplode(F.concat(head, body)).alias("seg", "s")).select(key, "chapter", "seg", "s.source", "s.kind")
 
 
+_RUNS = "array<array<string>>"
+
+
 def cut_sentence(sentence: Column, most: int) -> Column:
     """Pieces of at most ``most`` characters of one sentence: cut before the last space, tab or newline
-    that leaves a piece of that size, else hard. Pieces join to the sentence."""
-    none = F.array().cast("array<string>")
+    that leaves a piece of that size, else hard. Pieces join to the sentence.
+
+    The sentence is taken in stretches of ``most`` characters, so that no cut copies what is far ahead."""
 
     def last(window: Column, mark: str) -> Column:
         tail = F.substring_index(window, mark, -1)
         return F.when(F.length(tail) < F.length(window), F.length(window) - F.length(tail) - 1).otherwise(-1)
 
-    def step(state: Column, _: Column) -> Column:
+    def one(state: Column) -> Column:
         rest = state["rest"]
         window = F.substring(rest, 1, most + 1)
         spots = [last(window, mark) for mark in (" ", "\t", "\n")]
         cut = F.when(spots[0] > 0, spots[0]).when(spots[1] > 0, spots[1]).when(spots[2] > 0, spots[2]).otherwise(most)
         more = F.length(rest) > most
-        return F.struct(
-            F.when(more, F.array_append(state["out"], F.substr(rest, F.lit(1), cut))).otherwise(state["out"]).alias("out"),
-            F.when(more, F.substr(rest, cut + 1)).otherwise(rest).alias("rest"),
-        )
+        return F.struct(*gathered(state, F.substr(rest, F.lit(1), cut), more), F.when(more, F.substr(rest, cut + 1)).otherwise(rest).alias("rest"))
+
+    def step(state: Column, stretch: Column) -> Column:
+        grown = F.array(F.struct(state["runs"].alias("runs"), state["run"].alias("run"), F.concat(state["rest"], stretch).alias("rest")))
+        # Two cuts in a row take more than ``most`` characters together, so that two are enough for a stretch.
+        return F.transform(F.transform(grown, one), one)[0]
 
-    # Two cuts in a row take more than ``most`` characters together, which bounds the rounds.
-    bounded = F.sequence(F.lit(1), (2 * F.ceil(F.length(sentence) / most) + 2).cast("int"))
-    end = lambda s: F.filter(F.array_append(s["out"], s["rest"]), lambda x: F.length(x) > 0)
-    return F.aggregate(bounded, F.struct(none.alias("out"), sentence.alias("rest")), step, end)
+    stretches = F.regexp_extract_all(sentence, F.lit(f"(?s).{{1,{most}}}"), F.lit(0))
+    start = F.struct(F.array().cast(_RUNS).alias("runs"), F.array().cast("array<string>").alias("run"), F.lit("").alias("rest"))
+    return F.aggregate(stretches, start, step, lambda s: F.filter(F.concat(all_gathered(s), F.array(s["rest"])), lambda x: F.length(x) > 0))
 
 
 def split_text(text: Column, most: int) -> Column:
     """Pieces of at most ``most`` characters: whole sentences packed greedily, longer ones cut alone."""
-    none = F.array().cast("array<string>")
-
-    def step(state: Column, s: Column) -> Column:
-        long = F.length(s) > most
-        flush = long | (F.length(state["cur"]) + F.length(s) > most)
-        out = F.when(flush & (F.length(state["cur"]) > 0), F.array_append(state["out"], state["cur"])).otherwise(state["out"])
-        return F.struct(
-            F.when(long, F.concat(out, cut_sentence(s, most))).otherwise(out).alias("out"),
-            F.when(long, "").when(flush, s).otherwise(F.concat(state["cur"], s)).alias("cur"),
-        )
-
-    packed = F.aggregate(sentences(text), F.struct(none.alias("out"), F.lit("").alias("cur")), step, lambda s: F.filter(F.array_append(s["out"], s["cur"]), lambda x: F.length(x) > 0))
-    return F.when((F.length(text) > most) & (F.lit(most) > 0), packed).otherwise(F.array(text))
+
+    def packed(parts: Column) -> Column:
+        """A fold over sentences (s, alone): pieces that stand alone close the piece under way."""
+
+        def step(state: Column, x: Column) -> Column:
+            flush = x["alone"] | state["alone"] | (F.length(state["cur"]) + F.length(x["s"]) > most)
+            kept = flush & (F.length(state["cur"]) > 0)
+            return F.struct(*gathered(state, state["cur"], kept), F.when(flush, x["s"]).otherwise(F.concat(state["cur"], x["s"])).alias("cur"), x["alone"].alias("alone"))
+
+        start = F.struct(F.array().cast(_RUNS).alias("runs"), F.array().cast("array<string>").alias("run"), F.lit("").alias("cur"), F.lit(False).alias("alone"))
+        return F.aggregate(parts, start, step, lambda s: F.filter(F.concat(all_gathered(s), F.array(s["cur"])), lambda x: F.length(x) > 0))
+
+    each = F.transform(sentences(text), lambda s: F.when(F.length(s) > most, F.transform(cut_sentence(s, most), lambda p: F.struct(p.alias("s"), F.lit(True).alias("alone")))).otherwise(F.array(F.struct(s.alias("s"), F.lit(False).alias("alone")))))
+    return F.when((F.length(text) > most) & (F.lit(most) > 0), packed(F.flatten(each))).otherwise(F.array(text))
 
 
 def split_long_segments(segments: DataFrame, key: list[str], most: int) -> DataFrame:

@@ -33,20 +33,15 @@ def inherit(entries: DataFrame, doc: str) -> DataFrame:
     """Entries (doc, node, parent, pos) in pre-order, where those without a position take that of their
     first descendant in order that has one.
 
-    In pre-order the descendants of a node follow it directly, so the walk goes up from every located
-    node through its ancestors, and the least located node wins. A recursive query climbs the tree one
-    level a step."""
-    spark = entries.sparkSession
-    entries.select(doc, "node", "parent", "pos").createOrReplaceTempView("_quire_toc")
-    return spark.sql(f"""
-        WITH RECURSIVE up(doc, origin, pos, node) AS (
-            SELECT {doc}, node, pos, node FROM _quire_toc WHERE pos IS NOT NULL
-            UNION ALL
-            SELECT u.doc, u.origin, u.pos, t.parent FROM up u JOIN _quire_toc t ON t.{doc} <=> u.doc AND t.node = u.node WHERE t.parent IS NOT NULL
-        ), best AS (SELECT doc, node, min_by(pos, origin) AS from_below FROM up GROUP BY doc, node)
-        SELECT t.{doc}, t.node, t.parent, coalesce(t.pos, b.from_below) AS pos
-        FROM _quire_toc t LEFT JOIN best b ON b.doc <=> t.{doc} AND b.node = t.node
-    """)
+    In pre-order the descendants of a node follow it directly, and each of them has a parent no smaller
+    than the node. So the first located node that follows is a descendant just if no parent between is
+    smaller, which takes two sorts and no walk through the tree. Other columns are carried."""
+    back = Window.partitionBy(doc).orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    located = lambda value: F.last(F.when(F.col("pos").isNotNull(), value), ignorenulls=True).over(back)
+    ahead = entries.withColumns({"_at": located(F.col("node")), "_found": located(F.col("pos"))})
+    between = Window.partitionBy(doc, "_at").orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
+    least = F.min(F.coalesce("parent", F.lit(-(1 << 62)))).over(between)
+    return ahead.withColumn("_least", least).withColumn("pos", F.when(F.col("pos").isNotNull(), F.col("pos")).when(F.col("_least") >= F.col("node"), F.col("_found"))).drop("_at", "_found", "_least")
 
 
 def boundaries(entries: DataFrame, doc: str) -> DataFrame:

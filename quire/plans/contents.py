@@ -32,9 +32,9 @@ def toc_chapters(spark, sf_dir):
 
 def _tree(spark, sf_dir):
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    region = table(spark, sf_dir, "region").select(F.lit(0).alias("doc"), (F.col("r_regionkey") * 1000000).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("pos"))
-    nation_node = (F.col("n_regionkey") * 1000000 + 1 + F.col("n_nationkey") * 10000).cast("long")
-    nation = n.select(F.lit(0).alias("doc"), nation_node.alias("node"), (F.col("n_regionkey") * 1000000).cast("long").alias("parent"), F.when(F.col("n_nationkey") % 6 == 5, F.col("n_nationkey").cast("long")).alias("pos"))
+    region = table(spark, sf_dir, "region").select(F.lit(0).alias("doc"), (F.col("r_regionkey").cast("long") * 10**14).alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("pos"))
+    nation_node = F.col("n_regionkey").cast("long") * 10**14 + 1 + F.col("n_nationkey").cast("long") * 10**12
+    nation = n.select(F.lit(0).alias("doc"), nation_node.alias("node"), (F.col("n_regionkey").cast("long") * 10**14).alias("parent"), F.when(F.col("n_nationkey") % 6 == 5, F.col("n_nationkey").cast("long")).alias("pos"))
     leaf = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.lit(0).alias("doc"), (nation_node + 1 + F.col("c_custkey")).alias("node"), nation_node.alias("parent"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey")).alias("pos"))
     return region.unionAll(nation).unionAll(leaf)
 
@@ -57,10 +57,6 @@ def _anchors(t):
 
 
 def fragment_anchors(spark, sf_dir):
-    return _anchors(table(spark, sf_dir, "lineitem").where("l_orderkey < 4000"))
-
-
-def fragment_anchors_whole(spark, sf_dir):
     return _anchors(table(spark, sf_dir, "lineitem"))
 
 
@@ -71,7 +67,7 @@ def toc_titles(spark, sf_dir):
     return toc.toc_titles(entries, headings, "doc").select("c_custkey", "title_translated")
 
 
-QUERIES = {f.__name__: f for f in (toc_boundaries, toc_slices, toc_chapters, toc_inherit, toc_locate, fragment_anchors, fragment_anchors_whole, toc_titles)}
+QUERIES = {f.__name__: f for f in (toc_boundaries, toc_slices, toc_chapters, toc_inherit, toc_locate, fragment_anchors, toc_titles)}
 
 _B = """m AS (SELECT CAST(c_nationkey AS BIGINT) AS doc, c_custkey AS seq, c_custkey % 3 - 1 AS depth, c_custkey % 41 - 2 AS pos, c_custkey % 5 = 0 AS anchored FROM customer WHERE c_custkey % 17 <> 0),
     b AS (SELECT doc, pos, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc, pos ORDER BY anchored DESC, CASE WHEN anchored THEN seq ELSE -seq END) AS r FROM m WHERE depth = 0 AND pos >= 0) WHERE r = 1)"""
@@ -79,18 +75,15 @@ ORACLE = {
     "toc_boundaries": f"WITH {_B} SELECT doc, pos, seq FROM b",
     "toc_slices": f"WITH {_B}, s AS (SELECT doc, pos AS start, coalesce(lead(pos) OVER (PARTITION BY doc ORDER BY pos), 36) AS \"end\" FROM b) SELECT doc, start, CAST(\"end\" AS BIGINT) AS \"end\" FROM s WHERE \"end\" > start",
     "toc_chapters": f"WITH {_B} SELECT CAST(s_nationkey AS BIGINT) AS doc, s_suppkey % 45 AS pos, (SELECT count(*) FROM b WHERE b.doc = s_nationkey AND b.pos <= s_suppkey % 45) AS chapter FROM supplier",
-    "toc_inherit": """WITH n AS (SELECT n_nationkey, CAST(n_regionkey * 1000000 + 1 + n_nationkey * 10000 AS BIGINT) AS node, CAST(n_regionkey AS BIGINT) * 1000000 AS parent, CASE WHEN n_nationkey % 6 = 5 THEN CAST(n_nationkey AS BIGINT) END AS pos FROM nation),
+    "toc_inherit": """WITH n AS (SELECT n_nationkey, CAST(n_regionkey AS BIGINT) * 100000000000000 + 1 + CAST(n_nationkey AS BIGINT) * 1000000000000 AS node, CAST(n_regionkey AS BIGINT) * 100000000000000 AS parent, CASE WHEN n_nationkey % 6 = 5 THEN CAST(n_nationkey AS BIGINT) END AS pos FROM nation),
         l AS (SELECT n.node + 1 + c_custkey AS node, n.node AS parent, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS pos FROM customer JOIN n ON c_nationkey = n_nationkey),
         n2 AS (SELECT node, parent, pos, coalesce(pos, (SELECT arg_min(l.pos, l.node) FROM l WHERE l.parent = n.node AND l.pos IS NOT NULL)) AS got FROM n),
         own AS (SELECT node, parent, pos FROM n UNION ALL SELECT l.node, n.parent, l.pos FROM l JOIN n ON l.parent = n.node)
         SELECT node, coalesce(pos, -1) AS pos FROM l UNION ALL SELECT node, coalesce(got, -1) FROM n2
-        UNION ALL SELECT CAST(r_regionkey * 1000000 AS BIGINT), coalesce((SELECT arg_min(own.pos, own.node) FROM own WHERE own.parent = r_regionkey * 1000000 AND own.pos IS NOT NULL), -1) FROM region""",
+        UNION ALL SELECT CAST(r_regionkey AS BIGINT) * 100000000000000, coalesce((SELECT arg_min(own.pos, own.node) FROM own WHERE own.parent = CAST(r_regionkey AS BIGINT) * 100000000000000 AND own.pos IS NOT NULL), -1) FROM region""",
     "toc_locate": """WITH r AS (SELECT p_brand AS href, min(p_partkey) AS pos FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1), f AS (SELECT p_brand AS href, 'f' || p_size AS fragment, max(p_partkey) AS pos FROM part WHERE p_size < 20 GROUP BY 1, 2)
         SELECT p.p_partkey, coalesce(CASE WHEN p.p_partkey % 3 > 0 THEN f.pos ELSE r.pos END, -1) AS pos FROM part p LEFT JOIN r ON r.href = p.p_brand LEFT JOIN f ON f.href = p.p_brand AND f.fragment = 'f' || (p.p_size % 30)""",
-    "fragment_anchors": """WITH t AS (SELECT * FROM lineitem WHERE l_orderkey < 4000), i AS (SELECT l_orderkey AS doc, 'i' || (l_suppkey % 5) AS id, min(l_partkey % 100) AS pos FROM t WHERE l_linenumber % 2 = 1 GROUP BY 1, 2),
-        b AS (SELECT l_orderkey AS doc, l_partkey % 100 AS pos, 'b' || min(l_linenumber) AS anchor FROM t WHERE l_linenumber % 2 = 0 GROUP BY 1, 2)
-        SELECT i.doc, i.id, (SELECT arg_min(b.anchor, b.pos) FROM b WHERE b.doc = i.doc AND b.pos >= i.pos) AS anchor FROM i""",
-    "fragment_anchors_whole": """WITH i AS (SELECT l_orderkey AS doc, 'i' || (l_suppkey % 5) AS id, min(l_partkey % 100) AS pos FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1, 2),
+    "fragment_anchors": """WITH i AS (SELECT l_orderkey AS doc, 'i' || (l_suppkey % 5) AS id, min(l_partkey % 100) AS pos FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1, 2),
         b AS (SELECT l_orderkey AS doc, l_partkey % 100 AS pos, 'b' || min(l_linenumber) AS anchor FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2)
         SELECT i.doc, i.id, b.anchor FROM i ASOF LEFT JOIN b ON i.doc = b.doc AND i.pos <= b.pos""",
     "toc_titles": "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS title_translated FROM customer",

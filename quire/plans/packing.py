@@ -66,20 +66,16 @@ def progress_counts(spark, sf_dir):
 
 
 def title_batches(spark, sf_dir):
-    packed = folds.pack(table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey"], F.col("p_name"), _sized, 500, most_items=40)
-    return packed.select("p_brand", long("batch"), long("start"), F.size("items").cast("long").alias("n_items"))
+    books = table(spark, sf_dir, "part").withColumn("book", F.floor(F.col("p_partkey") / 10000))
+    packed = folds.pack(books, ["p_brand", "book"], ["p_partkey"], F.col("p_name"), _sized, 500, most_items=40)
+    return packed.select("p_brand", "book", long("batch"), long("start"), F.size("items").cast("long").alias("n_items"))
 
 
 def synopsis_groups(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("head", F.substring("text", 1, 600))
-    packed = folds.pack(docs, ["source"], ["doc_id"], F.col("head"), _sized, 12000, separator=1)
-    return packed.select("source", long("batch"), long("start"), F.size("items").cast("long").alias("n_items"))
-
-
-def synopsis_groups_whole(spark, sf_dir):
-    # Sizes are packed, not texts: a group holds all documents of a source.
-    packed = folds.pack(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], F.length("text"), lambda n: n, 12000, separator=1)
-    return packed.select("source", long("batch"), long("start"), F.size("items").cast("long").alias("n_items"))
+    # A book is what one fold holds: a source's documents of one thousand ids, however many a source has.
+    books = table(spark, sf_dir, "documents").withColumn("book", F.floor(F.col("doc_id") / 1000))
+    packed = folds.pack(books, ["source", "book"], ["doc_id"], F.length("text"), lambda n: n, 12000, separator=1)
+    return packed.select("source", "book", long("batch"), long("start"), F.size("items").cast("long").alias("n_items"))
 
 
 def split_long_segments(spark, sf_dir):
@@ -145,7 +141,7 @@ def heading_lines(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (pack_batches, review_chunks, resume_batches, progress_counts, title_batches, synopsis_groups, synopsis_groups_whole, split_long_segments, merged_paragraphs, rolling_context, text_chapters, heading_lines)
+    for f in (pack_batches, review_chunks, resume_batches, progress_counts, title_batches, synopsis_groups, split_long_segments, merged_paragraphs, rolling_context, text_chapters, heading_lines)
 }
 
 _TURN_WALK = f"""items AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, length(text) AS n, role = 'assistant' AS done FROM conversations),
@@ -162,10 +158,10 @@ ORACLE = {
     "resume_batches": f"""WITH RECURSIVE {_TURN_WALK}
         SELECT conv_id, CAST(batch AS BIGINT) AS batch, CAST(min(i) AS BIGINT) AS start, count(*) AS n_items, any_value(done) AS done FROM runs GROUP BY conv_id, batch, run""",
     "progress_counts": "SELECT count(*) FILTER (role = 'assistant') AS done, count(*) AS total FROM conversations",
-    "title_batches": f"""WITH RECURSIVE items AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, length(p_name) AS n FROM part), {_walk("items", "p_brand", 500, "w.cnt >= 40")}
-        SELECT p_brand, CAST(batch AS BIGINT) AS batch, CAST(min(i) AS BIGINT) AS start, count(*) AS n_items FROM walk GROUP BY p_brand, batch""",
-    "synopsis_groups": f"""WITH RECURSIVE items AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, length(left(text, 600)) AS n FROM documents), {_walk("items", "source", 12000, separator=1)}
-        SELECT source, CAST(batch AS BIGINT) AS batch, CAST(min(i) AS BIGINT) AS start, count(*) AS n_items FROM walk GROUP BY source, batch""",
+    "title_batches": f"""WITH RECURSIVE items AS (SELECT p_brand || '|' || (p_partkey // 10000) AS book, row_number() OVER (PARTITION BY p_brand, p_partkey // 10000 ORDER BY p_partkey) - 1 AS i, length(p_name) AS n FROM part), {_walk("items", "book", 500, "w.cnt >= 40")}
+        SELECT string_split(book, '|')[1] AS p_brand, CAST(string_split(book, '|')[2] AS BIGINT) AS book, CAST(batch AS BIGINT) AS batch, CAST(min(i) AS BIGINT) AS start, count(*) AS n_items FROM walk GROUP BY ALL""",
+    "synopsis_groups": f"""WITH RECURSIVE items AS (SELECT source || '|' || (doc_id // 1000) AS book, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) - 1 AS i, length(text) AS n FROM documents), {_walk("items", "book", 12000, separator=1)}
+        SELECT string_split(book, '|')[1] AS source, CAST(string_split(book, '|')[2] AS BIGINT) AS book, CAST(batch AS BIGINT) AS batch, CAST(min(i) AS BIGINT) AS start, count(*) AS n_items FROM walk GROUP BY ALL""",
     "split_long_segments": f"""WITH RECURSIVE {_SPLIT}
         SELECT doc_id, CAST(seg AS BIGINT) AS seg, length(source) AS chars, md5(source) AS digest, seg > 0 AS cont, CASE WHEN seg = 0 THEN 'a0' ELSE '' END AS anchor FROM cut""",
     "merged_paragraphs": """WITH heads AS (SELECT *, CASE WHEN role <> 'assistant' OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 1 ELSE 0 END AS head FROM conversations),
@@ -181,4 +177,3 @@ ORACLE = {
     "heading_lines": """SELECT p_partkey, CASE p_partkey % 9 WHEN 6 THEN '第3章 ' || p_name WHEN 7 THEN '序章 ' || p_name WHEN 8 THEN 'あとがき' || p_name ELSE p_name END AS title,
         CAST(CASE p_partkey % 9 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END AS BIGINT) AS level FROM part WHERE p_partkey % 9 IN (0, 1, 2, 6, 7, 8)""",
 }
-ORACLE["synopsis_groups_whole"] = ORACLE["synopsis_groups"].replace("left(text, 600)", "text")

@@ -12,14 +12,9 @@ from quire.functions.loose_json import loose_json
 from quire.session import table
 
 # Deterministic marks are put into the texts, which hold few of their own.
-_DASHED = "replace(replace(replace(left(text, 400), '. ', '... '), ', ', '--'), ' th', ' …th')"
-_QUOTED = "replace(replace(left(text, 400), ' the ', ' \"the\" '), ' of ', ' 「of」 ')"
-_SPACED = "replace(replace(left(text, 400), ', ', '，  '), '. ', '。 ')"
-
-
-def _whole(sql: str) -> str:
-    """The same SQL over whole texts."""
-    return sql.replace("left(text, 400)", "text")
+_DASHED = "replace(replace(replace(text, '. ', '... '), ', ', '--'), ' th', ' …th')"
+_QUOTED = "replace(replace(text, ' the ', ' \"the\" '), ' of ', ' 「of」 ')"
+_SPACED = "replace(replace(text, ', ', '，  '), '. ', '。 ')"
 
 
 def punct_ellipsis(spark, sf_dir):
@@ -34,18 +29,6 @@ def punct_gaps(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.close_gaps(F.expr(_SPACED)).cast("binary")).alias("digest"))
 
 
-def punct_ellipsis_whole(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.ellipsis_dash(F.expr(_whole(_DASHED))).cast("binary")).alias("digest"))
-
-
-def punct_double_quotes_whole(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.double_quotes(P.japanese_quotes(F.expr(_whole(_QUOTED)))).cast("binary")).alias("digest"))
-
-
-def punct_gaps_whole(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.close_gaps(F.expr(_whole(_SPACED))).cast("binary")).alias("digest"))
-
-
 def punct_full(spark, sf_dir):
     text = F.expr("replace(replace(text, ' the ', ' \"the\" '), ' of ', ' ''of'' ,中. ')")
     return table(spark, sf_dir, "documents").select("doc_id", P.normalize(text).alias("text"))
@@ -103,7 +86,7 @@ def content_keys(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (punct_ellipsis, punct_double_quotes, punct_gaps, punct_ellipsis_whole, punct_double_quotes_whole, punct_gaps_whole, punct_full, punct_segments, lang_normalize, lang_label, slug_and_file_name, flat_and_escape, vertical_markup, chapter_labels, loose_json_values, sentence_counts, content_keys)
+    for f in (punct_ellipsis, punct_double_quotes, punct_gaps, punct_full, punct_segments, lang_normalize, lang_label, slug_and_file_name, flat_and_escape, vertical_markup, chapter_labels, loose_json_values, sentence_counts, content_keys)
 }
 
 _LIST = "[" + ", ".join(f"'{c}'" for c in _CODES) + "]"
@@ -142,4 +125,3 @@ ORACLE = {
         FROM (SELECT doc_id, regexp_extract_all(text, '[^。．.!！？?…\\n]*[。．.!！？?…\\n]|[^。．.!！？?…\\n]+') AS s FROM documents)""",
     "content_keys": "SELECT conv_id, turn, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS key FROM conversations",
 }
-ORACLE |= {f"{name}_whole": _whole(ORACLE[name]) for name in ("punct_ellipsis", "punct_double_quotes", "punct_gaps")}

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import folds, glossary, model, segments
+from quire.operators import folds, glossary, model, segments, toc
 from quire.sources import books, epub, event_log, fb2, html
 from quire.streaming import events as streaming
 
@@ -32,13 +32,36 @@ def test_upsert_keeps_the_first_target_and_logs_each_conflict(spark):
     assert [r["seq"] for r in conflicts.orderBy("seq").collect()] == [2, 4]
 
 
-def test_many_terms_use_the_automaton(spark, monkeypatch):
+def test_terms_in_blocks(spark, monkeypatch):
     terms = spark.createDataFrame([("he", [], "术语"), ("she", ["hers"], "术语"), ("x", ["his"], "敬称")], "source string, aliases array<string>, type string")
     texts = spark.createDataFrame([(1, "USHERS"), (2, "this"), (3, "")], "id int, text string")
-    few = {tuple(r) for r in glossary.terms_in_texts(terms, texts, ["id"]).collect()}
-    monkeypatch.setattr(glossary, "MANY_TERMS", 1)
-    many = {tuple(r) for r in glossary.terms_in_texts(terms, texts, ["id"]).collect()}
-    assert few == many == {(1, "he"), (1, "she")}
+    whole = {tuple(r) for r in glossary.terms_in_texts(terms, texts, ["id"]).collect()}
+    monkeypatch.setattr(glossary, "BLOCK", 2)
+    assert whole == {tuple(r) for r in glossary.terms_in_texts(terms, texts, ["id"]).collect()} == {(1, "he"), (1, "she")}
+    assert glossary.terms_in_texts(terms.limit(0), texts, ["id"]).count() == 0
+
+
+def test_splitting_takes_linear_time(spark):
+    df = spark.createDataFrame([("ab cd " * 300_000,), ("x" * 100_000,), ("One. " * 100_000,)], "t string")
+    out = [r["p"] for r in df.select(segments.split_text(F.col("t"), 1200).alias("p")).collect()]
+    assert ["".join(p) for p in out] == [r["t"] for r in df.collect()]
+    assert all(len(x) <= 1200 for p in out for x in p) and len(out[2]) == 417
+
+    def pieces(text):
+        while len(text) > 1200:
+            cut = next((k for mark in " \t\n" if (k := text.rfind(mark, 0, 1201)) > 0), 1200)
+            yield text[:cut]
+            text = text[cut:]
+        yield text
+
+    assert out[:2] == [list(pieces(r["t"])) for r in df.collect()[:2]]
+
+
+def test_inherit_needs_a_descendant(spark):
+    # 0 > (1 > (2, 3 located)), 4 > (5), 6 located, 7 > (8 > 9 located)
+    rows = [("d", 0, None, None), ("d", 1, 0, None), ("d", 2, 1, None), ("d", 3, 1, 30), ("d", 4, None, None), ("d", 5, 4, None), ("d", 6, None, 60), ("d", 7, None, None), ("d", 8, 7, None), ("d", 9, 8, 90), ("d", 10, 7, 100), ("e", 0, None, None)]
+    out = {(r["doc"], r["node"]): r["pos"] for r in toc.inherit(spark.createDataFrame(rows, "doc string, node long, parent long, pos long"), "doc").collect()}
+    assert out == {("d", 0): 30, ("d", 1): 30, ("d", 2): None, ("d", 3): 30, ("d", 4): None, ("d", 5): None, ("d", 6): 60, ("d", 7): 90, ("d", 8): 90, ("d", 9): 90, ("d", 10): 100, ("e", 0): None}
 
 
 def test_alignment_retries_then_goes_one_by_one():

@@ -5,7 +5,6 @@ import re
 
 import pytest
 
-from quire.operators import glossary
 from quire.plans import catalog
 
 
@@ -21,14 +20,14 @@ def tables(spark, tmp_path):
 def test_punctuation_beyond_400_characters(spark, tables):
     sf = tables("documents", [(1, "word " * 100 + "end the tail"), (2, "word " * 100 + "end. the, tail"), (3, "word " * 100 + "end. the, taut")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in catalog.QUERIES["punct_full"](spark, sf).collect()}[1].endswith("end “the” tail")
-    for name in ("punct_ellipsis_whole", "punct_double_quotes_whole", "punct_gaps_whole"):
+    for name in ("punct_ellipsis", "punct_double_quotes", "punct_gaps"):
         assert catalog.QUERIES[name](spark, sf).select("digest").distinct().count() == 3
 
 
 def test_fragment_anchors_of_all_orders(spark, tables):
     rows = [(order, 7 + line, 1, line) for order in (3999, 4000, 90_000) for line in (1, 2, 3)]
     sf = tables("lineitem", rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
-    found = sorted(map(tuple, catalog.QUERIES["fragment_anchors_whole"](spark, sf).collect()))
+    found = sorted(map(tuple, catalog.QUERIES["fragment_anchors"](spark, sf).collect()))
     assert found == [(3999, "i1", "b2"), (4000, "i1", "b2"), (90_000, "i1", "b2")]
 
 
@@ -42,26 +41,27 @@ def test_terms_of_all_documents_in_all_texts(spark, tables):
             terms.setdefault(m[1], []).append((m[2], "敬称" if d % 2 == 0 else "术语"))
     kind = {s: max(t for _, t in found) for s, found in terms.items()}
     keys = {(s, k) for s, found in terms.items() for k in [s, *(a for a, _ in found if kind[s] != "敬称")]}
-    assert len(keys) > glossary.MANY_TERMS  # so the automaton is reached
+    assert len(keys) > 2000
     want = {(d, s) for d, text, _, _ in docs for s, k in keys if k in text}
     sf = tables("documents", docs, "doc_id long, text string, lang string, source string")
-    found = [tuple(x) for x in catalog.QUERIES["terms_in_text_whole"](spark, sf).collect()]
+    found = [tuple(x) for x in catalog.QUERIES["terms_in_text"](spark, sf).collect()]
     assert len(found) == len(want) and set(found) == want
     book = {d: source for d, _, _, source in docs}
     counts = {}
     for b, s in {(book[d], s) for d, s in want}:
         counts[b, kind[s]] = counts.get((b, kind[s]), 0) + 1
-    assert {(x["book"], x["type"]): x["n"] for x in catalog.QUERIES["chapter_terms_whole"](spark, sf).collect()} == counts
+    assert {(x["book"], x["type"]): x["n"] for x in catalog.QUERIES["chapter_terms"](spark, sf).collect()} == counts
 
 
 def test_memory_is_probed_with_all_documents(spark, tables):
     tables("benchmark", [(0, "text 3"), (1, "unknown")], "item_id long, text string")
     sf = tables("documents", [(k, f"text {k}", f"s{k}") for k in range(12)], "doc_id long, text string, source string")
-    found = {r["doc_id"]: r["target_text"] for r in catalog.QUERIES["tm_lookup_whole"](spark, sf).collect()}
+    found = {r["doc_id"]: r["target_text"] for r in catalog.QUERIES["tm_lookup"](spark, sf).collect()}
     assert found == {k: f"s{k}" for k in range(12)} | {-1: "s3", -2: None}
 
 
 def test_synopsis_groups_of_whole_texts(spark, tables):
-    sf = tables("documents", [(k, "s", "x" * n) for k, n in enumerate((5000, 6998, 1, 13_000, 700, 700))], "doc_id long, source string, text string")
-    found = sorted(map(tuple, catalog.QUERIES["synopsis_groups_whole"](spark, sf).collect()))
-    assert found == [("s", 0, 0, 2), ("s", 1, 2, 1), ("s", 2, 3, 1), ("s", 3, 4, 2)]
+    sizes = (5000, 6998, 1, 13_000, 700, 700)
+    sf = tables("documents", [(k, "s", "x" * n) for k, n in enumerate(sizes)] + [(5000, "s", "x")], "doc_id long, source string, text string")
+    found = sorted(map(tuple, catalog.QUERIES["synopsis_groups"](spark, sf).collect()))
+    assert found == [("s", 0, 0, 0, 2), ("s", 0, 1, 2, 1), ("s", 0, 2, 3, 1), ("s", 0, 3, 4, 2), ("s", 5, 0, 0, 1)]
