@@ -109,7 +109,7 @@ def pairs_of(block: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.nd
     n = len(block)
     left = np.flatnonzero(block == block.min()) if cross else np.arange(n)
     right = np.flatnonzero(block != block.min()) if cross else None
-    rows = max(1, 200_000 // max(1, n))
+    rows = max(1, 100_000 // max(1, n))
     for k in range(0, len(left), rows):
         part = left[k : k + rows]
         a = np.repeat(part, len(right) if cross else n)
@@ -117,9 +117,11 @@ def pairs_of(block: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.nd
         yield (a, b) if cross else (a[a < b], b[a < b])
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least member of each member's component under the links (a, b)."""
-    label = np.arange(n)
+def roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least label of each member's component when the links (a, b) are added to those that led to
+    ``label``, which names each member's component by its least member."""
+    members = np.arange(len(label))
+    a, b = np.concatenate((members, a)), np.concatenate((label, b))
     while True:
         new = label.copy()
         np.minimum.at(new, a, label[b])
@@ -198,12 +200,10 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i, j in runs:
             if j - i <= 2:
                 continue
-            a, b = [], []
+            root = np.arange(j - i)
             for x, y in pairs_of(block[i:j], _inside(block[i:j], bool(cross[i]))):
                 ok = likely_pairs(sig[i:j], x, y)
-                a.append(x[ok])
-                b.append(y[ok])
-            root = roots(j - i, np.concatenate(a), np.concatenate(b))
+                root = roots(root, x[ok], y[ok])
             other = np.flatnonzero(root != np.arange(j - i))
             src.append(ids[i + root[other]])
             dst.append(ids[i + other])
@@ -211,15 +211,13 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
 
 
-def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets a[k] and b[k]."""
-    if len(a) <= 2 * len(sets):
-        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+def _common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets, as a matrix."""
     member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = n[place] > 1
     member, place = member[common], np.cumsum(n > 1)[place[common]] - 1
-    width, total = 4096, np.zeros((len(sets), len(sets)), np.float32)
+    width, total = 1024, np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(place, kind="stable")
     member, place = member[order], place[order]
     for low in range(0, int(place[-1]) + 1 if len(place) else 0, width):
@@ -227,7 +225,14 @@ def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
         m = np.zeros((len(sets), width), np.float32)
         m[member[i:j], place[i:j] - low] = 1
         total += m @ m.T
-    return np.rint(total[a, b]).astype(np.int64)
+    return total
+
+
+def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, total: np.ndarray | None) -> np.ndarray:
+    """Sizes of the intersections of the sets a[k] and b[k], from the matrix where there is one."""
+    if total is not None:
+        return np.rint(total[a, b]).astype(np.int64)
+    return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,26 +243,27 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, docs = part.column("class_id").to_numpy(), part.column("n_docs").to_numpy()
             block, cross = part.column("block").to_numpy(), bool(part.column("cross")[0].as_py())
             sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
-            sig, size = signatures(sets), np.array([len(s) for s in sets])
-            a, b = [], []
-            for x, y in pairs_of(block, _inside(block, cross)):
-                ok = likely_pairs(sig, x, y)
-                a.append(x[ok])
-                b.append(y[ok])
-            a, b = np.concatenate(a), np.concatenate(b)
-            both = _intersections(sets, a, b)
-            # inter / union >= 4/5 in whole numbers
-            ok = 5 * both >= 4 * (size[a] + size[b] - both)
-            a, b = a[ok], b[ok]
-            n = j - i
-            classes = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-            linked = np.bincount(a, weights=docs[b], minlength=n) + np.bincount(b, weights=docs[a], minlength=n)
+            sig, size, n = signatures(sets), np.array([len(s) for s in sets]), j - i
             order = np.argsort(ids, kind="stable")  # the least id becomes the root
             rank = np.empty(n, np.int64)
             rank[order] = np.arange(n)
-            root = ids[order][roots(n, rank[a], rank[b])][rank]
+            classes, linked, root, total, likely = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), None, 0
+            for x, y in pairs_of(block, _inside(block, cross)):
+                ok = likely_pairs(sig, x, y)
+                a, b = x[ok], y[ok]
+                likely += len(a)
+                if total is None and likely > 2 * n:
+                    total = _common_shingles(sets)
+                both = _intersections(sets, a, b, total)
+                # inter / union >= 4/5 in whole numbers
+                ok = 5 * both >= 4 * (size[a] + size[b] - both)
+                a, b = a[ok], b[ok]
+                classes += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+                linked += (np.bincount(a, weights=docs[b], minlength=n) + np.bincount(b, weights=docs[a], minlength=n)).astype(np.int64)
+                root = roots(root, rank[a], rank[b])
+            root = ids[order][root][rank]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(root), pa.array(classes.astype(np.int64)), pa.array(linked.astype(np.int64)), pa.array(np.full(n, cross))],
+                [pa.array(ids), pa.array(root), pa.array(classes), pa.array(linked), pa.array(np.full(n, cross))],
                 names=["class_id", "root", "n_links", "n_linked_docs", "split"],
             )
 
