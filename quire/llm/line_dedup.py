@@ -105,7 +105,7 @@ def repeated_units(documents: DataFrame, short_repeats: bool) -> DataFrame:
     ).select("doc_id", "text_hash", "c.*")
     texts = written(texts, "line-texts")
     firsts = texts.where("is_first").groupBy("h").agg(F.first("unit").alias("first_unit"))
-    return texts.where("not is_first").join(firsts.hint("merge"), "h").where("unit = first_unit").select("doc_id", "text_hash", "a", "b")
+    return written(texts.where("not is_first").join(firsts.hint("merge"), "h").where("unit = first_unit").select("doc_id", "text_hash", "a", "b"), "line-repeats")
 
 
 def line_dedup(documents: DataFrame, short_repeats: bool = False) -> DataFrame:

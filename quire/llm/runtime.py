@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether Spark deletes the shuffle files of a query once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a session that runs in one process makes do with a
     temporary folder where the setting is absent; on a cluster that would scatter the parts of a table."""
@@ -32,11 +36,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read of this table, not a recomputation. The tables
-    of an application lie in one folder, which ``drop_all_written`` deletes.
+    of an application lie in one folder, which ``drop_all_written`` deletes. The shuffle files of the write
+    go with its end, as nothing will read them again; otherwise a chain of steps would keep those of all.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
