@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runtime import small_batches
+from quire.llm.runtime import small_batches, written
 from quire.llm.words import block_words, mix, word_blocks
 
 #: An overlap is a window of WINDOW words of which EQUAL are equal, place by place.
@@ -167,9 +167,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` without an overlap, with all their columns.
 
     Each row is judged by its own text in the pass that reads it, so nothing is shuffled; the cases of
-    ``contaminated`` hold here too."""
+    ``contaminated`` hold here too. What one block of the benchmark leaves is written before the next one
+    passes over it, so a task holds one index however long the benchmark is."""
     columns = documents.columns
-    for ids, texts in benchmark_blocks(benchmark):
+    for k, (ids, texts) in enumerate(benchmark_blocks(benchmark)):
+        documents = written(documents, "clean") if k else documents
         index = documents.sparkSession.sparkContext.broadcast(Index.of(ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

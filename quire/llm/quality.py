@@ -24,6 +24,9 @@ from quire.llm.words import BLOCK, codes
 PASSAGE = 48
 #: At most so many labelled documents are learned from, the first by hash of doc_id.
 MAX_TRAINING_DOCUMENTS = 5000
+#: A document is learned from by at most so many passages, taken evenly from its whole text; with this and
+#: the bound on documents at most some 80 MB of features reach the driver. Scores use all passages.
+MAX_TRAINING_PASSAGES = 200
 _KINDS = 10  # space, lower, upper, other letter, digit, stop, comma, loud, newline, other sign
 FEATURES = _KINDS + 9
 
@@ -144,6 +147,22 @@ class Model:
         return self.forward(x.astype(np.float64), sizes)["y"]
 
 
+def gradients(model: Model, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """The derivatives of the mean log loss by each weight."""
+    weights, f = model.weights, model.forward(x, sizes)
+    dy = (f["y"] - labels) / len(labels)
+    dz = dy[:, None] * weights["c"]
+    dh = f["a"][:, None] * dz[f["bag"]]
+    da = (f["h"] * dz[f["bag"]]).sum(1)
+    da = f["a"] * (da - np.add.reduceat(f["a"] * da, f["at"])[f["bag"]])
+    tg = f["t"] * f["g"]
+    dt = da[:, None] * weights["w"] * f["g"] * (1 - f["t"] ** 2)
+    dg = da[:, None] * weights["w"] * f["t"] * f["g"] * (1 - f["g"])
+    dh += dt @ weights["v"].T + dg @ weights["u"].T
+    ds = dh * (1 - f["h"] ** 2)
+    return {"e": f["s"].T @ ds, "eb": ds.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "w": tg.T @ da, "c": f["z"].T @ dy, "b": np.array([dy.sum()])}
+
+
 def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 250, rate: float = 0.03, decay: float = 1e-4, seed: int = 0) -> Model:
     """Learn from bags (rows of x, ``sizes`` rows each) and their labels by Adam on the log loss."""
     x = x.astype(np.float64)
@@ -153,19 +172,7 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, hidden: int = 16,
     model = Model(x.mean(0), x.std(0) + 1e-3, weights)
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        f = model.forward(x, sizes)
-        dy = (f["y"] - labels) / len(labels)
-        dz = dy[:, None] * weights["c"]
-        dh = f["a"][:, None] * dz[f["bag"]]
-        da = (f["h"] * dz[f["bag"]]).sum(1)
-        da = f["a"] * (da - np.add.reduceat(f["a"] * da, f["at"])[f["bag"]])
-        tg = f["t"] * f["g"]
-        dt = da[:, None] * weights["w"] * f["g"] * (1 - f["t"] ** 2)
-        dg = da[:, None] * weights["w"] * f["t"] * f["g"] * (1 - f["g"])
-        dh += dt @ weights["v"].T + dg @ weights["u"].T
-        ds = dh * (1 - f["h"] ** 2)
-        grads = {"e": f["s"].T @ ds, "eb": ds.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "w": tg.T @ da, "c": f["z"].T @ dy, "b": np.array([dy.sum()])}
-        for k, d in grads.items():
+        for k, d in gradients(model, x, sizes, labels).items():
             d = d + decay * weights[k]
             first[k] = 0.9 * first[k] + 0.1 * d
             second[k] = 0.999 * second[k] + 0.001 * d * d
@@ -198,7 +205,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_DOCU
             quality = np.array(batch.column("quality").to_pylist(), float)
             done = 0
             for x, sizes in feature_blocks(batch.column("text").to_pylist()):
-                bags = np.split(x, np.cumsum(sizes)[:-1])
+                bags = [b if len(b) <= MAX_TRAINING_PASSAGES else b[np.linspace(0, len(b) - 1, MAX_TRAINING_PASSAGES).astype(int)] for b in np.split(x, np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_pydict(
                     {"quality": quality[done : done + len(sizes)], "bag": pa.array([b.tobytes() for b in bags], pa.binary())}
                 )

@@ -14,7 +14,7 @@ from quire.llm.pii import KINDS, find_pii
 from quire.llm.quality import held_out, score_quality, train
 from quire.llm.suffix_dedup import remove_repeats
 from quire.llm.token_counts import token_counts
-from quire.llm.url_filter import filter_urls
+from quire.llm.url_filter import ALPHABET, RULES, N, filter_urls
 from quire.session import table
 
 
@@ -69,7 +69,9 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    """Score and threshold are rounded, so that sums in another order give the same row."""
+    judged = filter_urls(table(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("score", "threshold")})
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +97,14 @@ _OP3 = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x
         sha256(unhex(CASE WHEN c.doc_id IS NULL THEN d.x ELSE c.kept || substr(d.x, 2 * t.b + 1) END)) AS kept_sha256
     FROM d LEFT JOIN cut c ON c.doc_id = d.doc_id LEFT JOIN tail t ON t.doc_id = d.doc_id"""
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+#: Windows of 13 words with 11 equal; items of 5 to 12 words whole.
 _OP6 = f"""WITH dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS p, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-    bw AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS q, len(w) AS m FROM (SELECT min(item_id) AS item_id, {_WORDS} AS w FROM benchmark GROUP BY text)),
-    eq AS (SELECT doc_id, item_id, p, p - q AS diagonal, greatest(0, p - q) AS lo, least(n, m + p - q) AS hi FROM dw JOIN bw USING (w)),
-    near AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS k FROM eq) WHERE k >= 11 AND hi - lo >= 13),
-    s AS (SELECT doc_id, item_id, diagonal, unnest(range(lo, hi - 12)) AS s FROM (SELECT DISTINCT doc_id, item_id, diagonal, lo, hi FROM near)),
-    good AS (SELECT s.doc_id, s.item_id, s.diagonal, s.s FROM s JOIN near n ON n.doc_id = s.doc_id AND n.item_id = s.item_id AND n.diagonal = s.diagonal AND n.p BETWEEN s.s AND s.s + 12 GROUP BY ALL HAVING count(*) >= 11),
-    cover AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(range(s, s + 13)) AS p FROM good),
+    bw AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS q, len(w) AS m FROM (SELECT min(item_id) AS item_id, {_WORDS} AS w FROM benchmark GROUP BY text) WHERE len(w) >= 5),
+    eq AS (SELECT doc_id, item_id, p, p - q AS diagonal, greatest(0, p - q) AS lo, least(n, m + p - q) AS hi, least(13, m) AS size, CASE WHEN m >= 13 THEN 11 ELSE m END AS least FROM dw JOIN bw USING (w)),
+    near AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS k FROM eq) WHERE k >= least AND hi - lo >= size),
+    s AS (SELECT doc_id, item_id, diagonal, size, least, unnest(range(lo, hi - size + 1)) AS s FROM (SELECT DISTINCT doc_id, item_id, diagonal, lo, hi, size, least FROM near)),
+    good AS (SELECT s.doc_id, s.item_id, s.diagonal, s.s, s.size, s.least FROM s JOIN near n ON n.doc_id = s.doc_id AND n.item_id = s.item_id AND n.diagonal = s.diagonal AND n.p BETWEEN s.s AND s.s + s.size - 1 GROUP BY ALL HAVING count(*) >= s.least),
+    cover AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(range(s, s + size)) AS p FROM good),
     sums AS (SELECT c.doc_id, c.item_id, c.diagonal, min(c.p) AS doc_start, count(*) AS n_words, count(n.p) AS n_equal FROM cover c LEFT JOIN near n ON n.doc_id = c.doc_id AND n.item_id = c.item_id AND n.diagonal = c.diagonal AND n.p = c.p GROUP BY ALL),
     best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, doc_start, doc_start - diagonal) AS r FROM sums)
     SELECT doc_id, item_id, CAST(doc_start AS INT) AS doc_start, CAST(doc_start - diagonal AS INT) AS item_start, CAST(n_words AS INT) AS n_words, CAST(n_equal AS INT) AS n_equal FROM best WHERE r = 1"""
@@ -119,6 +122,39 @@ _OP7 = f"""WITH RECURSIVE t AS (SELECT text, min(doc_id) AS id, count(*) AS docs
         CAST(CASE WHEN f.id IS NULL THEN 0 ELSE coalesce(n.linked, 0) + t.docs - 1 END AS BIGINT) AS n_linked_docs
     FROM documents d JOIN t ON t.text = d.text JOIN class c ON c.id = t.id LEFT JOIN n ON n.id = t.id LEFT JOIN filled f ON f.id = t.id"""
 
+
+
+def _rule_case(value: int) -> str:
+    """The longest rule that fits, or its verdict, as a CASE."""
+    whens = []
+    for verdict, host, path in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
+        whens.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{(host + path, verdict)[value]}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+_OP8 = f"""WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    hosts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM cut),
+    parts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hosts),
+    known AS (SELECT page_id, host, path, {_rule_case(0)} AS rule, {_rule_case(1)} AS own FROM parts),
+    urls AS (SELECT host, path, own, count(*) AS n FROM known GROUP BY ALL),
+    letters AS (SELECT *, list_transform(string_split('^^' || regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '[^a-z0/.\\-_]', '~', 'g') || '$', ''), lambda x: instr('{ALPHABET}', x) - 1) AS c FROM urls),
+    grams AS (SELECT host, path, own, n, unnest(list_transform(range(3, len(c) + 1), lambda i: (c[i - 2] * {N} + c[i - 1]) * {N} + c[i])) AS code FROM letters),
+    counts AS (SELECT own = 'allow' AS cls, code, sum(n) AS n FROM grams WHERE own IS NOT NULL GROUP BY ALL),
+    grid AS (SELECT cls, code FROM (SELECT unnest([TRUE, FALSE]) AS cls), (SELECT unnest(range({N**3})) AS code)),
+    cells AS (SELECT g.cls, g.code, CAST(coalesce(n, 0) AS DOUBLE) AS n, g.code % {N} AS c, g.code // {N} AS ab, g.code // {N} % {N} AS b FROM grid g LEFT JOIN counts k ON k.cls = g.cls AND k.code = g.code),
+    sums AS (SELECT *, sum(n) OVER (PARTITION BY cls, b, c) AS n_bc, sum(n) OVER (PARTITION BY cls, c) AS n_c, sum(n) OVER (PARTITION BY cls) AS n_all, sum(n) OVER (PARTITION BY cls, ab) AS n_ab,
+        count(*) FILTER (n > 0) OVER (PARTITION BY cls, ab) AS t_ab, sum(n) OVER (PARTITION BY cls, b) AS n_b FROM cells),
+    kinds AS (SELECT *, count(*) FILTER (n_bc > 0) OVER (PARTITION BY cls, b) / CAST({N} AS DOUBLE) AS t_b, (n_c + 1) / (n_all + {N}) AS p1 FROM sums),
+    pairs AS (SELECT *, CASE WHEN n_b > 0 THEN (n_bc + t_b * p1) / (n_b + t_b) ELSE p1 END AS p2 FROM kinds),
+    model AS (SELECT code, sum(CASE WHEN cls THEN 1 ELSE -1 END * ln(CASE WHEN n_ab > 0 THEN (n + t_ab * p2) / (n_ab + t_ab) ELSE p2 END)) AS ratio FROM pairs GROUP BY code),
+    scores AS (SELECT host, path, own, avg(ratio) AS score FROM grams JOIN model USING (code) GROUP BY ALL),
+    bins AS (SELECT least(399, greatest(0, CAST(floor((score + 4.0) / 0.02) AS INT))) AS bin, count(*) FILTER (own = 'allow') AS a, count(*) FILTER (own = 'block') AS b FROM scores WHERE own IS NOT NULL GROUP BY 1),
+    totals AS (SELECT CAST(sum(a) AS DOUBLE) AS all_a, CAST(sum(b) AS DOUBLE) AS all_b FROM bins),
+    errors AS (SELECT k, coalesce(sum(a), 0) / all_a + (all_b - coalesce(sum(b), 0)) / all_b AS e FROM (SELECT unnest(range(401)) AS k) CROSS JOIN totals LEFT JOIN bins ON bin < k GROUP BY k, all_a, all_b),
+    cutoff AS (SELECT coalesce(-4.0 + (min(k) + max(k)) / 2.0 * 0.02, 0.0) AS threshold FROM errors WHERE e <= (SELECT min(e) FROM errors) + 1e-12)
+    SELECT page_id, k.host, k.path, rule, coalesce(k.own, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score, round(CAST(threshold AS DOUBLE), 6) AS threshold
+    FROM known k JOIN scores s ON s.host = k.host AND s.path = k.path CROSS JOIN cutoff"""
+
 #: The others need learned models, hash functions or tokenisers that SQL does not have; they are tested
 #: against brute force, exact round trips and held-out labels.
-ORACLE: dict[str, str] = {"op3_suffix_dedup": _OP3, "op6_decontamination": _OP6, "op7_jaccard_join": _OP7}
+ORACLE: dict[str, str] = {"op3_suffix_dedup": _OP3, "op6_decontamination": _OP6, "op7_jaccard_join": _OP7, "op8_url_filter": _OP8}

@@ -50,8 +50,18 @@ def attribute(lengths: np.ndarray, starts: np.ndarray, n_bytes: int, rule: str)
     return np.bincount(owner, minlength=n), np.bincount(a[a != b], minlength=n)
 
 
-def token_counts(documents: DataFrame, rule: str = "first", path: str | None = None) -> DataFrame:
-    """Tokens per section of every whole text of (doc_id, text); one row per section.
+def field_sections(parts: list[str]) -> tuple[str, np.ndarray]:
+    """The text of several fields, joined by newlines, and the byte positions at which they start."""
+    sizes = [len(p.encode()) + 1 for p in parts]
+    return "\n".join(parts), np.cumsum([0, *sizes[:-1]])
+
+
+def token_counts(documents: DataFrame, rule: str = "first", path: str | None = None, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Tokens per section of every whole document; one row per section.
+
+    The sections of a single field are its lines. With several ``fields`` they are the document, joined by
+    newlines, and each field with the newline behind it is a section whose kind is the field's name; a null
+    field is empty.
 
     Returns doc_id, section (from 0), kind (title or body), start and end (code points, end
     exclusive), n_tokens, n_crossing (tokens that start here and end in a later section), doc_tokens.
@@ -60,20 +70,26 @@ def token_counts(documents: DataFrame, rule: str = "first", path: str | None = N
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    if not fields:
+        raise ValueError("there must be a field")
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
         for batch in small_batches(batches, 1):
             found: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                ids = bpe.ids(text or "")
-                starts, title = line_sections(data)
+            for doc, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text, starts = field_sections([p or "" for p in parts])
+                data = np.frombuffer(text.encode(), np.uint8)
+                ids = bpe.ids(text)
+                kinds = np.array(fields)
+                if len(fields) == 1:
+                    starts, title = line_sections(data)
+                    kinds = np.where(title, "title", "body")
                 tokens, crossing = attribute(bpe.lengths[ids], starts, len(data), rule)
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 edges = chars[np.append(starts, len(data))]
-                found.append((doc, starts, title, edges[:-1], edges[1:], tokens, crossing, len(ids)))
+                found.append((doc, starts, kinds, edges[:-1], edges[1:], tokens, crossing, len(ids)))
             if not found:
                 continue
             sizes = [len(x[1]) for x in found]
@@ -81,11 +97,11 @@ def token_counts(documents: DataFrame, rule: str = "first", path: str | None = N
                 [
                     pa.array([x[0] for x, n in zip(found, sizes, strict=True) for _ in range(n)], pa.int64()),
                     pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])),
-                    pa.array(np.where(np.concatenate([x[2] for x in found]), "title", "body"), pa.string()),
+                    pa.array([str(k) for x in found for k in x[2]], pa.string()),
                     *(pa.array(np.concatenate([x[k] for x in found]).astype(np.int64)) for k in (3, 4, 5, 6)),
                     pa.array(np.repeat([x[7] for x in found], sizes).astype(np.int64)),
                 ],
                 schema=_ARROW,
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f).cast("string").alias(f"_{k}") for k, f in enumerate(fields))).mapInArrow(run, SCHEMA)

@@ -3,7 +3,7 @@
 Both models are variable-order Markov models over a small fixed alphabet, interpolated from order 0 to
 order 2 by Witten-Bell weights. They are counted on all URLs that the rules accept or reject; the
 length-normalised log ratio is compared with a threshold calibrated on the same URLs. DataFrame
-functions only; the model has at most 35**3 rows whatever the input.
+functions only; the model has N**3 rows whatever the input.
 """
 
 from __future__ import annotations

@@ -4,11 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -71,6 +74,28 @@ def test_gradients():
     assert ((model.scores(x, sizes) > 0.5) == y).mean() >= 0.9
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(8)
+    x, sizes = rng.normal(size=(23, quality.FEATURES)), np.array([1, 5, 9, 3, 5])
+    y = np.array([1.0, 0.0, 1.0, 0.0, 1.0])
+    model = quality.fit(x, sizes, y, steps=3)
+
+    def loss():
+        p = model.forward(x, sizes)["y"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    found = quality.gradients(model, x, sizes, y)
+    for name, weight in model.weights.items():
+        for at in [tuple(rng.integers(0, n) for n in weight.shape) for _ in range(6)]:
+            kept = weight[at]
+            weight[at] = kept + 1e-5
+            up = loss()
+            weight[at] = kept - 1e-5
+            down = loss()
+            weight[at] = kept
+            assert abs((up - down) / 2e-5 - found[name].reshape(weight.shape)[at]) < 1e-7, (name, at)
+
+
 def test_ann_recall(spark):
     out = queries.op2_ann(spark, SF).toPandas()
     e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
@@ -163,6 +188,20 @@ def test_written_at_after_a_word(text):
     assert pii.disguised_spans(text, pii.base_spans(text)) == []
 
 
+def test_any_text_takes_linear_time():
+    started = time.monotonic()
+    blanks = " " * 1_000_000
+    found = pii.disguised_spans(f"x john{blanks}(at){blanks}mail (dot) example.com y", [])
+    assert [(k, v) for _, _, k, v in found] == [("email", "john@mail.example.com")]
+    words = "some words of a sentence. " * 770_000  # 20 MB
+    text = words + "john (at) mail (dot) example.com " + words[:1000]
+    found = pii.disguised_spans(text, pii.base_spans(text))
+    assert [text[a:b] for a, b, _, _ in found] == ["john (at) mail (dot) example.com"]
+    for shape in ("(at)" + " " * 300_000 + "x " * 50_000, "a" * 1_000_000 + " at b.com", "+1" + "(" * 1_000_000, "[ " * 500_000 + "at", "one " * 300_000, "x@ " * 300_000):
+        pii.disguised_spans(shape, pii.base_spans(shape))
+    assert time.monotonic() - started < 90
+
+
 def test_clean_text_has_no_disguises(documents):
     assert sum(len(pii.disguised_spans(t, pii.base_spans(t))) for t in documents.text) == 0
 
@@ -184,6 +223,27 @@ def test_line_dedup(spark, documents):
     assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()} == want
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def chunk_starts(lines):
+    """Where chunks start, by the rule: local minima of the rolling hash of two line hashes."""
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
+    r = [signed(xxhash.xxh64_intdigest(struct.pack("<Q", b), 42 if a is None else xxhash.xxh64_intdigest(struct.pack("<Q", a), 42))) for a, b in zip([None, *h], h, strict=False)]
+    return [0] + [i for i in range(2, len(r) - 1) if r[i] < r[i - 1] and r[i] <= r[i + 1]]
+
+
+def test_line_chunks_against_a_model(spark, documents):
+    r = random.Random(6)
+    texts = [t for t in documents.text if t] + ["\n".join(r.choice(["a", "b", "", "c é", "dd"]) for _ in range(n)) for n in range(1, 60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", line_dedup.line_chunks(F.col("t")).alias("c")).collect()
+    for x in rows:
+        lines = texts[x["k"]].split("\n")
+        at = chunk_starts(lines)
+        assert [c["chunk"] for c in x["c"]] == ["\n".join(lines[a:b]) for a, b in zip(at, [*at[1:], len(lines)], strict=True)]
+
+
 def test_line_chunks_resist_shifts(spark):
     lines = [f"line {k * 7919 % 101}" for k in range(60)]
     a, b = "\n".join(lines), "\n".join(["new first line", *lines])
@@ -229,22 +289,15 @@ def test_short_repeats_go_whatever_stands_around(spark):
     assert {d: out[d]["text"] for d in want} == want
 
 
-def test_decontamination(spark, documents):
-    items = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
+def overlapping(texts, items):
+    """{(doc_id, item_id)}: windows of 13 words with 11 equal, place by place; the items have 13 words or more."""
     vocabulary: dict[str, int] = {}
     number = lambda ws: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws])
-    docs = {d: number(plain_words(t)) for d, t in zip(documents.doc_id, documents.text, strict=True)}
-    r = random.Random(5)
-    extra = []
-    for n, t in enumerate(items.text[:12]):  # substituted copies
-        w = plain_words(t)
-        for k in range(r.randint(0, 12), len(w), 6 + n % 3):
-            w[k] = "zzz"
-        extra.append((10_000 + n, "start of it " + " ".join(w) + " and an end"))
-    docs |= {d: number(plain_words(t)) for d, t in extra}
+    docs = {d: number(plain_words(t)) for d, t in texts.items()}
     want = set()
-    for i, t in zip(items.item_id, items.text, strict=True):
+    for i, t in items.items():
         b = number(plain_words(t))
+        assert len(b) >= 13
         for d, e in docs.items():
             if len(np.intersect1d(e, b)) < 8:
                 continue
@@ -255,11 +308,64 @@ def test_decontamination(spark, documents):
                     if (c[13:] - c[:-13] >= 11).any():
                         want.add((d, i))
                         break
-    df = spark.createDataFrame([*zip(documents.doc_id.tolist(), documents.text, strict=True), *extra], "doc_id long, text string")
+    return want
+
+
+def test_decontamination(spark, documents):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
+    r = random.Random(5)
+    extra = []
+    for n, t in enumerate(items.text[:12]):  # substituted copies
+        w = plain_words(t)
+        for k in range(r.randint(0, 12), len(w), 6 + n % 3):
+            w[k] = "zzz"
+        extra.append((10_000 + n, "start of it " + " ".join(w) + " and an end"))
+    texts = dict(zip(documents.doc_id.tolist(), documents.text, strict=True)) | dict(extra)
+    want = overlapping(texts, dict(zip(items.item_id.tolist(), items.text, strict=True)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     out = decontamination.contaminated(df, spark.createDataFrame(items)).collect()
     assert {(x["doc_id"], x["item_id"]) for x in out} == want and len(want) > 10
 
 
+def test_decontamination_in_blocks(spark, documents, monkeypatch):
+    items, docs = spark.read.parquet(f"{SF}/benchmark.parquet"), spark.createDataFrame(documents[["doc_id", "text"]])
+    whole = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
+    kept = {r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()}
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 2000)
+    assert len(list(decontamination.benchmark_blocks(items))) > 2
+    assert sorted(map(tuple, decontamination.contaminated(docs, items).collect())) == whole
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()} == kept == set(documents.doc_id) - {x[0] for x in whole}
+
+
+def near_duplicate_links(texts):
+    """{doc_id: doc_ids whose five-word shingles have a Jaccard similarity of at least 0.8}."""
+    sets = {d: set(zip(*[w[k:] for k in range(5)], strict=False)) if len(w := plain_words(t)) >= 5 else ({tuple(w)} if w else set()) for d, t in texts.items()}
+    by_shingle = defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            by_shingle[g].append(d)
+    common = Counter(p for ds in by_shingle.values() for p in itertools.combinations(ds, 2))
+    links = {d: set() for d in texts}
+    for (a, b), n in common.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            links[a].add(b)
+            links[b].add(a)
+    return links
+
+
+def near_duplicate_classes(texts):
+    """{doc_id: the least doc_id that links lead to}."""
+    links, out = near_duplicate_links(texts), {}
+    for d in sorted(texts):
+        todo = [d] if d not in out else []
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out[x] = d
+                todo += links[x]
+    return out
+
+
 @pytest.mark.parametrize("block", [1000, 4])
 def test_jaccard_join(spark, documents, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
@@ -272,28 +378,10 @@ def test_jaccard_join(spark, documents, monkeypatch, block):
             w[r.randrange(len(w))] = f"v{r.randint(0, 9)}"
         texts[5000 + k] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    sets = {d: set(zip(*[w[k:] for k in range(5)], strict=False)) if len(w := plain_words(t)) >= 5 else ({tuple(w)} if w else set()) for d, t in texts.items()}
-    by_shingle = defaultdict(list)
-    for d, s in sets.items():
-        for g in s:
-            by_shingle[g].append(d)
-    common = Counter(p for ds in by_shingle.values() for p in itertools.combinations(ds, 2))
-    links, parent = defaultdict(set), {d: d for d in texts}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for (a, b), n in common.items():
-        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
-            links[a].add(b)
-            links[b].add(a)
-            x, y = sorted((find(a), find(b)))
-            parent[y] = x
+    links, classes = near_duplicate_links(texts), near_duplicate_classes(texts)
     for x in jaccard_join.jaccard_join(df).collect():
         d = x["doc_id"]
-        assert (x["class_id"], x["n_links"], x["n_linked_docs"]) == (find(d), len({texts[o] for o in links[d]} - {texts[d]}), len(links[d])), d
+        assert (x["class_id"], x["n_links"], x["n_linked_docs"]) == (classes[d], len({texts[o] for o in links[d]} - {texts[d]}), len(links[d])), d
 
 
 def test_packing_is_a_round_trip(spark, documents, hugging):
@@ -313,18 +401,41 @@ def test_packing_is_a_round_trip(spark, documents, hugging):
     assert padding == 0
 
 
+def counted(text, offsets, bounds, rule):
+    """Tokens per section from offsets of characters, one by one; a token of part of a character covers it."""
+    size = lambda a, b: len(text[a:b].encode())
+    out = [0] * (len(bounds) - 1)
+    for a, b in offsets:
+        held = [k for k in range(len(out)) if bounds[k] < b and bounds[k + 1] > a]
+        if rule == "majority":
+            held.sort(key=lambda k: -size(max(a, bounds[k]), min(b, bounds[k + 1])))  # stable: ties to the earliest
+        out[held[-1] if rule == "last" else held[0]] += 1
+    return out
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, documents, hugging, rule):
-    out = token_counts.token_counts(spark.createDataFrame(documents[["doc_id", "text"]]), rule).toPandas()
-    texts = dict(zip(documents.doc_id, documents.text, strict=True))
-    for d, g in list(out.groupby("doc_id"))[:60]:
+    texts = dict(zip(documents.doc_id.tolist(), documents.text, strict=True)) | {9000: "a\n\nb\n   c\n\n\n", 9001: "x" * 300 + "\n" + " y\n" * 50, 9002: "<|endoftext|>\nend"}
+    out = token_counts.token_counts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), rule).toPandas()
+    crossing = 0
+    for d, g in out.groupby("doc_id"):
         g, offsets = g.sort_values("section"), hugging.encode(texts[d], add_special_tokens=False).offsets
-        bounds = [*g.start, len(texts[d])]
-        own = lambda c: int(np.searchsorted(bounds, c, "right")) - 1
+        assert g.start.tolist()[1:] == g.end.tolist()[:-1] and g.end.iloc[-1] == len(texts[d]) and "".join(texts[d][a:b] for a, b in zip(g.start, g.end, strict=True)) == texts[d]
         assert g.doc_tokens.iloc[0] == len(offsets) == g.n_tokens.sum()
-        if rule == "first":
-            counts = Counter(own(a) for a, _ in offsets)
-            assert g.n_tokens.tolist() == [counts[k] for k in range(len(g))]
+        assert g.n_tokens.tolist() == counted(texts[d], offsets, [*g.start, len(texts[d])], rule), d
+        crossing += g.n_crossing.sum()
+    assert crossing > 0
+
+
+def test_token_counts_of_fields(spark, hugging):
+    rows = [(1, "A title", "the body\nof it"), (2, None, "only"), (3, "no body", None), (4, "", "")]
+    out = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, title string, text string"), fields=("title", "text")).collect()
+    for d, title, text in rows:
+        a, b = title or "", text or ""
+        g = sorted((r for r in out if r["doc_id"] == d), key=lambda r: r["section"])
+        whole = f"{a}\n{b}"
+        assert [(r["kind"], r["start"], r["end"]) for r in g] == [("title", 0, len(a) + 1), ("text", len(a) + 1, len(whole))]
+        assert [r["n_tokens"] for r in g] == [sum(s <= len(a) for s, _ in hugging.encode(whole, add_special_tokens=False).offsets), sum(s > len(a) for s, _ in hugging.encode(whole, add_special_tokens=False).offsets)]
 
 
 def test_ids_of_odd_texts(hugging):
@@ -334,12 +445,29 @@ def test_ids_of_odd_texts(hugging):
         assert bpe.ids(text).tolist() == hugging.encode(text, add_special_tokens=False).ids
 
 
+def test_decontamination_of_short_items(spark, tmp_path):
+    items = [(1, "one two three four five six"), (2, "a b c d"), (3, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (4, "x y z u v")]
+    docs = [(1, "so one two three four five six so"), (2, "a b c d"), (3, "one two three four five"), (4, "One, two; THREE four five six seven eight NO ten eleven no thirteen fourteen"), (5, "x y z u v"), (6, "x y z q v")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = queries.op6_decontamination(spark, str(tmp_path))
+    want = c.execute(queries.ORACLE["op6_decontamination"])
+    columns = [d[0] for d in want.description]
+    rows = sorted(tuple(r[k] for k in columns) for r in found.collect())
+    assert rows == sorted(want.fetchall()) and {r[:2] for r in rows} == {(1, 1), (4, 1), (4, 3), (5, 4)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_against_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = queries.QUERIES[name](spark, SF)
     cursor = c.cursor()
