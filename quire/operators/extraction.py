@@ -15,14 +15,22 @@ def scalar_text(v: Column) -> Column:
     return F.coalesce(F.when(readable, F.trim(F.try_variant_get(v, "$", "string"))), F.lit(""))
 
 
-def extracted_terms(replies: DataFrame, key: list[str], reply: str = "reply") -> DataFrame:
-    """Terms of the JSON arrays in ``reply``: key..., position, and the fields as text.
+def records(replies: DataFrame, key: list[str], reply: str, fields: tuple[str, ...]) -> DataFrame:
+    """Rows (key..., position, fields as text) of the objects of the JSON arrays in ``reply``.
 
-    What is no JSON array gives no rows, items that are no objects are dropped, and so are those
-    without source or target; the gender "unknown" is no gender."""
-    parsed = replies.select(*key, F.try_parse_json(F.col(reply)).alias("_v")).where(F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("ARRAY"))
+    What is no JSON array gives no rows; items that are no objects are dropped."""
+    # The columns that an exploded variant brings, pos, key and value, may be names of the caller's too.
+    own = [F.col(c).alias(f"_key{k}") for k, c in enumerate(key)]
+    parsed = replies.select(*own, F.try_parse_json(F.col(reply)).alias("_v")).where(F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("ARRAY"))
     each = parsed.lateralJoin(replies.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-    items = each.select(*key, F.col("pos").alias("position"), F.col("value").alias("_item"))
+    items = each.select(*(F.col(f"_key{k}").alias(c) for k, c in enumerate(key)), F.col("pos").alias("position"), F.col("value").alias("_item"))
     objects = items.where(F.schema_of_variant("_item").startswith("OBJECT"))
-    fields = objects.select(*key, "position", *(scalar_text(F.coalesce(F.try_variant_get("_item", f"$.{f}", "variant"), F.parse_json(F.lit("null")))).alias(f) for f in TERM_FIELDS))
+    return objects.select(*key, "position", *(scalar_text(F.coalesce(F.try_variant_get("_item", f"$.{f}", "variant"), F.parse_json(F.lit("null")))).alias(f) for f in fields))
+
+
+def extracted_terms(replies: DataFrame, key: list[str], reply: str = "reply") -> DataFrame:
+    """Terms of the JSON arrays in ``reply``: key..., position, and the fields as text.
+
+    Items without source or target are dropped; the gender "unknown" is no gender."""
+    fields = records(replies, key, reply, TERM_FIELDS)
     return fields.where("source <> '' and target <> ''").withColumn("gender", F.when(F.lower("gender") == "unknown", "").otherwise(F.col("gender")))

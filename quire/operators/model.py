@@ -8,6 +8,7 @@ Usage is emitted as rows, never counted in accumulators, which a task retry woul
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -23,22 +24,71 @@ class Provider(Protocol):
     def complete(self, messages: list[dict[str, str]], tier: str) -> str: ...
 
 
-def reversed_words(messages: list[dict[str, str]], tier: str) -> str:
-    """A stand-in for translation: every text of the JSON list in the last message, words reversed."""
-    texts = json.loads(messages[-1]["content"])
-    return json.dumps({"translations": [" ".join(reversed(t.split(" "))) for t in texts]}, ensure_ascii=False)
+def _reversed(text: str) -> str:
+    return " ".join(reversed(text.split(" ")))
+
+
+def _language(text: str) -> str:
+    return next((code for code, word in (("de", " und "), ("fr", " les "), ("es", " los ")) if word in text), "en")
+
+
+def _stand_in_terms(text: str) -> list[dict]:
+    return [{"source": w, "target": w[::-1], "type": "术语"} for w in dict.fromkeys(text.split(" ")) if len(w) >= 12 and w.isalpha()]
+
+
+def stand_in(messages: list[dict[str, str]], tier: str) -> str:
+    """A deterministic answer to every task of ``quire.operators.agents``, told by the mark that its first
+    message starts with; without a mark, and for translation, the words of each text reversed."""
+    first, last = messages[0]["content"], messages[-1]["content"]
+    task = first[1 : first.find("]")] if first.startswith("[") and len(messages) > 1 else "translate"
+    if task == "language":
+        return json.dumps({"language": _language(last)})
+    if task == "analysis":
+        names = [w for w in dict.fromkeys(last.split()) if w[:1].isupper() and w.isalpha()][:3]
+        return json.dumps({"genre": "prose", "tone": _language(last), "characters": [{"source": n, "target": n[::-1]} for n in names], "terms": _stand_in_terms(last)[:3]}, ensure_ascii=False)
+    if task in ("digest", "synopsis"):
+        return last[:80]
+    if task == "terms":
+        return json.dumps({"terms": _stand_in_terms(json.loads(last)["source"])}, ensure_ascii=False)
+    if task in ("review", "consistency"):
+        return json.dumps({"issues": []})
+    if task == "compare":
+        pairs = json.loads(last)
+        return json.dumps({"issues": [{"index": i, "type": "meaning", "detail": "differs"} for i, p in enumerate(pairs) if p["source"] != p["back"]]}, ensure_ascii=False)
+    return json.dumps({"translations": [_reversed(t) for t in json.loads(last)]}, ensure_ascii=False)
 
 
 @dataclass(frozen=True)
 class FakeProvider:
     """Answers by a function of the request."""
 
-    handler: Callable[[list[dict[str, str]], str], str] = reversed_words
+    handler: Callable[[list[dict[str, str]], str], str] = stand_in
 
     def complete(self, messages: list[dict[str, str]], tier: str) -> str:
         return self.handler(messages, tier)
 
 
+@dataclass(frozen=True)
+class RetryingProvider:
+    """Asks again after a failure: ``max_retries`` times, after delays that double up to the longest."""
+
+    inner: Provider
+    max_retries: int = 4
+    first_delay: float = 1.0
+    longest_delay: float = 30.0
+    sleep: Callable[[float], None] = time.sleep
+
+    def complete(self, messages: list[dict[str, str]], tier: str) -> str:
+        for attempt in range(self.max_retries + 1):
+            try:
+                return self.inner.complete(messages, tier)
+            except Exception:  # providers fail in ways of their own
+                if attempt == self.max_retries:
+                    raise
+                self.sleep(min(self.longest_delay, self.first_delay * 2**attempt))
+        raise AssertionError
+
+
 PROVIDERS: dict[str, Callable[..., Provider]] = {"fake": FakeProvider}
 
 
@@ -65,25 +115,29 @@ def _texts(reply: str, n: int) -> list[str] | None:
     return value
 
 
-def translate_aligned(texts: list[str], client: Provider, retries: int = 2, tier: str = "strong") -> tuple[list[str], int]:
+def translate_aligned(texts: list[str], client: Provider, retries: int = 2, tier: str = "strong", brief: list[dict[str, str]] | None = None) -> tuple[list[str], int]:
     """One non-blank translation for each text, and the calls it took.
 
-    The whole batch is tried ``retries + 1`` times; then each text alone; then AlignmentError."""
-    ask = lambda part: _texts(client.complete([{"role": "user", "content": json.dumps(part, ensure_ascii=False)}], tier), len(part))
+    The whole batch is tried ``retries + 1`` times, then each text once alone, then AlignmentError. A call
+    that fails counts as one without an answer. ``brief`` are the messages that go before the texts."""
     calls = 0
-    for _ in range(retries + 1):
+
+    def ask(part: list[str]) -> list[str] | None:
+        nonlocal calls
         calls += 1
+        try:
+            return _texts(client.complete([*(brief or []), {"role": "user", "content": json.dumps(part, ensure_ascii=False)}], tier), len(part))
+        except Exception:  # whatever a provider raises, the next attempt may do better
+            return None
+
+    for _ in range(retries + 1):
         if (found := ask(texts)) is not None:
             return found, calls
     out = []
     for text in texts:
-        for _ in range(retries + 1):
-            calls += 1
-            if (one := ask([text])) is not None:
-                out += one
-                break
-        else:
+        if (one := ask([text])) is None:
             raise AlignmentError(f"no translation for {text[:60]!r}")
+        out += one
     return out, calls
 
 
@@ -102,36 +156,22 @@ def translate_batches(batches: DataFrame, key: list[str], client: Provider | Non
     return source.mapInArrow(run, schema)
 
 
-def polish(texts: list[str], client: Provider) -> list[str]:
-    """Polished texts, or the given ones if their number changes or the call fails."""
-    try:
-        value = parse_loose(client.complete([{"role": "user", "content": json.dumps(texts, ensure_ascii=False)}], "strong"))
-    except Exception:  # a provider may fail in any way, and polishing is optional
-        return texts
+def polished(texts: list[str], reply: str | None) -> list[str]:
+    """The texts of a reply, or the given ones if there is none or their number differs."""
+    value = parse_loose_or_none(reply)
     value = next(iter(value.values()), None) if isinstance(value, dict) else value
     return [str(v) for v in value] if isinstance(value, list) and len(value) == len(texts) else texts
 
 
-def review(sources: list[str], targets: list[str], client: Provider) -> list[dict]:
-    """Issues of a chunk as dicts; what is no dict is dropped, a failure is raised."""
-    pairs = [{"index": i, "source": s, "target": t} for i, (s, t) in enumerate(zip(sources, targets, strict=True))]
-    value = parse_loose(client.complete([{"role": "user", "content": json.dumps(pairs, ensure_ascii=False)}], "cheap"))
-    value = value.get("issues", []) if isinstance(value, dict) else value
-    return [v for v in value if isinstance(v, dict)] if isinstance(value, list) else []
+def parse_loose_or_none(reply: str | None):
+    try:
+        return parse_loose(reply or "")
+    except ValueError:
+        return None
 
 
-def reduce_to_one(texts: list[str], budget: int, shorten: Callable[[list[str]], str]) -> str:
-    """Pack texts into groups under ``budget`` and shorten each, until one is left; blanks are dropped."""
-    texts = [t for t in texts if t.strip()]
-    while len(texts) > 1:
-        groups, size = [[]], 0
-        for t in texts:
-            if groups[-1] and size + len(t) > budget:
-                groups.append([])
-                size = 0
-            groups[-1].append(t)
-            size += len(t) + 1
-        if len(groups) == len(texts):  # nothing fits together: shorten pairs, so that it ends
-            groups = [texts[i : i + 2] for i in range(0, len(texts), 2)]
-        texts = [t for g in groups if (t := shorten(g)).strip()]
-    return texts[0] if texts else ""
+def issues_of(reply: str) -> list[dict]:
+    """Issues of a reply as dicts; what is no dict is dropped; ValueError if there is no JSON."""
+    value = parse_loose(reply)
+    value = value.get("issues", []) if isinstance(value, dict) else value
+    return [v for v in value if isinstance(v, dict)] if isinstance(value, list) else []

@@ -40,7 +40,7 @@ def text_segments(chapters_: DataFrame, key: str) -> DataFrame:
     """Segments of chapters: the heading, if the chapter has one, and then its paragraphs."""
     body = F.transform(paragraphs(F.col("body")), lambda p: F.struct(p.alias("source"), F.lit("text").alias("kind")))
     head = F.when(F.col("level").isNotNull(), F.array(F.struct(F.col("title").alias("source"), F.lit("heading").alias("kind")))).otherwise(F.array().cast("array<struct<source:string,kind:string>>"))
-    return chapters_.select(key, "chapter", F.posexplode(F.concat(head, body)).alias("seg", "s")).select(key, "chapter", "seg", "s.source", "s.kind")
+    return chapters_.select(key, "chapter", "title", "level", F.posexplode(F.concat(head, body)).alias("seg", "s")).select(key, "chapter", "title", "level", "seg", "s.source", "s.kind")
 
 
 _RUNS = "array<array<string>>"

@@ -1,20 +1,23 @@
 """Assembling books: one file per document from its rendered segments.
 
-Each document is put together in one task from its own segments; files come back as rows (name, bytes)
-and are saved through the Hadoop file system, so they go to any store that Spark writes to.
+Each document is put together in one task from its own segments; files are rows (name, bytes), which the
+tasks themselves save in any store that pyarrow's file systems reach.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import io
+import os
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import render
@@ -52,12 +55,12 @@ def _filled(block: Node, text: str) -> None:
     block.children = parts
 
 
-def render_resource(markup: str, index: int, targets: dict[str, str], bilingual: bool = False, lang: str = "zh-Hans") -> str:
+def render_resource(markup: str, index: int, targets: dict[str, str], bilingual: bool = False, lang: str = "zh-Hans", skip_nav: bool = False) -> str:
     """A resource with its translated blocks; with ``bilingual`` the source stands below as another block."""
     root = parse(markup)
     body = root.find("body") or root
     n = 0
-    for block in list(epub._innermost(body, False)):
+    for block in list(epub._innermost(body, skip_nav)):
         lines = [t for line in epub.split_breaks(block) if (t := epub.inline_content(line)[0])]
         anchors = [f"q{index}_{n + k}" for k in range(len(lines))]
         n += len(lines)
@@ -98,7 +101,7 @@ def rewrite_epub(data: bytes, targets: dict[str, str], labels: dict[tuple[str, i
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         package = epub.read_package(z)
-        there = {s["anchor"] for i, h in enumerate(package.spine) for s in epub.resource_segments(decode(z.read(h)), i)}
+        there = {s["anchor"] for r in epub.read(data)["resources"] for s in r["segments"]}
         if gone := sorted(set(targets) - there)[:3]:
             raise ValueError(f"the book has no segments {', '.join(gone)}")
         for item in z.infolist():
@@ -107,10 +110,10 @@ def rewrite_epub(data: bytes, targets: dict[str, str], labels: dict[tuple[str, i
                 new.writestr(item, body, zipfile.ZIP_STORED)
                 continue
             if item.filename in package.spine:
-                body = render_resource(decode(body), package.spine.index(item.filename), targets, bilingual, lang).encode()
+                body = render_resource(decode(body), package.spine.index(item.filename), targets, bilingual, lang, item.filename in package.contents).encode()
             elif item.filename == package.path:
                 body = re.sub(r"(<dc:language[^>]*>).*?(</dc:language>)", rf"\g<1>{lang}\g<2>", decode(body), flags=re.S).encode()
-            elif labels and item.filename in package.contents:
+            if labels and item.filename in package.contents:
                 own = {k: t for (path, k), t in labels.items() if path == item.filename}
                 body = _relabel(body, own, item.filename.lower().endswith(".ncx"))
             new.writestr(item.filename, body)
@@ -143,13 +146,18 @@ def build_epub(title: str, chapters: list[tuple[str, list[tuple[str, str]]]], la
     return out.getvalue()
 
 
+def output_name(path: Column, fmt: str, bilingual: bool = False) -> Column:
+    """The name of the file that is made of a book."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
+    return F.concat(stem, F.lit(".zh-bi" if bilingual else ".zh"), F.lit(FORMATS[fmt]))
+
+
 def assembled(segments: DataFrame, fmt: str, bilingual: bool = False) -> DataFrame:
     """Rows (path, content) with one file per document from (path, title, chapter, chapter_title, seg,
     kind, source, target); ValueError for an unknown format."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known: {', '.join(FORMATS)}")
-    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
-    name = F.concat(stem, F.lit(".zh-bi" if bilingual else ".zh"), F.lit(FORMATS[fmt]))
+    name = output_name(F.col("path"), fmt, bilingual)
     if fmt == "epub":
         shown = segments.withColumn("text", render.shown(F.col("source"), F.col("target"))).select(name.alias("name"), "title", "chapter", "chapter_title", "seg", "kind", "text")
 
@@ -169,31 +177,48 @@ def assembled(segments: DataFrame, fmt: str, bilingual: bool = False) -> DataFra
     return body.select(F.col("name").alias("path"), F.encode(text, "utf-8").alias("content"))
 
 
-def translated_epubs(files: DataFrame, segments: DataFrame, bilingual: bool = False) -> DataFrame:
-    """Original files (path, content) with the targets of their segments (path, anchor, target)."""
+def translated_epubs(files: DataFrame, segments: DataFrame, labels: DataFrame | None = None, bilingual: bool = False) -> DataFrame:
+    """Original files (path, content), each translated in place: (path, content).
+
+    ``segments`` has the texts to show (path, anchor, target), ``labels`` the titles of entries of the
+    table of contents (path, toc_path, toc_node, label). A file without either is left as it is."""
     targets = segments.where("target is not null and anchor is not null").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("anchor", "target"))).alias("targets"))
-    both = files.select("path", "content").join(targets, "path")
+    both = files.select("path", "content").join(targets, "path", "left")
+    if labels is None:
+        both = both.withColumn("labels", F.lit(None).cast("array<struct<toc_path:string,toc_node:int,label:string>>"))
+    else:
+        named = labels.where("label is not null").groupBy("path").agg(F.collect_list(F.struct("toc_path", "toc_node", "label")).alias("labels"))
+        both = both.join(named, "path", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [rewrite_epub(c, dict(t), bilingual=bilingual) for c, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+            for path, content, found, names in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "targets", "labels")), strict=True):
+                own = {(n["toc_path"], n["toc_node"]): n["label"] for n in names or []}
+                new = rewrite_epub(content, dict(found or []), own, bilingual=bilingual) if found or own else content
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([new], pa.binary())], names=["path", "content"])
 
-    return both.mapInArrow(run, "path string, content binary")
+    return both.select("path", "content", "targets", "labels").mapInArrow(run, "path string, content binary")
 
 
 def save_files(files: DataFrame, folder: str) -> list[str]:
-    """Save rows (path, content) below a folder, one file at a time, each first under a temporary name."""
-    spark = files.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    saved = []
-    for row in files.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row['path']}")
-        fs, part = path.getFileSystem(conf), path.suffix(".part")
-        stream = fs.create(part, True)
-        stream.write(bytearray(row["content"]))
-        stream.close()
-        fs.delete(path, False)
-        fs.rename(part, path)
-        saved.append(path.toString())
-    return saved
+    """Save rows (path, content) below a folder that the executors reach, and return the paths.
+
+    The tasks that made the files write them, each first under a temporary name and then moved in one step,
+    so that a repeated task does no harm and no reader sees half a file."""
+    target = folder if "://" in folder else "file://" + os.path.abspath(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(target)
+        for batch in batches:
+            saved = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{base.rstrip('/')}/{name}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, path)
+                saved.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(saved, pa.string())], names=["path"])
+
+    return sorted(r["path"] for r in files.select("path", "content").mapInArrow(run, "path string").collect())

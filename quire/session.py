@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,15 @@ def local_session(app: str = "quire", cores: int = 8, memory: str = "8g") -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below a data directory."""
     return spark.read.parquet(f"{sf_dir.rstrip(os.sep)}/{name}.parquet")
+
+
+def lineage_cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the folder of spark.checkpoint.dir. Only a session that runs in one
+    process makes do with a temporary folder where the setting is absent."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not known and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="quire-"))
+    return df.checkpoint()

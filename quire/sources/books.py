@@ -1,22 +1,28 @@
 """Reading book files of any supported format into one table of segments.
 
-Files come as Spark's binaryFile rows, so they may lie in any store that Spark reads.
+Files come as Spark's binaryFile rows, so they may lie in any store that Spark reads. Only markup is
+parsed in Python; text is cut into chapters, and an EPUB's segments are dealt to the entries of its table
+of contents, by DataFrame operators.
 """
 
 from __future__ import annotations
 
 import posixpath
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quire.operators import segments, toc
 from quire.sources import epub, fb2, html
 
 EXTENSIONS = {".epub": "epub", ".md": "text", ".markdown": "text", ".txt": "text", ".text": "text", ".fb2": "fb2", ".html": "html", ".htm": "html"}
-SCHEMA = "path string, fmt string, title string, chapter int, chapter_title string, seg int, kind string, anchor string, source string"
-_HEADING = re.compile(r"^(#{1,3})\s+(.*\S)\s*$")
+SCHEMA = "path string, fmt string, title string, chapter int, chapter_title string, seg int, kind string, level int, anchor string, source string, href string, toc_path string, toc_node int"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+_ENTRY = "toc_rank:int,toc_path:string,node:int,parent:int,depth:int,title:string,raw_href:string,href:string,fragment:string,external:boolean"
+EPUB = f"path string, title string, segments array<struct<pos:int,resource:int,href:string,kind:string,anchor:string,source:string>>, resources array<struct<href:string,pos:int,size:int>>, fragments array<struct<href:string,fragment:string,pos:int>>, entries array<struct<{_ENTRY}>>"
 
 
 def format_of(path: str) -> str:
@@ -27,45 +33,117 @@ def format_of(path: str) -> str:
     return EXTENSIONS[extension]
 
 
-def _text_chapters(text: str, stem: str) -> list[dict]:
-    out = [{"title": stem, "head": None, "body": []}]
-    for line in text.splitlines():
-        if m := _HEADING.match(line):
-            out.append({"title": m[2].strip(), "head": m[2].strip(), "body": []})
-        else:
-            out[-1]["body"].append(line)
-    chapters = []
-    for c in out:
-        parts = [p.strip("\n") for p in re.split(r"\n\s*\n", "\n".join(c["body"])) if p.strip()]
-        if parts or c["head"]:
-            chapters.append({"title": c["title"], "segments": ([("heading", c["head"])] if c["head"] else []) + [("text", p) for p in parts]})
-    return chapters
-
-
-def _book(path: str, data: bytes) -> tuple[str, str, list[tuple[str, list[tuple[str, str, str | None]]]]]:
-    fmt, stem = format_of(path), posixpath.splitext(posixpath.basename(path))[0]
-    if fmt == "epub":
-        book = epub.read(data)
-        return fmt, book["title"] or stem, [(next((s["source"] for s in r["segments"] if s["kind"] == "heading"), ""), [(s["kind"], s["source"], s["anchor"]) for s in r["segments"]]) for r in book["resources"]]
-    if fmt == "fb2":
-        found = fb2.chapters(data)
-    elif fmt == "html":
-        found = html.chapters(html.decode(data))
-    else:
-        found = _text_chapters(data.decode("utf-8-sig", "replace"), stem)
-    return fmt, stem, [(c["title"], [(k, t, f"q{i}_{j}") for j, (k, t) in enumerate(c["segments"])]) for i, c in enumerate(found)]
+def _format(path: Column) -> Column:
+    """The format by extension, null for others."""
+    known = F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv))
+    return F.try_element_at(known, F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1)))
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """All segments of the book files below a path or glob."""
+def book_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files (path, fmt, content) below a path or glob; fmt is null where the format is not supported."""
+    return spark.read.format("binaryFile").load(path).select("path", _format(F.col("path")).alias("fmt"), "content")
+
+
+def _stem(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
+
+
+def text_books(files: DataFrame) -> DataFrame:
+    """Segments of text and Markdown files, chapters cut at their heading lines."""
+    text = F.regexp_replace(F.try_validate_utf8(F.decode("content", "UTF-8")), "^\ufeff", "")
+    texts = files.select("path", text.alias("text"))
+    cut = segments.text_segments(segments.chapters(texts, "path", "text", _stem(F.col("path"))), "path")
+    heads = cut.withColumn("anchor", F.concat(F.lit("q"), "chapter", F.lit("_"), "seg"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    return heads.select("path", F.lit("text").alias("fmt"), _stem(F.col("path")).alias("title"), F.col("chapter").cast("int"), F.col("title").alias("chapter_title"), F.col("seg").cast("int"), "kind", F.when(F.col("kind") == "heading", F.col("level")).cast("int").alias("level"), "anchor", "source", none("href", "string"), none("toc_path", "string"), none("toc_node", "int"))
+
+
+def markup_books(files: DataFrame) -> DataFrame:
+    """Segments of HTML and FB2 files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fmt, title, chapters = _book(name, data)
-                rows = [(name, fmt, title, c, ct, s, kind, anchor, source) for c, (ct, segs) in enumerate(chapters) for s, (kind, source, anchor) in enumerate(segs)]
+            for path, fmt, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = fb2.chapters(data) if fmt == "fb2" else html.chapters(html.decode(data))
+                stem = posixpath.splitext(posixpath.basename(path))[0]
+                rows = [(path, fmt, stem, c, ch["title"], s, kind, None, f"q{c}_{s}", text, None, None, None) for c, ch in enumerate(found) for s, (kind, text) in enumerate(ch["segments"])]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=COLUMNS)
+
+    return files.select("path", "fmt", "content").mapInArrow(run, SCHEMA)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+
+def parsed_epubs(files: DataFrame) -> DataFrame:
+    """One row per EPUB: its segments, resources, fragment ids and entries of its tables of contents."""
+
+    def one(path: str, data: bytes) -> dict:
+        book = epub.read(data)
+        ranks: dict[str, int] = {}
+        resources = book["resources"]
+        return {
+            "path": path,
+            "title": book["title"] or posixpath.splitext(posixpath.basename(path))[0],
+            "segments": [{"pos": r["start"] + k, "resource": r["index"], "href": r["href"]} | {f: s[f] for f in ("kind", "anchor", "source")} for r in resources for k, s in enumerate(r["segments"])],
+            "resources": [{"href": r["href"], "pos": r["start"], "size": len(r["segments"])} for r in resources],
+            "fragments": [{"href": r["href"], "fragment": f, "pos": r["start"] + k} for r in resources for f, k in r["ids"].items()],
+            "entries": [{"toc_rank": ranks.setdefault(e["toc_path"], len(ranks))} | e for e in book["toc"]],
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, whole = pa.string(), pa.int32()
+        segment = pa.struct([("pos", whole), ("resource", whole), ("href", text), ("kind", text), ("anchor", text), ("source", text)])
+        entry = pa.struct([(n, {"int": whole, "string": text, "boolean": pa.bool_()}[t]) for n, t in (x.split(":") for x in _ENTRY.split(","))])
+        schema = pa.schema([("path", text), ("title", text), ("segments", pa.list_(segment)), ("resources", pa.list_(pa.struct([("href", text), ("pos", whole), ("size", whole)]))), ("fragments", pa.list_(pa.struct([("href", text), ("fragment", text), ("pos", whole)]))), ("entries", pa.list_(entry))])
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist([one(path, data)], schema)
+
+    return files.select("path", "content").mapInArrow(run, EPUB)
+
+
+def epub_chapters(books: DataFrame) -> DataFrame:
+    """Segments of parsed EPUBs in the chapters of their tables of contents.
+
+    Entries are located at the start of their resource or at their fragment; groups without a link take the
+    place of their first located descendant. The boundaries are the top-level entries of the first table
+    that has any; what stands before the first is a chapter of its own. A book without a boundary has one
+    chapter per resource."""
+    part = lambda name: books.select("path", F.explode(name).alias("_x")).select("path", "_x.*")
+    here = F.struct("path", "href")
+    resources, fragments = part("resources").withColumn("href", here), part("fragments").withColumn("href", here)
+    entries = toc.locate(part("entries").withColumn("href", here), resources, fragments)
+    ends = resources.select(F.col("href").alias("_h"), (F.col("pos") + F.col("size")).alias("_end"))
+    entries = entries.join(ends, F.col("href") == F.col("_h"), "left").withColumns({"anchored": F.coalesce(F.col("pos") < F.col("_end"), F.lit(False)), "_toc": F.struct("path", "toc_rank"), "_own": F.col("pos")})
+    linked = F.length(F.coalesce("raw_href", F.lit(""))) > 0
+    entries = toc.inherit(entries, "_toc").withColumn("pos", F.when(linked, F.col("_own")).otherwise(F.col("pos"))).withColumn("seq", F.col("node"))
+    found = toc.boundaries(entries, "_toc").withColumn("_first", F.min("toc_rank").over(Window.partitionBy("path"))).where("toc_rank = _first")
+    number = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
+    marks = found.select("path", "pos", F.col("title").alias("_title"), "toc_path", F.col("node").alias("toc_node"), number.alias("_n"))
+    flat = books.select("path", "title", F.explode("segments").alias("_s")).select("path", "title", "_s.*")
+    placed = flat.join(toc.assign(flat, marks.select("path", "pos"), "path"), ["path", "pos"])
+    named = placed.join(marks.select("path", F.col("_n").alias("chapter"), "_title", "toc_path", "toc_node"), ["path", "chapter"], "left")
+    # Without a boundary the resources are the chapters.
+    group = F.when(F.max("chapter").over(Window.partitionBy("path")) > 0, F.col("chapter")).otherwise(F.col("resource"))
+    dense = named.withColumn("_bounded", F.max("chapter").over(Window.partitionBy("path")) > 0).withColumn("chapter", F.dense_rank().over(Window.partitionBy("path").orderBy(group)) - 1)
+    whole = Window.partitionBy("path", "chapter").orderBy("pos")
+    head = F.when(F.col("kind") == "heading", F.col("source"))
+    own = F.coalesce(F.when(F.col("_bounded"), F.first(head).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(F.first(head, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))), F.lit(""))
+    return dense.select(
+        "path", F.lit("epub").alias("fmt"), "title", F.col("chapter").cast("int"), F.coalesce("_title", own).alias("chapter_title"), (F.row_number().over(whole) - 1).cast("int").alias("seg"),
+        "kind", F.lit(None).cast("int").alias("level"), "anchor", "source", "href", "toc_path", "toc_node",
+    )
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """All segments of book files (path, fmt, content); those of no supported format are left out.
+
+    An EPUB is parsed once, its parsed rows are kept on disk while they are joined."""
+    epubs = parsed_epubs(files.where("fmt = 'epub'")).persist(StorageLevel.DISK_ONLY)
+    parts = [text_books(files.where("fmt = 'text'")), markup_books(files.where("fmt in ('html', 'fb2')")), epub_chapters(epubs)]
+    return parts[0].select(COLUMNS).unionByName(parts[1].select(COLUMNS)).unionByName(parts[2].select(COLUMNS))
+
+
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    """All segments of the book files below a path or glob."""
+    return read_files(book_files(spark, path))

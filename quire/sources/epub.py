@@ -180,24 +180,53 @@ def split_breaks(block: Node) -> list[Node]:
     return [x for x in lines if x.text().strip()]
 
 
-def resource_segments(html: str, index: int, skip_nav: bool = False) -> list[dict]:
-    """Segments of a resource: innermost blocks, cut at line breaks, with anchors and fragment ids."""
+def resource(html: str, index: int, skip_nav: bool = False) -> tuple[list[dict], dict[str, int]]:
+    """Segments of a resource, innermost blocks cut at line breaks, and the place in them of each id.
+
+    An id in a block stands for the line that it is in, one between blocks for the block that follows; one
+    after the last block stands for the number of segments. Of equal ids the first counts."""
     root = parse(html)
-    out = []
+    out: list[dict] = []
+    starts, ends, lines = {}, {}, {}
     for block in _innermost(root.find("body") or root, skip_nav):
-        ids = [n.attributes[a] for n in (block, *block.walk()) for a in ("id", "name") if n.attributes.get(a)]
+        starts[id(block)] = len(out)
         for line in split_breaks(block):
+            lines |= {id(n): len(out) for n in line.walk()}
             text, images = inline_content(line)
             if text:
-                out.append({"anchor": f"q{index}_{len(out)}", "kind": "heading" if block.tag in HEADINGS else "text", "source": text, "images": images, "ids": ids})
-                ids = []
-    return out
+                out.append({"anchor": f"q{index}_{len(out)}", "kind": "heading" if block.tag in HEADINGS else "text", "source": text, "images": images})
+        ends[id(block)] = len(out)
+    ids: dict[str, int] = {}
+    ahead = 0
+    open_: list[tuple[Node, int | None]] = [(root, None)]
+    while open_:  # in document order; a block is met again, as (block, -1), when it ends
+        node, place = open_.pop()
+        if place == -1:
+            ahead = ends[id(node)]
+            continue
+        inside = place if place is not None else starts.get(id(node))
+        at = lines.get(id(node), ahead if inside is None else inside)
+        for name in ("id", "name"):
+            if value := node.attributes.get(name):
+                ids.setdefault(value, at)
+        if place is None and inside is not None:
+            open_.append((node, -1))
+        open_ += [(c, inside) for c in reversed(node.children) if isinstance(c, Node)]
+    return out, ids
+
+
+def resource_segments(html: str, index: int, skip_nav: bool = False) -> list[dict]:
+    return resource(html, index, skip_nav)[0]
 
 
 def read(data: bytes) -> dict:
-    """A whole book: title, resources with segments, entries of its contents."""
+    """A whole book: title, resources with segments, ids and their place in the book, contents."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        package = read_package(z)
-        navs = set(package.contents)
-        resources = [{"href": h, "segments": resource_segments(decode(z.read(h)), i, h in navs)} for i, h in enumerate(package.spine)]
+        package, there = read_package(z), set(z.namelist())
+        navs, resources, at = set(package.contents), [], 0
+        for i, h in enumerate(package.spine):
+            if h in there:
+                segments, ids = resource(decode(z.read(h)), i, h in navs)
+                resources.append({"href": h, "index": i, "start": at, "segments": segments, "ids": ids})
+                at += len(segments)
         return {"title": package.title, "resources": resources, "toc": toc_entries(z, package.contents)}

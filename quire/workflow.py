@@ -1,29 +1,50 @@
 """The steps of translating a shelf of books, over tables in a state folder.
 
-``prepare`` reads books, ``translate`` fills targets, ``review`` lists issues, ``report`` sums up and
-``assemble`` writes books. Every step can be run again: work that is done is not done twice. Chapters
-are independent of each other, so the steps run over all books at once.
+``prepare`` reads books, ``understand`` tells languages, styles and contents, ``translate`` fills targets,
+``review`` lists issues, ``fix`` heeds them, ``titles`` names chapters, ``qa`` compares them, ``report``
+sums up and ``assemble`` writes books. Every step can be run again: work that is done is not done twice.
+Books are independent of each other, so every step runs over all of them at once; within a book the order
+of batches counts only where one gives context to the next. Each step writes the table that marks its work
+as done last, so that a step that was cut short is taken up where it stopped.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire import config
 from quire.functions.punctuation import normalize
-from quire.functions.text import is_blank
-from quire.operators import checks, folds, memory, model, render, sinks
+from quire.functions.text import chapter_label, is_blank
+from quire.operators import agents, checks, folds, glossary, memory, model, ordered, render, sinks, usage
 from quire.operators.segments import split_text
-from quire.sources.books import read_books
-
-#: Sizes of segments, batches and review chunks in characters.
-LONG_SEGMENT, BATCH, REVIEW = 1200, 1800, 3 * 1800
-ISSUES = "path string, chapter int, seg int, type string, detail string"
+from quire.session import lineage_cut
+from quire.sources import event_log
+from quire.sources.books import book_files, read_files
+
+# Sizes of batches of titles, and the fields of a style brief.
+TITLE_CHARS, TITLE_COUNT = 4000, 40
+STYLE = ("genre", "tone", "era", "narration", "audience", "devices", "register", "advice")
+TABLES = {
+    "files": "path string, fmt string, content binary",
+    "targets": "path string, chapter int, seg int, target string, seq long",
+    "books": "path string, language string, analysis string",
+    "digests": "path string, chapter int, digest string",
+    "synopses": "path string, synopsis string, n_chapters long",
+    "proposals": "path string, source string, target string, reading string, gender string, note string, type string, aliases array<string>, chapter int, seq long",
+    "decisions": "path string, source string, target string, seq long",
+    "reviews": "path string, chapter int, digest string, run string, seq long, review_status string",
+    "issues": "path string, chapter int, seg int, type string, detail string, run string",
+    "titles": "path string, chapter int, title_translated string",
+    "usage": "stage string, tier string, calls long",
+    "qa": "path string, index string, type string, detail string",
+}
 
 
 def _there(spark: SparkSession, path: str) -> bool:
@@ -32,141 +53,413 @@ def _there(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _read(spark: SparkSession, state: str, name: str, schema: str) -> DataFrame:
+def read(spark: SparkSession, state: str, name: str) -> DataFrame:
+    """A table of the state, empty if nothing has been written to it."""
     path = f"{state}/{name}"
-    return spark.read.parquet(path) if _there(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(TABLES[name]).parquet(path) if _there(spark, path) else spark.createDataFrame([], TABLES[name])
 
 
-def prepare(spark: SparkSession, books: str, state: str) -> DataFrame:
-    """Read all books below a path into ``segments`` with long segments split; books known are left."""
-    known = _read(spark, state, "segments", "path string").select("path").distinct()
-    fresh = read_books(spark, books).join(known, "path", "left_anti")
-    pieces = fresh.select("path", "fmt", "title", "chapter", "chapter_title", F.col("seg").alias("_s"), "kind", "anchor", F.posexplode(split_text(F.col("source"), LONG_SEGMENT)).alias("_k", "source"))
-    first = F.col("_k") == 0
-    dense = F.row_number().over(Window.partitionBy("path", "chapter").orderBy("_s", "_k")) - 1
-    out = pieces.select("path", "fmt", "title", "chapter", "chapter_title", dense.alias("seg"), F.when(first, F.col("kind")).otherwise("text").alias("kind"), F.when(first, F.col("anchor")).alias("anchor"), "source", (~first).alias("cont"))
-    out.write.mode("append").parquet(f"{state}/segments")
+def _append(state: str, name: str, rows: DataFrame) -> None:
+    columns = [f.split()[0] for f in TABLES[name].split(", ")]
+    typed = [F.col(c).cast(f.split(maxsplit=1)[1]).alias(c) for c, f in zip(columns, TABLES[name].split(", "), strict=True)]
+    rows.select(typed).write.mode("append").parquet(f"{state}/{name}")
+
+
+@contextmanager
+def locked(spark: SparkSession, state: str) -> Iterator[None]:
+    """Only one run writes to a state folder; RuntimeError for a second one."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{state}/_lock")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.createNewFile(path):
+        raise RuntimeError(f"another run writes to {state}; if none does, delete {state}/_lock")
+    try:
+        yield
+    finally:
+        fs.delete(path, False)
+
+
+def segments(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.parquet(f"{state}/segments")
 
 
+def prepare(spark: SparkSession, books: str, state: str, settings: dict | None = None) -> DataFrame:
+    """Read all books below a path into ``segments`` with long segments split; books known are left, and so
+    are files of no supported format. EPUBs are kept as they are, to be translated in place."""
+    settings = settings or config.DEFAULTS
+    files = book_files(spark, books).where("fmt is not null")
+    if _there(spark, f"{state}/segments"):
+        files = files.join(segments(spark, state).select("path").distinct(), "path", "left_anti")
+    pieces = read_files(files).select("*", F.posexplode(split_text(F.col("source"), settings["segment"]["long_segment_chars"])).alias("_k", "_piece"))
+    first = F.col("_k") == 0
+    dense = F.row_number().over(Window.partitionBy("path", "chapter").orderBy("seg", "_k")) - 1
+    out = pieces.withColumns({"_seg": dense, "kind": F.when(first, F.col("kind")).otherwise("text"), "anchor": F.when(first, F.col("anchor")), "cont": ~first})
+    _append(state, "files", files.where("fmt = 'epub'"))
+    out.drop("seg", "source", "_k").withColumnsRenamed({"_seg": "seg", "_piece": "source"}).write.mode("append").parquet(f"{state}/segments")
+    return segments(spark, state)
+
+
 def targets(spark: SparkSession, state: str) -> DataFrame:
     """The last target of every segment."""
-    return memory.latest(_read(spark, state, "targets", "path string, chapter int, seg int, target string, seq long"), ["path", "chapter", "seg"], "target")
+    return memory.latest(read(spark, state, "targets"), ["path", "chapter", "seg"], "target")
 
 
 def current(spark: SparkSession, state: str) -> DataFrame:
-    """Segments with target and the status of their chapter: done if no text lacks its target."""
-    s = spark.read.parquet(f"{state}/segments").join(targets(spark, state), ["path", "chapter", "seg"], "left")
+    """Segments with target and the status of their chapter: done if no text lacks its target, failed if
+    the last run ended in it, else pending."""
+    s = segments(spark, state).join(targets(spark, state), ["path", "chapter", "seg"], "left")
     missing = F.max((is_blank(F.col("target")) & ~is_blank(F.col("source"))).cast("int")).over(Window.partitionBy("path", "chapter"))
-    return s.withColumn("status", F.when(missing == 0, "done").otherwise("pending"))
-
-
-def _append_targets(spark: SparkSession, state: str, rows: DataFrame) -> None:
-    last = _read(spark, state, "targets", "seq long").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    rows.withColumn("seq", F.lit(last + 1)).select("path", "chapter", "seg", "target", "seq").write.mode("append").parquet(f"{state}/targets")
-
-
-def translate(spark: SparkSession, state: str, client: model.Provider | None = None, punctuation: bool = True) -> DataFrame:
-    """Translate what has no target, in batches that never mix done and open segments."""
+    failed = _events(spark, state, "chapter_failed").groupBy("path", "chapter").agg(F.lit(True).alias("_failed"))
+    return s.join(failed, ["path", "chapter"], "left").withColumn("status", F.when(missing == 0, "done").when(F.col("_failed"), "failed").otherwise("pending")).drop("_failed")
+
+
+def _log(state: str, rows: DataFrame, event: str) -> None:
+    event_log.append(rows.withColumns({"event": F.lit(event), "ts": F.current_timestamp()}), f"{state}/events")
+
+
+def _events(spark: SparkSession, state: str, event: str) -> DataFrame:
+    """Events of one kind (path, chapter, key)."""
+    if not _there(spark, f"{state}/events"):
+        return spark.createDataFrame([], "path string, chapter int, key string")
+    data = event_log.read(spark, f"{state}/events").where(event_log.text_field(F.col("data"), "event") == event)
+    return data.select(event_log.text_field(F.col("data"), "path").alias("path"), F.try_variant_get("data", "$.chapter", "int").alias("chapter"), event_log.text_field(F.col("data"), "key").alias("key"))
+
+
+def _count_calls(state: str, stage: str, tier: str, calls: DataFrame) -> None:
+    """Add the calls of a step (column calls) to the usage, if there were any."""
+    total = calls.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls")).where("calls > 0")
+    _append(state, "usage", total.select(F.lit(stage).alias("stage"), F.lit(tier).alias("tier"), "calls"))
+
+
+def usage_report(spark: SparkSession, state: str) -> DataFrame:
+    """Calls by tier, by stage and in all."""
+    facts = read(spark, state, "usage").select("tier", "stage", "calls", *(F.lit(0).cast("long").alias(f) for f in usage.FIELDS if f != "calls"))
+    return usage.rolled_up(facts)
+
+
+def chapter_texts(spark: SparkSession, state: str) -> DataFrame:
+    """(path, chapter, text): the sources of each chapter in order, a line each."""
+    parts = F.array_sort(F.collect_list(F.struct("seg", "source")))
+    filled = segments(spark, state).where(~is_blank(F.col("source")))
+    return filled.groupBy("path", "chapter").agg(F.array_join(F.transform(parts, lambda x: x["source"]), "\n").alias("text"))
+
+
+def understand(spark: SparkSession, state: str, client: model.Provider | None = None, settings: dict | None = None) -> DataFrame:
+    """Language, analysis, first terms, chapter digests and synopsis of every book that lacks them.
+
+    Books whose language stays unknown, or is the target's, get an event and no translation."""
+    settings = settings or config.DEFAULTS
+    texts = chapter_texts(spark, state)
+    fresh = texts.join(read(spark, state, "books").select("path"), "path", "left_anti")
+    long = F.length("text") > 200
+    sample = fresh.groupBy("path").agg(F.coalesce(F.min_by(F.when(long, F.col("text")), F.when(long, F.col("chapter"))), F.min_by("text", "chapter")).alias("text"))
+    if settings["source_lang"] == "auto":
+        told = agents.languages(sample, ["path"], "text", client)
+    else:
+        told = sample.select("path", F.lit(settings["source_lang"]).alias("language"))
+    picks = checks.sample_text(fresh, "path", "chapter", "text")
+    place = F.when(F.col("place") == "first", 0).when(F.col("place") == "middle", 1).otherwise(2)
+    shown = picks.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("k"), "sample"))), lambda x: x["sample"]), "\n\n").alias("shown"))
+    asked = sample.join(shown, "path", "left").select("path", F.coalesce("shown", F.substring("text", 1, 6000)).alias("text"))
+    found = lineage_cut(agents.analyses(asked, ["path"], "text", client, settings["source_lang"]).join(told, "path"))
+    if settings["pipeline"]["understanding"]:
+        lacking = texts.join(read(spark, state, "digests").select("path", "chapter"), ["path", "chapter"], "left_anti")
+        _append(state, "digests", agents.chapter_digests(lacking, ["path", "chapter"], "text", client))
+        digests = read(spark, state, "digests")
+        counts = digests.groupBy("path").agg(F.count("*").alias("n_chapters"))
+        stale = counts.join(read(spark, state, "synopses").select("path", "n_chapters"), ["path", "n_chapters"], "left_anti")
+        made = agents.synopses(digests.join(stale.select("path"), "path"), ["path"], "chapter", client=client)
+        _append(state, "synopses", made.join(counts, "path"))
+    _append(state, "proposals", agents.seed_terms(found, ["path"]))
+    refused = found.where((F.col("language") == "") | (F.col("language") == F.substring(F.lit(settings["target_lang"]), 1, 2)))
+    _log(state, refused.select("path", "language"), "language_refused")
+    _append(state, "books", found)
+    return read(spark, state, "books")
+
+
+def terms(spark: SparkSession, state: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, conflicts) of all books after their proposals and decisions."""
+    t, c = glossary.upsert(read(spark, state, "proposals"), ("path",))
+    decided = memory.latest(read(spark, state, "decisions"), ["path", "source"], "target").withColumnRenamed("target", "_chosen")
+    open_ = F.col("_chosen").isNull()
+    t = t.join(decided, ["path", "source"], "left").withColumns({"target": F.coalesce("_chosen", "target"), "status": F.when(open_, F.col("status")).otherwise("ok")}).drop("_chosen")
+    return t, c.join(decided, ["path", "source"], "left").withColumn("resolved", ~open_).drop("_chosen")
+
+
+def resolve_term(spark: SparkSession, state: str, path: str, source: str, target: str) -> None:
+    """Decide for a target; later proposals do not change it."""
+    last = read(spark, state, "decisions").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    _append(state, "decisions", spark.createDataFrame([(path, source, target, last + 1)], TABLES["decisions"]))
+
+
+def _briefs(spark: SparkSession, state: str, batches: DataFrame) -> DataFrame:
+    """The batches (path, chapter, start, items) with ``brief``: style, synopsis, digest and their terms."""
+    latest = lambda name, keys, value: read(spark, state, name).groupBy(*keys).agg(F.max_by(value, "n_chapters").alias(value)) if name == "synopses" else read(spark, state, name).groupBy(*keys).agg(F.first(value).alias(value))
+    fields = {f: F.coalesce(F.get_json_object("analysis", f"$.{f}"), F.lit("")) for f in STYLE}
+    style = latest("books", ["path"], "analysis").select("path", ordered.style_brief(fields).alias("_style"))
+    t, _ = terms(spark, state)
+    hits = glossary.terms_in_texts(t, batches.withColumn("text", F.array_join("items", "\n")), ["path", "chapter", "start"])
+    lines = glossary.glossary_lines(hits.join(t, ["path", "source"]), ["path", "chapter", "start"])
+    joined = batches.join(style, "path", "left").join(latest("synopses", ["path"], "synopsis"), "path", "left").join(latest("digests", ["path", "chapter"], "digest"), ["path", "chapter"], "left").join(lines, ["path", "chapter", "start"], "left")
+    return joined.withColumn("brief", F.to_json(F.struct(F.col("_style").alias("style"), "synopsis", "digest", "glossary"))).drop("_style", "synopsis", "digest", "glossary")
+
+
+def _append_targets(spark: SparkSession, state: str, rows: DataFrame, settings: dict) -> None:
+    last = read(spark, state, "targets").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    shown = rows.withColumn("target", normalize(F.col("target"))) if config.punctuation_wanted(settings) else rows
+    _append(state, "targets", shown.withColumn("seq", F.lit(last + 1)))
+
+
+def _batches(items: DataFrame, settings: dict) -> DataFrame:
+    packed = folds.pack(items, ["path", "chapter"], ["seg"], F.struct("seg", "source", "target"), lambda x: F.length(x["source"]), settings["segment"]["batch_chars"])
+    cut = folds.resume_batches(packed, ["path", "chapter"], lambda x: ~is_blank(x["target"]))
+    field = lambda f: F.transform("items", lambda x: x[f])
+    return cut.select("path", "chapter", "start", "done", field("seg").alias("segs"), field("target").alias("targets"), field("source").alias("items"))
+
+
+def translate(spark: SparkSession, state: str, client: model.Provider | None = None, settings: dict | None = None, only_chapter: int | None = None) -> DataFrame:
+    """Translate what has no target, in batches that never mix done and open segments.
+
+    Every batch is asked with style, synopsis, digest, its terms as known before the run, and the last
+    targets before it. What was translated is saved even if a book could not be finished; then the step
+    fails with AlignmentError. Terms found in what is new are proposed for the next run."""
+    settings = settings or config.DEFAULTS
     items = current(spark, state).where(~is_blank(F.col("source")))
-    packed = folds.pack(items, ["path", "chapter"], ["seg"], F.struct("seg", "source", "target"), lambda x: F.length(x["source"]), BATCH)
-    todo = folds.resume_batches(packed, ["path", "chapter"], lambda x: ~is_blank(x["target"])).where("not done")
-    asked = todo.select("path", "chapter", "start", F.transform("items", lambda x: x["seg"]).alias("segs"), F.transform("items", lambda x: x["source"]).alias("items"))
-    done = model.translate_batches(asked, ["path", "chapter", "start", "segs"], client)
+    refused = _events(spark, state, "language_refused").select("path").distinct()
+    items = items.join(refused, "path", "left_anti")
+    if only_chapter is not None:
+        last = items.agg(F.max("chapter")).first()[0]
+        if not items.where(F.col("chapter") == only_chapter).limit(1).count():
+            raise ValueError(f"there is no chapter {only_chapter}; known: 0 to {last}")
+    cut = _batches(items, settings)
+    if only_chapter is not None:
+        cut = cut.where((F.col("chapter") == only_chapter) | F.col("done"))
+    p = settings["pipeline"]
+    answered = lineage_cut(agents.translated_books(_briefs(spark, state, cut), client, p["align_retries"], p["rolling_context"], src=settings["source_lang"], tgt=settings["target_lang"]))
+    done = answered.where("error is null")
+    if p["polish"]:
+        polished = agents.polished(done, ["path", "chapter", "start", "segs"], "targets", client, tgt=settings["target_lang"])
+        done = lineage_cut(polished)
     each = done.select("path", "chapter", F.explode(F.arrays_zip("segs", "targets")).alias("x")).select("path", "chapter", F.col("x.segs").alias("seg"), F.col("x.targets").alias("target"))
-    _append_targets(spark, state, each.withColumn("target", normalize(F.col("target"))) if punctuation else each)
+    _count_calls(state, "translate", "strong", answered)
+    _append_targets(spark, state, each, settings)
+    _propose(spark, state, cut, done, client)
+    failed = answered.where("error is not null").select("path", "chapter", F.col("error").alias("key"))
+    _log(state, failed, "chapter_failed")
+    bad = failed.limit(1).collect()
+    if bad:
+        raise model.AlignmentError(f"{bad[0]['path']}, chapter {bad[0]['chapter']}: {bad[0]['key']}")
     return current(spark, state)
 
 
-def review(spark: SparkSession, state: str, client: model.Provider, force: bool = False) -> DataFrame:
-    """Issues of done chapters in chunks; chapters reviewed with the same texts are not asked again."""
+def _propose(spark: SparkSession, state: str, asked: DataFrame, done: DataFrame, client: model.Provider | None) -> None:
+    """Terms of batches that have none logged yet, proposed in book order, and the events that say so."""
+    both = done.join(asked.select("path", "chapter", "start", "items"), ["path", "chapter", "start"]).withColumn("key", F.concat_ws(":", "start", F.size("items")))
+    todo = both.join(_events(spark, state, "terms_extracted"), ["path", "chapter", "key"], "left_anti")
+    found = agents.terms(todo, ["path", "chapter", "start", "key"], F.array_join("items", "\n"), F.array_join("targets", "\n"), client)
+    last = read(spark, state, "proposals").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    place = F.row_number().over(Window.partitionBy("path").orderBy("chapter", "start", "position"))
+    _append(state, "proposals", found.withColumns({"seq": place + last, "aliases": F.array().cast("array<string>")}))
+    _log(state, todo.select("path", "chapter", "key"), "terms_extracted")
+
+
+def review_digests(spark: SparkSession, state: str) -> DataFrame:
+    """(path, chapter, digest) of done chapters: of their texts and of the terms that occur in them."""
     done = current(spark, state).where("status = 'done'").where(~is_blank(F.col("source")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seg", "source", "target"))), lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target")))
-    digests = done.groupBy("path", "chapter").agg(ordered.alias("t")).select("path", "chapter", checks.review_digest(F.col("t"), F.array().cast("array<string>"), version=1).alias("digest"))
-    stored = _read(spark, state, "reviews", "path string, chapter int, digest string, review_status string")
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("seg", "source", "target"))), lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target")))
+    texts = done.groupBy("path", "chapter").agg(shown.alias("t"))
+    known, _ = terms(spark, state)
+    hits = glossary.terms_in_texts(known, chapter_texts(spark, state), ["path", "chapter"])
+    six = F.array_sort(F.collect_list(F.struct("source", "target", "reading", "type", "gender", "note")))
+    per = hits.join(known, ["path", "source"]).groupBy("path", "chapter").agg(six.alias("terms"))
+    none = F.array().cast(per.schema["terms"].dataType)
+    both = texts.join(per, ["path", "chapter"], "left")
+    return both.select("path", "chapter", checks.review_digest(F.col("t"), F.coalesce("terms", none), version=2).alias("digest"))
+
+
+def reviewed(spark: SparkSession, state: str) -> DataFrame:
+    """The last review of each chapter (path, chapter, digest, run) that still is of its texts and terms."""
+    last = read(spark, state, "reviews").groupBy("path", "chapter").agg(F.max_by(F.struct("digest", "run", "review_status"), "seq").alias("r")).select("path", "chapter", "r.*")
+    return last.join(review_digests(spark, state), ["path", "chapter", "digest"])
+
+
+def issues(spark: SparkSession, state: str) -> DataFrame:
+    """The issues of the reviews that hold; those of older reviews and texts are not counted again."""
+    runs = reviewed(spark, state).select("path", "chapter", "run")
+    return read(spark, state, "issues").join(runs, ["path", "chapter", "run"], "left_semi")
+
+
+def review(spark: SparkSession, state: str, client: model.Provider | None = None, force: bool = False, settings: dict | None = None) -> DataFrame:
+    """Issues of done chapters in chunks; chapters reviewed with the same texts and terms are not asked again."""
+    settings = settings or config.DEFAULTS
+    digests = lineage_cut(review_digests(spark, state))
+    stored = read(spark, state, "reviews").groupBy("path", "chapter").agg(F.max_by(F.struct("digest", "review_status"), "seq").alias("r")).select("path", "chapter", "r.*")
     todo = checks.to_review(digests, stored, ["path", "chapter"], force)
-    chunks = folds.pack(done.join(todo.select("path", "chapter"), ["path", "chapter"]), ["path", "chapter"], ["seg"], F.struct("seg", "source", "target"), lambda x: F.length(x["source"]), REVIEW)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, chapter, items in zip(*(batch.column(c).to_pylist() for c in ("path", "chapter", "items")), strict=True):
-                for issue in model.review([x["source"] for x in items], [x["target"] for x in items], client):
-                    index = str(issue.get("index", "")).strip()
-                    if index.isdecimal() and int(index) < len(items):
-                        rows.append((path, chapter, items[int(index)]["seg"], str(issue.get("type", "")), str(issue.get("detail", ""))))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in ISSUES.split(", ")])
-
-    chunks.mapInArrow(ask, ISSUES).write.mode("append").parquet(f"{state}/issues")
-    todo.withColumn("review_status", F.lit("done")).write.mode("append").parquet(f"{state}/reviews")  # last: it marks the issues complete
-    return _read(spark, state, "issues", ISSUES)
-
-
-def fix(spark: SparkSession, state: str, client: model.Provider) -> DataFrame:
-    """Translate severe issues anew; a new text is taken if no check speaks against it."""
-    bad = _read(spark, state, "issues", ISSUES).where(F.col("type").isin(*checks.SEVERE)).select("path", "chapter", "seg").distinct()
-    again = current(spark, state).join(bad, ["path", "chapter", "seg"])
-    asked = model.translate_batches(again.select("path", "chapter", "seg", "source", F.array("source").alias("items")), ["path", "chapter", "seg", "source"], client)
-    good = asked.withColumn("target", F.get("targets", F.lit(0))).where(checks.accepts_fix(F.col("source"), F.col("target")))
-    _append_targets(spark, state, good)
+    budget = settings["segment"]["review_factor"] * settings["segment"]["batch_chars"]
+    done = current(spark, state).where(~is_blank(F.col("source"))).join(todo.select("path", "chapter"), ["path", "chapter"])
+    chunks = folds.pack(done, ["path", "chapter"], ["seg"], F.struct("seg", "source", "target"), lambda x: F.length(x["source"]), budget)
+    found = agents.reviews(chunks.select("path", "chapter", F.transform("items", lambda x: x["seg"]).alias("segs"), "items"), ["path", "chapter", "segs"], client)
+    run, last = uuid.uuid4().hex, read(spark, state, "reviews").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    number = F.expr("try_cast(trim(`index`) AS int)")
+    placed = found.withColumn("_i", number).where((F.col("_i") >= 0) & (F.col("_i") < F.size("segs"))).withColumns({"seg": F.get("segs", F.col("_i")), "run": F.lit(run)})
+    _append(state, "issues", placed)
+    _append(state, "reviews", todo.withColumns({"run": F.lit(run), "seq": F.lit(last + 1), "review_status": F.lit("done")}))  # last: it makes the issues count
+    return issues(spark, state)
+
+
+def fix(spark: SparkSession, state: str, client: model.Provider | None = None, settings: dict | None = None) -> DataFrame:
+    """Translate what has severe issues anew, with the remarks and the neighbours; a new text is taken if no
+    check speaks against it. A chapter with a new text has to be reviewed again."""
+    settings = settings or config.DEFAULTS
+    told = checks.severe_feedback(issues(spark, state).withColumn("seq", F.col("detail")), ["path", "chapter", "seg"])
+    near = checks.neighbours(current(spark, state), ["path", "chapter"], "target")
+    asked = near.join(told, ["path", "chapter", "seg"])
+    found = lineage_cut(agents.fixes(asked, ["path", "chapter", "seg"], client, src=settings["source_lang"], tgt=settings["target_lang"]))
+    _append_targets(spark, state, found.where("target is not null"), settings)
     return current(spark, state)
 
 
+def chapters(spark: SparkSession, state: str) -> DataFrame:
+    """(path, chapter, title, toc_path, toc_node, source, target): chapters with their first heading."""
+    segs = current(spark, state)
+    one = segs.groupBy("path", "chapter").agg(F.first("chapter_title").alias("title"), F.first("toc_path").alias("toc_path"), F.first("toc_node").alias("toc_node"))
+    return one.join(ordered.first_headings(segs, ["path", "chapter"]), ["path", "chapter"], "left")
+
+
+def titles(spark: SparkSession, state: str, client: model.Provider | None = None, settings: dict | None = None) -> DataFrame:
+    """Titles of all chapters that have none yet: that of their heading where it is the same text, else a
+    model's, in batches of one book."""
+    settings = settings or config.DEFAULTS
+    known = chapters(spark, state).where(~is_blank(F.col("title"))).join(read(spark, state, "titles").select("path", "chapter"), ["path", "chapter"], "left_anti")
+    named = lineage_cut(ordered.chapter_titles(known.select("path", "chapter", "title"), known.select("path", "chapter", "source", "target"), ["path", "chapter"]))
+    packed = folds.pack(named.where(is_blank(F.col("title_translated"))), ["path"], ["chapter"], F.struct("chapter", "title"), lambda x: F.length(x["title"]), TITLE_CHARS, most_items=TITLE_COUNT)
+    field = lambda f: F.transform("items", lambda x: x[f])
+    told = agents.titles(packed.select("path", field("chapter").alias("at"), field("title").alias("items")), ["path", "at"], "items", client, src=settings["source_lang"], tgt=settings["target_lang"])
+    new = told.select("path", F.explode(F.arrays_zip("at", "titles")).alias("x")).select("path", F.col("x.at").alias("chapter"), F.col("x.titles").alias("title_translated"))
+    _append(state, "titles", named.where(~is_blank(F.col("title_translated"))).select("path", "chapter", "title_translated").unionByName(new))
+    return read(spark, state, "titles")
+
+
+def qa(spark: SparkSession, state: str, client: model.Provider | None = None) -> DataFrame:
+    """Issues between the glossary and the translated chapters of each book."""
+    digest = checks.qa_digest(current(spark, state).where(~is_blank(F.col("source"))), ["path", "chapter", "chapter_title"], "target")
+    line = F.concat(chapter_label(F.col("chapter_title"), F.col("chapter")), F.lit(": "), "digest")
+    whole = agents.ordered_briefs(digest.withColumn("line", line), ["path"], ["chapter"], "line").withColumnRenamed("brief", "chapters")
+    lines = glossary.glossary_lines(terms(spark, state)[0], ["path"])
+    found = lineage_cut(agents.consistency(whole.join(lines, "path", "left"), ["path"], "glossary", "chapters", client))
+    _append(state, "qa", found)
+    return found
+
+
+def status(spark: SparkSession, state: str) -> DataFrame:
+    """(path, chapter, status, review_status): pending, failed or done; and reviewed or not."""
+    there = current(spark, state).select("path", "chapter", "status").distinct()
+    done = reviewed(spark, state).select("path", "chapter", "review_status")
+    return there.join(done, ["path", "chapter"], "left").withColumn("review_status", F.coalesce("review_status", F.lit("pending")))
+
+
 def report(spark: SparkSession, state: str) -> DataFrame:
     """One row of totals."""
-    segs = current(spark, state)
-    issues = _read(spark, state, "issues", ISSUES).groupBy("path", "chapter").agg(F.count("*").alias("n_issues"))
-    reviewed = _read(spark, state, "reviews", "path string, chapter int, digest string, review_status string").select("path", "chapter", "review_status").distinct()
+    counts = issues(spark, state).groupBy("path", "chapter").agg(F.count("*").alias("n_issues"))
     empty = F.count_if(is_blank(F.col("target")) & ~is_blank(F.col("source"))).alias("n_empty")
-    chapters = segs.groupBy("path", "chapter", "status").agg(empty).join(issues, ["path", "chapter"], "left").join(reviewed, ["path", "chapter"], "left")
-    return checks.report_summary(chapters.withColumn("n_issues", F.coalesce("n_issues", F.lit(0))))
+    empties = current(spark, state).groupBy("path", "chapter").agg(empty)
+    rows = status(spark, state).join(empties, ["path", "chapter"]).join(counts, ["path", "chapter"], "left")
+    return checks.report_summary(rows.withColumn("n_issues", F.coalesce("n_issues", F.lit(0))))
 
 
-def assemble(spark: SparkSession, state: str, fmt: str, out: str, bilingual: bool = False) -> list[str]:
-    """Write one file per book, continuations joined to what they continue."""
-    segs = current(spark, state)
+def _joined_paragraphs(segs: DataFrame) -> DataFrame:
+    """Continuations joined to what they continue, with what is to be shown as target."""
     running = Window.partitionBy("path", "chapter").orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = segs.withColumn("_p", F.sum((~F.col("cont")).cast("int")).over(running)).withColumn("shown", render.shown(F.col("source"), F.col("target")))
-    items = F.array_sort(F.collect_list(F.struct("seg", "kind", "source", "shown")))
+    items = F.array_sort(F.collect_list(F.struct("seg", "kind", "anchor", "source", "shown", "level")))
     join = lambda f: F.array_join(F.transform("_x", lambda x: x[f]), "")
-    whole = part.groupBy("path", "title", "chapter", "chapter_title", F.col("_p").alias("seg")).agg(items.alias("_x")).select("path", "title", "chapter", "chapter_title", "seg", F.col("_x")[0]["kind"].alias("kind"), join("source").alias("source"), join("shown").alias("target"))
-    return sinks.save_files(sinks.assembled(whole, fmt, bilingual), out)
+    first = lambda f: F.col("_x")[0][f].alias(f)
+    grouped = part.groupBy("path", "fmt", "title", "chapter", "chapter_title", F.col("_p").alias("seg")).agg(items.alias("_x"))
+    return grouped.select("path", "fmt", "title", "chapter", "chapter_title", "seg", first("kind"), first("anchor"), first("level"), join("source").alias("source"), join("shown").alias("target"))
+
+
+def assemble(spark: SparkSession, state: str, fmt: str, out: str, bilingual: bool = False) -> list[str]:
+    """Write one file per book. An EPUB asked for as EPUB is translated in place, entries of its table of
+    contents named like their chapters; any other book is made anew."""
+    named = read(spark, state, "titles").groupBy("path", "chapter").agg(F.first("title_translated").alias("_title"))
+    whole = _joined_paragraphs(current(spark, state)).join(named, ["path", "chapter"], "left").withColumn("chapter_title", F.coalesce("_title", "chapter_title")).drop("_title")
+    if fmt != "epub":
+        return sinks.save_files(sinks.assembled(whole, fmt, bilingual), out)
+    new = sinks.assembled(whole.where("fmt <> 'epub'"), fmt, bilingual)
+    files = read(spark, state, "files").groupBy("path").agg(F.first("content").alias("content"))
+    labels = chapters(spark, state).join(named, ["path", "chapter"]).where("toc_path is not null").select("path", "toc_path", "toc_node", F.col("_title").alias("label"))
+    name: Column = sinks.output_name(F.col("path"), fmt, bilingual)
+    old = sinks.translated_epubs(files, whole.where("fmt = 'epub'"), labels, bilingual).select(name.alias("path"), "content")
+    return sinks.save_files(new.unionByName(old), out)
 
 
 def main(arguments: list[str] | None = None) -> None:
     from quire.session import local_session
 
     parser = argparse.ArgumentParser(prog="quire", description=__doc__.splitlines()[0])
+    parser.add_argument("--config", help="a JSON file of settings")
     steps = parser.add_subparsers(dest="step", required=True)
-    for name in ("prepare", "translate", "review", "fix", "report", "status", "assemble"):
+    for name in ("prepare", "understand", "translate", "review", "fix", "titles", "qa", "report", "status", "usage", "glossary", "assemble", "init-config"):
         step = steps.add_parser(name)
         step.add_argument("state")
         if name == "prepare":
             step.add_argument("books")
-        if name in ("translate", "review", "fix"):
-            step.add_argument("--provider", default="fake")
+        if name in ("understand", "translate", "review", "fix", "titles", "qa"):
+            step.add_argument("--provider")
+        if name == "translate":
+            step.add_argument("--chapter", type=int)
+            step.add_argument("--polish", action="store_true")
+            step.add_argument("--no-punctuation", action="store_true")
+        if name == "understand":
+            step.add_argument("--no-understanding", action="store_true")
         if name == "review":
             step.add_argument("--force", action="store_true")
+        if name == "glossary":
+            step.add_argument("what", choices=("list", "conflicts", "resolve"))
+            step.add_argument("decision", nargs="*", help="for resolve: path source target")
         if name == "assemble":
             step.add_argument("out")
             step.add_argument("--format", default="epub", choices=sorted(sinks.FORMATS))
             step.add_argument("--bilingual", action="store_true")
     a = parser.parse_args(arguments)
+    if a.step == "init-config":
+        print("written" if config.create_default(a.state) else "there already")
+        return
+    settings = config.load(a.config)
+    pipeline = settings["pipeline"]
+    pipeline["polish"] |= getattr(a, "polish", False)
+    pipeline["punctuation"] &= not getattr(a, "no_punctuation", False)
+    pipeline["understanding"] &= not getattr(a, "no_understanding", False)
     spark = local_session()
-    if a.step == "prepare":
-        prepare(spark, a.books, a.state)
-    elif a.step == "translate":
-        translate(spark, a.state, model.provider(a.provider))
-    elif a.step == "review":
-        review(spark, a.state, model.provider(a.provider), a.force)
-    elif a.step == "fix":
-        fix(spark, a.state, model.provider(a.provider))
-    elif a.step == "assemble":
-        print("\n".join(assemble(spark, a.state, a.format, a.out, a.bilingual)))
-    if a.step in ("report", "status", "translate", "review", "fix"):
-        print(json.dumps(report(spark, a.state).first().asDict(), indent=2))
+    client = model.RetryingProvider(model.provider(getattr(a, "provider", None) or settings["provider"]), **settings["retry"])
+    with locked(spark, a.state):
+        if a.step == "prepare":
+            prepare(spark, a.books, a.state, settings)
+        elif a.step == "understand":
+            understand(spark, a.state, client, settings)
+        elif a.step == "translate":
+            translate(spark, a.state, client, settings, a.chapter)
+        elif a.step == "review":
+            review(spark, a.state, client, a.force, settings)
+        elif a.step == "fix":
+            fix(spark, a.state, client, settings)
+        elif a.step == "titles":
+            titles(spark, a.state, client, settings)
+        elif a.step == "qa":
+            qa(spark, a.state, client).show(truncate=False)
+        elif a.step == "usage":
+            usage_report(spark, a.state).show()
+        elif a.step == "status":
+            status(spark, a.state).orderBy("path", "chapter").show(1000, False)
+        elif a.step == "glossary" and a.what == "resolve":
+            resolve_term(spark, a.state, *a.decision)
+        elif a.step == "glossary":
+            known, conflicts = terms(spark, a.state)
+            (known if a.what == "list" else conflicts.where("not resolved")).show(1000, False)
+        elif a.step == "assemble":
+            print("\n".join(assemble(spark, a.state, a.format, a.out, a.bilingual)))
+        if a.step in ("report", "translate", "review", "fix"):
+            print(json.dumps(report(spark, a.state).first().asDict(), indent=2))
 
 
 if __name__ == "__main__":

@@ -1,5 +1,7 @@
 import io
+import json
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,24 +70,38 @@ def test_alignment_retries_then_goes_one_by_one():
     calls = []
 
     def half(messages, tier):
-        texts = __import__("json").loads(messages[-1]["content"])
+        texts = json.loads(messages[-1]["content"])
         calls.append(len(texts))
-        return __import__("json").dumps([t.upper() for t in (texts if len(texts) == 1 else texts[:1])])
+        if len(calls) == 1:
+            raise OSError("a call that fails is an attempt")
+        return json.dumps([t.upper() for t in (texts if len(texts) == 1 else texts[:1])])
 
     found, n = model.translate_aligned(["a", "b"], model.FakeProvider(half), retries=1)
     assert (found, n, calls) == (["A", "B"], 4, [2, 2, 1, 1])
+    calls = []
     with pytest.raises(model.AlignmentError):
-        model.translate_aligned(["a"], model.FakeProvider(lambda m, t: "no"), retries=0)
-
-
-def test_polish_and_review():
-    assert model.polish(["a", "b"], model.FakeProvider(lambda m, t: '["A"]')) == ["a", "b"]
-    assert model.review(["a"], ["b"], model.FakeProvider(lambda m, t: '{"issues": [{"index": 0}, 3]}')) == [{"index": 0}]
-    assert model.reduce_to_one(["aa", "", "bb", "cc"], 5, lambda g: "".join(x[0] for x in g)) == "ac"
+        model.translate_aligned(["a"], model.FakeProvider(lambda m, t: calls.append(1) or "no"), retries=0)
+    assert len(calls) == 2  # the batch, then the one text once
     with pytest.raises(ValueError):
         model.provider("nobody")
 
 
+def test_retries_with_growing_delays():
+    waited, left = [], [3]
+
+    def flaky(messages, tier):
+        left[0] -= 1
+        if left[0] >= 0:
+            raise OSError
+        return "ok"
+
+    client = model.RetryingProvider(model.FakeProvider(flaky), 4, 10.0, 30.0, waited.append)
+    assert client.complete([], "strong") == "ok" and waited == [10.0, 20.0, 30.0]
+    left[0] = 9
+    with pytest.raises(OSError):
+        client.complete([], "strong")
+
+
 def test_html_chapters():
     page = "<body>front<p>x</p><h1>A</h1> <h2>B</h2><blockquote><p>in</p> q</blockquote><ul><li>l1<li>l2</ul><h1>C</h1></body>"
     out = html.chapters(page)
@@ -124,12 +140,56 @@ def test_books_of_all_formats(spark, tmp_path):
     (tmp_path / "a.epub").write_bytes(book())
     (tmp_path / "b.md").write_text("# X\n\npara")
     (tmp_path / "c.html").write_text("<body><h1>Q</h1><p>r</p></body>")
-    out = books.read_books(spark, str(tmp_path)).groupBy("fmt").count().collect()
-    assert {r["fmt"]: r["count"] for r in out} == {"epub": 4, "text": 2, "html": 2}
+    (tmp_path / "d.txt").write_text("\ufeff第二章 名前\n\n本文\n\n## 小見出し\n\nx")
+    (tmp_path / "e.doc").write_text("left out")
+    out = books.read_books(spark, str(tmp_path)).collect()
+    assert Counter(r["fmt"] for r in out) == {"epub": 4, "text": 6, "html": 2}
+    text = sorted((r["chapter"], r["seg"], r["chapter_title"], r["kind"], r["level"], r["source"]) for r in out if r["path"].endswith("d.txt"))
+    assert text == [(0, 0, "第二章 名前", "heading", 1, "第二章 名前"), (0, 1, "第二章 名前", "text", None, "本文"), (1, 0, "小見出し", "heading", 2, "小見出し"), (1, 1, "小見出し", "text", None, "x")]
     with pytest.raises(ValueError):
         books.format_of("x.doc")
 
 
+def shelf_book(toc: str, pages: dict[str, str], nav: str = "") -> bytes:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+        items = "".join(f'<item id="{n}" href="{n}.xhtml" media-type="application/xhtml+xml"/>' for n in pages) + ('<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>' if nav else "")
+        refs = "".join(f'<itemref idref="{n}"/>' for n in pages)
+        z.writestr("p.opf", f'<package><metadata><title>T</title></metadata><manifest>{items}<item id="n" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="n">{refs}</spine></package>')
+        for n, body in pages.items():
+            z.writestr(f"{n}.xhtml", f"<html><body>{body}</body></html>")
+        z.writestr("toc.ncx", f"<ncx><navMap>{toc}</navMap></ncx>")
+        if nav:
+            z.writestr("nav.xhtml", f'<html><body><nav epub:type="toc"><ol>{nav}</ol></nav></body></html>')
+    return data.getvalue()
+
+
+def point(title: str, src: str = "", inner: str = "") -> str:
+    return f"<navPoint><navLabel><text>{title}</text></navLabel>{f'<content src="{src}"/>' if src else ''}{inner}</navPoint>"
+
+
+def test_epub_chapters_follow_the_contents(spark, tmp_path):
+    pages = {"a": "<p>front</p><h1 id='one'>One</h1><p>1a</p>", "b": "<p>1b</p><a id='mid'></a><h1>Two</h1><p>2a</p><span id='end'></span>", "c": "<p>3a</p><p id='late'>3b</p>"}
+    cases = {
+        # across files, nested entries do not cut, a broken fragment is passed over, an id between blocks counts
+        "x": (point("One", "a.xhtml#one", point("in", "b.xhtml")) + point("gone", "b.xhtml#no") + point("Two", "b.xhtml#mid") + point("Out", "http://e.x/"), "", [("front", ""), ("One", "One"), ("1a", "One"), ("1b", "One"), ("Two", "Two"), ("2a", "Two"), ("3a", "Two"), ("3b", "Two")]),
+        # a group without a link stands where its first located descendant does; an id after the last block is the next file
+        "y": (point("Part", "", point("One", "a.xhtml#one")) + point("End", "b.xhtml#end"), "", [("front", ""), ("One", "Part"), ("1a", "Part"), ("1b", "Part"), ("Two", "Part"), ("2a", "Part"), ("3a", "End"), ("3b", "End")]),
+        # the navigation document goes before the NCX; of two entries at one place the anchored first one counts
+        "z": (point("no", "a.xhtml"), '<li><a href="a.xhtml">Start</a></li><li><a href="c.xhtml#late">Late</a></li><li><a href="c.xhtml#late">Again</a></li>', [("front", "Start"), ("One", "Start"), ("1a", "Start"), ("1b", "Start"), ("Two", "Start"), ("2a", "Start"), ("3a", "Start"), ("3b", "Late")]),
+        # without a boundary the files are the chapters
+        "w": (point("gone", "b.xhtml#no"), "", [("front", "One"), ("One", "One"), ("1a", "One"), ("1b", "Two"), ("Two", "Two"), ("2a", "Two"), ("3a", ""), ("3b", "")]),
+    }
+    for name, (ncx, nav, _) in cases.items():
+        (tmp_path / f"{name}.epub").write_bytes(shelf_book(ncx, pages, nav))
+    out = books.read_books(spark, str(tmp_path)).collect()
+    for name, (_, _, want) in cases.items():
+        rows = sorted((r["chapter"], r["seg"], r["source"], r["chapter_title"]) for r in out if r["path"].endswith(f"{name}.epub"))
+        assert [r[2:] for r in rows] == want, name
+        assert [r[1] for r in rows] == [k for c in sorted({r[0] for r in rows}) for k in range(sum(r[0] == c for r in rows))]
+
+
 def test_event_log_round_trip(spark, tmp_path):
     event_log.append(spark.createDataFrame([("batch", 1, "0:3")], "event string, chapter int, key string"), str(tmp_path / "log"))
     (tmp_path / "log" / "more.txt").write_text("{broken\n[1]\n")
