@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
 DataFrame, which is written as Parquet and read again as the next stage's docs. All stages but the last
 return the columns of documents; n_chars always describes the text as it then is.
+
+In every stage rows may be null in any column, ids may repeat, texts may be empty or long, and columns may
+be named like those an operator uses; an empty table gives an empty result with the same columns. Each
+stage judges rows by their text, never by their doc_id alone. The order of the stages is given.
 """
 
 from __future__ import annotations
@@ -23,31 +27,40 @@ LEAST_SCORE = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go, empty and null texts among them if the model scores an
+    empty passage below LEAST_SCORE. Without labels of both kinds every document scores 0.5 and stays."""
     model = train(docs, table(spark, sf_dir, "labels"))
     columns = docs.columns
     return score_quality(docs, model).where(F.col("score") >= LEAST_SCORE).select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines and long lines go; so do documents of which nothing but white space is left."""
+    """Repeated runs of lines and long lines go; so do documents of which nothing but white space is left.
+
+    Null texts, and those that were blank before, stay; rows equal in doc_id and text count once and get
+    the same result."""
     columns = docs.columns
     out = remove_repeated_lines(docs, short_repeats=True).withColumn("n_chars", F.length("text").cast("long"))
     return out.where((F.col("n_removed_chunks") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays, that with the least doc_id (null before all);
+    rows equal in doc_id and text are one document. Texts without words, null among them, all stay."""
     return drop_near_duplicates(docs).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go, whatever their doc_id. Null and empty texts overlap
+    nothing and stay; without items every document stays."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, tokenised and packed into sequences; one row per piece."""
+    """What is left, tokenised and packed into sequences; one row per piece.
+
+    A null or empty text is its end token alone; a null or repeated doc_id is carried by its pieces, and
+    rows are never joined by it."""
     return pack(docs)
 
 
