@@ -71,6 +71,22 @@ def sample(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], place[first], first, np.flatnonzero(stop), grams[place[first]]
 
 
+def _runs(data: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal neighbouring contexts start, and how many each has.
+
+    Text of a short period samples a place per period, all with one name and one context; such a run repeats
+    itself, so it is one row, however long it is. Neighbours count as equal if their bytes are."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = np.flatnonzero((text[1:] == text[:-1]) & (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]) & (first[1:] == last[:-1] + 1) & (last[1:] - first[1:] == last[:-1] - first[:-1]))
+    view = memoryview(data)
+    same = [view[first[k] : last[k] + LENGTH] == view[first[k + 1] : last[k + 1] + LENGTH] for k in near.tolist()]
+    new = np.ones(len(first), bool)
+    new[near[np.array(same, bool)] + 1] = False
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(first)))
+
+
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     first, held, size = 0, [], 0
     for k, t in enumerate(texts):
@@ -93,10 +109,13 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, place, first, last, gram = sample(np.frombuffer(whole, np.uint8), bounds)
             view, digest = memoryview(whole), xxhash.xxh3_64_intdigest
             context = np.fromiter((digest(view[i : j + LENGTH], p - i) for p, i, j in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
+            new, times = _runs(np.frombuffer(whole, np.uint8), text, first, last, gram, context)
+            ends = last[np.append(new[1:], len(first)) - 1] if len(new) else last
+            text, first, last, gram, context = (x[new] for x in (text, first, last, gram, context))
             row, base = pa.array(at + text), bounds[text]
             yield pa.RecordBatch.from_arrays(
-                [docs.take(row), hashes.take(row), *(pa.array((x - base).astype(np.int32)) for x in (place, first, last)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))],
-                names=["doc", "hash", "place", "first", "last", "gram", "context"],
+                [docs.take(row), hashes.take(row), *(pa.array((x - base).astype(np.int32)) for x in (first, last, ends)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(times)],
+                names=["doc", "hash", "first", "last", "run_last", "gram", "context", "times"],
             )
 
 
@@ -220,15 +239,15 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     doc, text_hash = _key(F.col("doc_id"), F.col("text"))
     sampled = source.where(F.length("text") > 0).select(doc.alias("doc"), text_hash.alias("hash"), "text").mapInArrow(
-        _sample_rows, "doc long, hash long, place int, first int, last int, gram long, context long"
+        _sample_rows, "doc long, hash long, first int, last int, run_last int, gram long, context long, times long"
     )
     sampled = written(sampled, "sampled")
-    names = sampled.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
+    names = sampled.groupBy("gram").agg(F.sum("times").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
     # Written first, so that both sides of the join are shuffled for it and a common gram can be split.
     names = written(names.select("gram", (F.col("least") == F.col("most")).alias("alike")), "names")
     shared = written(sampled.join(names.hint("merge"), "gram"), "shared")
     here = F.struct("doc", "hash", "first", "last")
-    contexts = shared.where("not alike").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(here).alias("at"))
+    contexts = shared.where("not alike").groupBy("gram", "context").agg(F.sum("times").alias("n"), F.min(here).alias("at"))
     contexts = written(contexts, "contexts")
     drop_written(sampled)
     crowds = contexts.groupBy("gram").agg(F.count("*").alias("crowd"), F.count_if(F.col("n") == 1).alias("edges")).where("edges > 0")
@@ -237,8 +256,9 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         F.col("at.doc").alias("w_doc"), F.struct("at.hash", "at.first", "at.last", "gram", (F.col("n") == 1).alias("edge"), "crowd").alias("w")
     )
     by_doc = written(wanted.groupBy("w_doc", F.col("w.hash").alias("w_hash")).agg(F.collect_list("w").alias("wanted")), "wanted")
-    alike = shared.where("alike").select("doc", "hash", "first", "last")
-    equal = shared.where("not alike").join(contexts.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"]).select("doc", "hash", "first", "last")
+    settled = ("doc", "hash", "first", F.col("run_last").alias("last"))  # all contexts of a run, which has one row
+    alike = shared.where("alike").select(*settled)
+    equal = shared.where("not alike").join(contexts.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"]).select(*settled)
     taken = source.join(by_doc.hint("merge"), (doc == F.col("w_doc")) & (text_hash == F.col("w_hash"))).select(doc.alias("doc"), "text", "wanted")
     edges = written(
         taken.mapInArrow(_context_rows, _CONTEXT).repartition(n, "gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -140,6 +141,16 @@ def test_suffix_dedup(spark, monkeypatch, crowd):
     assert got == sorted(brute_repeats(texts))
 
 
+def test_suffix_dedup_of_long_texts_of_a_short_period(spark):
+    texts = [" " * 300_000, "ab" * 100_000 + "c" * 500, "x" + " " * 250, "line of a form\n" * 4000, "unlike " + "".join(chr(97 + k * k % 23) for k in range(150))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sampled = list(suffix_dedup._sample_rows(iter([pa.record_batch([pa.array([1, 2]), pa.array([1, 2]), pa.array(texts[:2])], names=["doc", "hash", "text"])])))
+    assert sum(b.num_rows for b in sampled) < 400  # not one for each byte
+    out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert [sum(x["end"] - x["start"] for x in out[k]["spans"]) for k in range(5)] == [300_000, 200_500, 250, len(texts[3]), 0]
+    assert bytes(out[2]["kept"]) == b"x"
+
+
 def brute_pii(text):
     out = []
     for kind, p in {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}.items():
