@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.gathering import all_gathered, gathered, nothing_gathered
+
 # The characters that count as Chinese context.
 CJK = "一-鿿぀-ヿ＀-￯“”‘’（）《》【】、，。！？：；…—"
 _MARK = "\ue000"
@@ -45,15 +47,15 @@ def single_quotes(c: Column, open_first: Column | None = None) -> Column:
         now = F.when(before & after, state["open"]).when(before, F.lit(True)).otherwise(~state["open"])
         first = state["n"] == 0
         return F.struct(
-            F.when(first, part).otherwise(F.concat(state["text"], F.when(opens, "‘").otherwise("’"), part)).alias("text"),
+            *gathered(state, F.when(first, part).otherwise(F.concat(F.when(opens, "‘").otherwise("’"), part)), F.lit(True)),
             F.when(first, state["open"]).otherwise(now).alias("open"),
             # A quote itself stands before the next one when nothing is between them.
             F.when(first | (F.length(part) > 0), part).otherwise("'").alias("raw"),
             (state["n"] + 1).alias("n"),
         )
 
-    start = F.struct(F.lit("").alias("text"), (F.lit(True) if open_first is None else open_first).alias("open"), F.lit("").alias("raw"), F.lit(0).alias("n"))
-    return F.aggregate(parts, start, step, lambda s: F.struct(s["text"].alias("text"), s["open"].alias("open")))
+    start = F.struct(*nothing_gathered("string"), (F.lit(True) if open_first is None else open_first).alias("open"), F.lit("").alias("raw"), F.lit(0).alias("n"))
+    return F.aggregate(parts, start, step, lambda s: F.struct(F.array_join(all_gathered(s), "").alias("text"), s["open"].alias("open")))
 
 
 # Writings of ellipsis and dash, in order.
@@ -77,10 +79,14 @@ def full_width(c: Column) -> Column:
     return hit
 
 
+# Marks behind which white space goes, always and before Chinese.
+GAP_AFTER, GAP_BEFORE_CHINESE = "，。！？：；、", "”’》】"
+
+
 def close_gaps(c: Column) -> Column:
     """No white space after full-width marks, nor after closing marks before Chinese."""
-    c = F.regexp_replace(c, r"([，。！？：；、])(?U)\s+", "$1")
-    return F.regexp_replace(c, rf"([”’》】])(?U)\s+(?=[{CJK}])", "$1")
+    c = F.regexp_replace(c, rf"([{GAP_AFTER}])(?U)\s+", "$1")
+    return F.regexp_replace(c, rf"([{GAP_BEFORE_CHINESE}])(?U)\s+(?=[{CJK}])", "$1")
 
 
 def normalize(c: Column) -> Column:
@@ -92,18 +98,18 @@ def normalize(c: Column) -> Column:
 def normalize_segments(texts: Column, continues: Column) -> Column:
     """All rules on an array of texts in order; a text that continues the one before inherits its
     open quotations. Null texts become empty."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(True).alias("double"), F.lit(True).alias("single"))
+    start = F.struct(*nothing_gathered("string"), F.lit(True).alias("double"), F.lit(True).alias("single"))
 
     def step(state: Column, item: Column) -> Column:
         raw = japanese_quotes(F.coalesce(item["text"], F.lit("")))
-        goes_on = F.coalesce(item["cont"], F.lit(False)) & (F.size(state["out"]) > 0)
+        goes_on = F.coalesce(item["cont"], F.lit(False)) & (F.size(state["run"]) > 0)
         d, s = F.when(goes_on, state["double"]).otherwise(True), F.when(goes_on, state["single"]).otherwise(True)
         single = single_quotes(double_quotes(raw, d), s)
         return F.struct(
-            F.concat(state["out"], F.array(close_gaps(full_width(ellipsis_dash(single["text"]))))).alias("out"),
+            *gathered(state, close_gaps(full_width(ellipsis_dash(single["text"]))), F.lit(True)),
             double_open_after(raw, d).alias("double"),
             single["open"].alias("single"),
         )
 
     items = F.zip_with(texts, continues, lambda t, k: F.struct(t.alias("text"), k.alias("cont")))
-    return F.aggregate(items, start, step, lambda s: s["out"])
+    return F.aggregate(items, start, step, all_gathered)

@@ -35,16 +35,20 @@ def content_key(c: Column) -> Column:
     return F.sha2(strip(c), 256)
 
 
+# What a slug and a file name may not hold, the longest file name, and the names of nothing.
+SLUG_GAPS, FILE_GAPS, FILE_LENGTH, NO_SLUG, NO_FILE = r"[^\w-]+", r'[\\/:*?"<>|\r\n\t]+', 120, "book", "translated"
+
+
 def slugify(c: Column) -> Column:
     """Runs of other characters than word characters and hyphens become one underscore; never empty."""
-    s = F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w-]+", "_"), "^_+|_+$", "")
-    return F.coalesce(F.nullif(s, F.lit("")), F.lit("book"))
+    s = F.regexp_replace(F.regexp_replace(c, "(?U)" + SLUG_GAPS, "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(s, F.lit("")), F.lit(NO_SLUG))
 
 
-def file_name(c: Column, default: str = "translated") -> Column:
+def file_name(c: Column, default: str = NO_FILE) -> Column:
     """A name that every file system takes, of at most 120 characters."""
-    s = F.regexp_replace(strip(F.regexp_replace(F.coalesce(c, F.lit("")), r'[\\/:*?"<>|\r\n\t]+', " ")), r"^\.+|\.+$", "")
-    return F.coalesce(F.nullif(F.substring(F.regexp_replace(s, r"(?U)\s+", " "), 1, 120), F.lit("")), F.lit(default))
+    s = F.regexp_replace(strip(F.regexp_replace(F.coalesce(c, F.lit("")), FILE_GAPS, " ")), r"^\.+|\.+$", "")
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(s, r"(?U)\s+", " "), 1, FILE_LENGTH), F.lit("")), F.lit(default))
 
 
 def html_escape(c: Column) -> Column:
@@ -88,7 +92,9 @@ LANGUAGE_CODES = {
     "italian": "it", "意大利语": "it", "意大利文": "it",
     "portuguese": "pt", "葡萄牙语": "pt", "葡萄牙文": "pt",
 }
+# What stands for no language.
 UNKNOWN_LANGUAGES = ("", "auto", "unknown", "und", "uncertain", "mixed", "多语言", "未知")
+# Display names of languages.
 LANGUAGE_LABELS = {
     "ja": "日文", "en": "英文", "zh": "中文", "ru": "俄文", "ko": "韩文", "fr": "法文", "de": "德文", "es": "西班牙文", "it": "意大利文", "pt": "葡萄牙文",
 }
@@ -132,10 +138,16 @@ def body_of(html: Column) -> Column:
     return F.when(html.rlike(r"(?is)<body[^>]*>.*?</body>"), inner).otherwise(html)
 
 
+# Style values, an attribute and a class that ask for vertical writing.
+VERTICAL_MODES, RIGHT_TO_LEFT, VERTICAL_CLASS = ("vertical-rl", "vertical-lr", "tb-rl"), ("page-progression-direction", "rtl"), "vrtl"
+
+
 def looks_vertical(markup: Column) -> Column:
-    """Whether markup or style asks for vertical writing."""
-    return (
-        markup.rlike(r"(?i)(?:-epub-|-webkit-)?writing-mode\s*:\s*(?:vertical-rl|vertical-lr|tb-rl)")
-        | markup.rlike(r"(?i)page-progression-direction\s*=\s*['\"]rtl['\"]")
-        | markup.rlike(r"(?i)\bclass\s*=\s*['\"][^'\"]*\bvrtl\b")
-    )
+    """Whether markup or style asks for vertical writing: by a writing mode, with or without a prefix, by the
+    direction of its pages, or by a class."""
+    low = F.lower(markup)
+    modes = F.transform(F.regexp_extract_all(low, F.lit(r"writing-mode\s*:\s*([a-z-]+)"), F.lit(1)), lambda m: m.isin(*VERTICAL_MODES))
+    name, value = RIGHT_TO_LEFT
+    turned = low.rlike(rf"{name}\s*=\s*[\"']{value}[\"']")
+    classes = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"\bclass\s*=\s*[\"']([^\"']*)"), F.lit(1)), lambda c: F.split(c, r"[^\w]+")))
+    return F.coalesce(F.exists(modes, lambda m: m) | turned | F.array_contains(classes, VERTICAL_CLASS), F.lit(None).cast("boolean"))

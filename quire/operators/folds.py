@@ -10,22 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-#: Values of a run; a fold copies one run per value and the list of runs once per run.
-RUN = 256
-
-
-def gathered(state: Column, value: Column, when: Column) -> tuple[Column, Column]:
-    """Fields runs and run of a fold's state with ``value`` appended where ``when`` holds."""
-    full = when & (F.size(state["run"]) >= RUN)
-    runs = F.when(full, F.array_append(state["runs"], state["run"])).otherwise(state["runs"])
-    run = F.when(full, F.array(value)).when(when, F.array_append(state["run"], value)).otherwise(state["run"])
-    return runs.alias("runs"), run.alias("run")
-
-
-def all_gathered(state: Column) -> Column:
-    """What ``gathered`` has appended, in order."""
-    return F.concat(F.flatten(state["runs"]), state["run"])
+from quire.functions.gathering import all_gathered, gathered, nothing_gathered
 
 
 def batch_starts(sizes: Column, budget: int, separator: int = 0, most_items: int | None = None) -> Column:
@@ -33,8 +18,7 @@ def batch_starts(sizes: Column, budget: int, separator: int = 0, most_items: int
 
     An item over the budget is a batch of its own. ``separator`` is added to the running size with each
     item but not to the size under test. ``most_items`` closes a batch that has so many items."""
-    none = F.array().cast("array<int>")
-    start = F.struct(F.array().cast("array<array<int>>").alias("runs"), none.alias("run"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("count"), F.lit(0).alias("i"))
+    start = F.struct(*nothing_gathered("int"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("count"), F.lit(0).alias("i"))
 
     def step(state: Column, size: Column) -> Column:
         full = state["size"] + size > budget

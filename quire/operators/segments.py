@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.gathering import all_gathered, gathered, nothing_gathered
 from quire.functions.text import heading, is_blank, sentences, strip
-from quire.operators.folds import all_gathered, gathered
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -43,9 +43,6 @@ def text_segments(chapters_: DataFrame, key: str) -> DataFrame:
     return chapters_.select(key, "chapter", "title", "level", F.posexplode(F.concat(head, body)).alias("seg", "s")).select(key, "chapter", "title", "level", "seg", "s.source", "s.kind")
 
 
-_RUNS = "array<array<string>>"
-
-
 def cut_sentence(sentence: Column, most: int) -> Column:
     """Pieces of at most ``most`` characters of one sentence: cut before the last space, tab or newline
     that leaves a piece of that size, else hard. Pieces join to the sentence.
@@ -70,7 +67,7 @@ def cut_sentence(sentence: Column, most: int) -> Column:
         return F.transform(F.transform(grown, one), one)[0]
 
     stretches = F.regexp_extract_all(sentence, F.lit(f"(?s).{{1,{most}}}"), F.lit(0))
-    start = F.struct(F.array().cast(_RUNS).alias("runs"), F.array().cast("array<string>").alias("run"), F.lit("").alias("rest"))
+    start = F.struct(*nothing_gathered("string"), F.lit("").alias("rest"))
     return F.aggregate(stretches, start, step, lambda s: F.filter(F.concat(all_gathered(s), F.array(s["rest"])), lambda x: F.length(x) > 0))
 
 
@@ -85,7 +82,7 @@ def split_text(text: Column, most: int) -> Column:
             kept = flush & (F.length(state["cur"]) > 0)
             return F.struct(*gathered(state, state["cur"], kept), F.when(flush, x["s"]).otherwise(F.concat(state["cur"], x["s"])).alias("cur"), x["alone"].alias("alone"))
 
-        start = F.struct(F.array().cast(_RUNS).alias("runs"), F.array().cast("array<string>").alias("run"), F.lit("").alias("cur"), F.lit(False).alias("alone"))
+        start = F.struct(*nothing_gathered("string"), F.lit("").alias("cur"), F.lit(False).alias("alone"))
         return F.aggregate(parts, start, step, lambda s: F.filter(F.concat(all_gathered(s), F.array(s["cur"])), lambda x: F.length(x) > 0))
 
     each = F.transform(sentences(text), lambda s: F.when(F.length(s) > most, F.transform(cut_sentence(s, most), lambda p: F.struct(p.alias("s"), F.lit(True).alias("alone")))).otherwise(F.array(F.struct(s.alias("s"), F.lit(False).alias("alone")))))
