@@ -27,6 +27,8 @@ MAX_TRAINING_DOCUMENTS = 5000
 #: A document is learned from by at most so many passages, taken evenly from its whole text; with this and
 #: the bound on documents at most some 80 MB of features reach the driver. Scores use all passages.
 MAX_TRAINING_PASSAGES = 200
+#: Learning ends when so many steps lower the mean log loss by less than this.
+REST, LEAST_GAIN = 20, 0.002
 _KINDS = 10  # space, lower, upper, other letter, digit, stop, comma, loud, newline, other sign
 FEATURES = _KINDS + 9
 
@@ -164,14 +166,22 @@ def gradients(model: Model, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray
 
 
 def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 250, rate: float = 0.03, decay: float = 1e-4, seed: int = 0) -> Model:
-    """Learn from bags (rows of x, ``sizes`` rows each) and their labels by Adam on the log loss."""
+    """Learn from bags (rows of x, ``sizes`` rows each) and their labels by Adam on the log loss, in at most
+    ``steps`` steps; fewer where REST steps have lowered the loss by less than LEAST_GAIN."""
     x = x.astype(np.float64)
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     weights = {"e": draw(x.shape[1], hidden), "eb": np.zeros(hidden), "v": draw(hidden, gate), "u": draw(hidden, gate), "w": draw(gate), "c": draw(hidden), "b": np.zeros(1)}
     model = Model(x.mean(0), x.std(0) + 1e-3, weights)
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+    before = np.inf
     for step in range(1, steps + 1):
+        if step % REST == 1:
+            y = np.clip(model.forward(x, sizes)["y"], 1e-9, 1 - 1e-9)
+            loss = -(labels * np.log(y) + (1 - labels) * np.log(1 - y)).mean()
+            if before - loss < LEAST_GAIN:
+                break
+            before = loss
         for k, d in gradients(model, x, sizes, labels).items():
             d = d + decay * weights[k]
             first[k] = 0.9 * first[k] + 0.1 * d
