@@ -20,6 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import render
 from quire.sources import epub
 from quire.sources.html import _SILENT, _VOID, Node, decode, parse
@@ -38,16 +39,16 @@ def serialize(node: Node | str, raw: bool = False) -> str:
     return f"<{node.tag}{attributes}/>" if node.tag in _VOID else f"<{node.tag}{attributes}>{inner}</{node.tag}>"
 
 
-def _filled(block: Node, text: str) -> None:
+def _filled(block: Node, shown: str) -> None:
     """Put a translation into a block; images stay, in proportion to where they stood."""
     source, images = epub.inline_content(block)
     kept = [n for n in block.walk() if n.tag in ("img", "image", "svg")]
     cuts, at = [], 0
     for i in images[: len(kept)]:
-        at = max(at, min(len(text), round(i["offset"] * len(text) / len(source)) if source else 0))
+        at = max(at, min(len(shown), round(i["offset"] * len(shown) / len(source)) if source else 0))
         cuts.append(at)
     parts: list[Node | str] = []
-    for piece, image in zip([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)], [*kept, None], strict=False):
+    for piece, image in zip([shown[a:b] for a, b in zip([0, *cuts], [*cuts, len(shown)], strict=True)], [*kept, None], strict=False):
         for k, line in enumerate(piece.split("\n")):
             parts += ([Node("br")] if k else []) + ([line] if line else [])
         if image is not None:
@@ -55,7 +56,21 @@ def _filled(block: Node, text: str) -> None:
     block.children = parts
 
 
-def render_resource(markup: str, index: int, targets: dict[str, str], bilingual: bool = False, lang: str = "zh-Hans", skip_nav: bool = False) -> str:
+#: Styles that are added to a book: for upright lines where it asked for vertical ones, and for sources.
+_HORIZONTAL = "html, body { writing-mode: horizontal-tb !important; -webkit-writing-mode: horizontal-tb !important; -epub-writing-mode: horizontal-tb !important; }"
+_SOURCE = ".source { font-size: 0.85em; opacity: 0.7; }"
+
+
+def asks_vertical(markup: str) -> bool:
+    """Whether markup or style asks for vertical writing, by the rules of ``text.looks_vertical``."""
+    low = markup.lower()
+    name, value = text.RIGHT_TO_LEFT
+    modes = re.findall(r"writing-mode\s*:\s*([a-z-]+)", low)
+    classes = [w for c in re.findall(r"\bclass\s*=\s*[\"']([^\"']*)", low) for w in re.split(r"\W+", c)]
+    return any(m in text.VERTICAL_MODES for m in modes) or re.search(rf"{name}\s*=\s*[\"']{value}[\"']", low) is not None or text.VERTICAL_CLASS in classes
+
+
+def render_resource(markup: str, index: int, targets: dict[str, str], bilingual: bool = False, lang: str = "zh-Hans", skip_nav: bool = False, styles: tuple[str, ...] = ()) -> str:
     """A resource with its translated blocks; with ``bilingual`` the source stands below as another block."""
     root = parse(markup)
     body = root.find("body") or root
@@ -72,21 +87,26 @@ def render_resource(markup: str, index: int, targets: dict[str, str], bilingual:
                 block.children += [Node("br"), Node("span", {"class": "source"}, [source])]
     if (top := root.find("html")) is not None:
         top.attributes |= {"lang": lang, "xml:lang": lang}
+        if styles:
+            if (head := top.find("head")) is None:
+                head = Node("head")
+                top.children.insert(0, head)
+            head.children += [Node("style", {}, [x]) for x in styles]
     return '<?xml version="1.0" encoding="utf-8"?>\n' + serialize(root)
 
 
 def _relabel(data: bytes, labels: dict[int, str], ncx: bool) -> bytes:
     """A table of contents with new labels by place in pre-order."""
-    text = decode(data)
+    markup = decode(data)
     if ncx:
-        seen = iter(range(len(labels) + len(re.findall(r"<navPoint", text))))
+        seen = iter(range(len(labels) + len(re.findall(r"<navPoint", markup))))
 
         def label(m: re.Match) -> str:
             k = next(seen)
             return m[1] + html_lib.escape(labels[k], quote=False) + m[3] if k in labels else m[0]
 
-        return re.sub(r"(<navPoint\b(?:(?!<navPoint\b).)*?<text>)(.*?)(</text>)", label, text, flags=re.S).encode()
-    root, entries = parse(text), epub.nav_entries(text, "")
+        return re.sub(r"(<navPoint\b(?:(?!<navPoint\b).)*?<text>)(.*?)(</text>)", label, markup, flags=re.S).encode()
+    root, entries = parse(markup), epub.nav_entries(markup, "")
     places = {(e["title"], e["raw_href"]): e["node"] for e in entries}
     for a in root.walk():
         if a.tag in ("a", "span") and (k := places.get((" ".join(a.text().split()), a.attributes.get("href")))) in labels:
@@ -104,15 +124,21 @@ def rewrite_epub(data: bytes, targets: dict[str, str], labels: dict[tuple[str, i
         there = {s["anchor"] for r in epub.read(data)["resources"] for s in r["segments"]}
         if gone := sorted(set(targets) - there)[:3]:
             raise ValueError(f"the book has no segments {', '.join(gone)}")
+        marked = [n for n in z.namelist() if n in package.spine or n == package.path or n.lower().endswith(".css")]
+        vertical = any(asks_vertical(decode(z.read(n))) for n in marked)
+        styles = ((_HORIZONTAL,) if vertical else ()) + ((_SOURCE,) if bilingual else ())
         for item in z.infolist():
             body = z.read(item)
             if item.filename == "mimetype":
                 new.writestr(item, body, zipfile.ZIP_STORED)
                 continue
             if item.filename in package.spine:
-                body = render_resource(decode(body), package.spine.index(item.filename), targets, bilingual, lang, item.filename in package.contents).encode()
+                body = render_resource(decode(body), package.spine.index(item.filename), targets, bilingual, lang, item.filename in package.contents, styles).encode()
             elif item.filename == package.path:
                 body = re.sub(r"(<dc:language[^>]*>).*?(</dc:language>)", rf"\g<1>{lang}\g<2>", decode(body), flags=re.S).encode()
+                if vertical:
+                    name, value = text.RIGHT_TO_LEFT
+                    body = re.sub(rf"({name}\s*=\s*[\"']){value}([\"'])", r"\g<1>ltr\g<2>", decode(body)).encode()
             if labels and item.filename in package.contents:
                 own = {k: t for (path, k), t in labels.items() if path == item.filename}
                 body = _relabel(body, own, item.filename.lower().endswith(".ncx"))
@@ -130,7 +156,7 @@ def build_epub(title: str, chapters: list[tuple[str, list[tuple[str, str]]]], la
         z.writestr("META-INF/container.xml", '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="book.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
         names = [f"c{k}.xhtml" for k in range(len(chapters))]
         for name, (head, segments) in zip(names, chapters, strict=True):
-            body = "".join(f"<{(t := 'h2' if kind == 'heading' else 'p')}>{e(text, quote=False).replace(chr(10), '<br/>')}</{t}>" for kind, text in segments)
+            body = "".join(f"<{(t := 'h2' if kind == 'heading' else 'p')}>{e(line, quote=False).replace(chr(10), '<br/>')}</{t}>" for kind, line in segments)
             z.writestr(name, page.format(lang=lang, title=e(head or title), body=body))
         links = "".join(f'<li><a href="{n}">{e(h or f"{k + 1}")}</a></li>' for k, (n, (h, _)) in enumerate(zip(names, chapters, strict=True)))
         z.writestr("nav.xhtml", page.format(lang=lang, title=e(title), body=f'<nav epub:type="toc"><ol>{links}</ol></nav>'))
@@ -152,29 +178,36 @@ def output_name(path: Column, fmt: str, bilingual: bool = False) -> Column:
     return F.concat(stem, F.lit(".zh-bi" if bilingual else ".zh"), F.lit(FORMATS[fmt]))
 
 
-def assembled(segments: DataFrame, fmt: str, bilingual: bool = False) -> DataFrame:
+def assembled(segments: DataFrame, fmt: str, bilingual: bool = False, images: DataFrame | None = None) -> DataFrame:
     """Rows (path, content) with one file per document from (path, title, chapter, chapter_title, seg,
-    kind, source, target); ValueError for an unknown format."""
+    kind, source, target); ValueError for an unknown format. ``images`` has the images of documents
+    (path, images map<string, binary>), which go into an EPUB."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known: {', '.join(FORMATS)}")
     name = output_name(F.col("path"), fmt, bilingual)
     if fmt == "epub":
         shown = segments.withColumn("text", render.shown(F.col("source"), F.col("target"))).select(name.alias("name"), "title", "chapter", "chapter_title", "seg", "kind", "text")
 
-        def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        def build(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return pd.DataFrame({"path": [], "content": []})
             rows = rows.sort_values(["chapter", "seg"])
             chapters = [(str(g["chapter_title"].iloc[0] or ""), list(zip(g["kind"], g["text"], strict=True))) for _, g in rows.groupby("chapter")]
-            return pd.DataFrame({"path": [key[0]], "content": [build_epub(str(rows["title"].iloc[0] or ""), chapters)]})
+            found = dict(own["images"].iloc[0] or {}) if len(own) else {}
+            return pd.DataFrame({"path": [key[0]], "content": [build_epub(str(rows["title"].iloc[0] or ""), chapters, images=found)]})
 
-        return shown.groupBy("name").applyInPandas(build, "path string, content binary")
+        if images is None:
+            images = segments.sparkSession.createDataFrame([], "path string, images map<string,binary>")
+        pictures = images.select(name.alias("name"), "images")
+        return shown.groupBy("name").cogroup(pictures.groupBy("name")).applyInPandas(build, "path string, content binary")
     wide = segments.withColumn("name", name).withColumn("seg", F.struct("chapter", F.col("seg").alias("s")))
     if fmt == "html":
         body = render.html_blocks(wide, ["name"])
-        text = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body>\n'), "text", F.lit("</body></html>\n"))
+        content = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body>\n'), "text", F.lit("</body></html>\n"))
     else:
         body = render.joined(render.blocks(wide, ["name"], bilingual=bilingual, markdown=fmt == "markdown"), ["name"], ["seg", "part"])
-        text = F.col("text")
-    return body.select(F.col("name").alias("path"), F.encode(text, "utf-8").alias("content"))
+        content = F.col("text")
+    return body.select(F.col("name").alias("path"), F.encode(content, "utf-8").alias("content"))
 
 
 def translated_epubs(files: DataFrame, segments: DataFrame, labels: DataFrame | None = None, bilingual: bool = False) -> DataFrame:

@@ -50,6 +50,12 @@ def output_paths(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", render.bilingual_path(path).alias("path"))
 
 
+def shown_titles(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    translated = F.when(k == 0, F.lit(" \u3000")).when(k == 1, F.concat(F.lit(" "), F.upper("p_name"), F.lit("\n")))
+    return table(spark, sf_dir, "part").select("p_partkey", render.shown_title(translated, F.concat("p_name", F.lit(" "))).alias("title"))
+
+
 def html_segments(spark, sf_dir):
     return html.html_segments(table(spark, sf_dir, "pages"))
 
@@ -65,7 +71,7 @@ def translate_fake(spark, sf_dir):
     return done.select("conv_id", F.size("targets").cast("long").alias("n"), F.md5(F.array_join("targets", "|").cast("binary")).alias("digest"), long("calls"))
 
 
-QUERIES = {f.__name__: f for f in (text_render, bilingual_interleave, markdown_render, html_render, image_offsets, state_mismatches, output_paths, html_segments, html_block_counts, translate_fake)}
+QUERIES = {f.__name__: f for f in (text_render, bilingual_interleave, markdown_render, html_render, image_offsets, state_mismatches, output_paths, shown_titles, html_segments, html_block_counts, translate_fake)}
 
 _S = """s AS (SELECT conv_id, turn AS seg, CASE WHEN turn = 0 THEN 'heading' ELSE 'text' END AS kind, text AS source, CASE WHEN turn % 3 = 1 THEN 'T: ' || text ELSE text END AS shown, conv_id % 9 AS level FROM conversations)"""
 _OTHER = "kind <> 'heading' AND regexp_matches(source, '\\S') AND regexp_replace(source, '^\\s+|\\s+$', '', 'g') <> regexp_replace(shown, '^\\s+|\\s+$', '', 'g')"
@@ -79,6 +85,7 @@ ORACLE = {
     "image_offsets": "SELECT p_brand, p_partkey AS node, CAST(max(CAST(greatest(0, least(23, round_even(CAST(p_size AS DOUBLE) * 23 / 64, 0))) AS BIGINT)) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS at FROM part",
     "state_mismatches": "SELECT p_partkey AS anchor, CASE WHEN p_partkey % 13 = 0 THEN 'missing' ELSE 'changed' END AS reason FROM part WHERE p_partkey % 13 = 0 OR (p_partkey % 7 = 0 AND upper(p_type) <> p_name)",
     "output_paths": "SELECT p_partkey, 'out/a.b/' || p_brand || '-bi' || CASE WHEN p_partkey % 2 = 0 THEN '.epub' ELSE '' END AS path FROM part",
+    "shown_titles": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN upper(p_name) ELSE p_name END AS title FROM part",
     "html_block_counts": """WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '(?is)^.*?<body[^>]*>', '') AS h FROM pages)
         SELECT page_id, CAST(len(list_filter(string_split_regex(h, '(?i)<(?:p|li|h[1-6]|blockquote)(?:\\s[^>]*)?>')[2:],
                 lambda x: regexp_matches(regexp_replace(regexp_replace(x, '(?is)</(?:p|li|h[1-6]|blockquote)>.*$', ''), '<[^>]*>', '', 'g'), '\\S'))) AS BIGINT) AS n,

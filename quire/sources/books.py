@@ -50,7 +50,7 @@ def _stem(path: Column) -> Column:
 
 def text_books(files: DataFrame) -> DataFrame:
     """Segments of text and Markdown files, chapters cut at their heading lines."""
-    text = F.regexp_replace(F.try_validate_utf8(F.decode("content", "UTF-8")), "^\ufeff", "")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "")
     texts = files.select("path", text.alias("text"))
     cut = segments.text_segments(segments.chapters(texts, "path", "text", _stem(F.col("path"))), "path")
     heads = cut.withColumn("anchor", F.concat(F.lit("q"), "chapter", F.lit("_"), "seg"))
@@ -74,6 +74,17 @@ def markup_books(files: DataFrame) -> DataFrame:
     return files.select("path", "fmt", "content").mapInArrow(run, SCHEMA)
 
 
+def fb2_images(files: DataFrame) -> DataFrame:
+    """(path, images map<string, binary>) of FB2 files; images that cannot be decoded are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([list(fb2.binaries(data).items())], pa.map_(pa.string(), pa.binary()))], names=["path", "images"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, images map<string,binary>")
+
+
 def parsed_epubs(files: DataFrame) -> DataFrame:
     """One row per EPUB: its segments, resources, fragment ids and entries of its tables of contents."""
 

@@ -26,7 +26,7 @@ from quire.operators import agents, checks, folds, glossary, memory, model, orde
 from quire.operators.segments import split_text
 from quire.session import lineage_cut
 from quire.sources import event_log
-from quire.sources.books import book_files, read_files
+from quire.sources.books import book_files, fb2_images, read_files
 
 # Sizes of batches of titles, and the fields of a style brief.
 TITLE_CHARS, TITLE_COUNT = 4000, 40
@@ -85,7 +85,7 @@ def segments(spark: SparkSession, state: str) -> DataFrame:
 
 def prepare(spark: SparkSession, books: str, state: str, settings: dict | None = None) -> DataFrame:
     """Read all books below a path into ``segments`` with long segments split; books known are left, and so
-    are files of no supported format. EPUBs are kept as they are, to be translated in place."""
+    are files of no supported format. EPUBs are kept as they are, to be translated in place, and FB2 files for their images."""
     settings = settings or config.DEFAULTS
     files = book_files(spark, books).where("fmt is not null")
     if _there(spark, f"{state}/segments"):
@@ -94,7 +94,7 @@ def prepare(spark: SparkSession, books: str, state: str, settings: dict | None =
     first = F.col("_k") == 0
     dense = F.row_number().over(Window.partitionBy("path", "chapter").orderBy("seg", "_k")) - 1
     out = pieces.withColumns({"_seg": dense, "kind": F.when(first, F.col("kind")).otherwise("text"), "anchor": F.when(first, F.col("anchor")), "cont": ~first})
-    _append(state, "files", files.where("fmt = 'epub'"))
+    _append(state, "files", files.where("fmt in ('epub', 'fb2')"))
     out.drop("seg", "source", "_k").withColumnsRenamed({"_seg": "seg", "_piece": "source"}).write.mode("append").parquet(f"{state}/segments")
     return segments(spark, state)
 
@@ -385,8 +385,9 @@ def assemble(spark: SparkSession, state: str, fmt: str, out: str, bilingual: boo
     whole = _joined_paragraphs(current(spark, state)).join(named, ["path", "chapter"], "left").withColumn("chapter_title", F.coalesce("_title", "chapter_title")).drop("_title")
     if fmt != "epub":
         return sinks.save_files(sinks.assembled(whole, fmt, bilingual), out)
-    new = sinks.assembled(whole.where("fmt <> 'epub'"), fmt, bilingual)
-    files = read(spark, state, "files").groupBy("path").agg(F.first("content").alias("content"))
+    files = read(spark, state, "files").groupBy("path", "fmt").agg(F.first("content").alias("content"))
+    new = sinks.assembled(whole.where("fmt <> 'epub'"), fmt, bilingual, fb2_images(files.where("fmt = 'fb2'")))
+    files = files.where("fmt = 'epub'")
     labels = chapters(spark, state).join(named, ["path", "chapter"]).where("toc_path is not null").select("path", "toc_path", "toc_node", F.col("_title").alias("label"))
     name: Column = sinks.output_name(F.col("path"), fmt, bilingual)
     old = sinks.translated_epubs(files, whole.where("fmt = 'epub'"), labels, bilingual).select(name.alias("path"), "content")

@@ -142,8 +142,9 @@ def test_books_of_all_formats(spark, tmp_path):
     (tmp_path / "c.html").write_text("<body><h1>Q</h1><p>r</p></body>")
     (tmp_path / "d.txt").write_text("\ufeff第二章 名前\n\n本文\n\n## 小見出し\n\nx")
     (tmp_path / "e.doc").write_text("left out")
+    (tmp_path / "g.txt").write_bytes(b"not \xff UTF-8")
     out = books.read_books(spark, str(tmp_path)).collect()
-    assert Counter(r["fmt"] for r in out) == {"epub": 4, "text": 6, "html": 2}
+    assert Counter(r["fmt"] for r in out) == {"epub": 4, "text": 7, "html": 2} and "not \ufffd UTF-8" in {r["source"] for r in out}
     text = sorted((r["chapter"], r["seg"], r["chapter_title"], r["kind"], r["level"], r["source"]) for r in out if r["path"].endswith("d.txt"))
     assert text == [(0, 0, "第二章 名前", "heading", 1, "第二章 名前"), (0, 1, "第二章 名前", "text", None, "本文"), (1, 0, "小見出し", "heading", 2, "小見出し"), (1, 1, "小見出し", "text", None, "x")]
     with pytest.raises(ValueError):

@@ -4,8 +4,10 @@ import uuid
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire import config, workflow
+from quire.functions import text
 from quire.operators import model, sinks
 from quire.sources import epub
 from tests.test_operators import book
@@ -55,8 +57,8 @@ def test_from_books_to_books(spark, tmp_path):
     assert [r["title_translated"] for r in workflow.titles(spark, state).collect()] == ["xyz"] * 3  # as their headings now are
     for fmt in sinks.FORMATS:
         assert len(workflow.assemble(spark, state, fmt, str(tmp_path / fmt))) == 2
-    text = (tmp_path / "text" / "a.zh.txt").read_text()
-    assert "beta alpha" in text and text.endswith("\n")
+    printed = (tmp_path / "text" / "a.zh.txt").read_text()
+    assert "beta alpha" in printed and printed.endswith("\n")
     made = epub.read((tmp_path / "epub" / "a.zh.epub").read_bytes())
     assert len(made["resources"]) == 2 and len(made["toc"]) == 2
     kept = zipfile.ZipFile(tmp_path / "epub" / "b.zh.epub")
@@ -65,6 +67,23 @@ def test_from_books_to_books(spark, tmp_path):
         sinks.assembled(workflow.current(spark, state), "doc")
 
 
+def test_images_and_styles_of_books(spark, tmp_path):
+    shelf, state = tmp_path / "in", str(tmp_path / "state")
+    shelf.mkdir()
+    (shelf / "f.fb2").write_text('<?xml version="1.0"?><FictionBook><body><section><title><p>One</p></title><p>a b</p></section></body><binary id="i.png">aGk=</binary></FictionBook>')
+    (shelf / "b.epub").write_bytes(book().replace(b"<spine", b"<spine"))
+    workflow.prepare(spark, str(shelf), state)
+    workflow.translate(spark, state)
+    assert len(workflow.assemble(spark, state, "epub", str(tmp_path / "out"), bilingual=True)) == 2
+    assert zipfile.ZipFile(tmp_path / "out" / "f.zh-bi.epub").read("images/i.png") == b"hi"
+    assert b".source {" in zipfile.ZipFile(tmp_path / "out" / "b.zh-bi.epub").read("o/a b.xhtml")
+    for markup, vertical in (('<p style="-epub-writing-mode : vertical-rl">', True), ('<spine page-progression-direction="rtl">', True), ('<p class="x vrtl">', True), ('<p class="vrtlx" style="writing-mode: horizontal-tb">', False)):
+        assert sinks.asks_vertical(markup) == vertical
+        assert spark.createDataFrame([(markup,)], "m string").select(text.looks_vertical(F.col("m"))).first()[0] == vertical
+    page = sinks.render_resource("<html><body><p>x</p></body></html>", 0, {"q0_0": "y"}, styles=(sinks._HORIZONTAL,))
+    assert page.index("horizontal-tb") < page.index("<body>")
+
+
 def test_books_are_understood_and_translated_with_context(spark, tmp_path):
     shelf, state = tmp_path / "in", str(tmp_path / "state")
     shelf.mkdir()
