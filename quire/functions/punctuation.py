@@ -47,15 +47,21 @@ def single_quotes(c: Column, open_first: Column | None = None) -> Column:
         now = F.when(before & after, state["open"]).when(before, F.lit(True)).otherwise(~state["open"])
         first = state["n"] == 0
         return F.struct(
-            *gathered(state, F.when(first, part).otherwise(F.concat(F.when(opens, "‘").otherwise("’"), part)), F.lit(True)),
+            F.when(first, "").otherwise(F.concat(state["marks"], F.when(opens, "‘").otherwise("’"))).alias("marks"),
             F.when(first, state["open"]).otherwise(now).alias("open"),
             # A quote itself stands before the next one when nothing is between them.
             F.when(first | (F.length(part) > 0), part).otherwise("'").alias("raw"),
             (state["n"] + 1).alias("n"),
         )
 
-    start = F.struct(*nothing_gathered("string"), (F.lit(True) if open_first is None else open_first).alias("open"), F.lit("").alias("raw"), F.lit(0).alias("n"))
-    return F.aggregate(parts, start, step, lambda s: F.struct(F.array_join(all_gathered(s), "").alias("text"), s["open"].alias("open")))
+    start = F.struct(F.lit("").alias("marks"), (F.lit(True) if open_first is None else open_first).alias("open"), F.lit("").alias("raw"), F.lit(0).alias("n"))
+
+    def marked(marks: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(marks, i - 1), p))), "")
+
+    # The fold writes one mark per quote, never the text; the marks are then put between the parts.
+    shown = lambda s: F.transform(F.array(F.split(s["marks"], "")), marked)[0]
+    return F.aggregate(parts, start, step, lambda s: F.struct(shown(s).alias("text"), s["open"].alias("open")))
 
 
 # Writings of ellipsis and dash, in order.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quire.operators import agents, folds, sinks
@@ -90,11 +91,12 @@ def _books(spark, sf_dir):
         F.format_string("b/c%d.md", "conv_id").alias("path"), F.lit("Book").alias("title"), F.floor(F.col("turn") / 2).cast("int").alias("chapter"), F.format_string("T %d & more", F.floor(F.col("turn") / 2)).alias("chapter_title"),
         "turn", F.when(F.col("turn") % 2 == 0, "heading").otherwise("text").alias("kind"), flat.alias("source"),
     )
-    return sinks.assembled(t.withColumnRenamed("turn", "seg").withColumn("target", F.col("source")), "epub")
+    # The files are read several times below, so they are made once.
+    return sinks.assembled(t.withColumnRenamed("turn", "seg").withColumn("target", F.col("source")), "epub").persist(StorageLevel.DISK_ONLY)
 
 
 def _read_again(files):
-    return books.epub_chapters(books.parsed_epubs(files))
+    return books.epub_chapters(books.parsed_epubs(files).persist(StorageLevel.DISK_ONLY))
 
 
 def _conv(path):
