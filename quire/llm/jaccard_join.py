@@ -132,7 +132,7 @@ def roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _runs(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
+def runs_of(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
     n = table.num_rows
     new = np.zeros(n, bool)
     new[0] = True
@@ -190,7 +190,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ids = table.column("class_id").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
         block, cross = table.column("block").to_numpy(), table.column("cross").to_numpy(zero_copy_only=False)
-        runs = _runs(table, ["key", "pair"])
+        runs = runs_of(table, ["key", "pair"])
         src, dst = [], []
         two = np.array([i for i, j in runs if j - i == 2], np.int64)
         if len(two):
@@ -211,7 +211,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
 
 
-def _common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
     """The sizes of the intersections of all pairs of sets, as a matrix."""
     member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -228,7 +228,7 @@ def _common_shingles(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, total: np.ndarray | None) -> np.ndarray:
+def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, total: np.ndarray | None) -> np.ndarray:
     """Sizes of the intersections of the sets a[k] and b[k], from the matrix where there is one."""
     if total is not None:
         return np.rint(total[a, b]).astype(np.int64)
@@ -238,7 +238,7 @@ def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, total:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per member of a component, or of a pair of its blocks: its local root and verified links."""
     for table in whole_groups(batches, ["root", "pair"]):
-        for i, j in _runs(table, ["root", "pair"]):
+        for i, j in runs_of(table, ["root", "pair"]):
             part = table.slice(i, j - i)
             ids, docs = part.column("class_id").to_numpy(), part.column("n_docs").to_numpy()
             block, cross = part.column("block").to_numpy(), bool(part.column("cross")[0].as_py())
@@ -253,8 +253,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = x[ok], y[ok]
                 likely += len(a)
                 if total is None and likely > 2 * n:
-                    total = _common_shingles(sets)
-                both = _intersections(sets, a, b, total)
+                    total = common_shingles(sets)
+                both = intersections(sets, a, b, total)
                 # inter / union >= 4/5 in whole numbers
                 ok = 5 * both >= 4 * (size[a] + size[b] - both)
                 a, b = a[ok], b[ok]
@@ -272,13 +272,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OWN_NUMBER = 1 << 62
 
 
-def _with_digest(documents: DataFrame) -> DataFrame:
+def with_digest(documents: DataFrame) -> DataFrame:
     """The rows with 128 bits that tell their texts apart, t1 and t2."""
     text = F.col("text").cast("string")
     return documents.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit("second"), text)})
 
 
-def _numbered(copies: DataFrame) -> DataFrame:
+def numbered(copies: DataFrame) -> DataFrame:
     """(t1, t2, first_doc, n_docs) with class_id: the least doc_id of the text; where that names another
     text too, or is null, a number of the text's own, OWN_NUMBER and above."""
     naming = copies.groupBy("first_doc").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2")).alias("named")).where("n > 1 or first_doc is null")
@@ -295,7 +295,7 @@ def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sketches = written(source.mapInArrow(_sketch, "doc_id long, t1 long, t2 long, sig binary"), "sketches")
     filled = sketches.where("sig is not null")
     copies = filled.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_doc"), (F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("n_docs"))
-    copies = written(_numbered(written(copies, "copies")), "numbered")
+    copies = written(numbered(written(copies, "copies")), "numbered")
     named = copies.select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "first_doc", "n_docs", "class_id")
     chosen = filled.join(named.hint("merge"), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
     texts = written(chosen.groupBy("class_id").agg(F.first("sig").alias("sig"), F.max("n_docs").alias("n_docs")), "texts")
@@ -328,7 +328,7 @@ def _linked(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _source(documents: DataFrame) -> DataFrame:
     doc = F.col("doc_id").cast("long").alias("doc_id")
-    return _with_digest(documents).select(doc, F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("text").cast("string").alias("text"))
+    return with_digest(documents).select(doc, F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("text").cast("string").alias("text"))
 
 
 def jaccard_join(documents: DataFrame) -> DataFrame:
@@ -362,6 +362,6 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     sketches, copies, links = _linked(_source(documents))
     first = copies.join(links.select("class_id", "local").hint("merge"), "class_id", "left").where(F.coalesce("local", "class_id") == F.col("class_id")).select("first_doc", "t1", "t2")
     kept = first.unionByName(sketches.where("sig is null").select(F.col("doc_id").alias("first_doc"), "t1", "t2")).select(F.col("first_doc").alias("_k_doc"), F.col("t1").alias("_k1"), F.col("t2").alias("_k2"))
-    keyed = _with_digest(documents).withColumn("_doc", F.col("doc_id").cast("long"))
+    keyed = with_digest(documents).withColumn("_doc", F.col("doc_id").cast("long"))
     same = (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")) & F.col("_doc").eqNullSafe(F.col("_k_doc"))
     return keyed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["_doc", "_t1", "_t2"]).select(*documents.columns)

@@ -7,7 +7,7 @@ the process, so that they can be compared across executors.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -55,25 +55,37 @@ def block_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after another, and the number of words of each text."""
     texts = [t.lower() for t in texts]
     c = codes("\n".join(texts))
-    inside = _alnum()[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    return hashed_runs(c, _alnum()[np.minimum(c, 0xFFFF)] | (c > 0xFFFF), [len(t) for t in texts])
+
+
+def blank_split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words that are whatever stands between ASCII blanks, with only A-Z lower-cased."""
+    c = codes("\n".join(texts))
+    c = np.where((c >= ord("A")) & (c <= ord("Z")), c + np.uint32(32), c)
+    return hashed_runs(c, (c != 32) & ((c < 9) | (c > 13)), [len(t) for t in texts])
+
+
+def hashed_runs(c: np.ndarray, inside: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of characters that are inside, and how many begin in each of the texts, which
+    have these lengths and one character between them."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     up, down = powers(len(c) + 1)
     total = np.zeros(len(c) + 1, np.uint64)
     np.cumsum((c + np.uint64(1)) * up[: len(c)], out=total[1:])
-    last = np.cumsum([len(t) + 1 for t in texts])
+    last = np.cumsum(np.array(lengths, np.int64) + 1)
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, last))))
     return mix((total[ends] - total[starts]) * down[starts]), counts
 
 
-def word_blocks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_blocks(texts: list[str | None], split: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] = block_words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Blocks (first, last, hashes, counts) of consecutive texts[first:last]; null counts as empty."""
     first, size = 0, 0
     for k, t in enumerate(texts):
         n = len(t or "") + 1
         if size and size + n > BLOCK:
-            yield first, k, *block_words([x or "" for x in texts[first:k]])
+            yield first, k, *split([x or "" for x in texts[first:k]])
             first, size = k, 0
         size += n
     if first < len(texts):
-        yield first, len(texts), *block_words([x or "" for x in texts[first:]])
+        yield first, len(texts), *split([x or "" for x in texts[first:]])
