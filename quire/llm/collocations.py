@@ -28,7 +28,7 @@ LEAST = 100
 TOP = 2000
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD = 12_000_000
-#: Bits of the filter of frequent words and pairs, whatever the input: 4 MB. Wrong hits only cost work.
+#: Bits of the filter of frequent words and pairs, whatever the input, a multiple of 65536: 4 MB. Wrong hits only cost work.
 FILTER_BITS = 1 << 25
 _PART = 1 << 16
 #: Parts of a language whose best phrases are told before those of all.
@@ -108,18 +108,18 @@ def pair_keys(words: np.ndarray, code: np.ndarray) -> np.ndarray:
     return mix(words[code // max(1, len(words))] * _ODD[0] + words[code % max(1, len(words))] * _ODD[1])
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    """The three bits of the filter that stand for each key."""
-    return np.stack([(mix(keys + np.uint64(k)) % np.uint64(FILTER_BITS)).astype(np.int64) for k in range(3)])
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The three bits, of so many of the filter, that stand for each key."""
+    return np.stack([(mix(keys + np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in range(3)])
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = slots(keys)
+    at = slots(keys, 8 * len(bits))
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    """The (lang, text) of a task in shards of one language each; SHARD bytes are held at most, besides a
+def shards(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[Shard]:
+    """The (lang, text) of a task in shards of one language each; so many bytes are held at most, besides a
     text that is longer itself."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
@@ -130,7 +130,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             data = text.encode("utf-8", "surrogatepass")
             held.setdefault(lang, []).append(data)
             sizes[lang] = sizes.get(lang, 0) + len(data) + 1
-            while sum(sizes.values()) > SHARD:
+            while sum(sizes.values()) > most_bytes:
                 most = max(sizes, key=sizes.__getitem__)
                 del sizes[most]
                 yield Shard(most, held.pop(most))
@@ -138,43 +138,43 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
         yield Shard(lang, held.pop(lang))
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard in shards(batches):
-        keys, n = shard.keyed()
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-
-def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = slots(batch.column(0).to_numpy().view(np.uint64)).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array((at // _PART).astype(np.int32)), pa.array((at % _PART).astype(np.int32))], names=["part", "bit"])
-
-
 def _part_bits(part: pa.Table) -> pa.Table:
     bits = np.zeros(_PART, np.uint8)
     bits[part.column("bit").to_numpy()] = 1
     return pa.table({"part": part.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
-def _filter(frequent: DataFrame) -> np.ndarray:
-    """The filter of the keys of frequent words and pairs; its parts are made in tasks, FILTER_BITS reach the driver."""
-    made = frequent.select("key").mapInArrow(_slot_rows, "part int, bit int").distinct().groupBy("part").applyInArrow(_part_bits, "part int, bits binary")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+def _filter(frequent: DataFrame, size: int) -> np.ndarray:
+    """The filter of the keys of frequent words and pairs; its parts are made in tasks, ``size`` bits reach
+    the driver."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = slots(batch.column(0).to_numpy().view(np.uint64), size).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at // _PART).astype(np.int32)), pa.array((at % _PART).astype(np.int32))], names=["part", "bit"])
+
+    made = frequent.select("key").mapInArrow(rows, "part int, bit int").distinct().groupBy("part").applyInArrow(_part_bits, "part int, bits binary")
+    bits = np.zeros(size // 8, np.uint8)
     for row in made.collect():
         bits[row.part * _PART // 8 : (row.part + 1) * _PART // 8] = np.frombuffer(row.bits, np.uint8)
     return bits
 
 
-def _phrases(frame: DataFrame) -> DataFrame:
+def _phrases(frame: DataFrame, least: int, shard_bytes: int, filter_bits: int) -> DataFrame:
     """(lang, phrase, length, f): how often each phrase stands in all texts, exactly, of all phrases of up
-    to DEPTH words that occur LEAST times. Length 0 is the number of words."""
-    keyed = frame.mapInArrow(_key_rows, "key long, n long")
-    frequent = written(keyed.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("key"), "frequent-keys")
-    bits = frame.sparkSession.sparkContext.broadcast(_filter(frequent))
+    to DEPTH words that occur ``least`` times. Length 0 is the number of words."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, shard_bytes):
+            found, n = shard.keyed()
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    keyed = frame.mapInArrow(keys, "key long, n long")
+    frequent = written(keyed.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "frequent-keys")
+    bits = frame.sparkSession.sparkContext.broadcast(_filter(frequent, filter_bits))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches):
+        for shard in shards(batches, shard_bytes):
             phrase, length, f = [b""], [np.zeros(1, np.int32)], [np.array([len(shard.ids)], np.int64)]
             for k, ends, counts in shard.states(bits.value):
                 phrase += [shard.text(e, k) for e in ends.tolist()]
@@ -184,25 +184,31 @@ def _phrases(frame: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([lang, pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.concatenate(length)), pa.array(np.concatenate(f))], names=["lang", "phrase", "length", "f"])
 
     counted = frame.mapInArrow(rows, "lang string, phrase string, length int, f long").groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f"))
-    out = written(counted.where((F.col("f") >= LEAST) | (F.col("length") == 0)), "phrases")
+    out = written(counted.where((F.col("f") >= least) | (F.col("length") == 0)), "phrases")
     drop_written(frequent)
     return out
 
 
+def exact_score() -> Column:
+    """floor(1000 * a * n / (l * r)) of whole numbers, whose products have up to 38 digits."""
+    a, n, left, right = (f"CAST({c} AS DECIMAL(19, 0))" for c in ("a", "n", "l", "r"))
+    return F.expr(f"(CAST(1000 AS DECIMAL(4, 0)) * {a} * {n}) div ({left} * {right})").alias("score")
+
+
 def _joined(words: Column, first: int | Column, n: Column) -> Column:
     return F.array_join(F.slice(words, first, n), " ")
 
 
-def _best(scored: DataFrame, by: list[str]) -> DataFrame:
+def _best(scored: DataFrame, by: list[str], top: int) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def collocations(documents: DataFrame) -> DataFrame:
-    """The TOP best phrases of two to DEPTH words of every language, of (lang, text).
+def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP, shard_bytes: int = SHARD, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The ``top`` best phrases of two to DEPTH words of every language, of (lang, text).
 
     A-Z are lower-cased; pieces end at ``.,;:!?`` and at line ends, words at blanks and tabs. A phrase counts
-    if it occurs LEAST times within pieces, overlaps included. Its score is the least, over the places where
+    if it occurs ``least`` times within pieces, overlaps included. Its score is the least, over the places where
     it may be cut in two, of floor(1000 * a * n / (l * r)): a, l, r are how often it and its two parts occur
     and n is the number of words of the language; of equal cuts the first counts. A phrase that stands in a
     longer one (of at most DEPTH words) as often as by itself is left out: since counts fall along suffix
@@ -211,10 +217,10 @@ def collocations(documents: DataFrame) -> DataFrame:
 
     Null and empty texts have no words, a null lang is ``und``; rows are not told apart by doc_id, and
     repeated rows count as often as they stand there. An empty table gives no rows. Further columns are
-    ignored. Two ties in score and a go by the UTF-8 bytes of the phrase.
+    ignored. Ties in score and a go by the UTF-8 bytes of the phrase.
     """
     frame = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    found = _phrases(frame)
+    found = _phrases(frame, least, shard_bytes, filter_bits)
     sums = found.where("length = 0").select("lang", F.col("f").alias("n"))
     phrases = found.where("length > 0")
     words = F.split("phrase", " ", -1)
@@ -227,9 +233,7 @@ def collocations(documents: DataFrame) -> DataFrame:
     )
     parts = phrases.select("lang", F.col("phrase").alias("part"), F.col("f"))
     both = cuts.join(parts.withColumnsRenamed({"part": "left", "f": "l"}).hint("merge"), ["lang", "left"]).join(parts.withColumnsRenamed({"part": "right", "f": "r"}).hint("merge"), ["lang", "right"])
-    wide = {c: f"CAST({c} AS DECIMAL(19, 0))" for c in ("a", "n", "l", "r")}
-    exact = F.expr(f"(CAST(1000 AS DECIMAL(4, 0)) * {wide['a']} * {wide['n']}) div ({wide['l']} * {wide['r']})")
-    scored = both.join(sums, "lang").withColumn("score", exact)
+    scored = both.join(sums, "lang").withColumn("score", exact_score())
     least = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("x")).select("lang", "phrase", "x.score", "x.a", "x.l", "x.r", "x.n")
-    parted = _best(least.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(_PARTS))), ["lang", "_part"])
-    return _best(parted.drop("rank", "_part"), ["lang"]).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    parted = _best(least.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(_PARTS))), ["lang", "_part"], top)
+    return _best(parted.drop("rank", "_part"), ["lang"], top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -9,6 +9,7 @@ characters, word lengths, repetition), so they hold for any language.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +23,12 @@ from quire.llm.runtime import small_batches
 from quire.llm.words import BLOCK, codes
 
 PASSAGE = 48
-#: At most so many labelled documents are learned from, the first by hash of doc_id.
-MAX_TRAINING_DOCUMENTS = 5000
-#: A document is learned from by at most so many passages, taken evenly from its whole text; with this and
-#: the bound on documents at most some 80 MB of features reach the driver. Scores use all passages.
-MAX_TRAINING_PASSAGES = 200
-#: Learning ends when so many steps lower the mean log loss by less than this.
-REST, LEAST_GAIN = 20, 0.002
+#: At most so many labelled documents are learned from, the first by hash of doc_id, each by all passages of
+#: its whole text. Only the form features of this sample reach the driver.
+MAX_TRAINING_DOCUMENTS = 2000
+#: Every so manieth document of the sample is not learned from but tells when to stop: when so many steps
+#: have not lowered the log loss on them, learning ends and the weights with the lowest one are taken.
+HELD_BACK, PATIENCE, LOOK = 8, 60, 5
 _KINDS = 10  # space, lower, upper, other letter, digit, stop, comma, loud, newline, other sign
 FEATURES = _KINDS + 9
 
@@ -165,28 +165,53 @@ def gradients(model: Model, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray
     return {"e": f["s"].T @ ds, "eb": ds.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "w": tg.T @ da, "c": f["z"].T @ dy, "b": np.array([dy.sum()])}
 
 
-def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 250, rate: float = 0.03, decay: float = 1e-4, seed: int = 0) -> Model:
+def log_loss(scores: np.ndarray, labels: np.ndarray) -> float:
+    y = np.clip(scores, 1e-9, 1 - 1e-9)
+    return float(-(labels * np.log(y) + (1 - labels) * np.log(1 - y)).mean())
+
+
+def held_back(labels: np.ndarray) -> np.ndarray:
+    """Every HELD_BACK-th bag of each label; none if a label has fewer bags than that."""
+    out = np.zeros(len(labels), bool)
+    for value in np.unique(labels):
+        own = np.flatnonzero(labels == value)
+        if len(own) < HELD_BACK:
+            return np.zeros(len(labels), bool)
+        out[own[HELD_BACK - 1 :: HELD_BACK]] = True
+    return out
+
+
+def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 250, rate: float = 0.03, decay: float = 1e-4, seed: int = 0, patience: int | None = PATIENCE) -> Model:
     """Learn from bags (rows of x, ``sizes`` rows each) and their labels by Adam on the log loss, in at most
-    ``steps`` steps; fewer where REST steps have lowered the loss by less than LEAST_GAIN."""
+    ``steps`` steps. Every HELD_BACK-th bag of either label is held back; learning ends when the loss on
+    those has not fallen for PATIENCE steps, and the best weights are taken. With a sample too small to
+    hold both labels back all bags are learned from, in all steps."""
     x = x.astype(np.float64)
+    back = held_back(labels)
+    if back.any():
+        of_bag = np.repeat(back, sizes)
+        kept_x, kept_sizes, kept_labels = x[of_bag], sizes[back], labels[back]
+        x, sizes, labels = x[~of_bag], sizes[~back], labels[~back]
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     weights = {"e": draw(x.shape[1], hidden), "eb": np.zeros(hidden), "v": draw(hidden, gate), "u": draw(hidden, gate), "w": draw(gate), "c": draw(hidden), "b": np.zeros(1)}
     model = Model(x.mean(0), x.std(0) + 1e-3, weights)
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
-    before = np.inf
+    best, best_step, best_weights = np.inf, 0, None
     for step in range(1, steps + 1):
-        if step % REST == 1:
-            y = np.clip(model.forward(x, sizes)["y"], 1e-9, 1 - 1e-9)
-            loss = -(labels * np.log(y) + (1 - labels) * np.log(1 - y)).mean()
-            if before - loss < LEAST_GAIN:
-                break
-            before = loss
         for k, d in gradients(model, x, sizes, labels).items():
             d = d + decay * weights[k]
             first[k] = 0.9 * first[k] + 0.1 * d
             second[k] = 0.999 * second[k] + 0.001 * d * d
             weights[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+        if back.any() and step % LOOK == 0:
+            loss = log_loss(model.scores(kept_x, kept_sizes), kept_labels)
+            if loss < best:
+                best, best_step, best_weights = loss, step, {k: w.copy() for k, w in weights.items()}
+            elif patience is not None and step - best_step >= patience:
+                break
+    if best_weights is not None:
+        weights.update(best_weights)
     return model
 
 
@@ -215,7 +240,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_DOCU
             quality = np.array(batch.column("quality").to_pylist(), float)
             done = 0
             for x, sizes in feature_blocks(batch.column("text").to_pylist()):
-                bags = [b if len(b) <= MAX_TRAINING_PASSAGES else b[np.linspace(0, len(b) - 1, MAX_TRAINING_PASSAGES).astype(int)] for b in np.split(x, np.cumsum(sizes)[:-1])]
+                bags = np.split(x, np.cumsum(sizes)[:-1])
                 yield pa.RecordBatch.from_pydict(
                     {"quality": quality[done : done + len(sizes)], "bag": pa.array([b.tobytes() for b in bags], pa.binary())}
                 )
@@ -227,7 +252,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_DOCU
     if len(set(target.tolist())) < 2:
         return None
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
-    order = sorted(range(len(bags)), key=lambda k: (target[k], rows[k]["bag"]))  # the same model whatever order rows arrive in
+    # The same model whatever order rows arrive in; by a hash, so that what is held back is of all kinds.
+    order = sorted(range(len(bags)), key=lambda k: (zlib.crc32(rows[k]["bag"]), target[k], rows[k]["bag"]))
     return fit(np.concatenate([bags[k] for k in order]), np.array([len(bags[k]) for k in order]), target[order])
 
 

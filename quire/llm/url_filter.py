@@ -121,10 +121,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = written(parts.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", "r.verdict"), "url-parts")
     # Equal URLs share their score, so the distinct ones are counted and scored; a common URL is one row here.
-    urls = written(known.groupBy("host", "path", "verdict").agg(F.count("*").alias("n")).withColumn("grams", trigrams(F.col("host"), F.col("path"))), "urls")
+    # They are numbered, so that what is made of their characters carries a number and not the URL.
+    counted = known.groupBy("host", "path", "verdict").agg(F.count("*").alias("n"))
+    urls = written(counted.withColumns({"url_no": F.monotonically_increasing_id(), "grams": trigrams(F.col("host"), F.col("path"))}), "urls")
     model = F.broadcast(log_ratio_model(urls.where("verdict is not null").select("verdict", "grams", "n")))  # N**3 rows
-    scores = urls.select("host", "path", "verdict", F.explode("grams").alias("code")).join(model, "code").groupBy("host", "path", "verdict").agg(F.avg("ratio").alias("score"))
-    scores = written(scores, "url-scores")
+    numbered = urls.select("url_no", F.explode("grams").alias("code")).join(model, "code").groupBy("url_no").agg(F.avg("ratio").alias("score"))
+    scores = written(urls.select("url_no", "host", "path", "verdict").join(numbered.hint("merge"), "url_no").drop("url_no"), "url-scores")
     threshold = calibrated(scores)
     # Null and malformed URLs are one empty URL; its one score is a literal, so that they need no join.
     blank = (F.col("host") == "") & (F.col("path") == "")
