@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.llm.key_filter import key_filter, passes
 from quire.llm.runtime import drop_written, small_batches, written
 from quire.llm.words import mix
 
@@ -30,7 +31,6 @@ TOP = 2000
 SHARD = 12_000_000
 #: Bits of the filter of frequent words and pairs, whatever the input, a multiple of 65536: 4 MB. Wrong hits only cost work.
 FILTER_BITS = 1 << 25
-_PART = 1 << 16
 #: Parts of a language whose best phrases are told before those of all.
 _PARTS = 32
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -108,16 +108,6 @@ def pair_keys(words: np.ndarray, code: np.ndarray) -> np.ndarray:
     return mix(words[code // max(1, len(words))] * _ODD[0] + words[code % max(1, len(words))] * _ODD[1])
 
 
-def slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The three bits, of so many of the filter, that stand for each key."""
-    return np.stack([(mix(keys + np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in range(3)])
-
-
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = slots(keys, 8 * len(bits))
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
-
-
 def shards(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[Shard]:
     """The (lang, text) of a task in shards of one language each; so many bytes are held at most, besides a
     text that is longer itself."""
@@ -138,28 +128,6 @@ def shards(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[Shard
         yield Shard(lang, held.pop(lang))
 
 
-def _part_bits(part: pa.Table) -> pa.Table:
-    bits = np.zeros(_PART, np.uint8)
-    bits[part.column("bit").to_numpy()] = 1
-    return pa.table({"part": part.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-
-def _filter(frequent: DataFrame, size: int) -> np.ndarray:
-    """The filter of the keys of frequent words and pairs; its parts are made in tasks, ``size`` bits reach
-    the driver."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = slots(batch.column(0).to_numpy().view(np.uint64), size).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array((at // _PART).astype(np.int32)), pa.array((at % _PART).astype(np.int32))], names=["part", "bit"])
-
-    made = frequent.select("key").mapInArrow(rows, "part int, bit int").distinct().groupBy("part").applyInArrow(_part_bits, "part int, bits binary")
-    bits = np.zeros(size // 8, np.uint8)
-    for row in made.collect():
-        bits[row.part * _PART // 8 : (row.part + 1) * _PART // 8] = np.frombuffer(row.bits, np.uint8)
-    return bits
-
-
 def _phrases(frame: DataFrame, least: int, shard_bytes: int, filter_bits: int) -> DataFrame:
     """(lang, phrase, length, f): how often each phrase stands in all texts, exactly, of all phrases of up
     to DEPTH words that occur ``least`` times. Length 0 is the number of words."""
@@ -171,7 +139,7 @@ def _phrases(frame: DataFrame, least: int, shard_bytes: int, filter_bits: int) -
 
     keyed = frame.mapInArrow(keys, "key long, n long")
     frequent = written(keyed.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "frequent-keys")
-    bits = frame.sparkSession.sparkContext.broadcast(_filter(frequent, filter_bits))
+    bits = frame.sparkSession.sparkContext.broadcast(key_filter(frequent, filter_bits))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, shard_bytes):

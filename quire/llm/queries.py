@@ -116,9 +116,9 @@ _OP3 = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x
         sha256(unhex(CASE WHEN c.doc_id IS NULL THEN d.x ELSE c.kept || substr(d.x, 2 * t.b + 1) END)) AS kept_sha256
     FROM d LEFT JOIN cut c ON c.doc_id = d.doc_id LEFT JOIN tail t ON t.doc_id = d.doc_id"""
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-#: Windows of 13 words with 11 equal; items of 5 to 12 words whole.
+#: Windows of 13 words with 11 equal; items of up to 12 words whole.
 _OP6 = f"""WITH dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS p, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-    bw AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS q, len(w) AS m FROM (SELECT min(item_id) AS item_id, {_WORDS} AS w FROM benchmark GROUP BY text) WHERE len(w) >= 5),
+    bw AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS q, len(w) AS m FROM (SELECT min(item_id) AS item_id, {_WORDS} AS w FROM benchmark GROUP BY text) WHERE len(w) >= 1),
     eq AS (SELECT doc_id, item_id, p, p - q AS diagonal, greatest(0, p - q) AS lo, least(n, m + p - q) AS hi, least(13, m) AS size, CASE WHEN m >= 13 THEN 11 ELSE m END AS least FROM dw JOIN bw USING (w)),
     near AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS k FROM eq) WHERE k >= least AND hi - lo >= size),
     s AS (SELECT doc_id, item_id, diagonal, size, least, unnest(range(lo, hi - size + 1)) AS s FROM (SELECT DISTINCT doc_id, item_id, diagonal, lo, hi, size, least FROM near)),
