@@ -1,11 +1,13 @@
 """Punctuation of Chinese text, in the order in which the rules must apply.
 
-Everything but the apostrophe is a chain of built-in functions. The apostrophe depends on whether a
-quotation is open, which a fold over the quotes of a text carries along.
+All of it is a chain of built-in functions. The apostrophe depends on whether a quotation is open, which a
+pattern over the kinds of a text's quotes tells.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,35 +35,42 @@ def double_open_after(c: Column, open_first: Column) -> Column:
     return F.when(n % 2 == 0, open_first).otherwise(~open_first)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it stands there."""
+    return F.transform(F.array(value), then)[0]
+
+
 def single_quotes(c: Column, open_first: Column | None = None) -> Column:
     """ASCII apostrophes and single quotes: struct(text, open).
 
     Between two ASCII letters it is an apostrophe and changes nothing. After a letter it closes an open
-    quotation, else it is an apostrophe. Elsewhere it opens and closes in turn."""
-    parts = F.split(c, "'", -1)
-
-    def step(state: Column, part: Column) -> Column:
-        before = F.right(state["raw"], F.lit(1)).rlike("^[A-Za-z]$")
-        after = part.rlike("^[A-Za-z]")
-        opens = ~before & state["open"]
-        now = F.when(before & after, state["open"]).when(before, F.lit(True)).otherwise(~state["open"])
-        first = state["n"] == 0
-        return F.struct(
-            F.when(first, "").otherwise(F.concat(state["marks"], F.when(opens, "‘").otherwise("’"))).alias("marks"),
-            F.when(first, state["open"]).otherwise(now).alias("open"),
-            # A quote itself stands before the next one when nothing is between them.
-            F.when(first | (F.length(part) > 0), part).otherwise("'").alias("raw"),
-            (state["n"] + 1).alias("n"),
-        )
+    quotation, else it is an apostrophe. Elsewhere it opens and closes in turn.
+
+    Each quote has a kind that its neighbours tell: a (between letters), b (after one), c (elsewhere). Those
+    of kind c go in pairs from the start, and anew from every b on, whatever stands between them; so the
+    kinds, written as one string, are paired by a pattern, which takes one pass over any number of quotes.
+    Where a quotation is open at the start, a c before the first quote stands for it."""
+
+    def kind(parts: Column, i: Column) -> Column:
+        before, after = F.get(parts, i).rlike("[A-Za-z]$"), F.get(parts, i + 1).rlike("^[A-Za-z]")
+        return F.when(before & after, "a").when(before, "b").otherwise("c")
+
+    def paired(kinds: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(kinds, "c(a*)c", "o$1e"), "c", "o")
+
+    def told(parts: Column) -> Column:
+        kinds = F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, i: kind(parts, i)), "")
+        lead = F.lit("") if open_first is None else F.when(open_first, F.lit("")).otherwise(F.lit("c"))
+        put = lambda shown: F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(shown, i - 1), p))), "")
 
-    start = F.struct(F.lit("").alias("marks"), (F.lit(True) if open_first is None else open_first).alias("open"), F.lit("").alias("raw"), F.lit(0).alias("n"))
+        def written(marks: Column) -> Column:
+            shown = F.split(F.translate(F.substring(marks, F.length(lead) + 1, F.length(marks)), "oeab", "‘’’’"), "")
+            # What was open last: an o, or what was open at the start.
+            return F.struct(_once(shown, put).alias("text"), (F.regexp_extract(marks, "([^a])a*$", 1) != "o").alias("open"))
 
-    def marked(marks: Column) -> Column:
-        return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(marks, i - 1), p))), "")
+        return _once(paired(F.concat(lead, kinds)), written)
 
-    # The fold writes one mark per quote, never the text; the marks are then put between the parts.
-    shown = lambda s: F.transform(F.array(F.split(s["marks"], "")), marked)[0]
-    return F.aggregate(parts, start, step, lambda s: F.struct(shown(s).alias("text"), s["open"].alias("open")))
+    return _once(F.split(c, "'", -1), told)
 
 
 # Writings of ellipsis and dash, in order.
@@ -110,11 +119,11 @@ def normalize_segments(texts: Column, continues: Column) -> Column:
         raw = japanese_quotes(F.coalesce(item["text"], F.lit("")))
         goes_on = F.coalesce(item["cont"], F.lit(False)) & (F.size(state["run"]) > 0)
         d, s = F.when(goes_on, state["double"]).otherwise(True), F.when(goes_on, state["single"]).otherwise(True)
-        single = single_quotes(double_quotes(raw, d), s)
-        return F.struct(
-            *gathered(state, close_gaps(full_width(ellipsis_dash(single["text"]))), F.lit(True)),
-            double_open_after(raw, d).alias("double"),
-            single["open"].alias("single"),
+        return _once(
+            single_quotes(double_quotes(raw, d), s),
+            lambda single: F.struct(
+                *gathered(state, close_gaps(full_width(ellipsis_dash(single["text"]))), F.lit(True)), double_open_after(raw, d).alias("double"), single["open"].alias("single")
+            ),
         )
 
     items = F.zip_with(texts, continues, lambda t, k: F.struct(t.alias("text"), k.alias("cont")))

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quire.config import rendered
 from quire.functions.loose_json import loose_json
 from quire.functions.text import is_blank, language_code
-from quire.operators import checks, extraction, folds, model
+from quire.operators import checks, extraction, folds, glossary, model, usage
 from quire.session import lineage_cut
 
 # How much of a text a task is given, in characters.
@@ -41,6 +43,23 @@ PROMPTS = {
 }
 
 
+#: Called with (task, tier, rows) for every task that is asked within ``recording``.
+_recorder: ContextVar[Callable[[str, str, DataFrame], None] | None] = ContextVar("recorder", default=None)
+_USED = pa.struct([(f, pa.int64()) for f in usage.FIELDS])
+USED = StructType([StructField(f, LongType()) for f in usage.FIELDS])
+
+
+@contextmanager
+def recording(record: Callable[[str, str, DataFrame], None]) -> Iterator[None]:
+    """Within it, what every task uses is recorded as rows (key, calls, prompt, ...), the key telling the call
+    within its task. Replies are then kept once they are there, so no call is made, or counted, twice."""
+    token = _recorder.set(record)
+    try:
+        yield
+    finally:
+        _recorder.reset(token)
+
+
 def ask(rows: DataFrame, keep: list[str], task: str, prompt: Column, tier: str, client: model.Provider | None = None, must: bool = False, brief: Column | None = None, **names: str) -> DataFrame:
     """Rows (keep..., reply): one call each, with ``brief`` as a message before the prompt.
 
@@ -49,14 +68,14 @@ def ask(rows: DataFrame, keep: list[str], task: str, prompt: Column, tier: str,
     client = client or model.FakeProvider()
     system = {"role": "system", "content": rendered(PROMPTS[task], **names)}
     source = rows.select(*keep, prompt.alias("_prompt"), (F.lit(None).cast("string") if brief is None else brief).alias("_brief"))
-    schema = source.drop("_prompt", "_brief").schema.add("reply", StringType())
+    schema = source.drop("_prompt", "_brief").schema.add("reply", StringType()).add("_used", USED)
 
-    def reply(text: str | None, before: str | None) -> str:
+    def reply(text: str | None, before: str | None, meter: model.Meter) -> str:
         if text is None:
             return ""
         try:
             said = [{"role": "user", "content": before}] if before is not None else []
-            return client.complete([system, *said, {"role": "user", "content": text}], tier)
+            return meter.complete(client, [system, *said, {"role": "user", "content": text}], tier)
         except Exception:
             if must:
                 raise
@@ -64,10 +83,15 @@ def ask(rows: DataFrame, keep: list[str], task: str, prompt: Column, tier: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies = [reply(t, b) for t, b in zip(batch.column("_prompt").to_pylist(), batch.column("_brief").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(replies, pa.string())], names=[*keep, "reply"])
+            meters = [model.Meter() for _ in range(batch.num_rows)]
+            replies = [reply(t, b, m) for t, b, m in zip(batch.column("_prompt").to_pylist(), batch.column("_brief").to_pylist(), meters, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(replies, pa.string()), pa.array([m.used for m in meters], _USED)], names=[*keep, "reply", "_used"])
 
-    return source.mapInArrow(run, schema)
+    told = source.mapInArrow(run, schema)
+    if (record := _recorder.get()) is not None:
+        told = lineage_cut(told)
+        record(task, tier, told.select(F.sha2(F.to_json(F.struct(*keep)), 256).alias("key"), "_used.*").where("calls > 0"))
+    return told.select(*keep, "reply")
 
 
 def _list(items: Column) -> Column:
@@ -81,8 +105,8 @@ def languages(samples: DataFrame, key: list[str], text: str, client: model.Provi
 
 
 def analyses(samples: DataFrame, key: list[str], text: str, client: model.Provider | None = None, src: str = "") -> DataFrame:
-    """(key..., analysis): the analysis as JSON; a failure fails the job."""
-    told = ask(samples, key, "analysis", F.col(text), "strong", client, must=True, src=src)
+    """(key..., analysis): the analysis as JSON, null if the call fails or answers none."""
+    told = ask(samples, key, "analysis", F.col(text), "strong", client, src=src)
     return told.select(*key, loose_json(F.col("reply")).alias("analysis"))
 
 
@@ -118,36 +142,82 @@ def synopses(digests: DataFrame, book: list[str], order: str, digest: str = "dig
     return level.select(*book, F.col("_text").alias("synopsis"))
 
 
-def translated_books(batches: DataFrame, client: model.Provider | None = None, retries: int = 2, context: int = 6, **names: str) -> DataFrame:
+#: What of a book's glossary a batch is told: terms of its own texts, of its chapter's, or all.
+SCOPES = ("batch", "chapter", "full")
+_BATCH = "path string, chapter int, start int, segs array<int>, targets array<string>, calls int, error string, fresh boolean, terms string, used struct<{0}>, terms_used struct<{0}>".format(",".join(f"{f}:bigint" for f in usage.FIELDS))
+
+
+def translated_books(
+    batches: DataFrame, client: model.Provider | None = None, retries: int = 2, context: int = 6, terms: DataFrame | None = None, scope: str = "chapter", **names: str
+) -> DataFrame:
     """Translate the batches of each book in order, every one with the last targets before it.
 
     ``batches`` has (path, chapter, start, done, segs, items, targets, brief): done ones are not asked but
-    give context. Returns (path, chapter, start, segs, targets, calls, error) of the others. A book whose
+    give context. Returns (path, chapter, start, segs, targets, calls, error, fresh) of the others. A book whose
     batch has no answer ends there with the error; what was done before is returned, so it is not lost.
-    One task holds one book; books are independent of each other."""
+    One task holds one book; books are independent of each other.
+
+    With ``terms`` (path, source, target, type, reading, gender, note, aliases), the book's glossary goes along
+    and grows: after every batch the model is asked for the terms of its texts, and what it finds stands in
+    the briefs of the batches that follow (``scope``). Batches whose column ``known`` is true have been asked
+    before. The replies come back as ``terms``, also of done batches (``fresh`` is false for these). All of
+    it is a function of the rows of the book, so a task that is run again gives the same."""
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope {scope!r}; known: {', '.join(SCOPES)}")
     client = client or model.FakeProvider()
     system = {"role": "system", "content": rendered(PROMPTS["translate"], **names)}
-    schema = "path string, chapter int, start int, segs array<int>, targets array<string>, calls int, error string"
-    types = pa.schema([("path", pa.string()), ("chapter", pa.int32()), ("start", pa.int32()), ("segs", pa.list_(pa.int32())), ("targets", pa.list_(pa.string())), ("calls", pa.int32()), ("error", pa.string())])
+    asks_terms = {"role": "system", "content": PROMPTS["terms"]}
+    used = pa.struct([(f, pa.int64()) for f in usage.FIELDS])
+    types = pa.schema(
+        [("path", pa.string()), ("chapter", pa.int32()), ("start", pa.int32()), ("segs", pa.list_(pa.int32())), ("targets", pa.list_(pa.string())), ("calls", pa.int32()), ("error", pa.string())]
+        + [("fresh", pa.bool_()), ("terms", pa.string()), ("used", used), ("terms_used", used)]
+    )
+    with_terms = terms is not None
+
+    def found_terms(row: dict, targets: list[str], book: glossary.BookTerms, meter: model.Meter) -> str:
+        pair = {"source": "\n".join(row["items"]), "target": "\n".join(t or "" for t in targets)}
+        try:
+            reply = meter.complete(client, [asks_terms, {"role": "user", "content": json.dumps(pair, ensure_ascii=False)}], "fast")
+        except Exception:  # a batch without terms is still translated
+            return ""
+        book.propose(model.terms_of(reply))
+        return reply
 
-    def run(book: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         seen: deque[str] = deque(maxlen=max(context, 1))
-        out = []
-        for row in book.sort_by([("chapter", "ascending"), ("start", "ascending")]).to_pylist():
-            found, calls, error = row["targets"], 0, None
+        book, out = glossary.BookTerms(known.sort_by("source").to_pylist()), []
+        ordered = rows.sort_by([("chapter", "ascending"), ("start", "ascending")]).to_pylist()
+        chapters: dict[int, list[str]] = {}
+        for row in ordered:
+            chapters.setdefault(row["chapter"], []).extend(row["items"])
+        for row in ordered:
+            found, calls, error, meter, meter_of_terms, reply = row["targets"], 0, None, model.Meter(), model.Meter(), None
             if not row["done"]:
-                said = json.dumps({"brief": row["brief"] or "", "before": list(seen) if context else []}, ensure_ascii=False)
+                brief = row["brief"] or ""
+                if with_terms:
+                    text = {"batch": row["items"], "chapter": chapters[row["chapter"]], "full": None}[scope]
+                    lines = book.lines(None if text is None else "\n".join(text))
+                    brief = json.dumps((json.loads(brief) if brief else {}) | ({"glossary": lines} if lines else {}), ensure_ascii=False)
+                said = json.dumps({"brief": brief, "before": list(seen) if context else []}, ensure_ascii=False)
                 try:
-                    found, calls = model.translate_aligned(row["items"], client, retries, brief=[system, {"role": "user", "content": said}])
+                    found, calls = model.translate_aligned(row["items"], client, retries, brief=[system, {"role": "user", "content": said}], meter=meter)
                 except model.AlignmentError as e:
                     found, error = None, str(e)
-                out.append({k: row[k] for k in ("path", "chapter", "start", "segs")} | {"targets": found, "calls": calls, "error": error})
+            if with_terms and not error and not row["known"]:
+                reply = found_terms(row, found, book, meter_of_terms)
+            if not row["done"] or reply is not None:
+                new = {"targets": found if not row["done"] else None, "calls": calls, "error": error, "fresh": not row["done"], "terms": reply, "used": meter.used, "terms_used": meter_of_terms.used}
+                out.append({k: row[k] for k in ("path", "chapter", "start", "segs")} | new)
             if error:
                 break
             seen.extend(t for t in found if t and t.strip())
         return pa.Table.from_pylist(out, types)
 
-    return batches.select("path", F.col("chapter").cast("int"), F.col("start").cast("int"), "done", F.transform("segs", lambda x: x.cast("int")).alias("segs"), "items", "targets", "brief").groupBy("path").applyInArrow(run, schema)
+    known = F.coalesce("known", F.lit(False)) if "known" in batches.columns else F.lit(False)
+    cut = batches.select("path", F.col("chapter").cast("int"), F.col("start").cast("int"), "done", F.transform("segs", lambda x: x.cast("int")).alias("segs"), "items", "targets", "brief", known.alias("known"))
+    fields = ("path", *extraction.TERM_FIELDS, "aliases")
+    own = terms.select(*fields) if with_terms else cut.sparkSession.createDataFrame([], "path string, source string, target string, reading string, type string, gender string, note string, aliases array<string>")
+    return cut.groupBy("path").cogroup(own.groupBy("path")).applyInArrow(run, _BATCH)
 
 
 def fixes(segments: DataFrame, key: list[str], client: model.Provider | None = None, **names: str) -> DataFrame:

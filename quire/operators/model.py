@@ -18,12 +18,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from quire.functions.loose_json import parse_loose
+from quire.operators.extraction import TERM_FIELDS
+from quire.operators.usage import FIELDS
 
 
 class Provider(Protocol):
+    """``counted`` is optional: it answers like ``complete`` and also tells what the call used, by the names of
+    ``usage.FIELDS``; what it does not tell is 0."""
+
     def complete(self, messages: list[dict[str, str]], tier: str) -> str: ...
 
 
+class Meter:
+    """What the calls of one row used: every call counts, also one without an answer."""
+
+    def __init__(self) -> None:
+        self.used = dict.fromkeys(FIELDS, 0)
+
+    def complete(self, client: Provider, messages: list[dict[str, str]], tier: str) -> str:
+        self.used["calls"] += 1
+        if not hasattr(client, "counted"):
+            return client.complete(messages, tier)
+        reply, sample = client.counted(messages, tier)
+        for f in FIELDS[1:]:
+            self.used[f] += max(0, int(sample.get(f) or 0))
+        if not sample.get("total"):
+            self.used["total"] += sum(max(0, int(sample.get(f) or 0)) for f in ("prompt", "completion"))
+        return reply
+
+
 def _reversed(text: str) -> str:
     return " ".join(reversed(text.split(" ")))
 
@@ -67,10 +90,15 @@ class FakeProvider:
     def complete(self, messages: list[dict[str, str]], tier: str) -> str:
         return self.handler(messages, tier)
 
+    def counted(self, messages: list[dict[str, str]], tier: str) -> tuple[str, dict[str, int]]:
+        reply = self.complete(messages, tier)
+        return reply, {"prompt": sum(len(m["content"]) for m in messages), "completion": len(reply)}
+
 
 @dataclass(frozen=True)
 class RetryingProvider:
-    """Asks again after a failure: ``max_retries`` times, after delays that double up to the longest."""
+    """Asks again after a failure: ``max_retries`` times, after delays that double up to the longest. A failure
+    whose ``retryable`` is false, as one of credentials, is not asked again."""
 
     inner: Provider
     max_retries: int = 4
@@ -79,11 +107,19 @@ class RetryingProvider:
     sleep: Callable[[float], None] = time.sleep
 
     def complete(self, messages: list[dict[str, str]], tier: str) -> str:
+        return self._again(lambda: self.inner.complete(messages, tier))
+
+    def counted(self, messages: list[dict[str, str]], tier: str) -> tuple[str, dict[str, int]]:
+        if hasattr(self.inner, "counted"):
+            return self._again(lambda: self.inner.counted(messages, tier))
+        return self.complete(messages, tier), {}
+
+    def _again(self, call: Callable):
         for attempt in range(self.max_retries + 1):
             try:
-                return self.inner.complete(messages, tier)
-            except Exception:  # providers fail in ways of their own
-                if attempt == self.max_retries:
+                return call()
+            except Exception as e:  # providers fail in ways of their own
+                if attempt == self.max_retries or not getattr(e, "retryable", True):
                     raise
                 self.sleep(min(self.longest_delay, self.first_delay * 2**attempt))
         raise AssertionError
@@ -115,18 +151,19 @@ def _texts(reply: str, n: int) -> list[str] | None:
     return value
 
 
-def translate_aligned(texts: list[str], client: Provider, retries: int = 2, tier: str = "strong", brief: list[dict[str, str]] | None = None) -> tuple[list[str], int]:
+def translate_aligned(texts: list[str], client: Provider, retries: int = 2, tier: str = "strong", brief: list[dict[str, str]] | None = None, meter: Meter | None = None) -> tuple[list[str], int]:
     """One non-blank translation for each text, and the calls it took.
 
     The whole batch is tried ``retries + 1`` times, then each text once alone, then AlignmentError. A call
-    that fails counts as one without an answer. ``brief`` are the messages that go before the texts."""
-    calls = 0
+    that fails counts as one without an answer. ``brief`` are the messages that go before the texts, ``meter``
+    counts what the calls use."""
+    calls, meter = 0, meter or Meter()
 
     def ask(part: list[str]) -> list[str] | None:
         nonlocal calls
         calls += 1
         try:
-            return _texts(client.complete([*(brief or []), {"role": "user", "content": json.dumps(part, ensure_ascii=False)}], tier), len(part))
+            return _texts(meter.complete(client, [*(brief or []), {"role": "user", "content": json.dumps(part, ensure_ascii=False)}], tier), len(part))
         except Exception:  # whatever a provider raises, the next attempt may do better
             return None
 
@@ -175,3 +212,18 @@ def issues_of(reply: str) -> list[dict]:
     value = parse_loose(reply)
     value = value.get("issues", []) if isinstance(value, dict) else value
     return [v for v in value if isinstance(v, dict)] if isinstance(value, list) else []
+
+
+def terms_of(reply: str | None) -> list[dict[str, str]]:
+    """The terms of a reply, as ``extraction.extracted_terms`` reads them: objects with source and target,
+    fields as stripped text, the gender "unknown" as none."""
+    value = parse_loose_or_none(reply)
+    value = value.get("terms", value) if isinstance(value, dict) else value
+    out = []
+    for item in value if isinstance(value, list) else []:
+        if isinstance(item, dict):
+            read = {f: item.get(f) for f in TERM_FIELDS}
+            text = {f: v.strip(" ") if isinstance(v, str) else str(v) if isinstance(v, int | float) and not isinstance(v, bool) else "" for f, v in read.items()}
+            if text["source"] and text["target"]:
+                out.append(text | {"gender": "" if text["gender"].lower() == "unknown" else text["gender"]})
+    return out

@@ -19,7 +19,7 @@ from quire.operators import segments, toc
 from quire.sources import epub, fb2, html
 
 EXTENSIONS = {".epub": "epub", ".md": "text", ".markdown": "text", ".txt": "text", ".text": "text", ".fb2": "fb2", ".html": "html", ".htm": "html"}
-SCHEMA = "path string, fmt string, title string, chapter int, chapter_title string, seg int, kind string, level int, anchor string, source string, href string, toc_path string, toc_node int"
+SCHEMA = "path string, fmt string, title string, chapter int, chapter_title string, seg int, kind string, level int, anchor string, source string, href string, toc_path string, toc_node int, toc_href string"
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 _ENTRY = "toc_rank:int,toc_path:string,node:int,parent:int,depth:int,title:string,raw_href:string,href:string,fragment:string,external:boolean"
 EPUB = f"path string, title string, segments array<struct<pos:int,resource:int,href:string,kind:string,anchor:string,source:string>>, resources array<struct<href:string,pos:int,size:int>>, fragments array<struct<href:string,fragment:string,pos:int>>, entries array<struct<{_ENTRY}>>"
@@ -55,19 +55,19 @@ def text_books(files: DataFrame) -> DataFrame:
     cut = segments.text_segments(segments.chapters(texts, "path", "text", _stem(F.col("path"))), "path")
     heads = cut.withColumn("anchor", F.concat(F.lit("q"), "chapter", F.lit("_"), "seg"))
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    return heads.select("path", F.lit("text").alias("fmt"), _stem(F.col("path")).alias("title"), F.col("chapter").cast("int"), F.col("title").alias("chapter_title"), F.col("seg").cast("int"), "kind", F.when(F.col("kind") == "heading", F.col("level")).cast("int").alias("level"), "anchor", "source", none("href", "string"), none("toc_path", "string"), none("toc_node", "int"))
+    return heads.select("path", F.lit("text").alias("fmt"), _stem(F.col("path")).alias("title"), F.col("chapter").cast("int"), F.col("title").alias("chapter_title"), F.col("seg").cast("int"), "kind", F.when(F.col("kind") == "heading", F.col("level")).cast("int").alias("level"), "anchor", "source", none("href", "string"), none("toc_path", "string"), none("toc_node", "int"), none("toc_href", "string"))
 
 
 def markup_books(files: DataFrame) -> DataFrame:
     """Segments of HTML and FB2 files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
         for batch in batches:
             for path, fmt, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found = fb2.chapters(data) if fmt == "fb2" else html.chapters(html.decode(data))
                 stem = posixpath.splitext(posixpath.basename(path))[0]
-                rows = [(path, fmt, stem, c, ch["title"], s, kind, None, f"q{c}_{s}", text, None, None, None) for c, ch in enumerate(found) for s, (kind, text) in enumerate(ch["segments"])]
+                rows = [(path, fmt, stem, c, ch["title"], s, kind, None, f"q{c}_{s}", text, None, None, None, None) for c, ch in enumerate(found) for s, (kind, text) in enumerate(ch["segments"])]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=COLUMNS)
 
@@ -75,14 +75,18 @@ def markup_books(files: DataFrame) -> DataFrame:
 
 
 def fb2_images(files: DataFrame) -> DataFrame:
-    """(path, images map<string, binary>) of FB2 files; images that cannot be decoded are left out."""
+    """(path, images map<string, binary>, places) of FB2 files: their images, those that cannot be decoded
+    left out, and before which segment of which chapter each is shown."""
+    place = pa.struct([("chapter", pa.int32()), ("place", pa.int32()), ("name", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([list(fb2.binaries(data).items())], pa.map_(pa.string(), pa.binary()))], names=["path", "images"])
+                images = fb2.binaries(data)
+                shown = [{"chapter": c, "place": n, "name": name} for c, ch in enumerate(fb2.chapters(data)) for n, name in ch["images"] if name in images]
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([list(images.items())], pa.map_(pa.string(), pa.binary())), pa.array([shown], pa.list_(place))], names=["path", "images", "places"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, images map<string,binary>")
+    return files.select("path", "content").mapInArrow(run, "path string, images map<string,binary>, places array<struct<chapter:int,place:int,name:string>>")
 
 
 def parsed_epubs(files: DataFrame) -> DataFrame:
@@ -130,10 +134,10 @@ def epub_chapters(books: DataFrame) -> DataFrame:
     entries = toc.inherit(entries, "_toc").withColumn("pos", F.when(linked, F.col("_own")).otherwise(F.col("pos"))).withColumn("seq", F.col("node"))
     found = toc.boundaries(entries, "_toc").withColumn("_first", F.min("toc_rank").over(Window.partitionBy("path"))).where("toc_rank = _first")
     number = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
-    marks = found.select("path", "pos", F.col("title").alias("_title"), "toc_path", F.col("node").alias("toc_node"), number.alias("_n"))
+    marks = found.select("path", "pos", F.col("title").alias("_title"), "toc_path", F.col("node").alias("toc_node"), F.coalesce("raw_href", F.lit("")).alias("toc_href"), number.alias("_n"))
     flat = books.select("path", "title", F.explode("segments").alias("_s")).select("path", "title", "_s.*")
     placed = flat.join(toc.assign(flat, marks.select("path", "pos"), "path"), ["path", "pos"])
-    named = placed.join(marks.select("path", F.col("_n").alias("chapter"), "_title", "toc_path", "toc_node"), ["path", "chapter"], "left")
+    named = placed.join(marks.select("path", F.col("_n").alias("chapter"), "_title", "toc_path", "toc_node", "toc_href"), ["path", "chapter"], "left")
     # Without a boundary the resources are the chapters.
     group = F.when(F.max("chapter").over(Window.partitionBy("path")) > 0, F.col("chapter")).otherwise(F.col("resource"))
     dense = named.withColumn("_bounded", F.max("chapter").over(Window.partitionBy("path")) > 0).withColumn("chapter", F.dense_rank().over(Window.partitionBy("path").orderBy(group)) - 1)
@@ -142,7 +146,7 @@ def epub_chapters(books: DataFrame) -> DataFrame:
     own = F.coalesce(F.when(F.col("_bounded"), F.first(head).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(F.first(head, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))), F.lit(""))
     return dense.select(
         "path", F.lit("epub").alias("fmt"), "title", F.col("chapter").cast("int"), F.coalesce("_title", own).alias("chapter_title"), (F.row_number().over(whole) - 1).cast("int").alias("seg"),
-        "kind", F.lit(None).cast("int").alias("level"), "anchor", "source", "href", "toc_path", "toc_node",
+        "kind", F.lit(None).cast("int").alias("level"), "anchor", "source", "href", "toc_path", "toc_node", "toc_href",
     )
 
 

@@ -11,9 +11,12 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from quire.sources.html import HEADINGS, Node, decode, parse
+from quire.sources.html import _SILENT, HEADINGS, Node, decode, parse
 
 _CANDIDATES = frozenset(("p", *HEADINGS, "li", "blockquote", "td", "th", "dt", "dd", "div"))
+_IMAGES = frozenset(("img", "image", "svg"))
+#: Elements whose contents are not read as text of a block.
+_UNREAD = frozenset(("rt", "rp", "script", "style")) | _IMAGES
 _HTML = ("application/xhtml+xml", "text/html")
 
 
@@ -75,45 +78,45 @@ def read_package(z: zipfile.ZipFile) -> Package:
 def ncx_entries(data: bytes, path: str) -> list[dict]:
     """Entries of an NCX in pre-order, each with the place of its parent."""
     out: list[dict] = []
-
-    def walk(e: ET.Element, parent: int | None, depth: int) -> None:
-        for point in (c for c in e if _tag(c) == "navPoint"):
+    for nav in (e for e in ET.fromstring(data).iter() if _tag(e) == "navMap"):
+        ahead: list[tuple[ET.Element, int | None, int]] = [(p, None, 0) for p in reversed(nav) if _tag(p) == "navPoint"]
+        while ahead:
+            point, parent, depth = ahead.pop()
             label = next((" ".join("".join(x.itertext()).split()) for x in point if _tag(x) == "navLabel"), "")
             raw = next((x.get("src") for x in point if _tag(x) == "content"), None)
             href, fragment, external = resolve(path, raw)
             out.append({"toc_path": path, "node": len(out), "parent": parent, "depth": depth, "title": label, "raw_href": raw, "href": href, "fragment": fragment, "external": external})
-            walk(point, len(out) - 1, depth + 1)
-
-    for nav in ET.fromstring(data).iter():
-        if _tag(nav) == "navMap":
-            walk(nav, None, 0)
+            ahead += [(p, len(out) - 1, depth + 1) for p in reversed(point) if _tag(p) == "navPoint"]
     return out
 
 
-def nav_entries(html: str, path: str) -> list[dict]:
-    """Entries of an EPUB 3 navigation document in pre-order; an item without a label keeps its parent."""
-    root = parse(html)
+def nav_labels(root: Node) -> Iterator[tuple[Node, int | None, int]]:
+    """The labels of a navigation document in pre-order, each with the place of its parent and its depth. An
+    item's label is its direct link, else its direct span; an item with neither hands its parent down."""
     navs = [n for n in root.walk() if n.tag == "nav"]
     typed = [n for n in navs if "toc" in n.attributes.get("epub:type", "").split()]
     scope = typed or [n for n in navs if not n.attributes.get("epub:type")][:1]
-    out: list[dict] = []
+    count = 0
+    lists = [ol for nav in scope if (ol := nav.find("ol")) is not None]
+    ahead: list[tuple[Node, int | None, int]] = [(li, None, 0) for ol in reversed(lists) for li in reversed(ol.children) if isinstance(li, Node) and li.tag == "li"]
+    while ahead:
+        li, parent, depth = ahead.pop()
+        own = [c for c in li.children if isinstance(c, Node)]
+        label = next((c for c in own if c.tag == "a"), None) or next((c for c in own if c.tag == "span"), None)
+        if label is not None:
+            yield label, parent, depth
+            parent, depth, count = count, depth + 1, count + 1
+        inner = [x for c in own if c.tag == "ol" for x in c.children if isinstance(x, Node) and x.tag == "li"]
+        ahead += [(x, parent, depth) for x in reversed(inner)]
 
-    def walk(ol: Node, parent: int | None, depth: int) -> None:
-        for li in (c for c in ol.children if isinstance(c, Node) and c.tag == "li"):
-            own = [c for c in li.children if isinstance(c, Node)]
-            label = next((c for c in own if c.tag == "a"), None) or next((c for c in own if c.tag == "span"), None)
-            here, below = parent, depth
-            if label is not None:
-                raw = label.attributes.get("href")
-                href, fragment, external = resolve(path, raw)
-                out.append({"toc_path": path, "node": len(out), "parent": parent, "depth": depth, "title": " ".join(label.text().split()), "raw_href": raw, "href": href, "fragment": fragment, "external": external})
-                here, below = len(out) - 1, depth + 1
-            for inner in (c for c in own if c.tag == "ol"):
-                walk(inner, here, below)
-
-    for nav in scope:
-        if (ol := nav.find("ol")) is not None:
-            walk(ol, None, 0)
+
+def nav_entries(html: str, path: str) -> list[dict]:
+    """Entries of an EPUB 3 navigation document in pre-order."""
+    out = []
+    for label, parent, depth in nav_labels(parse(html)):
+        raw = label.attributes.get("href")
+        href, fragment, external = resolve(path, raw)
+        out.append({"toc_path": path, "node": len(out), "parent": parent, "depth": depth, "title": " ".join(label.text().split()), "raw_href": raw, "href": href, "fragment": fragment, "external": external})
     return out
 
 
@@ -129,36 +132,52 @@ def toc_entries(z: zipfile.ZipFile, paths: list[str]) -> list[dict]:
     return out
 
 
-def _innermost(node: Node, skip_nav: bool) -> Iterator[Node]:
-    for c in node.children:
-        if isinstance(c, Node) and not (skip_nav and c.tag == "nav"):
-            inner = list(_innermost(c, skip_nav))
-            if c.tag in _CANDIDATES and not inner and c.text().strip():
-                yield c
-            else:
-                yield from inner
+def _innermost(root: Node, skip_nav: bool) -> Iterator[Node]:
+    """Blocks with text that hold no other such block, in order.
+
+    An element is judged when its contents have been walked, by what has been counted since it began:
+    blocks found, and texts that show. What scripts, styles and templates hold shows outside them not."""
+    found: list[Node] = []
+    shown = 0
+    ahead: list[tuple[Node | str, tuple[int, int] | None]] = [(root, None)]
+    while ahead:
+        node, before = ahead.pop()
+        if isinstance(node, str):
+            shown += bool(node.strip())
+        elif before is None:
+            if node is not root:
+                ahead.append((node, (len(found), shown)))
+            ahead += [(c, None) for c in reversed(node.children) if not (skip_nav and isinstance(c, Node) and c.tag == "nav")]
+        else:
+            if node.tag in _CANDIDATES and (len(found), shown > before[1]) == (before[0], True):
+                found.append(node)
+            if node.tag in _SILENT:
+                shown = before[1]
+    return iter(found)
 
 
 def inline_content(block: Node) -> tuple[str, list[dict]]:
     """Text of a block without ruby annotations, white space collapsed, and its images with offset."""
-    text, images = "", []
-
-    def walk(node: Node) -> None:
-        nonlocal text
-        for c in node.children:
-            if isinstance(c, str):
-                part = re.sub(r"[ \t\r\n\f]+", " ", c)
-                text += part[1:] if part.startswith(" ") and (not text or text.endswith((" ", "\n"))) else part
-            elif c.tag in ("rt", "rp", "script", "style"):
-                continue
-            elif c.tag == "br":
-                text = text.rstrip(" ") + "\n"
-            elif c.tag in ("img", "image", "svg"):
-                images.append({"tag": c.tag, "offset": len(text)})
-            else:
-                walk(c)
-
-    walk(block)
+    parts, size, last, images = [], 0, "", []
+    for c in block.pieces(_UNREAD):
+        if isinstance(c, str):
+            part = re.sub(r"[ \t\r\n\f]+", " ", c)
+            part = part[1:] if part.startswith(" ") and (not size or last in " \n") else part
+        elif c.tag == "br":
+            while parts and (cut := parts[-1].rstrip(" ")) != parts[-1]:
+                size -= len(parts[-1]) - len(cut)
+                parts.pop()
+                if cut:
+                    parts.append(cut)
+            part = "\n"
+        else:
+            if c.tag in _IMAGES:
+                images.append({"tag": c.tag, "offset": size})
+            continue
+        if part:
+            parts.append(part)
+            size, last = size + len(part), part[-1]
+    text = "".join(parts)
     out = text.strip()
     lead = len(text) - len(text.lstrip())
     for i in images:

@@ -38,37 +38,45 @@ def _title(e: ET.Element) -> str:
     return "" if t is None else " ".join(x for p in t if (x := _flat(p)))
 
 
-def _segments(e: ET.Element, images: list[tuple[int, str]]) -> Iterator[tuple[str, str]]:
-    """Own blocks of a section, without those of its sections; images note how many come before."""
-    n = 0
-    for c in e:
+def _segments(e: ET.Element) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
+    """Own blocks of a section, without those of its sections, and its images with the number of blocks
+    that come before each."""
+    blocks: list[tuple[str, str]] = []
+    images: list[tuple[int, str]] = []
+    ahead = [(c, e) for c in reversed(e)]
+    while ahead:
+        c, above = ahead.pop()
         tag = _tag(c)
-        if tag == "section" or (tag == "title" and _tag(e) == "section"):
+        if tag == "section" or (tag == "title" and _tag(above) == "section"):
             continue
-        if tag == "image":
-            href = next((v for k, v in c.attrib.items() if k.rpartition("}")[2] == "href"), "")
-            images.append((n, href.lstrip("#")))
-        elif tag in _TEXT or tag == "subtitle":
+        if tag in _TEXT or tag == "subtitle":
+            images += [(len(blocks), name) for i in c.iter() if _tag(i) == "image" and (name := _link(i))]
             if text := _flat(c):
-                n += 1
-                yield ("heading" if tag == "subtitle" else "text"), text
+                blocks.append(("heading" if tag == "subtitle" else "text", text))
+        elif tag == "image":
+            images += [(len(blocks), name)] if (name := _link(c)) else []
         elif tag in _INSIDE:
-            for part in _segments(c, images):
-                n += 1
-                yield part
+            ahead += [(x, c) for x in reversed(c)]
+    return blocks, images
 
 
-def _walk(section: ET.Element) -> Iterator[dict]:
-    images: list[tuple[int, str]] = []
-    own = list(_segments(section, images))
-    title = _title(section)
-    inner = [c for c in section if _tag(c) == "section"]
-    if own or title or not inner:
-        segments = ([("heading", title)] if title else []) + own
-        if segments:
-            yield {"title": title, "segments": segments, "images": images}
-    for c in inner:
-        yield from _walk(c)
+def _link(image: ET.Element) -> str:
+    return next((v for k, v in image.attrib.items() if k.rpartition("}")[2] == "href"), "").lstrip("#")
+
+
+def _walk(top: ET.Element) -> Iterator[dict]:
+    ahead = [top]
+    while ahead:
+        section = ahead.pop()
+        own, images = _segments(section)
+        title = _title(section)
+        inner = [c for c in section if _tag(c) == "section"]
+        if own or title or images or not inner:
+            if segments := ([("heading", title)] if title else []) + own:
+                yield {"title": title, "segments": segments, "images": [(n + bool(title), name) for n, name in images]}
+            elif images:  # an illustration alone goes to the chapter before it
+                yield {"title": "", "segments": [], "images": images}
+        ahead += reversed(inner)
 
 
 def chapters(data: bytes) -> list[dict]:
@@ -86,9 +94,16 @@ def chapters(data: bytes) -> list[dict]:
             out.append({"title": names[-1], "segments": [("heading", t) for t in names], "images": []})
     for section in body:
         if _tag(section) == "section":
-            out += _walk(section)
+            for chapter in _walk(section):
+                if chapter["segments"] or not out:
+                    out.append(chapter)
+                else:
+                    out[-1]["images"] += [(len(out[-1]["segments"]), name) for _, name in chapter["images"]]
+    if len(out) > 1 and not out[0]["segments"]:  # nothing comes before its images
+        out[1]["images"] = [(0, name) for _, name in out[0]["images"]] + out[1]["images"]
+    out = [x for x in out if x["segments"]]
     if not out:
-        own = list(_segments(body, images := []))
+        own, images = _segments(body)
         out = [{"title": "", "segments": own, "images": images}] if own else []
     return out
 

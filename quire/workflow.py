@@ -11,18 +11,22 @@ as done last, so that a step that was cut short is taken up where it stopped.
 from __future__ import annotations
 
 import argparse
+import functools
+import itertools
 import json
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import config
+from quire.functions.loose_json import loose_json
 from quire.functions.punctuation import normalize
 from quire.functions.text import chapter_label, is_blank
-from quire.operators import agents, checks, folds, glossary, memory, model, ordered, render, sinks, usage
+from quire.operators import agents, checks, extraction, folds, glossary, memory, model, ordered, render, sinks, usage
+from quire.operators import status as machine
 from quire.operators.segments import split_text
 from quire.session import lineage_cut
 from quire.sources import event_log
@@ -31,6 +35,8 @@ from quire.sources.books import book_files, fb2_images, read_files
 # Sizes of batches of titles, and the fields of a style brief.
 TITLE_CHARS, TITLE_COUNT = 4000, 40
 STYLE = ("genre", "tone", "era", "narration", "audience", "devices", "register", "advice")
+#: Events of a chapter and what they do to its status.
+CHAPTER_EVENTS = {"chapter_started": "start", "chapter_finished": "finish", "chapter_failed": "fail"}
 TABLES = {
     "files": "path string, fmt string, content binary",
     "targets": "path string, chapter int, seg int, target string, seq long",
@@ -41,9 +47,9 @@ TABLES = {
     "decisions": "path string, source string, target string, seq long",
     "reviews": "path string, chapter int, digest string, run string, seq long, review_status string",
     "issues": "path string, chapter int, seg int, type string, detail string, run string",
-    "titles": "path string, chapter int, title_translated string",
-    "usage": "stage string, tier string, calls long",
-    "qa": "path string, index string, type string, detail string",
+    "titles": "path string, chapter int, title_translated string, seq long",
+    "usage": "run string, stage string, task string, tier string, key string, calls long, prompt long, completion long, total long, cache_hit long, cache_miss long",
+    "qa": "path string, index string, type string, detail string, seq long",
 }
 
 
@@ -85,7 +91,8 @@ def segments(spark: SparkSession, state: str) -> DataFrame:
 
 def prepare(spark: SparkSession, books: str, state: str, settings: dict | None = None) -> DataFrame:
     """Read all books below a path into ``segments`` with long segments split; books known are left, and so
-    are files of no supported format. EPUBs are kept as they are, to be translated in place, and FB2 files for their images."""
+    are files of no supported format. EPUBs and HTML pages are kept as they are,
+    to be translated in place, and FB2 files for their images."""
     settings = settings or config.DEFAULTS
     files = book_files(spark, books).where("fmt is not null")
     if _there(spark, f"{state}/segments"):
@@ -94,7 +101,7 @@ def prepare(spark: SparkSession, books: str, state: str, settings: dict | None =
     first = F.col("_k") == 0
     dense = F.row_number().over(Window.partitionBy("path", "chapter").orderBy("seg", "_k")) - 1
     out = pieces.withColumns({"_seg": dense, "kind": F.when(first, F.col("kind")).otherwise("text"), "anchor": F.when(first, F.col("anchor")), "cont": ~first})
-    _append(state, "files", files.where("fmt in ('epub', 'fb2')"))
+    _append(state, "files", files.where("fmt in ('epub', 'fb2', 'html')"))
     out.drop("seg", "source", "_k").withColumnsRenamed({"_seg": "seg", "_piece": "source"}).write.mode("append").parquet(f"{state}/segments")
     return segments(spark, state)
 
@@ -105,36 +112,61 @@ def targets(spark: SparkSession, state: str) -> DataFrame:
 
 
 def current(spark: SparkSession, state: str) -> DataFrame:
-    """Segments with target and the status of their chapter: done if no text lacks its target, failed if
-    the last run ended in it, else pending."""
+    """Segments with target and the status of their chapter: done if no text lacks its target, else what
+    the events of its runs led to: failed, running while a run holds the state, or pending, to which a
+    chapter falls back whose run ended without a word."""
     s = segments(spark, state).join(targets(spark, state), ["path", "chapter", "seg"], "left")
     missing = F.max((is_blank(F.col("target")) & ~is_blank(F.col("source"))).cast("int")).over(Window.partitionBy("path", "chapter"))
-    failed = _events(spark, state, "chapter_failed").groupBy("path", "chapter").agg(F.lit(True).alias("_failed"))
-    return s.join(failed, ["path", "chapter"], "left").withColumn("status", F.when(missing == 0, "done").when(F.col("_failed"), "failed").otherwise("pending")).drop("_failed")
+    actions = F.create_map(*(F.lit(x) for kv in CHAPTER_EVENTS.items() for x in kv))
+    told = _all_events(spark, state).withColumn("action", F.try_element_at(actions, F.col("event"))).where("action is not null")
+    after = machine.after_events(told, ["path", "chapter"], "ts").select("path", "chapter", F.col("status").alias("_told"))
+    alive = F.lit(_there(spark, f"{state}/_lock"))
+    known = F.when(F.col("_told") == "failed", "failed").when((F.col("_told") == "running") & alive, "running").otherwise("pending")
+    return s.join(after, ["path", "chapter"], "left").withColumn("status", F.when(missing == 0, "done").otherwise(known)).drop("_told")
 
 
 def _log(state: str, rows: DataFrame, event: str) -> None:
     event_log.append(rows.withColumns({"event": F.lit(event), "ts": F.current_timestamp()}), f"{state}/events")
 
 
+def _all_events(spark: SparkSession, state: str) -> DataFrame:
+    """Events (path, chapter, key, event, ts)."""
+    if not _there(spark, f"{state}/events"):
+        return spark.createDataFrame([], "path string, chapter int, key string, event string, ts string")
+    data = event_log.read(spark, f"{state}/events")
+    text = lambda name: event_log.text_field(F.col("data"), name).alias(name)
+    return data.select(text("path"), F.try_variant_get("data", "$.chapter", "int").alias("chapter"), text("key"), text("event"), F.to_timestamp(text("ts")).alias("ts"))
+
+
 def _events(spark: SparkSession, state: str, event: str) -> DataFrame:
     """Events of one kind (path, chapter, key)."""
-    if not _there(spark, f"{state}/events"):
-        return spark.createDataFrame([], "path string, chapter int, key string")
-    data = event_log.read(spark, f"{state}/events").where(event_log.text_field(F.col("data"), "event") == event)
-    return data.select(event_log.text_field(F.col("data"), "path").alias("path"), F.try_variant_get("data", "$.chapter", "int").alias("chapter"), event_log.text_field(F.col("data"), "key").alias("key"))
+    return _all_events(spark, state).where(F.col("event") == event).select("path", "chapter", "key")
+
+
+def _counted(stage: str) -> Callable:
+    """A step whose calls are counted, whatever its tasks: every call once, by run, task and key."""
+
+    def wrap(step: Callable) -> Callable:
+        @functools.wraps(step)
+        def run(spark: SparkSession, state: str, *args, **kwargs):
+            name, asked = uuid.uuid4().hex, itertools.count()
+
+            def record(task: str, tier: str, rows: DataFrame) -> None:
+                key = F.concat(F.lit(f"{next(asked)}:"), "key")
+                _append(state, "usage", rows.withColumns({"run": F.lit(name), "stage": F.lit(stage), "task": F.lit(task), "tier": F.lit(tier), "key": key}))
+
+            with agents.recording(record):
+                return step(spark, state, *args, **kwargs)
 
+        return run
 
-def _count_calls(state: str, stage: str, tier: str, calls: DataFrame) -> None:
-    """Add the calls of a step (column calls) to the usage, if there were any."""
-    total = calls.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls")).where("calls > 0")
-    _append(state, "usage", total.select(F.lit(stage).alias("stage"), F.lit(tier).alias("tier"), "calls"))
+    return wrap
 
 
 def usage_report(spark: SparkSession, state: str) -> DataFrame:
-    """Calls by tier, by stage and in all."""
-    facts = read(spark, state, "usage").select("tier", "stage", "calls", *(F.lit(0).cast("long").alias(f) for f in usage.FIELDS if f != "calls"))
-    return usage.rolled_up(facts)
+    """Calls and tokens by tier, by stage and in all; rows that were appended twice count once."""
+    once = read(spark, state, "usage").dropDuplicates(["run", "task", "key"])
+    return usage.rolled_up(once.select("tier", "stage", *usage.FIELDS))
 
 
 def chapter_texts(spark: SparkSession, state: str) -> DataFrame:
@@ -144,6 +176,7 @@ def chapter_texts(spark: SparkSession, state: str) -> DataFrame:
     return filled.groupBy("path", "chapter").agg(F.array_join(F.transform(parts, lambda x: x["source"]), "\n").alias("text"))
 
 
+@_counted("understand")
 def understand(spark: SparkSession, state: str, client: model.Provider | None = None, settings: dict | None = None) -> DataFrame:
     """Language, analysis, first terms, chapter digests and synopsis of every book that lacks them.
 
@@ -163,20 +196,30 @@ def understand(spark: SparkSession, state: str, client: model.Provider | None =
     asked = sample.join(shown, "path", "left").select("path", F.coalesce("shown", F.substring("text", 1, 6000)).alias("text"))
     found = lineage_cut(agents.analyses(asked, ["path"], "text", client, settings["source_lang"]).join(told, "path"))
     if settings["pipeline"]["understanding"]:
-        lacking = texts.join(read(spark, state, "digests").select("path", "chapter"), ["path", "chapter"], "left_anti")
+        lacking = texts.join(digests_of(spark, state).select("path", "chapter"), ["path", "chapter"], "left_anti")
         _append(state, "digests", agents.chapter_digests(lacking, ["path", "chapter"], "text", client))
-        digests = read(spark, state, "digests")
+        digests = digests_of(spark, state)
         counts = digests.groupBy("path").agg(F.count("*").alias("n_chapters"))
         stale = counts.join(read(spark, state, "synopses").select("path", "n_chapters"), ["path", "n_chapters"], "left_anti")
         made = agents.synopses(digests.join(stale.select("path"), "path"), ["path"], "chapter", client=client)
         _append(state, "synopses", made.join(counts, "path"))
+    failed = found.where("analysis is null").select("path")
+    found = found.where("analysis is not null")
     _append(state, "proposals", agents.seed_terms(found, ["path"]))
     refused = found.where((F.col("language") == "") | (F.col("language") == F.substring(F.lit(settings["target_lang"]), 1, 2)))
     _log(state, refused.select("path", "language"), "language_refused")
     _append(state, "books", found)
+    _log(state, failed, "analysis_failed")
+    if bad := failed.limit(1).collect():  # the other books are kept; these are asked again by the next run
+        raise RuntimeError(f"{bad[0]['path']}: no analysis")
     return read(spark, state, "books")
 
 
+def digests_of(spark: SparkSession, state: str) -> DataFrame:
+    """(path, chapter, digest) of chapters that have one; a failed digest is blank and is asked for again."""
+    return read(spark, state, "digests").where(~is_blank(F.col("digest"))).groupBy("path", "chapter").agg(F.max("digest").alias("digest"))
+
+
 def terms(spark: SparkSession, state: str) -> tuple[DataFrame, DataFrame]:
     """(terms, conflicts) of all books after their proposals and decisions."""
     t, c = glossary.upsert(read(spark, state, "proposals"), ("path",))
@@ -193,15 +236,13 @@ def resolve_term(spark: SparkSession, state: str, path: str, source: str, target
 
 
 def _briefs(spark: SparkSession, state: str, batches: DataFrame) -> DataFrame:
-    """The batches (path, chapter, start, items) with ``brief``: style, synopsis, digest and their terms."""
-    latest = lambda name, keys, value: read(spark, state, name).groupBy(*keys).agg(F.max_by(value, "n_chapters").alias(value)) if name == "synopses" else read(spark, state, name).groupBy(*keys).agg(F.first(value).alias(value))
+    """The batches (path, chapter, start, items) with ``brief``: style, synopsis and digest; their terms come
+    to it when they are asked, since they grow with the book."""
     fields = {f: F.coalesce(F.get_json_object("analysis", f"$.{f}"), F.lit("")) for f in STYLE}
-    style = latest("books", ["path"], "analysis").select("path", ordered.style_brief(fields).alias("_style"))
-    t, _ = terms(spark, state)
-    hits = glossary.terms_in_texts(t, batches.withColumn("text", F.array_join("items", "\n")), ["path", "chapter", "start"])
-    lines = glossary.glossary_lines(hits.join(t, ["path", "source"]), ["path", "chapter", "start"])
-    joined = batches.join(style, "path", "left").join(latest("synopses", ["path"], "synopsis"), "path", "left").join(latest("digests", ["path", "chapter"], "digest"), ["path", "chapter"], "left").join(lines, ["path", "chapter", "start"], "left")
-    return joined.withColumn("brief", F.to_json(F.struct(F.col("_style").alias("style"), "synopsis", "digest", "glossary"))).drop("_style", "synopsis", "digest", "glossary")
+    style = read(spark, state, "books").groupBy("path").agg(F.max("analysis").alias("analysis")).select("path", ordered.style_brief(fields).alias("_style"))
+    synopses = read(spark, state, "synopses").groupBy("path").agg(F.max_by("synopsis", "n_chapters").alias("synopsis"))
+    joined = batches.join(style, "path", "left").join(synopses, "path", "left").join(digests_of(spark, state), ["path", "chapter"], "left")
+    return joined.withColumn("brief", F.to_json(F.struct(F.col("_style").alias("style"), "synopsis", "digest"))).drop("_style", "synopsis", "digest")
 
 
 def _append_targets(spark: SparkSession, state: str, rows: DataFrame, settings: dict) -> None:
@@ -217,12 +258,13 @@ def _batches(items: DataFrame, settings: dict) -> DataFrame:
     return cut.select("path", "chapter", "start", "done", field("seg").alias("segs"), field("target").alias("targets"), field("source").alias("items"))
 
 
+@_counted("translate")
 def translate(spark: SparkSession, state: str, client: model.Provider | None = None, settings: dict | None = None, only_chapter: int | None = None) -> DataFrame:
     """Translate what has no target, in batches that never mix done and open segments.
 
-    Every batch is asked with style, synopsis, digest, its terms as known before the run, and the last
-    targets before it. What was translated is saved even if a book could not be finished; then the step
-    fails with AlignmentError. Terms found in what is new are proposed for the next run."""
+    Every batch is asked with style, synopsis, digest, its terms, also those found in the batches before it
+    in this run, and the last targets before it. What was translated is saved even if a book could not be
+    finished; then the step fails with AlignmentError. Terms that were found are proposed once per batch."""
     settings = settings or config.DEFAULTS
     items = current(spark, state).where(~is_blank(F.col("source")))
     refused = _events(spark, state, "language_refused").select("path").distinct()
@@ -235,16 +277,23 @@ def translate(spark: SparkSession, state: str, client: model.Provider | None = N
     if only_chapter is not None:
         cut = cut.where((F.col("chapter") == only_chapter) | F.col("done"))
     p = settings["pipeline"]
-    answered = lineage_cut(agents.translated_books(_briefs(spark, state, cut), client, p["align_retries"], p["rolling_context"], src=settings["source_lang"], tgt=settings["target_lang"]))
-    done = answered.where("error is null")
+    _log(state, cut.where("not done").select("path", "chapter").distinct(), "chapter_started")
+    extracted = _events(spark, state, "terms_extracted").select("path", "chapter", F.col("key").alias("_key"), F.lit(True).alias("known"))
+    cut = cut.withColumn("_key", F.concat_ws(":", "start", F.size("items")))
+    asked = _briefs(spark, state, cut.join(extracted.distinct(), ["path", "chapter", "_key"], "left"))
+    books = agents.translated_books(asked, client, p["align_retries"], p["rolling_context"], terms(spark, state)[0], p["glossary_scope"], src=settings["source_lang"], tgt=settings["target_lang"])
+    answered = lineage_cut(books)
+    _count_batches(state, answered)
+    done = answered.where("error is null and fresh")
     if p["polish"]:
         polished = agents.polished(done, ["path", "chapter", "start", "segs"], "targets", client, tgt=settings["target_lang"])
         done = lineage_cut(polished)
     each = done.select("path", "chapter", F.explode(F.arrays_zip("segs", "targets")).alias("x")).select("path", "chapter", F.col("x.segs").alias("seg"), F.col("x.targets").alias("target"))
-    _count_calls(state, "translate", "strong", answered)
     _append_targets(spark, state, each, settings)
-    _propose(spark, state, cut, done, client)
+    _propose(spark, state, answered.where("terms is not null"))
     failed = answered.where("error is not null").select("path", "chapter", F.col("error").alias("key"))
+    finished = current(spark, state).where("status = 'done'").join(cut.where("not done").select("path", "chapter").distinct(), ["path", "chapter"], "left_semi")
+    _log(state, finished.select("path", "chapter").distinct(), "chapter_finished")
     _log(state, failed, "chapter_failed")
     bad = failed.limit(1).collect()
     if bad:
@@ -252,15 +301,24 @@ def translate(spark: SparkSession, state: str, client: model.Provider | None = N
     return current(spark, state)
 
 
-def _propose(spark: SparkSession, state: str, asked: DataFrame, done: DataFrame, client: model.Provider | None) -> None:
-    """Terms of batches that have none logged yet, proposed in book order, and the events that say so."""
-    both = done.join(asked.select("path", "chapter", "start", "items"), ["path", "chapter", "start"]).withColumn("key", F.concat_ws(":", "start", F.size("items")))
-    todo = both.join(_events(spark, state, "terms_extracted"), ["path", "chapter", "key"], "left_anti")
-    found = agents.terms(todo, ["path", "chapter", "start", "key"], F.array_join("items", "\n"), F.array_join("targets", "\n"), client)
+def _count_batches(state: str, answered: DataFrame) -> None:
+    """The calls of the batches of a run, for translations and for terms, to the usage."""
+    run, key = uuid.uuid4().hex, F.concat_ws(":", "path", "chapter", "start")
+    for task, tier, used in (("translate", "strong", "used"), ("terms", "fast", "terms_used")):
+        rows = answered.select(key.alias("key"), f"{used}.*").where("calls > 0")
+        _append(state, "usage", rows.withColumns({"run": F.lit(run), "stage": F.lit("translate"), "task": F.lit(task), "tier": F.lit(tier)}))
+
+
+def _propose(spark: SparkSession, state: str, answered: DataFrame) -> None:
+    """The terms that batches were answered with (path, chapter, start, segs, terms), proposed in book order,
+    and the events that say so."""
+    reply = loose_json(F.col("terms"))
+    listed = answered.withColumn("_list", F.coalesce(F.get_json_object(reply, "$.terms"), reply))
+    found = extraction.extracted_terms(listed, ["path", "chapter", "start"], "_list")
     last = read(spark, state, "proposals").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     place = F.row_number().over(Window.partitionBy("path").orderBy("chapter", "start", "position"))
     _append(state, "proposals", found.withColumns({"seq": place + last, "aliases": F.array().cast("array<string>")}))
-    _log(state, todo.select("path", "chapter", "key"), "terms_extracted")
+    _log(state, answered.select("path", "chapter", F.concat_ws(":", "start", F.size("segs")).alias("key")), "terms_extracted")
 
 
 def review_digests(spark: SparkSession, state: str) -> DataFrame:
@@ -269,7 +327,7 @@ def review_digests(spark: SparkSession, state: str) -> DataFrame:
     shown = F.transform(F.array_sort(F.collect_list(F.struct("seg", "source", "target"))), lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target")))
     texts = done.groupBy("path", "chapter").agg(shown.alias("t"))
     known, _ = terms(spark, state)
-    hits = glossary.terms_in_texts(known, chapter_texts(spark, state), ["path", "chapter"])
+    hits = glossary.terms_in_texts(known, chapter_texts(spark, state), ["path", "chapter"], book=("path",))
     six = F.array_sort(F.collect_list(F.struct("source", "target", "reading", "type", "gender", "note")))
     per = hits.join(known, ["path", "source"]).groupBy("path", "chapter").agg(six.alias("terms"))
     none = F.array().cast(per.schema["terms"].dataType)
@@ -289,6 +347,7 @@ def issues(spark: SparkSession, state: str) -> DataFrame:
     return read(spark, state, "issues").join(runs, ["path", "chapter", "run"], "left_semi")
 
 
+@_counted("review")
 def review(spark: SparkSession, state: str, client: model.Provider | None = None, force: bool = False, settings: dict | None = None) -> DataFrame:
     """Issues of done chapters in chunks; chapters reviewed with the same texts and terms are not asked again."""
     settings = settings or config.DEFAULTS
@@ -303,10 +362,26 @@ def review(spark: SparkSession, state: str, client: model.Provider | None = None
     number = F.expr("try_cast(trim(`index`) AS int)")
     placed = found.withColumn("_i", number).where((F.col("_i") >= 0) & (F.col("_i") < F.size("segs"))).withColumns({"seg": F.get("segs", F.col("_i")), "run": F.lit(run)})
     _append(state, "issues", placed)
+    _append(state, "issues", _compared_back(chunks, settings, client).withColumn("run", F.lit(run)))
     _append(state, "reviews", todo.withColumns({"run": F.lit(run), "seq": F.lit(last + 1), "review_status": F.lit("done")}))  # last: it makes the issues count
     return issues(spark, state)
 
 
+def _compared_back(chunks: DataFrame, settings: dict, client: model.Provider | None) -> DataFrame:
+    """Issues (path, chapter, seg, type, detail) of a sample of segments that are translated back and compared
+    with their sources. A segment is in the sample by a hash of its place, so a review that is run again
+    takes the same; the share is a setting."""
+    rate = settings["pipeline"]["back_translation_rate"]
+    taken = lambda x: F.pmod(F.xxhash64("path", "chapter", x["seg"]), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))
+    picked = chunks.select("path", "chapter", F.filter("items", taken).alias("_picked")).where(F.size("_picked") > 0)
+    asked = picked.select("path", "chapter", F.transform("_picked", lambda x: x["seg"]).alias("segs"), F.transform("_picked", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"))).alias("items"))
+    found = agents.back_translations(asked, ["path", "chapter", "segs"], client, src=settings["source_lang"], tgt=settings["target_lang"])
+    number = F.expr("try_cast(trim(`index`) AS int)")
+    inside = found.withColumn("_i", number).where((F.col("_i") >= 0) & (F.col("_i") < F.size("segs")))
+    return inside.select("path", "chapter", F.get("segs", F.col("_i")).alias("seg"), F.concat(F.lit("back_translation:"), "type").alias("type"), "detail")
+
+
+@_counted("fix")
 def fix(spark: SparkSession, state: str, client: model.Provider | None = None, settings: dict | None = None) -> DataFrame:
     """Translate what has severe issues anew, with the remarks and the neighbours; a new text is taken if no
     check speaks against it. A chapter with a new text has to be reviewed again."""
@@ -320,12 +395,15 @@ def fix(spark: SparkSession, state: str, client: model.Provider | None = None, s
 
 
 def chapters(spark: SparkSession, state: str) -> DataFrame:
-    """(path, chapter, title, toc_path, toc_node, source, target): chapters with their first heading."""
+    """(path, chapter, title, toc_path, toc_node, toc_href, href, source, target): chapters with their first heading."""
     segs = current(spark, state)
-    one = segs.groupBy("path", "chapter").agg(F.first("chapter_title").alias("title"), F.first("toc_path").alias("toc_path"), F.first("toc_node").alias("toc_node"))
+    segs = segs if "toc_href" in segs.columns else segs.withColumn("toc_href", F.lit(None).cast("string"))  # state of earlier versions
+    of_first = [F.min_by(c, "seg").alias(n) for c, n in (("chapter_title", "title"), ("toc_path", "toc_path"), ("toc_node", "toc_node"), ("toc_href", "toc_href"), ("href", "href"))]
+    one = segs.groupBy("path", "chapter").agg(*of_first)
     return one.join(ordered.first_headings(segs, ["path", "chapter"]), ["path", "chapter"], "left")
 
 
+@_counted("titles")
 def titles(spark: SparkSession, state: str, client: model.Provider | None = None, settings: dict | None = None) -> DataFrame:
     """Titles of all chapters that have none yet: that of their heading where it is the same text, else a
     model's, in batches of one book."""
@@ -336,10 +414,12 @@ def titles(spark: SparkSession, state: str, client: model.Provider | None = None
     field = lambda f: F.transform("items", lambda x: x[f])
     told = agents.titles(packed.select("path", field("chapter").alias("at"), field("title").alias("items")), ["path", "at"], "items", client, src=settings["source_lang"], tgt=settings["target_lang"])
     new = told.select("path", F.explode(F.arrays_zip("at", "titles")).alias("x")).select("path", F.col("x.at").alias("chapter"), F.col("x.titles").alias("title_translated"))
-    _append(state, "titles", named.where(~is_blank(F.col("title_translated"))).select("path", "chapter", "title_translated").unionByName(new))
+    last = read(spark, state, "titles").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    _append(state, "titles", named.where(~is_blank(F.col("title_translated"))).select("path", "chapter", "title_translated").unionByName(new).withColumn("seq", F.lit(last + 1)))
     return read(spark, state, "titles")
 
 
+@_counted("qa")
 def qa(spark: SparkSession, state: str, client: model.Provider | None = None) -> DataFrame:
     """Issues between the glossary and the translated chapters of each book."""
     digest = checks.qa_digest(current(spark, state).where(~is_blank(F.col("source"))), ["path", "chapter", "chapter_title"], "target")
@@ -347,7 +427,8 @@ def qa(spark: SparkSession, state: str, client: model.Provider | None = None) ->
     whole = agents.ordered_briefs(digest.withColumn("line", line), ["path"], ["chapter"], "line").withColumnRenamed("brief", "chapters")
     lines = glossary.glossary_lines(terms(spark, state)[0], ["path"])
     found = lineage_cut(agents.consistency(whole.join(lines, "path", "left"), ["path"], "glossary", "chapters", client))
-    _append(state, "qa", found)
+    last = read(spark, state, "qa").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    _append(state, "qa", found.withColumn("seq", F.lit(last + 1)))
     return found
 
 
@@ -378,20 +459,29 @@ def _joined_paragraphs(segs: DataFrame) -> DataFrame:
     return grouped.select("path", "fmt", "title", "chapter", "chapter_title", "seg", first("kind"), first("anchor"), first("level"), join("source").alias("source"), join("shown").alias("target"))
 
 
-def assemble(spark: SparkSession, state: str, fmt: str, out: str, bilingual: bool = False) -> list[str]:
-    """Write one file per book. An EPUB asked for as EPUB is translated in place, entries of its table of
-    contents named like their chapters; any other book is made anew."""
-    named = read(spark, state, "titles").groupBy("path", "chapter").agg(F.first("title_translated").alias("_title"))
+def assemble(spark: SparkSession, state: str, fmt: str, out: str, bilingual: bool = False, settings: dict | None = None) -> list[str]:
+    """Write one file per book, under names that no two books share. An EPUB asked for as EPUB is translated in
+    place, entries of its table of contents named like their chapters; an HTML page asked for as HTML is its
+    own template; any other book is made anew, with its images at their places."""
+    order = (settings or config.DEFAULTS)["output"]["bilingual_order"]
+    named = read(spark, state, "titles").groupBy("path", "chapter").agg(F.max_by("title_translated", F.struct(F.coalesce("seq", F.lit(0)), "title_translated")).alias("_title"))
     whole = _joined_paragraphs(current(spark, state)).join(named, ["path", "chapter"], "left").withColumn("chapter_title", F.coalesce("_title", "chapter_title")).drop("_title")
-    if fmt != "epub":
-        return sinks.save_files(sinks.assembled(whole, fmt, bilingual), out)
-    files = read(spark, state, "files").groupBy("path", "fmt").agg(F.first("content").alias("content"))
-    new = sinks.assembled(whole.where("fmt <> 'epub'"), fmt, bilingual, fb2_images(files.where("fmt = 'fb2'")))
-    files = files.where("fmt = 'epub'")
-    labels = chapters(spark, state).join(named, ["path", "chapter"]).where("toc_path is not null").select("path", "toc_path", "toc_node", F.col("_title").alias("label"))
-    name: Column = sinks.output_name(F.col("path"), fmt, bilingual)
-    old = sinks.translated_epubs(files, whole.where("fmt = 'epub'"), labels, bilingual).select(name.alias("path"), "content")
-    return sinks.save_files(new.unionByName(old), out)
+    files = read(spark, state, "files").groupBy("path", "fmt").agg(F.min("content").alias("content"))
+    kept = files.where(F.col("fmt") == fmt) if fmt in ("epub", "html") else files.limit(0)
+    shelf = whole.select("path")
+    rest = whole.join(kept.select("path"), "path", "left_anti")
+    new = sinks.assembled(rest, fmt, bilingual, fb2_images(files.where("fmt = 'fb2'")) if fmt == "epub" else None, order, shelf)
+    own = whole.join(kept.select("path"), "path", "left_semi")
+    if fmt == "html":
+        old = sinks.translated_pages(kept, own, bilingual, order)
+    elif fmt == "epub":
+        with_title = chapters(spark, state).join(named, ["path", "chapter"])
+        file_name = F.when(F.col("toc_path").isNull(), F.regexp_extract("href", r"([^/]+)$", 1))
+        labels = with_title.select("path", "toc_path", "toc_node", "toc_href", file_name.alias("name"), F.col("_title").alias("label"))
+        old = sinks.translated_epubs(kept, own, labels, bilingual, order)
+    else:
+        return sinks.save_files(new, out)
+    return sinks.save_files(new.unionByName(sinks.named(old, fmt, bilingual, shelf)), out)
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -433,7 +523,8 @@ def main(arguments: list[str] | None = None) -> None:
     pipeline["understanding"] &= not getattr(a, "no_understanding", False)
     spark = local_session()
     client = model.RetryingProvider(model.provider(getattr(a, "provider", None) or settings["provider"]), **settings["retry"])
-    with locked(spark, a.state):
+    looks = a.step in ("usage", "status", "report") or (a.step == "glossary" and a.what != "resolve")
+    with nullcontext() if looks else locked(spark, a.state):
         if a.step == "prepare":
             prepare(spark, a.books, a.state, settings)
         elif a.step == "understand":
@@ -458,7 +549,7 @@ def main(arguments: list[str] | None = None) -> None:
             known, conflicts = terms(spark, a.state)
             (known if a.what == "list" else conflicts.where("not resolved")).show(1000, False)
         elif a.step == "assemble":
-            print("\n".join(assemble(spark, a.state, a.format, a.out, a.bilingual)))
+            print("\n".join(assemble(spark, a.state, a.format, a.out, a.bilingual, settings)))
         if a.step in ("report", "translate", "review", "fix"):
             print(json.dumps(report(spark, a.state).first().asDict(), indent=2))
 
