@@ -44,7 +44,7 @@ def model_terms(spark, sf_dir):
 
 
 def fixed_segments(spark, sf_dir):
-    t = _turns(spark, sf_dir).where("turn % 3 = 1").withColumns({"source": F.col("text"), "feedback": F.lit("missing"), "before": F.array("role"), "after": F.array("role")})
+    t = _turns(spark, sf_dir).withColumns({"source": F.col("text"), "feedback": F.lit("missing"), "before": F.array("role"), "after": F.array("role")})
     return agents.fixes(t, ["conv_id", "turn"]).where("target is not null").select("conv_id", "turn", _digest("target"))
 
 
@@ -133,7 +133,7 @@ ORACLE = {
     "model_terms": """WITH w AS (SELECT conv_id, turn, unnest(s) AS word, generate_subscripts(s, 1) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS s FROM conversations WHERE trim(text) <> '')),
         f AS (SELECT conv_id, turn, word, min(i) AS i FROM w WHERE length(word) >= 12 AND regexp_full_match(word, '\\p{L}+') GROUP BY 1, 2, 3)
         SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS position, word AS source, reverse(word) AS target, '术语' AS type FROM f""",
-    "fixed_segments": f"SELECT conv_id, turn, md5({_TURNED}) AS digest FROM conversations WHERE turn % 3 = 1 AND trim(text) <> ''",
+    "fixed_segments": f"SELECT conv_id, turn, md5({_TURNED}) AS digest FROM conversations WHERE trim(text) <> ''",
     "polished_batches": f"SELECT conv_id, md5(string_agg({_TURNED}, '|' ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' GROUP BY conv_id",
     "translated_titles": "SELECT p_partkey, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS title FROM part",
     "back_translation_issues": f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations WHERE trim(text) <> '')

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import agents, contents, ordering, output, packing, quality, terms, texts, usage
+from quire.plans import agents, books, contents, ordering, output, packing, quality, terms, texts, usage
 
-_MODULES = (packing, texts, quality, terms, usage, contents, output, ordering, agents)
+_MODULES = (packing, texts, quality, terms, usage, contents, output, ordering, agents, books)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

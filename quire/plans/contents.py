@@ -32,10 +32,10 @@ def toc_chapters(spark, sf_dir):
 
 def _tree(spark, sf_dir):
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    region = table(spark, sf_dir, "region").select(F.lit(0).alias("doc"), (F.col("r_regionkey").cast("long") * 10**14).alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("pos"))
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc"), (F.col("r_regionkey").cast("long") * 10**14).alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("pos"))
     nation_node = F.col("n_regionkey").cast("long") * 10**14 + 1 + F.col("n_nationkey").cast("long") * 10**12
-    nation = n.select(F.lit(0).alias("doc"), nation_node.alias("node"), (F.col("n_regionkey").cast("long") * 10**14).alias("parent"), F.when(F.col("n_nationkey") % 6 == 5, F.col("n_nationkey").cast("long")).alias("pos"))
-    leaf = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.lit(0).alias("doc"), (nation_node + 1 + F.col("c_custkey")).alias("node"), nation_node.alias("parent"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey")).alias("pos"))
+    nation = n.select(F.col("n_regionkey").alias("doc"), nation_node.alias("node"), (F.col("n_regionkey").cast("long") * 10**14).alias("parent"), F.when(F.col("n_nationkey") % 6 == 5, F.col("n_nationkey").cast("long")).alias("pos"))
+    leaf = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_regionkey").alias("doc"), (nation_node + 1 + F.col("c_custkey")).alias("node"), nation_node.alias("parent"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey")).alias("pos"))
     return region.unionAll(nation).unionAll(leaf)
 
 

@@ -71,9 +71,14 @@ def neighbour_context(spark, sf_dir):
     return out.select("conv_id", F.col("seg").alias("turn"), F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
 
 
+def _book():
+    return F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000))
+
+
 def sample_text(spark, sf_dir):
-    out = checks.sample_text(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
-    return out.select("source", "place", F.md5(F.col("sample").cast("binary")).alias("digest"), F.length("sample").cast("long").alias("chars"))
+    """A book is a thousand ids of a source, so that no group grows with the table."""
+    out = checks.sample_text(table(spark, sf_dir, "documents").withColumn("book", _book()), "book", "doc_id", "text")
+    return out.select("book", "place", F.md5(F.col("sample").cast("binary")).alias("digest"), F.length("sample").cast("long").alias("chars"))
 
 
 def qa_digest(spark, sf_dir):
@@ -87,17 +92,17 @@ def numbered_lines(spark, sf_dir):
 
 
 def _digests(spark, sf_dir, version: str):
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.concat(F.lit("doc"), "doc_id"))).alias("s"), F.sort_array(F.collect_set("lang")).alias("l"))
-    return d.select("source", checks.review_digest(F.col("s"), F.when(F.col("source") > "src5", F.array(F.lit(version))).otherwise(F.col("l")), src="en", tgt="zh", version=1).alias("digest"))
+    d = table(spark, sf_dir, "documents").groupBy("source", _book().alias("book")).agg(F.sort_array(F.collect_list(F.concat(F.lit("doc"), "doc_id"))).alias("s"), F.sort_array(F.collect_set("lang")).alias("l"))
+    return d.select("book", "source", checks.review_digest(F.col("s"), F.when(F.col("source") > "src5", F.array(F.lit(version))).otherwise(F.col("l")), src="en", tgt="zh", version=1).alias("digest"))
 
 
 def review_digest(spark, sf_dir):
-    return _digests(spark, sf_dir, "b")
+    return _digests(spark, sf_dir, "b").drop("source")
 
 
 def review_reuse(spark, sf_dir):
     stored = _digests(spark, sf_dir, "a").withColumn("review_status", F.when(F.col("source") == "src1", "failed").otherwise("done"))
-    return checks.to_review(_digests(spark, sf_dir, "b"), stored, ["source"]).select("source")
+    return checks.to_review(_digests(spark, sf_dir, "b"), stored, ["book"]).select("book")
 
 
 QUERIES = {
@@ -109,8 +114,9 @@ _PAIRS = """pairs AS (SELECT a.conv_id, a.turn, length(regexp_replace(a.text, '^
         FROM (SELECT * FROM conversations WHERE role = 'user') a LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"""
 _CHAPTERS = """chapters AS (SELECT d.doc_id AS chapter, d.text, CASE WHEN l.quality = 1 THEN 'done' ELSE 'pending' END AS status, CASE WHEN l.toxic = 0 THEN 'done' ELSE 'pending' END AS review_status,
         d.doc_id % 4 AS n_issues, d.doc_id % 3 AS n_empty FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
-_DIGEST = """SELECT source, sha256('{"src":"en","tgt":"zh","version":1,"segments":[' || string_agg('"doc' || doc_id || '"', ',' ORDER BY 'doc' || doc_id) || '],"terms":['
-        || CASE WHEN source > 'src5' THEN '"%s"' ELSE array_to_string(list_sort(list_distinct(list('"' || lang || '"'))), ',') END || ']}') AS digest FROM documents GROUP BY source"""
+_SQL_BOOK = "source || '/' || (doc_id // 1000)"
+_DIGEST = f"""SELECT {_SQL_BOOK} AS book, sha256('{{"src":"en","tgt":"zh","version":1,"segments":[' || string_agg('"doc' || doc_id || '"', ',' ORDER BY 'doc' || doc_id) || '],"terms":['
+        || CASE WHEN source > 'src5' THEN '"%s"' ELSE array_to_string(list_sort(list_distinct(list('"' || lang || '"'))), ',') END || ']}}') AS digest FROM documents GROUP BY source, doc_id // 1000"""
 ORACLE = {
     "length_flags": f"""WITH {_PAIRS} SELECT conv_id, turn, round(CASE WHEN m = 0 THEN 0.0 ELSE m / n END, 9) AS ratio, CASE WHEN m = 0 THEN 'empty' WHEN m / n < 0.3 THEN 'too_short' ELSE 'too_long' END AS reason
         FROM pairs WHERE n > 0 AND (m = 0 OR m / n < 0.3 OR m / n > 3.0)""",
@@ -126,12 +132,12 @@ ORACLE = {
         FROM lineitem WHERE l_suppkey % 4 IN (0, 2) GROUP BY 1, 2""",
     "neighbour_context": """SELECT conv_id, turn, coalesce(string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before,
         coalesce(string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after FROM conversations""",
-    "sample_text": """WITH r AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE length(text) > 200),
+    "sample_text": f"""WITH r AS (SELECT {_SQL_BOOK} AS book, text, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source, doc_id // 1000) AS n FROM documents WHERE length(text) > 200),
         p AS (SELECT *, CASE WHEN i = 0 THEN 'first' WHEN i = n // 2 THEN 'middle' WHEN i = n - 1 THEN 'last' END AS place FROM r)
-        SELECT source, place, md5(s) AS digest, length(s) AS chars FROM (SELECT source, place, CASE WHEN place = 'last' THEN right(text, 2800) ELSE left(text, 2800) END AS s FROM p WHERE place IS NOT NULL)""",
+        SELECT book, place, md5(s) AS digest, length(s) AS chars FROM (SELECT book, place, CASE WHEN place = 'last' THEN right(text, 2800) ELSE left(text, 2800) END AS s FROM p WHERE place IS NOT NULL)""",
     "qa_digest": """WITH t AS (SELECT conv_id, list(CASE WHEN role <> 'system' THEN text ELSE '' END ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
         SELECT conv_id, md5(left(array_to_string(list_filter(list_concat(t[1:3], CASE WHEN len(t) > 3 THEN t[len(t) - 1:] ELSE [] END), lambda x: x <> ''), '……'), 600)) AS digest FROM t""",
     "numbered_lines": "WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) SELECT conv_id, md5(string_agg('[' || i || '] ' || text, chr(10) ORDER BY i)) AS digest FROM t GROUP BY conv_id",
     "review_digest": _DIGEST % "b",
-    "review_reuse": "SELECT DISTINCT source FROM documents WHERE source > 'src5' OR source = 'src1'",
+    "review_reuse": f"SELECT DISTINCT {_SQL_BOOK} AS book FROM documents WHERE source > 'src5' OR source = 'src1'",
 }

@@ -32,13 +32,13 @@ def _summary(spark, sf_dir, part):
 
 
 def usage_delta(spark, sf_dir):
-    now = _summary(spark, sf_dir, F.col("event_id") % 4 > 0)
+    now = _summary(spark, sf_dir, F.lit(True))
     before = _summary(spark, sf_dir, F.col("event_id") % 4 > 1)
     return usage.delta(now, before, ["scope", "slot"])
 
 
 def usage_merge(spark, sf_dir):
-    a, b = _summary(spark, sf_dir, F.col("event_id") % 4 == 0), _summary(spark, sf_dir, (F.col("event_id") % 4 == 1) & (F.col("tier") != "click"))
+    a, b = _summary(spark, sf_dir, F.col("event_id") % 4 == 0), _summary(spark, sf_dir, F.col("event_id") % 4 > 0)
     return usage.merge(a, b, ["scope", "slot"])
 
 
@@ -78,10 +78,10 @@ ORACLE = {
     "event_window_counts": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "usage_rollup": f"WITH {_FACTS} SELECT *, {_RATE} FROM {_roll()}",
     "usage_stages_by_total": f"WITH {_FACTS} SELECT slot, calls, total FROM {_roll()} WHERE scope = 'stage' ORDER BY total DESC, slot",
-    "usage_delta": f"""WITH {_FACTS}, a AS {_roll('event_id % 4 > 0')}, b AS {_roll('event_id % 4 > 1')},
+    "usage_delta": f"""WITH {_FACTS}, a AS {_roll()}, b AS {_roll('event_id % 4 > 1')},
         d AS (SELECT a.scope, a.slot, {', '.join(f'CAST(greatest(0, a.{f} - coalesce(b.{f}, 0)) AS BIGINT) AS {f}' for f in _ALL)} FROM a LEFT JOIN b ON a.scope = b.scope AND a.slot = b.slot)
         SELECT * FROM d WHERE {' OR '.join(f'{f} > 0' for f in _ALL)}""",
-    "usage_merge": f"""WITH {_FACTS}, u AS (SELECT * FROM {_roll('event_id % 4 = 0')} UNION ALL SELECT * FROM {_roll("event_id % 4 = 1 AND tier <> 'click'")}),
+    "usage_merge": f"""WITH {_FACTS}, u AS (SELECT * FROM {_roll('event_id % 4 = 0')} UNION ALL SELECT * FROM {_roll('event_id % 4 > 0')}),
         m AS (SELECT scope, slot, {', '.join(f'CAST(sum({f}) AS BIGINT) AS {f}' for f in _ALL)} FROM u GROUP BY scope, slot) SELECT *, {_RATE} FROM m""",
     "cached_counts": """SELECT event_id, CAST(CASE WHEN k % 4 > 0 THEN greatest(0, k) ELSE 0 END AS BIGINT) AS cache_hit, CAST(CASE WHEN k % 4 > 0 THEN greatest(0, 40 - greatest(0, k)) ELSE 0 END AS BIGINT) AS cache_miss
         FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
