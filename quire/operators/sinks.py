@@ -179,6 +179,10 @@ def render_resource(
     return '<?xml version="1.0" encoding="utf-8"?>\n' + serialize(root)
 
 
+#: A start tag, whose attributes may hold > in quotes.
+_START_TAG = re.compile(rb"""<[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
+
+
 def _ncx_labels(data: bytes) -> list[tuple[int, int, str | None]]:
     """The label of every navPoint of an NCX in pre-order, whatever the prefixes of its names: the bytes
     (first, last) of the label's text, (-1, -1) without one, and the raw link."""
@@ -198,16 +202,15 @@ def _ncx_labels(data: bytes) -> list[tuple[int, int, str | None]]:
         elif open_points and name == "content" and above == "navPoint":
             open_points[-1][2] = attributes.get("src")
         elif open_points and name == "text" and path[-3:-1] == ["navPoint", "navLabel"] and open_points[-1][0] < 0:
-            at = parser.CurrentByteIndex
-            text = open_points[-1]
-            text[:2] = [data.index(b">", at) + 1, -1]
+            tag = _START_TAG.match(data, parser.CurrentByteIndex)
+            if tag and not tag[0].endswith(b"/>"):  # an element without contents has no place for a label
+                text = open_points[-1]
+                text[:2] = [tag.end(), -1]
 
     def end(name: str) -> None:
         nonlocal text
         if path.pop() == "text" and text is not None:
             text[1] = parser.CurrentByteIndex
-            if text[1] < text[0]:  # an element without contents has no place for a label
-                text[:2] = [-2, -2]
             text = None
         elif name.rpartition(" ")[2] == "navPoint" and open_points:
             open_points.pop()
