@@ -4,13 +4,14 @@ A shard is a few million characters of one language. The states of its generalis
 are built by naming: the strings of k words that end at a position are named by the name of the string
 of k - 1 words before and the last word, so a name is a set of end positions, its size the endpos
 count, and its suffix link the name of the string without its first word. Depth is bounded, and a
-string is extended only along words and pairs that may be frequent, which are found by a first round of
-automata of depth two, reduced over all shards. What every shard counts is added up over all shards.
+string is extended only along words, pairs and triples that may be frequent: a first round of automata of
+depth two and a second of depth three, reduced over all shards, tell which are. What every shard counts in
+the last round is added up over all shards, so nothing rare is written by it however large the input is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,14 @@ LEAST = 100
 TOP = 2000
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD = 12_000_000
-#: Bits of the filter of frequent words and pairs, whatever the input, a multiple of 65536: 4 MB. Wrong hits only cost work.
+#: Bits of the filter of frequent words, pairs and triples, whatever the input, a multiple of 65536: 4 MB. Wrong hits only cost work.
 FILTER_BITS = 1 << 25
 #: Parts of a language whose best phrases are told before those of all.
 _PARTS = 32
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _ENDS = b".,;:!?\x0b\x0c\r"
 _FOLD = bytes.maketrans(_UPPER + _ENDS, _UPPER.lower() + b"\n" * len(_ENDS))
-_ODD = mix(np.arange(7, 9)) | np.uint64(1)
+_ODD = mix(np.arange(7, 12)) | np.uint64(1)
 
 
 class Shard:
@@ -77,20 +78,43 @@ class Shard:
         counts = np.bincount(self.ids, minlength=len(words)), np.bincount(which, minlength=len(code))
         return np.concatenate((words, pair_keys(words, code))), np.concatenate(counts)
 
+    def linked(self, frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The last words of the pairs whose two words stand together often enough to pass the filter."""
+        at, code, which = self.pairs()
+        return at[passes(frequent, pair_keys(words, code))[which]] + 1
+
+    def triples(self, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The states of depth three over pairs that pass, given by their last words: an end of each distinct
+        triple, which of them every occurrence is, the ends of these, and the keys."""
+        pair = np.zeros(len(self.ids) + 1, bool)
+        pair[ends] = True
+        ends = ends[pair[ends - 1]]
+        # A pair within the shard by its place among the pairs that pass, then the third word.
+        _, named = np.unique(self.ids[ends - 2] * len(words) + self.ids[ends - 1], return_inverse=True)
+        _, first, which = np.unique(named * len(words) + self.ids[ends], return_index=True, return_inverse=True)
+        at = ends[first]
+        keys = mix(words[self.ids[at - 2]] * _ODD[2] + words[self.ids[at - 1]] * _ODD[3] + words[self.ids[at]] * _ODD[4])
+        return at, which, ends, keys
+
+    def keyed_triples(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, endpos count) of every triple of words whose pairs pass the filter."""
+        words = self.word_keys()
+        _, which, _, keys = self.triples(self.linked(frequent, words), words)
+        return keys, np.bincount(which, minlength=len(keys))
+
     def states(self, frequent: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The states of depth 1 to DEPTH whose words and pairs of words all pass the filter: (length, an
-        end position of each, its endpos count)."""
+        """The states of depth 1 to DEPTH whose words, pairs and triples of words all pass the filter:
+        (length, an end position of each, its endpos count)."""
         words = self.word_keys()
         used = passes(frequent, words)
         counts = np.bincount(self.ids, minlength=len(words))
         _, first = np.unique(self.ids, return_index=True)
         yield 1, first[used], counts[used]
-        at, code, which = self.pairs()
-        ok = at[passes(frequent, pair_keys(words, code))[which]]
-        name = self.ids.copy()
-        alive = ok + 1  # ends of strings of two words
+        alive = self.linked(frequent, words)  # ends of strings of two words
+        _, which, ends, keys = self.triples(alive, words)
         goes_on = np.zeros(len(self.ids) + 1, bool)
-        goes_on[ok + 1] = True
+        goes_on[ends[passes(frequent, keys)[which]]] = True
+        name = self.ids.copy()
         for length in range(2, DEPTH + 1):
             if not len(alive):
                 return
@@ -132,14 +156,22 @@ def _phrases(frame: DataFrame, least: int, shard_bytes: int, filter_bits: int) -
     """(lang, phrase, length, f): how often each phrase stands in all texts, exactly, of all phrases of up
     to DEPTH words that occur ``least`` times. Length 0 is the number of words."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_bytes):
-            found, n = shard.keyed()
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+    def frequent(keyed: Callable[[Shard], tuple[np.ndarray, np.ndarray]], label: str) -> DataFrame:
+        """The keys that occur often enough in all shards together."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard in shards(batches, shard_bytes):
+                found, n = keyed(shard)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+        counted = frame.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        return written(counted.where(F.col("n") >= least).select("key"), label)
 
-    keyed = frame.mapInArrow(keys, "key long, n long")
-    frequent = written(keyed.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "frequent-keys")
-    bits = frame.sparkSession.sparkContext.broadcast(key_filter(frequent, filter_bits))
+    context = frame.sparkSession.sparkContext
+    short = frequent(lambda shard: shard.keyed(), "frequent-pairs")
+    first = context.broadcast(key_filter(short, filter_bits))
+    longer = frequent(lambda shard: shard.keyed_triples(first.value), "frequent-triples")
+    bits = context.broadcast(key_filter(short.union(longer), filter_bits))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, shard_bytes):
@@ -153,7 +185,8 @@ def _phrases(frame: DataFrame, least: int, shard_bytes: int, filter_bits: int) -
 
     counted = frame.mapInArrow(rows, "lang string, phrase string, length int, f long").groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f"))
     out = written(counted.where((F.col("f") >= least) | (F.col("length") == 0)), "phrases")
-    drop_written(frequent)
+    drop_written(short)
+    drop_written(longer)
     return out
 
 
