@@ -309,3 +309,23 @@ def test_synopses_equal_a_plain_loop(spark):
         if level:
             want[b] = level[0]
     assert got == want
+
+
+def test_epubs_as_a_data_source(spark, tmp_path):
+    from quire.sources import book_source, books
+    from tests.test_operators import book
+
+    shelf, _ = shelf_of(tmp_path, {"b.epub": book(), "c.EPUB": sinks.build_epub("T", [("One", [("heading", "h"), ("text", "x\ny")]), ("Two", [("text", "z")])]), "d.md": "no"})
+    book_source.register(spark)
+    found = spark.read.format(book_source.NAME).load(shelf)
+    key = ["path", "resource", "href", "kind", "anchor", "source"]
+    whole = books.parsed_epubs(books.book_files(spark, shelf).where("fmt = 'epub'")).select("path", F.explode("segments").alias("s")).select("path", "s.*")
+    assert sorted(map(tuple, found.select(key).collect())) == sorted(map(tuple, whole.select(key).collect()))
+    per_book = whole.select("path", "resource").distinct().count()
+    assert found.rdd.getNumPartitions() == per_book == 3
+    one = found.where("resource = 1 and source like 'z%'")
+    assert one.rdd.getNumPartitions() == 1 and [r["source"] for r in one.collect()] == ["z"]
+    assert found.where(F.col("href").isin("c0.xhtml", "none")).select("source").distinct().count() == 3
+    assert found.where("path = 'nowhere'").count() == 0
+    with pytest.raises(Exception, match="missing|nowhere"):
+        spark.read.format(book_source.NAME).load(str(tmp_path / "nowhere")).count()
