@@ -117,6 +117,37 @@ def language_label(code: Column) -> Column:
     return F.coalesce(F.try_element_at(_mapping(LANGUAGE_LABELS), code), other, F.lit("原文"))
 
 
+#: What a translator is told about forms of address, by strategy, and about texts in a language.
+HONORIFICS = {
+    "keep": "Show the relation and the tone that a form of address carries; once chosen, keep its rendering through the book.",
+    "normalize": "Render each form of address in one way everywhere.",
+    "drop": "Leave forms of address out where neither meaning nor relation suffers.",
+}
+GUIDANCE = {
+    "ja": "Forms of address: $rule Tell pronouns and voice from first persons and roles. Put sound words into natural words. Chinese characters do not mean what they look like.",
+    "en": "Treat Mr, Ms and Sir as the target language would. Tell pronouns from names and context. Break long sentences and passives up. Use known renderings of names.",
+}
+TERM_GUIDANCE = {"ja": "Give the reading in kana; tell gender from voice and first person.", "en": "The reading may stay empty; tell gender from names and context."}
+OTHER_GUIDANCE, OTHER_TERM_GUIDANCE = "Be true to the meaning and natural in the target language.", "The reading may stay empty; tell gender from context."
+OTHER_HONORIFIC = "Keep the tone of forms of address, the same through the book."
+
+
+def honorific_rule(strategy: Column) -> Column:
+    """What is to be done with forms of address; a default for unknown strategies."""
+    return F.coalesce(F.try_element_at(_mapping(HONORIFICS), strategy), F.lit(OTHER_HONORIFIC))
+
+
+def translation_guidance(code: Column, strategy: Column) -> Column:
+    """What a translator from a language is told, with the rule for forms of address where it has them."""
+    own = F.replace(F.try_element_at(_mapping(GUIDANCE), code), F.lit("$rule"), honorific_rule(strategy))
+    return F.coalesce(own, F.lit(OTHER_GUIDANCE))
+
+
+def term_guidance(code: Column) -> Column:
+    """What is to be noted of terms of a language."""
+    return F.coalesce(F.try_element_at(_mapping(TERM_GUIDANCE), code), F.lit(OTHER_TERM_GUIDANCE))
+
+
 def epub_language(c: Column) -> Column:
     """Language tag for book metadata; Chinese and missing ones become zh-Hans."""
     low = F.lower(F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("_"), F.lit("-")))

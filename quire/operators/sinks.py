@@ -446,7 +446,10 @@ def save_files(files: DataFrame, folder: str) -> list[str]:
     """Save rows (path, content) below a folder that the executors reach, and return the paths.
 
     The tasks that made the files write them, each first under a temporary name and then moved in one step,
-    so that a repeated task does no harm and no reader sees half a file."""
+    so that a repeated task does no harm and no reader sees half a file. A folder without a scheme is one of
+    this machine, which only a session of one process may write to."""
+    if "://" not in folder and not files.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError(f"executors would each write to their own {folder}; name a folder that they share, with its scheme")
     target = folder if "://" in folder else "file://" + os.path.abspath(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,9 +84,16 @@ def content_keys(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.content_key(F.concat(F.lit("\t "), "text", F.lit(" \n"))).alias("key"))
 
 
+def language_guidance(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    code = F.when(F.col("doc_id") % 5 == 0, "ja").otherwise(F.col("lang"))
+    strategy = F.get(F.array(*(F.lit(x) for x in ("keep", "normalize", "drop", "odd"))), (F.col("doc_id") % 4).cast("int"))
+    return d.select("doc_id", F.md5(X.translation_guidance(code, strategy).cast("binary")).alias("guidance"), F.md5(X.term_guidance(code).cast("binary")).alias("terms"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (punct_ellipsis, punct_double_quotes, punct_gaps, punct_full, punct_segments, lang_normalize, lang_label, slug_and_file_name, flat_and_escape, vertical_markup, chapter_labels, loose_json_values, sentence_counts, content_keys)
+    for f in (punct_ellipsis, punct_double_quotes, punct_gaps, punct_full, punct_segments, lang_normalize, lang_label, language_guidance, slug_and_file_name, flat_and_escape, vertical_markup, chapter_labels, loose_json_values, sentence_counts, content_keys)
 }
 
 _LIST = "[" + ", ".join(f"'{c}'" for c in _CODES) + "]"
@@ -111,6 +118,9 @@ ORACLE = {
         SELECT doc_id, md5(string_agg(CASE WHEN i = 0 THEN s WHEN i % 2 = 1 THEN '“' || s ELSE '”' || s END, '' ORDER BY i)) AS digest FROM p GROUP BY doc_id""",
     "punct_gaps": f"SELECT doc_id, md5(regexp_replace({_SPACED}, '([，。！？：；、])\\s+', '\\1', 'g')) AS digest FROM documents",
     "lang_normalize": f"SELECT doc_id, {_code(f'{_LIST}[doc_id % {len(_CODES)} + 1]')} AS code, {_code('''upper(lang) || '-x' ''')} AS own FROM documents",
+    "language_guidance": f"""SELECT doc_id, md5(CASE c WHEN 'ja' THEN replace('{X.GUIDANCE["ja"]}', '$rule', CASE doc_id % 4 WHEN 0 THEN '{X.HONORIFICS["keep"]}' WHEN 1 THEN '{X.HONORIFICS["normalize"]}' WHEN 2 THEN '{X.HONORIFICS["drop"]}' ELSE '{X.OTHER_HONORIFIC}' END)
+        WHEN 'en' THEN '{X.GUIDANCE["en"]}' ELSE '{X.OTHER_GUIDANCE}' END) AS guidance, md5(CASE c WHEN 'ja' THEN '{X.TERM_GUIDANCE["ja"]}' WHEN 'en' THEN '{X.TERM_GUIDANCE["en"]}' ELSE '{X.OTHER_TERM_GUIDANCE}' END) AS terms
+        FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ja' ELSE lang END AS c FROM documents)""",
     "lang_label": f"SELECT doc_id, coalesce({_LABELS}[lang], lang || '文') AS label, CASE WHEN doc_id % 3 = 0 THEN 'zh-Hans' ELSE lang END AS tag FROM documents",
     "slug_and_file_name": f"""SELECT p_partkey, regexp_replace(regexp_replace({_RAW}, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
         left(regexp_replace(regexp_replace(trim(regexp_replace({_RAW}, '[\\\\/:*?"<>|\\r\\n\\t]+', ' ', 'g')), '^\\.+|\\.+$', '', 'g'), '\\s+', ' ', 'g'), 120) AS file, 'translated' AS fallback FROM part""",

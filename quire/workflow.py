@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quire import config
 from quire.functions.loose_json import loose_json
 from quire.functions.punctuation import normalize
-from quire.functions.text import chapter_label, is_blank
+from quire.functions.text import chapter_label, is_blank, translation_guidance
 from quire.operators import agents, checks, extraction, folds, glossary, memory, model, ordered, render, sinks, usage
 from quire.operators import status as machine
 from quire.operators.segments import split_text
@@ -235,14 +235,17 @@ def resolve_term(spark: SparkSession, state: str, path: str, source: str, target
     _append(state, "decisions", spark.createDataFrame([(path, source, target, last + 1)], TABLES["decisions"]))
 
 
-def _briefs(spark: SparkSession, state: str, batches: DataFrame) -> DataFrame:
-    """The batches (path, chapter, start, items) with ``brief``: style, synopsis and digest; their terms come
-    to it when they are asked, since they grow with the book."""
+def _briefs(spark: SparkSession, state: str, batches: DataFrame, settings: dict) -> DataFrame:
+    """The batches (path, chapter, start, items) with ``brief``: style, synopsis, digest and what is to be heeded
+    in texts of the book's language; their terms come to it when they are asked, since they grow with the book."""
     fields = {f: F.coalesce(F.get_json_object("analysis", f"$.{f}"), F.lit("")) for f in STYLE}
     style = read(spark, state, "books").groupBy("path").agg(F.max("analysis").alias("analysis")).select("path", ordered.style_brief(fields).alias("_style"))
     synopses = read(spark, state, "synopses").groupBy("path").agg(F.max_by("synopsis", "n_chapters").alias("synopsis"))
-    joined = batches.join(style, "path", "left").join(synopses, "path", "left").join(digests_of(spark, state), ["path", "chapter"], "left")
-    return joined.withColumn("brief", F.to_json(F.struct(F.col("_style").alias("style"), "synopsis", "digest"))).drop("_style", "synopsis", "digest")
+    languages = read(spark, state, "books").groupBy("path").agg(F.max("language").alias("_language"))
+    code = F.coalesce("_language", F.lit(""))
+    guidance = translation_guidance(code, F.lit(settings["honorifics"])).alias("guidance")
+    joined = batches.join(style, "path", "left").join(languages, "path", "left").join(synopses, "path", "left").join(digests_of(spark, state), ["path", "chapter"], "left")
+    return joined.withColumn("brief", F.to_json(F.struct(F.col("_style").alias("style"), "synopsis", "digest", guidance))).drop("_style", "synopsis", "digest", "_language")
 
 
 def _append_targets(spark: SparkSession, state: str, rows: DataFrame, settings: dict) -> None:
@@ -280,7 +283,7 @@ def translate(spark: SparkSession, state: str, client: model.Provider | None = N
     _log(state, cut.where("not done").select("path", "chapter").distinct(), "chapter_started")
     extracted = _events(spark, state, "terms_extracted").select("path", "chapter", F.col("key").alias("_key"), F.lit(True).alias("known"))
     cut = cut.withColumn("_key", F.concat_ws(":", "start", F.size("items")))
-    asked = _briefs(spark, state, cut.join(extracted.distinct(), ["path", "chapter", "_key"], "left"))
+    asked = _briefs(spark, state, cut.join(extracted.distinct(), ["path", "chapter", "_key"], "left"), settings)
     books = agents.translated_books(asked, client, p["align_retries"], p["rolling_context"], terms(spark, state)[0], p["glossary_scope"], src=settings["source_lang"], tgt=settings["target_lang"])
     answered = lineage_cut(books)
     _count_batches(state, answered)

@@ -329,3 +329,27 @@ def test_epubs_as_a_data_source(spark, tmp_path):
     assert found.where("path = 'nowhere'").count() == 0
     with pytest.raises(Exception, match="missing|nowhere"):
         spark.read.format(book_source.NAME).load(str(tmp_path / "nowhere")).count()
+
+
+def test_requests_by_dialect():
+    from quire.operators import requests
+
+    said = [{"role": "system", "content": "s"}, {"role": "assistant", "content": "a"}, {"role": "user", "content": "u"}]
+    plain = requests.chat_request("none", "m", said, max_tokens=10, reasoning=False)
+    assert plain == {"model": "m", "messages": said, "stream": False, "max_tokens": 10}
+    asked = requests.chat_request("none", "m", said, json_mode=True)
+    assert asked["response_format"] == {"type": "json_object"} and [m["content"] for m in asked["messages"]] == ["s\n\nOutput must be valid json.", "a", "u\n\nOutput must be valid json."] and said[0]["content"] == "s"
+    assert [m["content"] for m in requests.asking_for_json([{"role": "user", "content": "as JSON"}])] == ["Output must be valid json.", "as JSON"]
+    one = requests.chat_request("openai", "m", said, max_tokens=10)
+    assert one["reasoning_effort"] == "high" and one["max_completion_tokens"] == 4096 and "extra_body" not in one and "max_tokens" not in one
+    assert requests.chat_request("openai", "m", said, reasoning=False)["reasoning_effort"] == "none"
+    two = requests.chat_request("deepseek", "m", said, effort="low", max_tokens=9000)
+    assert two["reasoning_effort"] == "low" and two["extra_body"] == {"thinking": {"type": "enabled"}} and two["max_tokens"] == 9000
+    off = requests.chat_request("deepseek", "m", said, reasoning=False, overrides={"thinking": {"x": 1}, "top": 2})
+    assert "reasoning_effort" not in off and off["extra_body"] == {"thinking": {"type": "disabled", "x": 1}, "top": 2}
+    assert requests.chat_request("openrouter", "m", said, effort="low")["extra_body"] == {"reasoning": {"effort": "low"}}
+    assert requests.chat_request("openrouter", "m", said, reasoning=False)["extra_body"] == {"reasoning": {"enabled": False}}
+    with pytest.raises(ValueError):
+        requests.chat_request("odd", "m", said)
+    turns = requests.turns_request([*said, {"role": "system", "content": " "}, {"role": "system", "content": "t"}, {"content": None}])
+    assert turns == ("s\n\nt", [{"role": "model", "parts": [{"text": "a"}]}, {"role": "user", "parts": [{"text": "u"}]}, {"role": "user", "parts": [{"text": ""}]}])
