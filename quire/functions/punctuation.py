@@ -52,7 +52,7 @@ def single_quotes(c: Column, open_first: Column | None = None) -> Column:
     Where a quotation is open at the start, a c before the first quote stands for it."""
 
     def kind(parts: Column, i: Column) -> Column:
-        before, after = F.get(parts, i).rlike("[A-Za-z]$"), F.get(parts, i + 1).rlike("^[A-Za-z]")
+        before, after = F.get(parts, i).rlike(r"[A-Za-z]\z"), F.get(parts, i + 1).rlike("^[A-Za-z]")
         return F.when(before & after, "a").when(before, "b").otherwise("c")
 
     def paired(kinds: Column) -> Column:
