@@ -13,7 +13,8 @@ DEFAULTS = {
     "pipeline": {"rolling_context": 6, "align_retries": 2, "understanding": True, "polish": False, "punctuation": True, "back_translation_rate": 0.05, "glossary_scope": "chapter"},
     "output": {"bilingual_order": "target_first"},
     "retry": {"max_retries": 4, "first_delay": 1.0, "longest_delay": 30.0},
-    "tiers": {"strong": {"model": "fake"}},
+    "endpoint": {"base_url": "", "api_key_env": "", "timeout": 600, "reasoning_style": "none"},
+    "tiers": {},
 }
 TIERS = ("strong", "cheap", "fast")
 

@@ -11,6 +11,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from typing import Protocol
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from quire.functions.loose_json import parse_loose
+from quire.operators import endpoints
 from quire.operators.extraction import TERM_FIELDS
 from quire.operators.usage import FIELDS
 
@@ -125,14 +127,27 @@ class RetryingProvider:
         raise AssertionError
 
 
-PROVIDERS: dict[str, Callable[..., Provider]] = {"fake": FakeProvider}
+PROVIDERS: dict[str, Callable[..., Provider]] = {"fake": FakeProvider} | {name: partial(endpoints.connect, name) for name in endpoints.ENDPOINTS}
 
 
 def provider(name: str, **options) -> Provider:
-    """A registered provider; ValueError for an unknown name."""
-    if name not in PROVIDERS:
+    """A registered provider, told by its name in any case, with ``_`` or ``-``; ValueError for an unknown one."""
+    known = name.strip().lower().replace("_", "-")
+    known = endpoints.ALIASES.get(known, known)
+    if known not in PROVIDERS:
         raise ValueError(f"unknown provider {name!r}; known: {', '.join(sorted(PROVIDERS))}")
-    return PROVIDERS[name](**options)
+    return PROVIDERS[known](**options)
+
+
+def configured(settings: dict, name: str | None = None) -> RetryingProvider:
+    """The provider that the settings name, or the given one, with their tiers and endpoint, asked again as they
+    say. RuntimeError if its key is missing, before anything is asked."""
+    name = name or settings["provider"]
+    options = {} if name.strip().lower() == "fake" else {"tiers": settings["tiers"], **settings["endpoint"]}
+    inner = provider(name, **options)
+    if hasattr(inner, "validate"):
+        inner.validate()
+    return RetryingProvider(inner, **settings["retry"])
 
 
 class AlignmentError(RuntimeError):

@@ -487,24 +487,54 @@ def assemble(spark: SparkSession, state: str, fmt: str, out: str, bilingual: boo
     return sinks.save_files(new.unionByName(sinks.named(old, fmt, bilingual, shelf)), out)
 
 
+def run(
+    spark: SparkSession, books: str, state: str, out: str | None, client: model.Provider | None = None, settings: dict | None = None, fmt: str = "epub", bilingual: bool = False, with_review: bool = True,
+    with_qa: bool = True, only_chapter: int | None = None,
+) -> list[str]:
+    """All steps from books to books, and the files that were written. One chapter of each book is only
+    translated; what finishes whole books has to wait for the rest of them."""
+    prepare(spark, books, state, settings)
+    understand(spark, state, client, settings)
+    translate(spark, state, client, settings, only_chapter)
+    if only_chapter is not None:
+        return []
+    if with_review:
+        review(spark, state, client, settings=settings)
+        fix(spark, state, client, settings)
+    titles(spark, state, client, settings)
+    if with_qa:
+        qa(spark, state, client)
+    return assemble(spark, state, fmt, out, bilingual, settings)
+
+
+#: What asks for a provider, and what of a run is for whole books only.
+_ASKING = ("understand", "translate", "review", "fix", "titles", "qa", "run")
+_FINISHING = ("format", "out", "review", "qa", "bilingual")
+
+
 def main(arguments: list[str] | None = None) -> None:
     from quire.session import local_session
 
     parser = argparse.ArgumentParser(prog="quire", description=__doc__.splitlines()[0])
     parser.add_argument("--config", help="a JSON file of settings")
     steps = parser.add_subparsers(dest="step", required=True)
-    for name in ("prepare", "understand", "translate", "review", "fix", "titles", "qa", "report", "status", "usage", "glossary", "assemble", "init-config"):
+    for name in ("prepare", "understand", "translate", "review", "fix", "titles", "qa", "report", "status", "usage", "glossary", "assemble", "run", "init-config"):
         step = steps.add_parser(name)
         step.add_argument("state")
-        if name == "prepare":
+        if name in ("prepare", "run"):
             step.add_argument("books")
-        if name in ("understand", "translate", "review", "fix", "titles", "qa"):
+        if name in _ASKING:
             step.add_argument("--provider")
-        if name == "translate":
+        if name == "run":
+            step.add_argument("--out")
+            step.add_argument("--format", choices=sorted(sinks.FORMATS))
+            for switch in ("bilingual", "review", "qa"):
+                step.add_argument(f"--{switch}", action=argparse.BooleanOptionalAction)
+        if name in ("translate", "run"):
             step.add_argument("--chapter", type=int)
             step.add_argument("--polish", action="store_true")
             step.add_argument("--no-punctuation", action="store_true")
-        if name == "understand":
+        if name in ("understand", "run"):
             step.add_argument("--no-understanding", action="store_true")
         if name == "review":
             step.add_argument("--force", action="store_true")
@@ -524,8 +554,14 @@ def main(arguments: list[str] | None = None) -> None:
     pipeline["polish"] |= getattr(a, "polish", False)
     pipeline["punctuation"] &= not getattr(a, "no_punctuation", False)
     pipeline["understanding"] &= not getattr(a, "no_understanding", False)
+    if a.step == "run":
+        given = [f"--{n}" for n in _FINISHING if getattr(a, n) is not None]
+        if a.chapter is not None and given:
+            parser.error(f"--chapter only translates a chapter; leave out {', '.join(given)}")
+        if a.chapter is None and a.out is None:
+            parser.error("--out is missing")
+    client = model.configured(settings, a.provider) if a.step in _ASKING else None  # a key that is missing is told first
     spark = local_session()
-    client = model.RetryingProvider(model.provider(getattr(a, "provider", None) or settings["provider"]), **settings["retry"])
     looks = a.step in ("usage", "status", "report") or (a.step == "glossary" and a.what != "resolve")
     with nullcontext() if looks else locked(spark, a.state):
         if a.step == "prepare":
@@ -551,9 +587,11 @@ def main(arguments: list[str] | None = None) -> None:
         elif a.step == "glossary":
             known, conflicts = terms(spark, a.state)
             (known if a.what == "list" else conflicts.where("not resolved")).show(1000, False)
+        elif a.step == "run":
+            print("\n".join(run(spark, a.books, a.state, a.out, client, settings, a.format or "epub", bool(a.bilingual), a.review is not False, a.qa is not False, a.chapter)))
         elif a.step == "assemble":
             print("\n".join(assemble(spark, a.state, a.format, a.out, a.bilingual, settings)))
-        if a.step in ("report", "translate", "review", "fix"):
+        if a.step in ("report", "translate", "review", "fix", "run"):
             print(json.dumps(report(spark, a.state).first().asDict(), indent=2))
 
 
