@@ -169,6 +169,20 @@ def body_of(html: Column) -> Column:
     return F.when(html.rlike(r"(?is)<body[^>]*>.*?</body>"), inner).otherwise(html)
 
 
+def head_of(html: Column) -> Column:
+    """What stands between the head tags but for titles and declarations of the encoding, stripped of white
+    space; empty without them."""
+    inner = F.regexp_extract(html, r"(?is)<head[^>]*>(.*?)</head>", 1)
+    bare = F.regexp_replace(F.regexp_replace(inner, r"(?is)<title[^>]*>.*?</title>", ""), r"(?i)<meta[^>]*charset[^>]*/?>", "")
+    return strip(bare)
+
+
+def one_page(pages: Column, title: Column) -> Column:
+    """The pages of an array as one page: the head of the first, the bodies of all."""
+    top = F.concat(F.lit('<!DOCTYPE html>\n<html>\n<head>\n<meta charset="utf-8">\n<title>'), html_escape(title), F.lit("</title>\n"), head_of(F.get(pages, F.lit(0))), F.lit("\n</head>\n<body>\n"))
+    return F.concat(top, F.array_join(F.transform(pages, body_of), ""), F.lit("\n</body>\n</html>"))
+
+
 # Style values, an attribute and a class that ask for vertical writing.
 VERTICAL_MODES, RIGHT_TO_LEFT, VERTICAL_CLASS = ("vertical-rl", "vertical-lr", "tb-rl"), ("page-progression-direction", "rtl"), "vrtl"
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,16 +47,29 @@ def inherit(entries: DataFrame, doc: str) -> DataFrame:
     return ahead.withColumn("_least", least).withColumn("pos", F.when(F.col("pos").isNotNull(), F.col("pos")).when(F.col("_least") >= F.col("node"), F.col("_found"))).drop("_at", "_found", "_least")
 
 
-def boundaries(entries: DataFrame, doc: str) -> DataFrame:
-    """One boundary per position from top-level entries (doc, seq, depth, pos, anchored, external).
+def boundaries(entries: DataFrame, doc: str, deepest: int | None = 0) -> DataFrame:
+    """One boundary per position from entries (doc, seq, depth, pos, anchored, external) of the top level, or down
+    to a depth; null: of any.
 
     Anchored entries win over others; of the anchored the first, of the others the last."""
-    kept = entries.where((F.col("depth") == 0) & ~F.coalesce("external", F.lit(False)) & (F.col("pos") >= 0))
+    level = (F.col("depth") >= 0) if deepest is None else F.col("depth").between(0, deepest)
+    kept = entries.where(level & ~F.coalesce("external", F.lit(False)) & (F.col("pos") >= 0))
     order = [F.col("anchored").desc(), F.when(F.col("anchored"), F.col("seq")).otherwise(-F.col("seq"))]
     rank = F.row_number().over(Window.partitionBy(doc, "pos").orderBy(*order))
     return kept.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
+#: Which entries of a table of contents begin a chapter: functions of (entries, doc) that keep one per position.
+STRATEGIES = {"top-level-toc": boundaries, "second-level-toc": partial(boundaries, deepest=1), "whole-toc": partial(boundaries, deepest=None)}
+
+
+def strategy(name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A way of cutting books into chapters; ValueError for an unknown name."""
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown way of cutting chapters {name!r}; known: {', '.join(STRATEGIES)}")
+    return STRATEGIES[name]
+
+
 def slices(marks: DataFrame, doc: str, size: str) -> DataFrame:
     """Half-open ranges between boundaries (doc, pos) up to the size of the document; empty ones go."""
     end = F.coalesce(F.lead("pos").over(Window.partitionBy(doc).orderBy("pos")), F.col(size))

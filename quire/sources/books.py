@@ -15,10 +15,13 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import segments, toc
 from quire.sources import epub, fb2, html
 
-EXTENSIONS = {".epub": "epub", ".md": "text", ".markdown": "text", ".txt": "text", ".text": "text", ".fb2": "fb2", ".html": "html", ".htm": "html"}
+EXTENSIONS = {".epub": "epub", ".md": "text", ".markdown": "text", ".txt": "text", ".text": "text", ".fb2": "fb2", ".html": "html", ".htm": "html", ".pdf": "pdf"}
+#: A page that a PDF was converted to, whole or in numbered parts.
+_CONVERTED = r"(?i)^(.*\.pdf)(?:\.(\d+))?\.html?$"
 SCHEMA = "path string, fmt string, title string, chapter int, chapter_title string, seg int, kind string, level int, anchor string, source string, href string, toc_path string, toc_node int, toc_href string"
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 _ENTRY = "toc_rank:int,toc_path:string,node:int,parent:int,depth:int,title:string,raw_href:string,href:string,fragment:string,external:boolean"
@@ -39,9 +42,34 @@ def _format(path: Column) -> Column:
     return F.try_element_at(known, F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1)))
 
 
-def book_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files (path, fmt, content) below a path or glob; fmt is null where the format is not supported."""
-    return spark.read.format("binaryFile").load(path).select("path", _format(F.col("path")).alias("fmt"), "content")
+def book_files(spark: SparkSession, path: str, contents: bool = True) -> DataFrame:
+    """The files (path, fmt, content) below a path or glob; fmt is null where the format is not supported.
+
+    The content of a PDF is the page that it was converted to, see ``with_converted``. Without contents nothing
+    but names is read, and what would have one has an empty one."""
+    content = F.col("content") if contents else F.lit(b"").alias("content")
+    return with_converted(spark.read.format("binaryFile").load(path).select("path", _format(F.col("path")).alias("fmt"), content))
+
+
+def with_converted(files: DataFrame) -> DataFrame:
+    """Files with the pages that PDFs were converted to as their content, null where there are none.
+
+    The page of ``a.pdf`` is ``a.pdf.html`` beside it, or ``a.pdf.1.html``, ``a.pdf.2.html`` and so on (UTF-8),
+    which are joined in the order of their numbers. Beside their PDF such pages are no books of their own."""
+    pdfs = files.where("fmt = 'pdf'").select(F.col("path").alias("_of"))
+    others = files.where("fmt is null or fmt <> 'pdf'").withColumn("_of", F.when(F.col("fmt") == "html", F.regexp_extract("path", _CONVERTED, 1)))
+    number = F.coalesce(F.regexp_extract("path", _CONVERTED, 2).try_cast("int"), F.lit(0))
+    parts = others.join(pdfs, "_of").groupBy("_of").agg(F.array_sort(F.collect_list(F.struct(number.alias("k"), "path", "content"))).alias("_p"))
+    texts = F.transform("_p", lambda x: F.make_valid_utf8(x["content"].cast("string")))
+    page = F.when(F.size("_p") == 1, F.get("_p", F.lit(0))["content"]).otherwise(text.one_page(texts, _stem(F.col("_of"))).cast("binary"))
+    found = pdfs.join(parts, "_of", "left").select(F.col("_of").alias("path"), F.lit("pdf").alias("fmt"), page.alias("content"))
+    return others.join(pdfs, "_of", "left_anti").select("path", "fmt", "content").unionAll(found)
+
+
+def left_out(files: DataFrame) -> DataFrame:
+    """(path, reason) of files that are not read: of no supported format, or a PDF that was not converted."""
+    reason = F.when(F.col("fmt").isNull(), "unsupported format").when(F.col("content").isNull(), "not converted")
+    return files.select("path", reason.alias("reason")).where("reason is not null")
 
 
 def _stem(path: Column) -> Column:
@@ -50,8 +78,8 @@ def _stem(path: Column) -> Column:
 
 def text_books(files: DataFrame) -> DataFrame:
     """Segments of text and Markdown files, chapters cut at their heading lines."""
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "")
-    texts = files.select("path", text.alias("text"))
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "")
+    texts = files.select("path", whole.alias("text"))
     cut = segments.text_segments(segments.chapters(texts, "path", "text", _stem(F.col("path"))), "path")
     heads = cut.withColumn("anchor", F.concat(F.lit("q"), "chapter", F.lit("_"), "seg"))
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
@@ -59,7 +87,7 @@ def text_books(files: DataFrame) -> DataFrame:
 
 
 def markup_books(files: DataFrame) -> DataFrame:
-    """Segments of HTML and FB2 files."""
+    """Segments of HTML and FB2 files and of converted PDFs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
@@ -117,12 +145,12 @@ def parsed_epubs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, EPUB)
 
 
-def epub_chapters(books: DataFrame) -> DataFrame:
+def epub_chapters(books: DataFrame, split: str = "top-level-toc") -> DataFrame:
     """Segments of parsed EPUBs in the chapters of their tables of contents.
 
     Entries are located at the start of their resource or at their fragment; groups without a link take the
-    place of their first located descendant. The boundaries are the top-level entries of the first table
-    that has any; what stands before the first is a chapter of its own. A book without a boundary has one
+    place of their first located descendant. The boundaries are the entries that ``split`` chooses (see
+    ``toc.STRATEGIES``), as a rule those of the top level, of the first table that has any; what stands before the first is a chapter of its own. A book without a boundary has one
     chapter per resource."""
     part = lambda name: books.select("path", F.explode(name).alias("_x")).select("path", "_x.*")
     here = F.struct("path", "href")
@@ -132,7 +160,7 @@ def epub_chapters(books: DataFrame) -> DataFrame:
     entries = entries.join(ends, F.col("href") == F.col("_h"), "left").withColumns({"anchored": F.coalesce(F.col("pos") < F.col("_end"), F.lit(False)), "_toc": F.struct("path", "toc_rank"), "_own": F.col("pos")})
     linked = F.length(F.coalesce("raw_href", F.lit(""))) > 0
     entries = toc.inherit(entries, "_toc").withColumn("pos", F.when(linked, F.col("_own")).otherwise(F.col("pos"))).withColumn("seq", F.col("node"))
-    found = toc.boundaries(entries, "_toc").withColumn("_first", F.min("toc_rank").over(Window.partitionBy("path"))).where("toc_rank = _first")
+    found = toc.strategy(split)(entries, "_toc").withColumn("_first", F.min("toc_rank").over(Window.partitionBy("path"))).where("toc_rank = _first")
     number = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
     marks = found.select("path", "pos", F.col("title").alias("_title"), "toc_path", F.col("node").alias("toc_node"), F.coalesce("raw_href", F.lit("")).alias("toc_href"), number.alias("_n"))
     flat = books.select("path", "title", F.explode("segments").alias("_s")).select("path", "title", "_s.*")
@@ -150,15 +178,15 @@ def epub_chapters(books: DataFrame) -> DataFrame:
     )
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """All segments of book files (path, fmt, content); those of no supported format are left out.
+def read_files(files: DataFrame, split: str = "top-level-toc") -> DataFrame:
+    """All segments of book files (path, fmt, content); those that ``left_out`` names are not read.
 
     An EPUB is parsed once, its parsed rows are kept on disk while they are joined."""
     epubs = parsed_epubs(files.where("fmt = 'epub'")).persist(StorageLevel.DISK_ONLY)
-    parts = [text_books(files.where("fmt = 'text'")), markup_books(files.where("fmt in ('html', 'fb2')")), epub_chapters(epubs)]
+    parts = [text_books(files.where("fmt = 'text'")), markup_books(files.where("fmt in ('html', 'fb2', 'pdf') and content is not null")), epub_chapters(epubs, split)]
     return parts[0].select(COLUMNS).unionByName(parts[1].select(COLUMNS)).unionByName(parts[2].select(COLUMNS))
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
+def read_books(spark: SparkSession, path: str, split: str = "top-level-toc") -> DataFrame:
     """All segments of the book files below a path or glob."""
-    return read_files(book_files(spark, path))
+    return read_files(book_files(spark, path), split)

@@ -30,7 +30,7 @@ from quire.operators import status as machine
 from quire.operators.segments import split_text
 from quire.session import lineage_cut
 from quire.sources import event_log
-from quire.sources.books import book_files, fb2_images, read_files
+from quire.sources.books import book_files, fb2_images, left_out, read_files
 
 # Sizes of batches of titles, and the fields of a style brief.
 TITLE_CHARS, TITLE_COUNT = 4000, 40
@@ -91,13 +91,14 @@ def segments(spark: SparkSession, state: str) -> DataFrame:
 
 def prepare(spark: SparkSession, books: str, state: str, settings: dict | None = None) -> DataFrame:
     """Read all books below a path into ``segments`` with long segments split; books known are left, and so
-    are files of no supported format. EPUBs and HTML pages are kept as they are,
+    are files of no supported format and PDFs that were not converted, which are logged. EPUBs and HTML pages are kept as they are,
     to be translated in place, and FB2 files for their images."""
     settings = settings or config.DEFAULTS
-    files = book_files(spark, books).where("fmt is not null")
+    _log(state, left_out(book_files(spark, books, contents=False)), "file_left_out")
+    files = book_files(spark, books).where("fmt is not null and content is not null")
     if _there(spark, f"{state}/segments"):
         files = files.join(segments(spark, state).select("path").distinct(), "path", "left_anti")
-    pieces = read_files(files).select("*", F.posexplode(split_text(F.col("source"), settings["segment"]["long_segment_chars"])).alias("_k", "_piece"))
+    pieces = read_files(files, settings["segment"]["chapter_split"]).select("*", F.posexplode(split_text(F.col("source"), settings["segment"]["long_segment_chars"])).alias("_k", "_piece"))
     first = F.col("_k") == 0
     dense = F.row_number().over(Window.partitionBy("path", "chapter").orderBy("seg", "_k")) - 1
     out = pieces.withColumns({"_seg": dense, "kind": F.when(first, F.col("kind")).otherwise("text"), "anchor": F.when(first, F.col("anchor")), "cont": ~first})

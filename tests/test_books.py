@@ -353,3 +353,67 @@ def test_requests_by_dialect():
         requests.chat_request("odd", "m", said)
     turns = requests.turns_request([*said, {"role": "system", "content": " "}, {"role": "system", "content": "t"}, {"content": None}])
     assert turns == ("s\n\nt", [{"role": "model", "parts": [{"text": "a"}]}, {"role": "user", "parts": [{"text": "u"}]}, {"role": "user", "parts": [{"text": ""}]}])
+
+
+def test_converted_pdfs(spark, tmp_path):
+    from quire.sources import books
+
+    page = lambda head, body: f"<html><HEAD><title>t</title><meta charset='utf-8'/><style>{head}</style></HEAD><body class=x>{body}</body></html>"
+    files = {
+        "x/a.pdf": "%PDF", "x/a.pdf.html": page("", "<h1>One</h1><p>ä</p>"), "x/b.PDF": "%PDF", "x/b.PDF.10.html": page("c", "<p>ten</p>"), "x/b.PDF.2.htm": page("b", "<h2>Two</h2><p>2</p>"),
+        "x/c.pdf": "%PDF", "y/a.pdf.html": page("", "<p>of no PDF</p>"), "y/d.doc": "?", "y/e.md": "text",
+    }
+    shelf, state = shelf_of(tmp_path, files)
+    whole = books.book_files(spark, shelf)
+    rows = books.read_files(whole).orderBy("path", "chapter", "seg").select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1), "fmt", "title", "chapter_title", "kind", "source").collect()
+    assert [tuple(r) for r in rows] == [
+        ("x/a.pdf", "pdf", "a", "One", "heading", "One"), ("x/a.pdf", "pdf", "a", "One", "text", "ä"), ("x/b.PDF", "pdf", "b", "Two", "heading", "Two"), ("x/b.PDF", "pdf", "b", "Two", "text", "2"),
+        ("x/b.PDF", "pdf", "b", "Two", "text", "ten"), ("y/a.pdf.html", "html", "a.pdf", "", "text", "of no PDF"), ("y/e.md", "text", "e", "e", "text", "text"),
+    ]
+    joined = next(r["content"] for r in whole.where("path like '%b.PDF'").collect()).decode()
+    assert joined.count("<style>") == 1 and "<style>b</style>" in joined and joined.count("<title>") == 1 and joined.index("<p>2</p>") < joined.index("<p>ten</p>") and joined.count("<body") == 1
+    names = books.book_files(spark, shelf, contents=False)
+    for files in (whole, names):
+        assert sorted((r["path"].rsplit("/", 1)[1], r["reason"]) for r in books.left_out(files).collect()) == [("c.pdf", "not converted"), ("d.doc", "unsupported format")]
+    workflow.prepare(spark, shelf, state)
+    assert spark.read.parquet(f"{state}/segments").where("fmt = 'pdf'").count() == 5
+    again = workflow.prepare(spark, shelf, state)
+    assert again.count() == 7 and again.where("path like '%.pdf.html'").count() == 1
+    (tmp_path / "in" / "x" / "c.pdf.html").write_text(page("", "<p>now</p>"))  # converted later
+    assert workflow.prepare(spark, shelf, state).where("path like '%c.pdf' and source = 'now'").count() == 1
+
+
+def test_ways_of_cutting_books(spark, tmp_path):
+    from quire.operators import toc
+    from quire.sources import books
+
+    data = tmp_path / "b.epub"
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+        z.writestr("p.opf", '<package><metadata><title>T</title></metadata><manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="n" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="n"><itemref idref="a"/></spine></package>')
+        z.writestr("a.xhtml", '<html><body><p>0</p><p id="a">1</p><p id="b">2</p><p id="c">3</p><p id="d">4</p></body></html>')
+        point = lambda name, inner="": f'<navPoint><navLabel><text>{name}</text></navLabel><content src="a.xhtml#{name}"/>{inner}</navPoint>'
+        z.writestr("toc.ncx", f"<ncx><navMap>{point('a', point('b', point('c')))}{point('d')}</navMap></ncx>")
+
+    def chapters(split):
+        rows = books.read_books(spark, str(data), split).orderBy("chapter", "seg").collect()
+        found: dict = {}
+        for r in rows:
+            found.setdefault((r["chapter"], r["chapter_title"]), []).append(r["source"])
+        return [(title, "".join(x)) for (_, title), x in found.items()]
+
+    assert chapters("top-level-toc") == [("", "0"), ("a", "123"), ("d", "4")]
+    assert chapters("second-level-toc") == [("", "0"), ("a", "1"), ("b", "23"), ("d", "4")]
+    assert chapters("whole-toc") == [("", "0"), ("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")]
+    with pytest.raises(ValueError, match="top-level-toc"):
+        toc.strategy("by-moon")
+
+
+def test_heads_and_joined_pages(spark):
+    from quire.functions import text
+
+    cases = {None: None, "": "", "no head": "", "<head></head>": "", "<HEAD x> <Title>a\nb</Title><meta charset=x> \n<style>s</style> </HEAD><head>2</head>": "<style>s</style>"}
+    rows = spark.createDataFrame([(k,) for k in cases], "html string").select("html", text.head_of(F.col("html")).alias("h")).collect()
+    assert {r["html"]: r["h"] for r in rows} == cases
+    page = spark.range(1).select(text.one_page(F.array(F.lit("<head>h</head><body>1</body>"), F.lit("2")), F.lit("<t>")).alias("p")).first()["p"]
+    assert page == '<!DOCTYPE html>\n<html>\n<head>\n<meta charset="utf-8">\n<title>&lt;t&gt;</title>\nh\n</head>\n<body>\n12\n</body>\n</html>'
