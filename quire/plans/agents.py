@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from quire.operators import agents, folds, sinks
+from quire.operators import agents, checks, folds, model, sinks
 from quire.plans.packing import long
 from quire.session import table
 from quire.sources import books
@@ -73,6 +75,36 @@ def back_translation_issues(spark, sf_dir):
     return told.select("conv_id", F.col("index").cast("long").alias("position"), "type", "detail")
 
 
+def _finds(messages: list[dict[str, str]], tier: str) -> str:
+    """A reviewer that remarks on texts that were left as they are and on missing ones, by the index it is shown;
+    and, told a glossary and chapters, on terms that stand nowhere in the chapters."""
+    asked = json.loads(messages[-1]["content"])
+    if isinstance(asked, dict):
+        lost = [line for line in asked.get("glossary", "").splitlines() if line not in asked.get("chapters", "")]
+        return json.dumps([{"index": k, "type": "lost", "detail": line} for k, line in enumerate(lost)])
+    kinds = ((x["index"], "missing" if not x.get("target", "").strip() else "copied" if x["target"] == x["source"] else None) for x in asked)
+    return json.dumps({"issues": [{"index": i, "type": kind, "detail": f"at {i}"} for i, kind in kinds if kind]})
+
+
+def reviewed_chunks(spark, sf_dir):
+    """Conversations reviewed in chunks of up to 1800 characters; issues are led back to their turns."""
+    target = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.lit(" ")).otherwise(F.upper("text"))
+    items = _turns(spark, sf_dir).withColumn("target", target)
+    chunks = folds.pack(items, ["conv_id"], ["turn"], F.struct("turn", F.col("text").alias("source"), "target"), lambda x: F.length(x["source"]), 1800)
+    asked = chunks.select("conv_id", F.transform("items", lambda x: x["turn"]).alias("turns"), "items")
+    told = agents.reviews(asked, ["conv_id", "turns"], model.FakeProvider(_finds))
+    return told.select("conv_id", F.get("turns", F.col("index").cast("int")).cast("long").alias("turn"), "type", (F.col("detail") == F.concat(F.lit("at "), "index")).alias("named"))
+
+
+def consistency_issues(spark, sf_dir):
+    """The first words of turns of a conversation as its glossary, the shortened conversation as its chapter."""
+    t = _turns(spark, sf_dir)
+    words = t.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("text", " ", 1))), "\n").alias("glossary"))
+    chapters = checks.qa_digest(t.withColumnRenamed("turn", "seg"), ["conv_id"], "text").withColumnRenamed("digest", "chapters")
+    told = agents.consistency(words.join(chapters, "conv_id"), ["conv_id"], "glossary", "chapters", model.FakeProvider(_finds))
+    return told.select("conv_id", F.col("index").cast("long").alias("position"), F.col("detail").alias("term"))
+
+
 def translated_in_order(spark, sf_dir):
     items = _turns(spark, sf_dir).withColumn("target", F.when(F.col("role") == "assistant", F.upper("text")))
     packed = folds.pack(items, ["conv_id"], ["turn"], F.struct("turn", "text", "target"), lambda x: F.length(x["text"]), 600)
@@ -116,7 +148,7 @@ def epub_in_place(spark, sf_dir):
     return out.select(_conv(F.col("path")), long("chapter"), "chapter_title", long("seg"), _digest("source"))
 
 
-QUERIES = {f.__name__: f for f in (document_languages, chapter_digests, book_synopses, seed_terms, model_terms, fixed_segments, polished_batches, translated_titles, back_translation_issues, translated_in_order, epub_round_trip, epub_in_place)}
+QUERIES = {f.__name__: f for f in (document_languages, chapter_digests, book_synopses, seed_terms, model_terms, fixed_segments, polished_batches, translated_titles, back_translation_issues, reviewed_chunks, consistency_issues, translated_in_order, epub_round_trip, epub_in_place)}
 
 _TURNED = "array_to_string(list_reverse(string_split(text, ' ')), ' ')"
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -138,6 +170,12 @@ ORACLE = {
     "translated_titles": "SELECT p_partkey, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS title FROM part",
     "back_translation_issues": f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations WHERE trim(text) <> '')
         SELECT conv_id, position, 'meaning' AS type, 'differs' AS detail FROM n WHERE turn % 2 = 1 AND {_TURNED} <> text""",
+    "reviewed_chunks": """SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'missing' ELSE 'copied' END AS type, true AS named FROM conversations
+        WHERE trim(text) <> '' AND (turn % 3 < 2 OR upper(text) = text)""",
+    "consistency_issues": """WITH c AS (SELECT * FROM conversations WHERE trim(text) <> ''), t AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM c GROUP BY conv_id),
+        d AS (SELECT conv_id, left(array_to_string(list_filter(list_concat(t[1:3], CASE WHEN len(t) > 3 THEN t[len(t) - 1:] ELSE [] END), lambda x: x <> ''), '……'), 600) AS digest FROM t),
+        w AS (SELECT DISTINCT conv_id, split_part(text, ' ', 1) AS line FROM c), p AS (SELECT conv_id, unnest(string_split(line, chr(10))) AS term FROM w)
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY term) - 1 AS position, term FROM p JOIN d USING (conv_id) WHERE NOT contains(digest, term)""",
     "translated_in_order": f"SELECT conv_id, turn, md5({_TURNED}) AS digest FROM conversations WHERE trim(text) <> '' AND role <> 'assistant'",
     "epub_round_trip": f"WITH {_CHAPTERS} SELECT conv_id, chapter, 'T ' || k || ' & more' AS chapter_title, seg, CASE WHEN turn % 2 = 0 THEN 'heading' ELSE 'text' END AS kind, md5({_FLAT}) AS digest FROM n",
     "epub_in_place": f"WITH {_CHAPTERS} SELECT conv_id, chapter, 'L ' || chapter AS chapter_title, seg, md5('T: ' || {_FLAT}) AS digest FROM n",

@@ -20,6 +20,11 @@ def toc_boundaries(spark, sf_dir):
     return toc.boundaries(_marks(spark, sf_dir), "doc").select("doc", "pos", "seq")
 
 
+def toc_boundaries_deep(spark, sf_dir):
+    """Chapters begin at entries of the first two levels."""
+    return toc.strategy("second-level-toc")(_marks(spark, sf_dir), "doc").select("doc", "pos", "seq")
+
+
 def toc_slices(spark, sf_dir):
     marks = toc.boundaries(_marks(spark, sf_dir), "doc").withColumn("size", F.lit(36).cast("long"))
     return toc.slices(marks, "doc", "size").select("doc", long("start"), long("end"))
@@ -67,12 +72,14 @@ def toc_titles(spark, sf_dir):
     return toc.toc_titles(entries, headings, "doc").select("c_custkey", "title_translated")
 
 
-QUERIES = {f.__name__: f for f in (toc_boundaries, toc_slices, toc_chapters, toc_inherit, toc_locate, fragment_anchors, toc_titles)}
+QUERIES = {f.__name__: f for f in (toc_boundaries, toc_boundaries_deep, toc_slices, toc_chapters, toc_inherit, toc_locate, fragment_anchors, toc_titles)}
 
+_DEEP = """SELECT doc, pos, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc, pos ORDER BY anchored DESC, CASE WHEN anchored THEN seq ELSE -seq END) AS r FROM m WHERE depth IN (0, 1) AND pos >= 0) WHERE r = 1"""
 _B = """m AS (SELECT CAST(c_nationkey AS BIGINT) AS doc, c_custkey AS seq, c_custkey % 3 - 1 AS depth, c_custkey % 41 - 2 AS pos, c_custkey % 5 = 0 AS anchored FROM customer WHERE c_custkey % 17 <> 0),
     b AS (SELECT doc, pos, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc, pos ORDER BY anchored DESC, CASE WHEN anchored THEN seq ELSE -seq END) AS r FROM m WHERE depth = 0 AND pos >= 0) WHERE r = 1)"""
 ORACLE = {
     "toc_boundaries": f"WITH {_B} SELECT doc, pos, seq FROM b",
+    "toc_boundaries_deep": f"WITH {_B} {_DEEP}",
     "toc_slices": f"WITH {_B}, s AS (SELECT doc, pos AS start, coalesce(lead(pos) OVER (PARTITION BY doc ORDER BY pos), 36) AS \"end\" FROM b) SELECT doc, start, CAST(\"end\" AS BIGINT) AS \"end\" FROM s WHERE \"end\" > start",
     "toc_chapters": f"WITH {_B} SELECT CAST(s_nationkey AS BIGINT) AS doc, s_suppkey % 45 AS pos, (SELECT count(*) FROM b WHERE b.doc = s_nationkey AND b.pos <= s_suppkey % 45) AS chapter FROM supplier",
     "toc_inherit": """WITH n AS (SELECT n_nationkey, CAST(n_regionkey AS BIGINT) * 100000000000000 + 1 + CAST(n_nationkey AS BIGINT) * 1000000000000 AS node, CAST(n_regionkey AS BIGINT) * 100000000000000 AS parent, CASE WHEN n_nationkey % 6 = 5 THEN CAST(n_nationkey AS BIGINT) END AS pos FROM nation),

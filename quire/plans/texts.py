@@ -60,6 +60,17 @@ def flat_and_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.flat(F.col("html")).cast("binary")).alias("flat"), F.md5(X.html_escape(F.col("html")).cast("binary")).alias("escaped"), F.md5(X.body_of(F.col("html")).cast("binary")).alias("body"))
 
 
+def page_heads(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.head_of(F.col("html")).cast("binary")).alias("head"))
+
+
+def joined_pages(spark, sf_dir):
+    """Twenty pages to a document, as those of a PDF that was converted in parts."""
+    parts = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 20).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("p"))
+    page = X.one_page(F.transform("p", lambda x: x["html"]), F.concat(F.lit("A & "), "doc"))
+    return parts.select("doc", F.md5(page.cast("binary")).alias("digest"), F.length(page).cast("long").alias("chars"))
+
+
 def vertical_markup(spark, sf_dir):
     html = F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit("<style>p{-epub-writing-mode : vertical-rl}</style>"))).when(F.col("page_id") % 4 == 1, F.concat("html", F.lit('<p class="x vrtl">'))).otherwise(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", X.looks_vertical(html).alias("vertical"))
@@ -93,9 +104,11 @@ def language_guidance(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (punct_ellipsis, punct_double_quotes, punct_gaps, punct_full, punct_segments, lang_normalize, lang_label, language_guidance, slug_and_file_name, flat_and_escape, vertical_markup, chapter_labels, loose_json_values, sentence_counts, content_keys)
+    for f in (punct_ellipsis, punct_double_quotes, punct_gaps, punct_full, punct_segments, lang_normalize, lang_label, language_guidance, slug_and_file_name, flat_and_escape, page_heads, joined_pages, vertical_markup, chapter_labels, loose_json_values, sentence_counts, content_keys)
 }
 
+_HEAD = """trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<head[^>]*>(.*?)</head>', 1), '(?is)<title[^>]*>.*?</title>', '', 'g'), '(?i)<meta[^>]*charset[^>]*/?>', '', 'g'))"""
+_BODY = "CASE WHEN regexp_matches(html, '(?is)<body[^>]*>.*?</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END"
 _LIST = "[" + ", ".join(f"'{c}'" for c in _CODES) + "]"
 _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.LANGUAGE_CODES.items()) + "}"
 _LABELS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.LANGUAGE_LABELS.items()) + "}"
@@ -127,6 +140,10 @@ ORACLE = {
     "flat_and_escape": """SELECT page_id, md5(trim(regexp_replace(html, '\\s+', ' ', 'g'))) AS flat,
         md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')) AS escaped,
         md5(CASE WHEN regexp_matches(html, '(?is)<body[^>]*>.*?</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END) AS body FROM pages""",
+    "page_heads": f"SELECT page_id, md5({_HEAD}) AS head FROM pages",
+    "joined_pages": f"""WITH g AS (SELECT page_id // 20 AS doc, arg_min({_HEAD}, page_id) AS head, string_agg({_BODY}, '' ORDER BY page_id) AS body FROM pages GROUP BY 1),
+        w AS (SELECT doc, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<title>A &amp; ' || doc || '</title>' || chr(10) || head || chr(10)
+        || '</head>' || chr(10) || '<body>' || chr(10) || body || chr(10) || '</body>' || chr(10) || '</html>' AS page FROM g) SELECT doc, md5(page) AS digest, length(page) AS chars FROM w""",
     "vertical_markup": "SELECT page_id, page_id % 4 IN (0, 1) AS vertical FROM pages",
     "chapter_labels": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '第 ' || (doc_id + 1) || ' 章' ELSE source END AS label, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS shown FROM documents",
     "loose_json_values": """SELECT event_id, CASE event_id % 7 WHEN 3 THEN '[1,' || p || ']' WHEN 5 THEN '{"a":"say \\"hi\\" now"}' WHEN 6 THEN NULL ELSE p END AS value
