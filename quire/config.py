@@ -11,7 +11,7 @@ DEFAULTS = {
     "source_lang": "auto", "target_lang": "zh", "provider": "fake", "honorifics": "keep",
     "segment": {"batch_chars": 1800, "long_segment_chars": 1200, "review_factor": 3, "chapter_split": "top-level-toc"},
     "pipeline": {"rolling_context": 6, "align_retries": 2, "understanding": True, "polish": False, "punctuation": True, "back_translation_rate": 0.05, "glossary_scope": "chapter"},
-    "output": {"bilingual_order": "target_first"},
+    "output": {"bilingual_order": "target_first", "last_page": {"title": "", "text": ""}},
     "retry": {"max_retries": 4, "first_delay": 1.0, "longest_delay": 30.0},
     "endpoint": {"base_url": "", "api_key_env": "", "timeout": 600, "reasoning_style": "none"},
     "tiers": {},

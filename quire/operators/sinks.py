@@ -14,6 +14,7 @@ import posixpath
 import re
 import urllib.parse
 import uuid
+import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.parsers import expat
@@ -292,6 +293,64 @@ def rewrite_epub(
     return out.getvalue()
 
 
+def _package_ends(package: bytes) -> tuple[dict[str, tuple[int, str]], set[str]]:
+    """Where the manifest and the spine of a package end, with the prefixes of their tags, and all ids."""
+    parser, ends, ids = expat.ParserCreate(), {}, set()
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        ids.update(v for k, v in attributes.items() if k == "id")
+
+    def end(name: str) -> None:
+        prefix, _, tag = name.rpartition(":")
+        at = parser.CurrentByteIndex
+        if tag in ("manifest", "spine") and package[at : at + 2] == b"</":
+            ends.setdefault(tag, (at, f"{prefix}:" if prefix else ""))
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.Parse(package, True)
+    return ends, ids
+
+
+def with_last_page(data: bytes, title: str, paragraphs: list[str], lang: str = "zh-Hans", stem: str = "about") -> bytes:
+    """An EPUB with one more page behind all others, under a file name and an id that it does not use yet; it stays
+    as it is where its package cannot be read or has no manifest or spine."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        try:
+            path = epub.package_path(z)
+            package = z.read(path)
+            ends, ids = _package_ends(package)
+        except (KeyError, ValueError, ET.ParseError, expat.ExpatError):
+            return data
+        if len(ends) < 2:
+            return data
+        taken = {n.lower() for n in z.namelist()}
+        file_names = (f"{stem}{k}.xhtml" for k in ("", *(f"-{i}" for i in range(1, len(taken) + 2))))
+        name = next(n for n in file_names if posixpath.join(posixpath.dirname(path), n).lower() not in taken)
+        own = next(i for i in (f"{stem}-page{k}" for k in ("", *(f"-{i}" for i in range(1, len(ids) + 2)))) if i not in ids)
+        added = {"manifest": f'item id="{own}" href="{name}" media-type="application/xhtml+xml"/>', "spine": f'itemref idref="{own}"/>'}
+        for tag, (at, prefix) in sorted(ends.items(), key=lambda x: -x[1][0]):
+            package = package[:at] + f"<{prefix}{added[tag]}".encode() + package[at:]
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+            for item in z.infolist():
+                new.writestr(item, package if item.filename == path else z.read(item))
+            e = html_lib.escape
+            body = f"<h1>{e(title, quote=False)}</h1>" + "".join(f"<p>{e(p, quote=False)}</p>" for p in paragraphs)
+            new.writestr(posixpath.join(posixpath.dirname(path), name), f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" lang="{e(lang)}"><head><title>{e(title, quote=False)}</title></head><body>{body}</body></html>')
+    return out.getvalue()
+
+
+def with_last_pages(files: DataFrame, title: str, paragraphs: list[str]) -> DataFrame:
+    """EPUB files (path, content), each with one more page behind all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([with_last_page(content, title, paragraphs)], pa.binary())], names=["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")
+
+
 def _media_type(name: str) -> str:
     return mimetypes.guess_type(name)[0] or "image/png"
 

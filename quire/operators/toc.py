@@ -54,9 +54,10 @@ def boundaries(entries: DataFrame, doc: str, deepest: int | None = 0) -> DataFra
     Anchored entries win over others; of the anchored the first, of the others the last."""
     level = (F.col("depth") >= 0) if deepest is None else F.col("depth").between(0, deepest)
     kept = entries.where(level & ~F.coalesce("external", F.lit(False)) & (F.col("pos") >= 0))
-    order = [F.col("anchored").desc(), F.when(F.col("anchored"), F.col("seq")).otherwise(-F.col("seq"))]
-    rank = F.row_number().over(Window.partitionBy(doc, "pos").orderBy(*order))
-    return kept.withColumn("_r", rank).where("_r = 1").drop("_r")
+    anchored = F.coalesce("anchored", F.lit(False))
+    order = F.struct(~anchored, F.when(anchored, F.col("seq")).otherwise(-F.col("seq")))
+    # One is taken per position before anything is shuffled, however many entries share it.
+    return kept.groupBy(doc, "pos").agg(F.min_by(F.struct(*kept.columns), order).alias("_b")).select("_b.*")
 
 
 #: Which entries of a table of contents begin a chapter: functions of (entries, doc) that keep one per position.

@@ -145,6 +145,18 @@ def parsed_epubs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, EPUB)
 
 
+def resource_list(lists: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(key..., index, href) of the resources that a JSON list of {href, index} names.
+
+    What is no object, or whose href is no text, empty or named before, is left out; an index that is no whole
+    number is the place in the list. What is no list has none."""
+    each = lists.select(*key, F.posexplode(F.from_json(value, "array<string>")).alias("_k", "_x")).withColumn("_v", F.try_parse_json("_x"))
+    field = lambda name: F.try_variant_get("_v", f"$.{name}", "variant")
+    typed = lambda name, kind, cast: F.when(F.schema_of_variant(field(name)) == kind, F.try_variant_get("_v", f"$.{name}", cast))
+    read = each.select(*key, "_k", typed("href", "STRING", "string").alias("href"), F.coalesce(typed("index", "BIGINT", "long"), F.col("_k")).alias("index")).where("href <> ''")
+    return read.groupBy(*key, "href").agg(F.min_by("index", "_k").alias("index"))
+
+
 def epub_chapters(books: DataFrame, split: str = "top-level-toc") -> DataFrame:
     """Segments of parsed EPUBs in the chapters of their tables of contents.
 

@@ -485,7 +485,11 @@ def assemble(spark: SparkSession, state: str, fmt: str, out: str, bilingual: boo
         old = sinks.translated_epubs(kept, own, labels, bilingual, order)
     else:
         return sinks.save_files(new, out)
-    return sinks.save_files(new.unionByName(sinks.named(old, fmt, bilingual, shelf)), out)
+    every = new.unionByName(sinks.named(old, fmt, bilingual, shelf))
+    last = (settings or config.DEFAULTS)["output"]["last_page"]
+    if fmt == "epub" and last["title"]:
+        every = sinks.with_last_pages(every, last["title"], [p for p in last["text"].split("\n") if p.strip()])
+    return sinks.save_files(every, out)
 
 
 def run(

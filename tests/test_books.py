@@ -417,3 +417,32 @@ def test_heads_and_joined_pages(spark):
     assert {r["html"]: r["h"] for r in rows} == cases
     page = spark.range(1).select(text.one_page(F.array(F.lit("<head>h</head><body>1</body>"), F.lit("2")), F.lit("<t>")).alias("p")).first()["p"]
     assert page == '<!DOCTYPE html>\n<html>\n<head>\n<meta charset="utf-8">\n<title>&lt;t&gt;</title>\nh\n</head>\n<body>\n12\n</body>\n</html>'
+
+
+def test_last_pages_and_lists_of_resources(spark):
+    import io
+
+    from quire.sources import books
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
+        z.writestr("o/p.opf", '<o:package xmlns:o="u"><o:manifest><!-- </o:manifest> --><o:item id="about-page" href="About.xhtml" media-type="application/xhtml+xml"/></o:manifest><o:spine><o:itemref idref="about-page"/></o:spine></o:package>')
+        z.writestr("o/About.xhtml", "<p>old</p>")
+    for k in (1, 2):  # names and ids that are taken are not taken again
+        made = io.BytesIO(sinks.with_last_page(made.getvalue(), "A < B", ["x & y"]))
+        with zipfile.ZipFile(made) as z:
+            assert z.infolist()[0].compress_type == zipfile.ZIP_STORED
+            assert epub.read_package(z).spine == ["o/About.xhtml", *(f"o/about-{i}.xhtml" for i in range(1, k + 1))]
+    assert [s["source"] for r in epub.read(made.getvalue())["resources"] for s in r["segments"]] == ["old", "A < B", "x & y", "A < B", "x & y"]
+    for package in (b"<package><manifest/><spine></spine></package>", b"<package><spine></spine></package>", b"<package", None):
+        odd = io.BytesIO()
+        with zipfile.ZipFile(odd, "w") as z:
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+            if package is not None:
+                z.writestr("p.opf", package)
+        assert sinks.with_last_page(odd.getvalue(), "T", []) == odd.getvalue()
+    lists = {1: '[{"href": "a"}, 3, {"href": 5}, {"href": "b", "index": 9}, {"href": "a", "index": 7}, {"href": ""}, {"href": "c", "index": "2"}, null, {"href": "d", "index": 1.5}]', 2: None, 3: "no list", 4: "[]", 5: '{"href": "a"}'}
+    found = books.resource_list(spark.createDataFrame(list(lists.items()), "id int, l string"), ["id"], "l").collect()
+    assert sorted((r["id"], r["href"], r["index"]) for r in found) == [(1, "a", 0), (1, "b", 9), (1, "c", 6), (1, "d", 8)]
