@@ -148,7 +148,24 @@ def epub_in_place(spark, sf_dir):
     return out.select(_conv(F.col("path")), long("chapter"), "chapter_title", long("seg"), _digest("source"))
 
 
-QUERIES = {f.__name__: f for f in (document_languages, chapter_digests, book_synopses, seed_terms, model_terms, fixed_segments, polished_batches, translated_titles, back_translation_issues, reviewed_chunks, consistency_issues, translated_in_order, epub_round_trip, epub_in_place)}
+def epub_last_page(spark, sf_dir):
+    """What stands on the page that every book is given behind all others."""
+    files = sinks.with_last_pages(_books(spark, sf_dir), "About & more", ["one", "two"])
+    each = books.parsed_epubs(files).select("path", F.element_at("resources", -1)["href"].alias("last"), F.explode("segments").alias("s")).where("s.href = last")
+    return each.select(_conv(F.col("path")), F.col("s.resource").cast("long").alias("resource"), F.col("s.kind").alias("kind"), F.col("s.source").alias("source"))
+
+
+def resource_lists(spark, sf_dir):
+    """Lists of twenty entries, some of them no objects, without a link or with an index that is none."""
+    k = F.col("p_partkey") % 5
+    href = F.concat(F.lit('{"href": "'), "p_brand", F.lit('"'))
+    entry = F.when(k == 0, "7").when(k == 1, F.concat(href, F.lit("}"))).when(k == 2, F.concat(href, F.lit(', "index": '), "p_size", F.lit("}"))).when(k == 3, F.lit('{"href": "", "index": 1}')).otherwise(F.concat(href, F.lit(', "index": "9"}')))
+    lists = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 20).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))).alias("l"))
+    asked = lists.select("doc", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["e"]), ","), F.lit("]")).alias("list"))
+    return books.resource_list(asked, ["doc"], "list").select("doc", long("index"), "href")
+
+
+QUERIES = {f.__name__: f for f in (document_languages, chapter_digests, book_synopses, seed_terms, model_terms, fixed_segments, polished_batches, translated_titles, back_translation_issues, reviewed_chunks, consistency_issues, translated_in_order, epub_round_trip, epub_in_place, epub_last_page, resource_lists)}
 
 _TURNED = "array_to_string(list_reverse(string_split(text, ' ')), ' ')"
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -178,5 +195,10 @@ ORACLE = {
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY term) - 1 AS position, term FROM p JOIN d USING (conv_id) WHERE NOT contains(digest, term)""",
     "translated_in_order": f"SELECT conv_id, turn, md5({_TURNED}) AS digest FROM conversations WHERE trim(text) <> '' AND role <> 'assistant'",
     "epub_round_trip": f"WITH {_CHAPTERS} SELECT conv_id, chapter, 'T ' || k || ' & more' AS chapter_title, seg, CASE WHEN turn % 2 = 0 THEN 'heading' ELSE 'text' END AS kind, md5({_FLAT}) AS digest FROM n",
+    "epub_last_page": """WITH c AS (SELECT conv_id, count(DISTINCT turn // 2) AS resource FROM conversations WHERE trim(text) <> '' GROUP BY 1)
+        SELECT conv_id, resource, x.kind AS kind, x.source AS source FROM c, (VALUES ('heading', 'About & more'), ('text', 'one'), ('text', 'two')) x(kind, source)""",
+    "resource_lists": """WITH e AS (SELECT p_partkey // 20 AS doc, p_partkey % 5 AS k, p_brand AS href, p_size AS size, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS place FROM part),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc, href ORDER BY place) AS n FROM e WHERE k IN (1, 2, 4))
+        SELECT doc, CAST(CASE WHEN k = 2 THEN size ELSE place END AS BIGINT) AS index, href FROM r WHERE n = 1""",
     "epub_in_place": f"WITH {_CHAPTERS} SELECT conv_id, chapter, 'L ' || chapter AS chapter_title, seg, md5('T: ' || {_FLAT}) AS digest FROM n",
 }

@@ -9,9 +9,14 @@ from quire.plans.packing import long
 from quire.session import table
 
 
+def _doc(nation, key):
+    """A document is a thousand ids of a nation, so that no group grows with the table."""
+    return (F.col(nation).cast("long") * 10**12 + F.floor(F.col(key) / 1000)).alias("doc")
+
+
 def _marks(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
-        F.col("c_nationkey").cast("long").alias("doc"), F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 3 - 1).cast("int").alias("depth"), (F.col("c_custkey") % 41 - 2).alias("pos"),
+        _doc("c_nationkey", "c_custkey"), F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 3 - 1).cast("int").alias("depth"), (F.col("c_custkey") % 41 - 2).alias("pos"),
         (F.col("c_custkey") % 5 == 0).alias("anchored"), F.when(F.col("c_custkey") % 17 == 0, True).alias("external"),
     )
 
@@ -31,7 +36,7 @@ def toc_slices(spark, sf_dir):
 
 
 def toc_chapters(spark, sf_dir):
-    stream = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("doc"), (F.col("s_suppkey") % 45).alias("pos"))
+    stream = table(spark, sf_dir, "supplier").select(_doc("s_nationkey", "s_suppkey"), (F.col("s_suppkey") % 45).alias("pos"))
     return toc.assign(stream, toc.boundaries(_marks(spark, sf_dir), "doc"), "doc").select("doc", "pos", long("chapter"))
 
 
@@ -75,13 +80,13 @@ def toc_titles(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (toc_boundaries, toc_boundaries_deep, toc_slices, toc_chapters, toc_inherit, toc_locate, fragment_anchors, toc_titles)}
 
 _DEEP = """SELECT doc, pos, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc, pos ORDER BY anchored DESC, CASE WHEN anchored THEN seq ELSE -seq END) AS r FROM m WHERE depth IN (0, 1) AND pos >= 0) WHERE r = 1"""
-_B = """m AS (SELECT CAST(c_nationkey AS BIGINT) AS doc, c_custkey AS seq, c_custkey % 3 - 1 AS depth, c_custkey % 41 - 2 AS pos, c_custkey % 5 = 0 AS anchored FROM customer WHERE c_custkey % 17 <> 0),
+_B = """m AS (SELECT CAST(c_nationkey AS BIGINT) * 1000000000000 + c_custkey // 1000 AS doc, c_custkey AS seq, c_custkey % 3 - 1 AS depth, c_custkey % 41 - 2 AS pos, c_custkey % 5 = 0 AS anchored FROM customer WHERE c_custkey % 17 <> 0),
     b AS (SELECT doc, pos, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc, pos ORDER BY anchored DESC, CASE WHEN anchored THEN seq ELSE -seq END) AS r FROM m WHERE depth = 0 AND pos >= 0) WHERE r = 1)"""
 ORACLE = {
     "toc_boundaries": f"WITH {_B} SELECT doc, pos, seq FROM b",
     "toc_boundaries_deep": f"WITH {_B} {_DEEP}",
     "toc_slices": f"WITH {_B}, s AS (SELECT doc, pos AS start, coalesce(lead(pos) OVER (PARTITION BY doc ORDER BY pos), 36) AS \"end\" FROM b) SELECT doc, start, CAST(\"end\" AS BIGINT) AS \"end\" FROM s WHERE \"end\" > start",
-    "toc_chapters": f"WITH {_B} SELECT CAST(s_nationkey AS BIGINT) AS doc, s_suppkey % 45 AS pos, (SELECT count(*) FROM b WHERE b.doc = s_nationkey AND b.pos <= s_suppkey % 45) AS chapter FROM supplier",
+    "toc_chapters": f"WITH {_B}, s AS (SELECT CAST(s_nationkey AS BIGINT) * 1000000000000 + s_suppkey // 1000 AS doc, s_suppkey % 45 AS pos FROM supplier) SELECT doc, pos, (SELECT count(*) FROM b WHERE b.doc = s.doc AND b.pos <= s.pos) AS chapter FROM s",
     "toc_inherit": """WITH n AS (SELECT n_nationkey, CAST(n_regionkey AS BIGINT) * 100000000000000 + 1 + CAST(n_nationkey AS BIGINT) * 1000000000000 AS node, CAST(n_regionkey AS BIGINT) * 100000000000000 AS parent, CASE WHEN n_nationkey % 6 = 5 THEN CAST(n_nationkey AS BIGINT) END AS pos FROM nation),
         l AS (SELECT n.node + 1 + c_custkey AS node, n.node AS parent, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS pos FROM customer JOIN n ON c_nationkey = n_nationkey),
         n2 AS (SELECT node, parent, pos, coalesce(pos, (SELECT arg_min(l.pos, l.node) FROM l WHERE l.parent = n.node AND l.pos IS NOT NULL)) AS got FROM n),

@@ -35,8 +35,9 @@ def html_render(spark, sf_dir):
 
 
 def image_offsets(spark, sf_dir):
-    images = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("node"), F.col("p_size").alias("offset"), F.repeat(F.lit("s"), F.lit(64)).alias("source"), F.repeat(F.lit("t"), F.lit(23)).alias("target"))
-    return render.restored_offsets(images, ["p_brand"]).select("p_brand", "node", long("at"))
+    """A text is a thousand parts of a brand, so that no group grows with the table."""
+    images = table(spark, sf_dir, "part").select("p_brand", F.floor(F.col("p_partkey") / 1000).alias("text"), F.col("p_partkey").alias("node"), F.col("p_size").alias("offset"), F.repeat(F.lit("s"), F.lit(64)).alias("source"), F.repeat(F.lit("t"), F.lit(23)).alias("target"))
+    return render.restored_offsets(images, ["p_brand", "text"]).select("p_brand", "node", long("at"))
 
 
 def state_mismatches(spark, sf_dir):
@@ -82,7 +83,7 @@ ORACLE = {
         UNION ALL SELECT conv_id, seg, 1, source FROM s WHERE {_OTHER}) SELECT conv_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY seg, part) || chr(10)) AS digest FROM b GROUP BY conv_id""",
     "html_render": f"""WITH {_S}, h AS (SELECT *, replace(replace(replace(replace(replace(shown, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS e, CASE WHEN kind = 'heading' THEN 'h2' ELSE 'p' END AS tag FROM s WHERE regexp_matches(source, '\\S'))
         SELECT conv_id, md5(string_agg('<' || tag || '>' || e || '</' || tag || '>', chr(10) ORDER BY seg) || chr(10)) AS digest FROM h GROUP BY conv_id""",
-    "image_offsets": "SELECT p_brand, p_partkey AS node, CAST(max(CAST(greatest(0, least(23, round_even(CAST(p_size AS DOUBLE) * 23 / 64, 0))) AS BIGINT)) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS at FROM part",
+    "image_offsets": "SELECT p_brand, p_partkey AS node, CAST(max(CAST(greatest(0, least(23, round_even(CAST(p_size AS DOUBLE) * 23 / 64, 0))) AS BIGINT)) OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) AS BIGINT) AS at FROM part",
     "state_mismatches": "SELECT p_partkey AS anchor, CASE WHEN p_partkey % 13 = 0 THEN 'missing' ELSE 'changed' END AS reason FROM part WHERE p_partkey % 13 = 0 OR (p_partkey % 7 = 0 AND upper(p_type) <> p_name)",
     "output_paths": "SELECT p_partkey, 'out/a.b/' || p_brand || '-bi' || CASE WHEN p_partkey % 2 = 0 THEN '.epub' ELSE '' END AS path FROM part",
     "shown_titles": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN upper(p_name) ELSE p_name END AS title FROM part",
