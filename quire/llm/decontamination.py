@@ -202,7 +202,10 @@ def _overlaps(touched: DataFrame, items: DataFrame) -> DataFrame:
     met = texts.select("t1", "t2", F.explode("seeds").alias("seed")).join(items.select("item_no", F.explode("seeds").alias("seed")), "seed")
     pairs = met.select("t1", "t2", "item_no").distinct().join(items.select("item_no", "item_id", "words"), "item_no").select("t1", "t2", "item_no", "item_id", "words")
     own = texts.select("t1", "t2", F.lit(-1).cast("long").alias("item_no"), F.lit(None).cast("long").alias("item_id"), "words")
-    return own.unionByName(pairs).repartition(n, "t1", "t2").sortWithinPartitions("t1", "t2", "item_no").mapInArrow(
+    # Dealt by an expression: a repartition by the columns by which both sides of the union lie already is left
+    # out by Spark, and the sides' partitions, once merged by size, need not match; texts would lie apart from items.
+    dealt = own.unionByName(pairs).repartition(n, F.xxhash64("t1", "t2"))
+    return dealt.sortWithinPartitions("t1", "t2", "item_no").mapInArrow(
         _verified, "t1 long, t2 long, item_id long, doc_start int, item_start int, n_words int, n_equal int"
     )
 

@@ -347,6 +347,18 @@ def test_decontamination_with_a_full_filter(spark, documents, monkeypatch):
     assert {r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()} == kept == set(documents.doc_id) - {x[0] for x in whole}
 
 
+def test_decontamination_of_texts_over_several_partitions(spark):
+    """Texts weigh far more than what is joined with the items, so that their shuffles are cut apart differently."""
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(5000)]
+    items = [(k, " ".join(r.choices(words, k=20))) for k in range(30)]
+    texts = [(k, " ".join([*r.choices(words, k=2000), items[k % 30][1] if k % 3 else "", *r.choices(words, k=2000)])) for k in range(300)]
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, k % 30) for k in range(300) if k % 3}
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(docs, benchmark).collect()} == want
+    assert {x["doc_id"] for x in decontamination.decontaminate(docs, benchmark).collect()} == set(range(0, 300, 3))
+
+
 def best_overlap(doc, item):
     """(start in text, start in item, words, equal words) on all diagonals, word by word."""
     m = len(item)
