@@ -6,7 +6,9 @@ of k - 1 words before and the last word, so a name is a set of end positions, it
 count, and its suffix link the name of the string without its first word. Depth is bounded, and a
 string is extended only along words, pairs and triples that may be frequent: a first round of automata of
 depth two and a second of depth three, reduced over all shards, tell which are. What every shard counts in
-the last round is added up over all shards, so nothing rare is written by it however large the input is.
+the last round is added up over all shards, so nothing rare is written by it however large the input is. Its
+tasks are as many as the cores ask for, not as the input has splits, and each adds up its own shards first:
+what it writes follows the number of frequent strings, not that times the shards.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ TOP = 2000
 SHARD = 12_000_000
 #: Bits of the filter of frequent words, pairs and triples, whatever the input, a multiple of 65536: 4 MB. Wrong hits only cost work.
 FILTER_BITS = 1 << 25
+#: Tasks of the last round for each core, and different strings that one of them holds before it writes their counts.
+TASKS_PER_CORE, HELD = 2, 300_000
 #: Parts of a language whose best phrases are told before those of all.
 _PARTS = 32
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -152,6 +156,31 @@ def shards(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[Shard
         yield Shard(lang, held.pop(lang))
 
 
+def _count_rows(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for lang, counts in held.items():
+        phrase = list(counts)
+        length = np.fromiter((p.count(b" ") + 1 if p else 0 for p in phrase), np.int32, len(phrase))
+        columns = [pa.array([lang] * len(phrase), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(length), pa.array(counts.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "length", "f"])
+
+
+def added_up(found: Iterator[Shard], frequent: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, length, f) of the states of all shards of a task together; phrase "" of length 0 is the
+    number of words. Once more than ``most`` strings are held they are written and begun anew."""
+    held: dict[str, dict[bytes, int]] = {}
+    for shard in found:
+        own = held.setdefault(shard.lang, {})
+        own[b""] = own.get(b"", 0) + len(shard.ids)
+        for length, ends, counts in shard.states(frequent):
+            for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
+                phrase = shard.text(end, length)
+                own[phrase] = own.get(phrase, 0) + n
+        if sum(map(len, held.values())) > most:
+            yield from _count_rows(held)
+            held = {}
+    yield from _count_rows(held)
+
+
 def _phrases(frame: DataFrame, least: int, shard_bytes: int, filter_bits: int) -> DataFrame:
     """(lang, phrase, length, f): how often each phrase stands in all texts, exactly, of all phrases of up
     to DEPTH words that occur ``least`` times. Length 0 is the number of words."""
@@ -174,16 +203,10 @@ def _phrases(frame: DataFrame, least: int, shard_bytes: int, filter_bits: int) -
     bits = context.broadcast(key_filter(short.union(longer), filter_bits))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_bytes):
-            phrase, length, f = [b""], [np.zeros(1, np.int32)], [np.array([len(shard.ids)], np.int64)]
-            for k, ends, counts in shard.states(bits.value):
-                phrase += [shard.text(e, k) for e in ends.tolist()]
-                length.append(np.full(len(ends), k, np.int32))
-                f.append(counts.astype(np.int64))
-            lang = pa.array([shard.lang] * len(phrase), pa.string())
-            yield pa.RecordBatch.from_arrays([lang, pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.concatenate(length)), pa.array(np.concatenate(f))], names=["lang", "phrase", "length", "f"])
-
-    counted = frame.mapInArrow(rows, "lang string, phrase string, length int, f long").groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f"))
+        return added_up(shards(batches, shard_bytes), bits.value, HELD)
+
+    tasks = TASKS_PER_CORE * context.defaultParallelism
+    counted = frame.coalesce(tasks).mapInArrow(rows, "lang string, phrase string, length int, f long").groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f"))
     out = written(counted.where((F.col("f") >= least) | (F.col("length") == 0)), "phrases")
     drop_written(short)
     drop_written(longer)

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,22 @@ def test_urls_of_a_million_characters(spark):
     rows = [(1, long), (2, long), (3, long + "?q"), (4, "http://x.example.com/en/" + "z" * 1_000_000), (5, "http://a.com/b")]
     out = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string").withColumns({"url_no": F.lit(1), "grams": F.lit(2)})).collect()}
     assert len(out) == 5 and out[1]["score"] == out[2]["score"] == out[3]["score"] and out[4]["rule"] == "example.com/en/"
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_collocations_add_up_the_shards_of_a_task(most):
+    """A task writes each string once, however many shards it has, as long as it can hold them."""
+    r = random.Random(4)
+    texts = [(r.choice(["en", "de"]), " ".join(r.choices(["a", "b", "c"], k=40))) for _ in range(50)]
+    want = Counter()
+    for lang, text in texts:
+        w = text.split()
+        want[lang, "", 0] += len(w)
+        want.update((lang, " ".join(w[i : i + k]), k) for k in range(1, 6) for i in range(len(w) - k + 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*texts, strict=True)], names=["lang", "text"])
+    all_pass = np.full(1 << 13, 255, np.uint8)
+    rows = [x for b in collocations.added_up(collocations.shards(iter([batch]), 100), all_pass, most) for x in b.to_pylist()]
+    got = Counter()
+    for x in rows:
+        got[x["lang"], x["phrase"], x["length"]] += x["f"]
+    assert got == want and (len(rows) == len(want)) == (most > 3)
