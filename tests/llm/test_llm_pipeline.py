@@ -1,5 +1,6 @@
 """What every stage of the pipeline keeps, each on its own input, against plain loops."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -83,3 +84,14 @@ def test_run_is_all_stages(spark, inputs):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     found = {(r["doc_id"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, SF).select(columns).collect()}
     assert found == {(r["doc_id"], r["doc_tokens"]) for r in inputs["packing"][1].collect()}
+
+
+def test_benchmark_of_documents_over_several_partitions(spark, tmp_path):
+    """The stage on more text than one partition holds; long texts against short items."""
+    r = random.Random(12)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(5000)]
+    items = [(k, " ".join(r.choices(words, k=20))) for k in range(30)]
+    rows = [(k, " ".join([*r.choices(words, k=2000), items[k % 30][1] if k % 2 else "", *r.choices(words, k=2000)])) for k in range(300)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert texts(kept) == {k: t for k, t in rows if k % 2 == 0}
