@@ -80,7 +80,7 @@ def _finds(messages: list[dict[str, str]], tier: str) -> str:
     and, told a glossary and chapters, on terms that stand nowhere in the chapters."""
     asked = json.loads(messages[-1]["content"])
     if isinstance(asked, dict):
-        lost = [line for line in asked.get("glossary", "").splitlines() if line not in asked.get("chapters", "")]
+        lost = [line for line in asked.get("glossary", "").split("\n") if line not in asked.get("chapters", "")]
         return json.dumps([{"index": k, "type": "lost", "detail": line} for k, line in enumerate(lost)])
     kinds = ((x["index"], "missing" if not x.get("target", "").strip() else "copied" if x["target"] == x["source"] else None) for x in asked)
     return json.dumps({"issues": [{"index": i, "type": kind, "detail": f"at {i}"} for i, kind in kinds if kind]})
@@ -97,9 +97,11 @@ def reviewed_chunks(spark, sf_dir):
 
 
 def consistency_issues(spark, sf_dir):
-    """The first words of turns of a conversation as its glossary, the shortened conversation as its chapter."""
-    t = _turns(spark, sf_dir)
-    words = t.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("text", " ", 1))), "\n").alias("glossary"))
+    """The lines of the first words of turns of a conversation as its glossary, the shortened conversation as
+    its chapter. A first word may hold line ends, so its lines are what is sorted. Turns of separators only are none."""
+    t = _turns(spark, sf_dir).where(F.regexp_like("text", F.lit(r"[^\p{Zs}]")))
+    lines = F.flatten(F.transform(F.collect_set(F.substring_index("text", " ", 1)), lambda x: F.split(x, "\n", -1)))
+    words = t.groupBy("conv_id").agg(F.array_join(F.array_sort(lines), "\n").alias("glossary"))
     chapters = checks.qa_digest(t.withColumnRenamed("turn", "seg"), ["conv_id"], "text").withColumnRenamed("digest", "chapters")
     told = agents.consistency(words.join(chapters, "conv_id"), ["conv_id"], "glossary", "chapters", model.FakeProvider(_finds))
     return told.select("conv_id", F.col("index").cast("long").alias("position"), F.col("detail").alias("term"))

@@ -1,8 +1,11 @@
 """Queries over whole texts and tables, on small fixtures that reach beyond the cuts."""
 
+import glob
+import os
 import random
 import re
 
+import duckdb
 import pytest
 
 from quire.plans import catalog
@@ -65,3 +68,20 @@ def test_synopsis_groups_of_whole_texts(spark, tables):
     sf = tables("documents", [(k, "s", "x" * n) for k, n in enumerate(sizes)] + [(5000, "s", "x")], "doc_id long, source string, text string")
     found = sorted(map(tuple, catalog.QUERIES["synopsis_groups"](spark, sf).collect()))
     assert found == [("s", 0, 0, 0, 2), ("s", 0, 1, 2, 1), ("s", 0, 2, 3, 1), ("s", 0, 3, 4, 2), ("s", 5, 0, 0, 1)]
+
+
+def against_sql(spark, sf, name):
+    """Rows of a query and of its SQL over the tables of a folder, columns by name."""
+    found = catalog.QUERIES[name](spark, sf)
+    columns = sorted(found.columns)
+    duck = duckdb.connect()
+    for path in glob.glob(f"{sf}/*.parquet"):
+        duck.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}/*.parquet'")
+    return sorted(map(tuple, found.select(*columns).collect()), key=repr), sorted(duck.sql(catalog.ORACLE[name]).select(*columns).fetchall(), key=repr)
+
+
+def test_consistency_sorts_the_lines_of_first_words(spark, tables):
+    first = ["This.\nIn a", "Hello b", "x c", "Lost\nAway d", "Lost e", "\r\u2028Odd\rly\n f", "\u3000\u00a0", "y g", "z h"]
+    sf = tables("conversations", [(1, k, "user", text) for k, text in enumerate(first)] + [(2, 0, "user", "\u3000"), (3, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    found, want = against_sql(spark, sf, "consistency_issues")
+    assert found == want and [x[2] for x in found] == ["\r\u2028Odd\rly", "Away", "Lost", "Lost"]
