@@ -93,3 +93,18 @@ def test_block_counts_show_references_as_their_sql_does(spark, tables):
     sf = tables("pages", [*pages, (90, "<body><p> </p></body>"), (91, ""), (92, None)], "page_id long, html string")
     found, want = against_sql(spark, sf, "html_block_counts")
     assert found == want and len(found) == 10
+
+
+def test_terms_as_their_sql_finds_them(spark, tables):
+    rows = [(1, "Alphabet ingess", "a"), (2, "Ingess word here", "a"), (4, "Ingess hope", "b"), (5, "the ingeß ALPHABET", "b"), (7, "fullwidth Ａｌｐｈａｂｅｔ", "b"), (9, "fİngess", None), (11, None, "c"), (None, "Hopeful word", "c"), (None, "alphabet", "c"), (1, "hope", "a")]
+    sf = tables("documents", rows, "doc_id long, text string, source string")
+    for name in ("terms_in_text", "chapter_terms"):
+        found, want = against_sql(spark, sf, name)
+        assert found == want
+
+
+def test_found_terms_are_not_shuffled(spark, tables):
+    sf = tables("documents", [(k, f"Alphabet word{k} ingess", "a") for k in range(9)], "doc_id long, text string, source string")
+    plan = catalog.QUERIES["terms_in_text"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # Rows for terms of texts go from the tasks that find them to whoever takes them; texts are dealt once, by number.
+    assert not re.search("Exchange|Aggregate", plan[: plan.index("MapInArrow")]) and len(re.findall(r"MapInArrow", plan)) == 1
