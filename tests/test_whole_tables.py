@@ -105,6 +105,9 @@ def test_terms_as_their_sql_finds_them(spark, tables):
 
 def test_found_terms_are_not_shuffled(spark, tables):
     sf = tables("documents", [(k, f"Alphabet word{k} ingess", "a") for k in range(9)], "doc_id long, text string, source string")
-    plan = catalog.QUERIES["terms_in_text"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    plans = {name: catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString() for name in ("terms_in_text", "chapter_terms")}
     # Rows for terms of texts go from the tasks that find them to whoever takes them; texts are dealt once, by number.
+    plan = plans["terms_in_text"]
     assert not re.search("Exchange|Aggregate", plan[: plan.index("MapInArrow")]) and len(re.findall(r"MapInArrow", plan)) == 1
+    # For terms of books there is no row for each term of each text.
+    assert "doc_id" not in re.search(r"MapInArrow.*\[([^\[\]]*)\]", plans["chapter_terms"])[1]
